@@ -9,8 +9,8 @@ Decoder
 Writer
     ``encode_payload`` keeps one payload byte in each quantised coefficient: a coefficient of size category 8 has
     exactly 256 values and its eight amplitude bits are the byte.  All quantisers are 1, so nothing is lost.  Blocks go
-    to a 4:2:0 picture (four luma, two chroma blocks per unit), written as eleven scans: DC at reduced precision and its
-    refinement, two spectral bands of AC at reduced precision and one AC refinement for each component.
+    to a 4:2:0 picture (four luma, two chroma blocks per unit), written as nine scans: DC at reduced precision and its
+    refinement, AC at reduced precision (luma in two spectral bands) and one AC refinement for each component.
 
 Where a scan has the same symbol for each coefficient, the scan is read with array operations; the check for that is
 exact, and any other scan takes the bit-by-bit path.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -98,6 +99,12 @@ def _signed(v: int, size: int) -> int:
     return v if not size or v >> (size - 1) else v - (1 << size) + 1
 
 
+@lru_cache
+def _amplitudes(size: int, low: int) -> np.ndarray:
+    """The coefficient that the last ``size`` bits of each byte stand for."""
+    return np.array([_signed(v & ((1 << size) - 1), size) * (1 << low) for v in range(256)], dtype=np.int32)
+
+
 class Picture:
     """Coefficients (zigzag order, one array of blocks for each component) and what is needed to turn them into RGB."""
 
@@ -115,22 +122,24 @@ class Picture:
             grid = np.zeros((self.mcus[0] * v, self.mcus[1] * h, 64), dtype=np.int32)
             self.parts.append({"id": ident, "h": h, "v": v, "q": q, "own": own, "c": grid})
 
-    def order(self, chosen: list[dict]) -> list[np.ndarray]:
-        """For each component of a scan: its blocks, as (row, column) pairs in the order of the scan's units."""
+    def order(self, chosen: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each component of a scan: rows and columns of its blocks, in the order of the scan's units."""
         if len(chosen) == 1:
             rows, cols = chosen[0]["own"]
-            return [np.stack(np.divmod(np.arange(rows * cols), cols), 1)]
-        out = []
-        unit = np.stack(np.divmod(np.arange(self.mcus[0] * self.mcus[1]), self.mcus[1]), 1)
-        for p in chosen:
-            inner = np.stack(np.divmod(np.arange(p["h"] * p["v"]), p["h"]), 1)
-            out.append((unit[:, None, :] * [p["v"], p["h"]] + inner[None]).reshape(-1, 2))
-        return out
+            return [np.divmod(np.arange(rows * cols), cols)]
+        return [_unit_order(*self.mcus, p["v"], p["h"]) for p in chosen]
+
+
+@lru_cache(maxsize=512)
+def _unit_order(rows: int, cols: int, v: int, h: int) -> tuple[np.ndarray, np.ndarray]:
+    row, col = np.divmod(np.arange(rows * cols), cols)
+    inner_row, inner_col = np.divmod(np.arange(v * h), h)
+    return (row[:, None] * v + inner_row).reshape(-1), (col[:, None] * h + inner_col).reshape(-1)
 
 
 def _dc_scan(pic: Picture, chosen, tables, high: int, low: int, parts: list[bytes]) -> None:
     orders, per = pic.order(chosen), [1 if len(chosen) == 1 else p["h"] * p["v"] for p in chosen]
-    units = len(orders[0]) // per[0]
+    units = len(orders[0][0]) // per[0]
     step = pic.restart or units
     for k, data in enumerate(parts):
         n = min(step, units - k * step)
@@ -138,8 +147,8 @@ def _dc_scan(pic: Picture, chosen, tables, high: int, low: int, parts: list[byte
             bits = np.unpackbits(np.frombuffer(data, np.uint8))[: n * sum(per)].reshape(n, sum(per)).astype(np.int32)
             at = 0
             for p, o, m in zip(chosen, orders, per, strict=True):
-                own = o[k * step * m : (k * step + n) * m]
-                p["c"][own[:, 0], own[:, 1], 0] |= bits[:, at : at + m].reshape(-1) << low
+                own = slice(k * step * m, (k * step + n) * m)
+                p["c"][o[0][own], o[1][own], 0] |= bits[:, at : at + m].reshape(-1) << low
                 at += m
             continue
         src = _Bits(data)
@@ -164,21 +173,19 @@ def _dc_scan(pic: Picture, chosen, tables, high: int, low: int, parts: list[byte
                     last[i] += x if x >> (size - 1) else x - (1 << size) + 1
                 found[i].append(last[i])
         for p, o, m, values in zip(chosen, orders, per, found, strict=True):
-            own = o[k * step * m : (k * step + n) * m]
-            p["c"][own[:, 0], own[:, 1], 0] = np.array(values, dtype=np.int32) << low
+            own = slice(k * step * m, (k * step + n) * m)
+            p["c"][o[0][own], o[1][own], 0] = np.array(values, dtype=np.int32) << low
 
 
 def _ac_first(blocks: np.ndarray, table: _Table, first: int, last: int, low: int, data: bytes) -> None:
     width = last - first + 1
-    if len(data) == len(blocks) * width and data:
+    if len(data) == len(blocks) * width > 0:
         got = table.look[data[0] << 8]
         size = got & 15
         if got and not got >> 4 & 15 and size and (got >> 8) + size == 8:
             raw = np.frombuffer(data, np.uint8)
-            if (raw >> size == raw[0] >> size).all():
-                v = (raw & ((1 << size) - 1)).astype(np.int32)
-                v -= np.where(v >> (size - 1) == 0, (1 << size) - 1, 0)
-                blocks[:, first : last + 1] = v.reshape(-1, width) << low if low == 0 else v.reshape(-1, width) * (1 << low)
+            if raw.min() >> size == raw.max() >> size:
+                blocks[:, first : last + 1] = _amplitudes(size, low)[raw].reshape(-1, width)
                 return
     src, run, look = _Bits(data), 0, table.look
     for block in blocks:
@@ -203,7 +210,7 @@ def _ac_first(blocks: np.ndarray, table: _Table, first: int, last: int, low: int
 def _ac_refine(blocks: np.ndarray, table: _Table, first: int, last: int, low: int, data: bytes) -> None:
     width, part = last - first + 1, blocks[:, first : last + 1]
     code = table.codes.get(0)
-    if code and len(data) * 8 - 7 <= len(blocks) * (code[1] + width) <= len(data) * 8 and (part != 0).all():
+    if code and len(data) * 8 - 7 <= len(blocks) * (code[1] + width) <= len(data) * 8 and part.all():
         bits = np.unpackbits(np.frombuffer(data, np.uint8))[: len(blocks) * (code[1] + width)].reshape(len(blocks), -1)
         if (bits[:, : code[1]] == [code[0] >> (code[1] - 1 - i) & 1 for i in range(code[1])]).all():
             part += np.sign(part) * (bits[:, code[1] :].astype(np.int32) << low)
@@ -350,6 +357,7 @@ def _huffman(kind: int, ident: int, by_length: dict[int, list[int]]) -> bytes:
     return _segment(0xC4, bytes([kind << 4 | ident]) + counts + bytes(s for n in sorted(by_length) for s in by_length[n]))
 
 
+_SIZE = np.array([v.bit_length() for v in range(512)])
 _HEAD = _segment(0xDB, b"\0" + b"\1" * 64)
 _TABLES_OUT = _huffman(0, 0, {4: list(range(9))}) + _huffman(1, 0, {1: [0x07], 2: [0x00]}) + _huffman(1, 1, {1: [0x00], 2: [0x01]})
 
@@ -380,14 +388,14 @@ def encode_payload(payload: bytes) -> bytes:
     diff[:, :4] = np.diff(top[:, :4].reshape(-1), prepend=0).reshape(-1, 4)
     diff[:, 4:] = np.diff(top[:, 4:], axis=0, prepend=0)
     flat = diff.reshape(-1)
-    size = np.frexp(np.abs(flat).astype(np.float64))[1]
+    size = _SIZE[np.abs(flat)]
     amp = np.where(flat < 0, flat + (1 << size) - 1, flat)
     every = [(1, 0x00), (2, 0x00), (3, 0x00)]
     out += [_start(every, 0, 0, 0, 1), pack_bits(size << size | amp, size + 4)]
     bits = (dc & 1).reshape(-1)
     out += [_start(every, 0, 0, 1, 0), pack_bits(bits, np.ones(len(bits), dtype=np.int64))]
     for ident, plane in enumerate(planes, 1):
-        for a, b in ((1, 5), (6, 63)):
+        for a, b in ((1, 5), (6, 63)) if ident == 1 else ((1, 63),):
             out += [_start([(ident, 0)], a, b, 0, 1), (plane[:, a : b + 1] >> 1).tobytes()]
     for ident, plane in enumerate(planes, 1):
         low = np.zeros((len(plane), 64), dtype=np.uint8)
