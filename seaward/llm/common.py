@@ -69,3 +69,34 @@ def map_columns(df: DataFrame, fn, schema, rows_at_once: int = 256) -> DataFrame
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return df.mapInArrow(run, kind)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, most: int, label: str) -> DataFrame:
+    """Texts of a bounded sample of labelled rows, written to the shared folder: text, label, shape, shape2.
+
+    Of each label (0 or 1; others and nulls are passed over) the ``most`` ids with the smallest hash.  The ids are at
+    most twice ``most``, so they are broadcast.  ``shape`` and ``shape2`` are the smallest hashes of the text's word
+    triples under two seeds: copies share them, near copies mostly do.
+    """
+    marked = labels.filter(F.col(key).isNotNull()).select(key, F.col("label").cast("int"), F.xxhash64(F.col(key), F.lit(7)).alias("__h"))
+    ids = [marked.filter(F.col("label") == v).distinct().orderBy("__h", key).limit(most) for v in (0, 1)]
+    chosen = F.broadcast(ids[0].unionByName(ids[1]).drop("__h"))
+    rows = docs.select(F.col(key), text_or_empty(text).alias("text")).join(chosen, key)
+
+    def shapes(batch):
+        found = [_shapes(t) for t in batch["text"]]
+        return {"text": batch["text"], "label": batch["label"], "shape": [a for a, _ in found], "shape2": [b for _, b in found]}
+
+    return materialize(map_columns(rows.select("text", "label"), shapes, "text string, label int, shape long, shape2 long"), label)
+
+
+def _shapes(text: str) -> tuple[int, int]:
+    words = text.lower().split()
+    triples = {hash_text(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))}
+    return min(triples), min((t * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 61) for t in triples)
+
+
+def hash_text(text: str, seed: int = 0) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text.encode(), seed) >> 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["media", "bpe", "packing"]
+MODULES = ["media", "bpe", "packing", "quality", "toxicity"]
 
 
 def _collect(name: str) -> dict:
