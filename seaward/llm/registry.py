@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["media", "bpe", "packing", "warc", "quality", "toxicity", "simhash"]
+MODULES = ["media", "bpe", "packing", "warc", "quality", "toxicity", "simhash", "secrets"]
 
 
 def _collect(name: str) -> dict:
