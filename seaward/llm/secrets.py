@@ -131,7 +131,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES
     value = F.col("__text")
     rows = _flagged(docs.withColumn("__text", text_or_empty(text)), rules, key, "__text")
     for n, r in enumerate(rules):
-        def part(x, r=r):
+        def part(x):
             put = F.when(F.length(x["group"]) >= F.lit(r.least), F.lit(f"<{r.kind}>")).otherwise(F.coalesce(x["whole"], F.lit("")))
             return F.concat(x["gap"], put)
 

@@ -26,6 +26,8 @@ SEED = 42
 #: Nodes a shard has about; nodes in the sample that the top of the tree is built from.
 SHARD_NODES, SAMPLE = 4096, 16_384
 _LEAF = 96
+#: Min-hash values of a text, values in a band, rows of a bucket that are compared at once (about).
+PERMUTATIONS, BAND_ROWS, CHUNK = 125, 5, 256
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -213,6 +215,119 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str
     return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+_RNG = np.random.default_rng(17)
+_FLIPS = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
+_FACTORS = _RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """Smallest shingle under each of ``PERMUTATIONS`` mixings, 16 bits each."""
+    own = np.ascontiguousarray(hashes[:, :4]).view(">u4").astype(np.uint32).reshape(-1, 1)
+    low = np.full(PERMUTATIONS, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(own), 1024):
+        mixed = (own[at : at + 1024] ^ _FLIPS) * _FACTORS
+        mixed ^= mixed >> np.uint32(16)
+        np.minimum(low, mixed.min(0), out=low)
+    return low.astype("<u2").tobytes()
+
+
+def _bucket_links(batches, least: int):
+    """Links in a stream of rows (group, fp, sig) sorted by group: star links of the pairs that share ``least`` values."""
+    import pyarrow as pa
+
+    rest: tuple | None = None
+
+    def compare(group, fp, sig):
+        pairs = []
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        sizes = np.diff(np.append(starts, len(group)))
+        small = np.repeat(sizes <= 16, sizes)
+        for d in range(1, 16):
+            i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
+            if not len(i):
+                break
+            for cut in range(0, len(i), 4096):
+                j = i[cut : cut + 4096]
+                pairs.append(np.stack([j, j + d], 1)[(sig[j] == sig[j + d]).sum(1) >= least])
+        for s, m in zip(starts, sizes, strict=True):
+            if m > 16:
+                own = sig[s : s + m]
+                for k in range(m - 1):
+                    near = np.flatnonzero((own[k + 1 :] == own[k]).sum(1) >= least)
+                    pairs.append(np.stack([np.full(len(near), s + k), s + k + 1 + near], 1))
+        points, at = np.unique(fp, return_inverse=True)
+        found = points[star(at[np.concatenate(pairs)] if pairs else np.zeros((0, 2), dtype=np.int64), len(points))]
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["src", "dst"])
+
+    for batch in batches:
+        part = (
+            batch.column(0).to_numpy(zero_copy_only=False),
+            batch.column(1).to_numpy(zero_copy_only=False),
+            np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u2").reshape(-1, PERMUTATIONS),
+        )
+        if rest is not None:
+            part = tuple(np.concatenate([a, b]) for a, b in zip(rest, part, strict=True))
+        last = np.searchsorted(part[0], part[0][-1]) if len(part[0]) else 0  # the last group may go on
+        rest = tuple(x[last:] for x in part)
+        if last:
+            yield compare(*(x[:last] for x in part))
+    if rest is not None and len(rest[0]):
+        yield compare(*rest)
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst) between nodes (fp, sig) whose shingle sets are similar, found by min-hash bands.
+
+    A bucket's rows are dealt to chunks by a hash that differs for each band, and compared within chunks: members of a
+    large group meet hundreds of others in each band.  A pair counts if its signatures agree in the share that texts of
+    the given similarity reach but for one standard error.
+    """
+    least = int(np.ceil(PERMUTATIONS * (similarity - (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5)))
+
+    def bands(rows):
+        import xxhash
+
+        out = {"bucket": [], "fp": []}
+        for fp, sig in zip(rows["fp"], rows["sig"], strict=True):
+            out["bucket"] += [xxhash.xxh64_intdigest(sig[b * 2 * BAND_ROWS : (b + 1) * 2 * BAND_ROWS], b) - (1 << 63) for b in range(PERMUTATIONS // BAND_ROWS)]
+            out["fp"] += [fp] * (PERMUTATIONS // BAND_ROWS)
+        return out
+
+    keys = materialize(map_columns(nodes.select("fp", "sig"), bands, "bucket long, fp long"), "bands")
+    shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    chunk = F.pmod(F.xxhash64("fp", "bucket"), F.ceil(F.col("n") / CHUNK))
+    rows = keys.join(shared, "bucket").select(F.xxhash64("bucket", chunk).alias("grp"), "fp").join(nodes.select("fp", "sig"), "fp")
+    dealt = rows.select("grp", "fp", "sig").repartition("grp").sortWithinPartitions("grp", "fp")
+    return dealt.mapInArrow(lambda batches: _bucket_links(batches, least), "src long, dst long").distinct()
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 2, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row (the smallest id) of each group of near copies; all columns unchanged.
+
+    Two texts are linked if their SimHash fingerprints differ in at most ``radius`` bits, or if their sets of word
+    shingles are ``similarity`` alike or more: 64 fingerprint bits cannot tell that (at a similarity of 0.8 fingerprints
+    differ in 9 bits on average, and some in 18).  Rows without an id are kept as they are.
+    """
+
+    def run(rows):
+        out = {"id": rows["id"], "fp": [], "sig": []}
+        for t in rows["__text"]:
+            hashes = shingle_hashes(t, shingle)
+            out["fp"].append(fingerprint(hashes))
+            out["sig"].append(signature(hashes) if len(hashes) else bytes(2 * PERMUTATIONS))
+        return out
+
+    named = docs.filter(F.col(key).isNotNull())
+    source = named.select(F.col(key).alias("id"), text_or_empty(text).alias("__text"))
+    prints = materialize(map_columns(source, run, f"id {dict(docs.dtypes)[key]}, fp long, sig binary"), "signatures")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("sig").alias("sig")), "signature-nodes")
+    links = materialize(link_nodes(nodes, radius).union(similar_links(nodes, similarity)), "near-links")
+    found = components(prints.select("id", "fp"), links, "id")
+    first = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(key)).distinct()
+    once = named.join(first, key, "left_semi").dropDuplicates([key])
+    return once.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+
+
 def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
