@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark import TaskContext
@@ -29,7 +30,7 @@ QUERY_TERMS = 24
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 #: Chunks whose ids a worker keeps; beyond it the store starts anew (a bound on memory, not on results).
-CACHE = 500_000
+CACHE = 1_000_000
 #: White space on which splitting rules differ; a text with such signs is encoded in one call.
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
@@ -52,24 +53,39 @@ class Tokens:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if _UNUSUAL.search(text):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        chunks, ids = text.split(), self.ids
-        if new := [c for c in set(chunks) if c not in ids]:
-            if len(ids) > CACHE:
-                ids.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                ids[c] = np.array(e.ids, dtype="<u4").tobytes()
-        out = b"".join(map(ids.__getitem__, chunks))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers.  All new chunks are encoded in one call."""
+        split = [None if _UNUSUAL.search(t) else t.split() for t in texts]
+        ids, held = self.ids, set().union(*(c for c in split if c))
+        new = [c for c in held if c not in ids]
+        if len(ids) + len(new) > CACHE:
+            ids.clear()
+            new = list(held)
+        parts = [_cut(c) for c in new]
+        if unknown := list({t for p in parts for t in p if t not in ids}):
+            for t, e in zip(unknown, self.model.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+                ids[t] = array("I", e.ids).tobytes()
+        for c, p in zip(new, parts, strict=True):
+            if len(p) > 1:
+                ids[c] = ids[p[0]] + ids[p[1]]
+            elif p[0] != c:
+                ids[c] = ids[p[0]]
+        out = [array("I", self.model.encode(t, add_special_tokens=False).ids).tobytes() if c is None else b"".join(map(ids.__getitem__, c)) for t, c in zip(texts, split, strict=True)]
         for c in new:
             if len(c) > 64:  # long chunks hardly come again
                 ids.pop(c, None)
         return out
 
 
+def _cut(chunk: str) -> tuple[str, ...]:
+    """Parts that are encoded by themselves: of a Latin word, perhaps with one sign behind it, its lower-case form."""
+    word = chunk.rstrip(".,;:!?")
+    if len(chunk) - len(word) < 2 and word.isalpha() and (word.isascii() or max(word) < "\u0130"):
+        low = word.lower()
+        return (low,) if len(low) == len(chunk) else (low, chunk[len(word) :])
+    return (chunk,)
+
+
 class Bm25:
     """Inverted index of one shard: term -> documents and their BM25 weights."""
 
@@ -170,8 +186,8 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for name, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.frombuffer(tokens.encode(value) + END_ID.to_bytes(4, "little"), dtype="<u4")
+                for name, raw in zip(part.column(0).to_pylist(), tokens.encode(part.column(1).to_pylist()), strict=True):
+                    ids = np.frombuffer(raw + END_ID.to_bytes(4, "little"), dtype="<u4")
                     shard.append((name, ids))
                     size += len(ids)
                     if size >= SHARD_TOKENS:
