@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaward.llm.common import read_table, text_or_empty
+from seaward.llm.common import free_names, read_table, text_or_empty
 from seaward.llm.trigrams import trigram_query
 
 
@@ -73,16 +73,17 @@ def candidates(index: DataFrame, rules=RULES, key: str = "doc_id") -> DataFrame:
     return hits.filter("bits = full").groupBy(key).agg(F.bit_or("rule").alias("__rules"))
 
 
-def _flagged(docs: DataFrame, rules, key: str, text: str) -> DataFrame:
-    """``docs`` with ``__rules``: the bits of the rules to verify on each row."""
+def _flagged(docs: DataFrame, rules, key: str, text: str, name: str = "__rules") -> DataFrame:
+    """``docs`` with a column ``name``: the bits of the rules to verify on each row."""
     always = sum(1 << n for n, r in enumerate(rules) if trigram_query(r.pattern) is None)
-    found = candidates(postings(docs, rules, key, text), rules, key).withColumnRenamed(key, "__key")
-    joined = docs.join(found.hint("shuffle_hash"), docs[key].eqNullSafe(found["__key"]), "left").drop("__key")
-    return joined.withColumn("__rules", F.coalesce(F.col("__rules"), F.lit(0)).bitwiseOR(F.lit(always)))
+    (other,) = free_names(docs, "__key")
+    found = candidates(postings(docs, rules, key, text), rules, key).select(F.col(key).alias(other), F.col("__rules").alias(name))
+    joined = docs.join(found.hint("shuffle_hash"), docs[key].eqNullSafe(found[other]), "left").drop(other)
+    return joined.withColumn(name, F.coalesce(F.col(name), F.lit(0)).bitwiseOR(F.lit(always)))
 
 
-def _asked(n: int, rule: Rule, text: Column) -> Column:
-    return (F.col("__rules").bitwiseAND(F.lit(1 << n)) != 0) & text.rlike(rule.java)
+def _asked(n: int, rule: Rule, text: Column, name: str = "__rules") -> Column:
+    return (F.col(name).bitwiseAND(F.lit(1 << n)) != 0) & text.rlike(rule.java)
 
 
 def _kept(rule: Rule, text: Column) -> Column:
@@ -128,19 +129,21 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base=BASE, mo
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with each secret replaced by its kind in angle brackets; other rows and columns unchanged."""
-    value = F.col("__text")
-    rows = _flagged(docs.withColumn("__text", text_or_empty(text)), rules, key, "__text")
+    own, flags = free_names(docs, "__text", "__rules")
+    value = F.col(own)
+    rows = _flagged(docs.withColumn(own, text_or_empty(text)), rules, key, own, flags)
     for n, r in enumerate(rules):
+
         def part(x):
             put = F.when(F.length(x["group"]) >= F.lit(r.least), F.lit(f"<{r.kind}>")).otherwise(F.coalesce(x["whole"], F.lit("")))
             return F.concat(x["gap"], put)
 
-        rows = rows.withColumn("__text", F.when(_asked(n, r, value), F.array_join(F.transform(_kept(r, value), part), "")).otherwise(value))
-    same = F.col("__text") == text_or_empty(text)
-    out = rows.withColumn(text, F.when(same, F.col(text)).otherwise(F.col("__text")))
+        rows = rows.withColumn(own, F.when(_asked(n, r, value, flags), F.array_join(F.transform(_kept(r, value), part), "")).otherwise(value))
+    same = value == text_or_empty(text)
+    changed = {text: F.when(same, F.col(text)).otherwise(value)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("__text").cast("long")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length(value).cast("long"))
+    return rows.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
 
 
 def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
