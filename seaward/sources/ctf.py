@@ -19,7 +19,7 @@ RADIAL_COLUMNS = {
     c: "int" if c in ("VFLG", "ERSC", "ERTC", "SPRC") else "double"
     for c in "LOND LATD VELU VELV VFLG ESPC ETMP MAXV MINV ERSC ERTC XDST YDST RNGE BEAR VELO HEAD SPRC EVAR EACC".split()
 }
-WAVE_COLUMNS = dict.fromkeys("TIME MWHT MWPD WAVB WNDB PMWH ACNT DIST RCLL WDPT MTHD FLAG WHNM WHSD".split(), "double")
+WAVE_COLUMNS = dict.fromkeys("MWHT MWPD WAVB WNDB PMWH ACNT DIST RCLL WDPT MTHD FLAG WHNM WHSD".split(), "double")
 TIME_PARTS = "TYRS TMON TDAY THRS TMIN TSEC".split()
 _SCHEMA = """path string, is_corrupt boolean, is_wera boolean, meta map<string,string>, processing_tools array<string>,
  tables array<struct<table_no:int,table_type:string,columns:array<string>,meta:map<string,string>,rows:array<array<string>>>>"""
@@ -113,7 +113,8 @@ def table_rows(parsed: DataFrame, type_like: str, columns: dict[str, str], extra
     value = lambda c: F.get("v", F.array_position("cols", c) - 1)
     number = lambda c, kind: F.when(~F.isnan(value(c).try_cast("double")), value(c).try_cast("double")).cast(kind)
     has = lambda c: F.array_contains("cols", c)
-    picked = [F.when(has(c), number(c, k) if k != "string" else value(c)).alias(c) for c, k in columns.items()]
+    name = lambda c: "TIME_S" if c == "TIME" else c  # noqa: E731  the table's own seconds; "time" is the row's timestamp
+    picked = [F.when(has(c), number(c, k) if k != "string" else value(c)).alias(name(c)) for c, k in columns.items()]
     parts = [F.when(has(c), number(c, "int")).alias(c) for c in TIME_PARTS] if "TYRS" in extra else []
     return rows.select("path", "prefix", "site", "time", "table_no", "row_no", *picked, *parts)
 
