@@ -65,8 +65,8 @@ def q207_average_bearing(t: Thresholds = Thresholds()) -> Column:
     return F.when(off.isNull(), 2).when(off >= t.failure_threshold, 4).when(off >= t.warning_threshold, 3).otherwise(1)
 
 
-def q201_syntax(files: DataFrame) -> DataFrame:
-    """Each file's key and flag: six checks of names, header and table, all needed to pass."""
+def syntax_flag() -> Column:
+    """Six checks of a file's name, header and table, all needed to pass."""
     meta = F.col("meta")
     lon, lat = receiver(meta)
     filled = [F.length(F.trim(F.coalesce(header(meta, k), F.lit("")))) > 0 for k in ("FileType", "Site", "TimeStamp", "Origin", "PatternType", "TimeZone")]
@@ -82,7 +82,12 @@ def q201_syntax(files: DataFrame) -> DataFrame:
     good = F.lit(True)
     for c in checks:
         good = good & F.coalesce(c, F.lit(False))
-    return files.select("prefix", "site", "time", F.when(good, 1).otherwise(4).alias("Q201"))
+    return F.when(good, 1).otherwise(4)
+
+
+def q201_syntax(files: DataFrame) -> DataFrame:
+    """Each file's key and syntax flag."""
+    return files.select(*FILE_KEY, syntax_flag().alias("Q201"))
 
 
 def _neighbour_median(bcell: np.ndarray, rcell: np.ndarray, velo: np.ndarray, rows: int, blim: int, rlim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +202,8 @@ def provenance(t: Thresholds = Thresholds()) -> Column:
 
 def qc_radials(radials: DataFrame, files: DataFrame, t: Thresholds = Thresholds(), on_land: Column | None = None, extra: bool = False) -> DataFrame:
     """All tests and PRIM.  Two shuffles of the vectors: by file for Q204, Q205 and Q207, by place for the hours before."""
-    step = files.select("prefix", "site", "time", F.get(numbers(header(F.col("meta"), "AngularResolution")), F.lit(0)).try_cast("double").alias("bearing_step"))
-    info = q201_syntax(files).join(step, list(FILE_KEY)).dropDuplicates(list(FILE_KEY))
+    step = F.get(numbers(header(F.col("meta"), "AngularResolution")), F.lit(0)).try_cast("double")
+    info = files.groupBy(*FILE_KEY).agg(F.max(syntax_flag()).alias("Q201"), F.max(step).alias("bearing_step"))
     rows = radials.withColumns({"Q202": q202_maximum_velocity(t), "Q203": q203_valid_location(radials.columns, on_land)})
     by_file = rows.join(info, list(FILE_KEY), "left").withColumns({"Q204": q204_radial_count(t), "Q207": q207_average_bearing(t)})
     tests = ["Q206", "Q209", *(["Q901"] if extra else [])]
