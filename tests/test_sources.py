@@ -156,3 +156,21 @@ def test_render_round_trip(spark):
     assert "%TableRows: 2" in text and "999.000" in text
     back = ctf.read_radials(ctf.parse_files(texts.withColumnRenamed("value", "content"))).orderBy("row_no").collect()
     assert [(r.LOND, r.VELO, r.VFLG) for r in back] == [(-73.97, 5.5, 0), (-73.96, None, 128)]
+
+
+def test_wave_and_series_jobs(spark, tmp_path):
+    source = tmp_path / "waves"
+    source.mkdir()
+    for i, (h, d) in enumerate((("0.1", "nan"), ("5.0", "3.0"))):
+        (source / f"WVLM_SEAB_2019_0{i + 1}_01_0000.wls").write_text(WAVES.format(h=h, d=d))
+    workflows.wave_job(spark, str(source), str(tmp_path / "out"))
+    kept = tables.read_tables(spark, str(tmp_path / "out"))
+    assert sorted(r.wave_height for r in kept.collect()) == [2.5, 5.0] and {r.site for r in kept.collect()} == {"SEAB"}
+
+    t0 = dt.datetime(2019, 1, 1)
+    cells = spark.createDataFrame([("A", t0, 1.0, 10.0, 5.0), ("A", t0 + dt.timedelta(hours=1), 1.0, 20.0, 6.0)], "site string, time timestamp, range double, bearing double, VELO double")
+    points = spark.createDataFrame([("x", "A", 0.01, 45.01)], "point_id string, site string, lon double, lat double")
+    origins = spark.createDataFrame([("A", 0.0, 45.0)], "site string, origin_lon double, origin_lat double")
+    workflows.series_job(cells, points, origins, str(tmp_path / "series"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "series")).orderBy("time").collect()
+    assert [(r.point_id, r.VELO) for r in rows] == [("x", None), ("x", "6.0")]
