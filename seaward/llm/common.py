@@ -28,14 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compressed: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor later costs a re-read of a file, not the work before it.
+    Cuts the lineage: a lost executor later costs a re-read of a file, not the work before it.  Tables of large values
+    that are ``compressed`` already are stored as they are: a codec would only hold more buffers.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").option("compression", "uncompressed" if compressed else "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

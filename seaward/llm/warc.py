@@ -136,7 +136,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
         if records:
             yield flush()
 
-    return materialize(mark_revisits(pages).mapInArrow(run, kind), "warc")
+    return materialize(mark_revisits(pages).mapInArrow(run, kind), "warc", compressed=True)
 
 
 def read_archives(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
