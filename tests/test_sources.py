@@ -14,7 +14,7 @@ from seaward.streaming import incremental
 CODAR = """%CTF: 1.00
 %FileType: LLUV rdls "RadialMap"
 %Manufacturer: CODAR
-%Site: SEAB ""
+%Site: TEST ""
 %TimeStamp: 2019 01 01  {hour:02d} 00 00
 %TimeZone: "UTC" +0.000 0 "Atlantic/Reykjavik"
 %Origin:  40.3668167  -73.9735333
@@ -55,7 +55,7 @@ WERA = """%Manufacturer: Helzel WERA
 %TableEnd:
 %End
 """
-WAVES = """%Site: SEAB
+WAVES = """%Site: TEST
 %TableType: WAVL WVM9
 %TableColumnTypes: TIME MWHT DIST TYRS TMON TDAY THRS TMIN TSEC
 %TableStart:
@@ -69,7 +69,7 @@ WAVES = """%Site: SEAB
 %TableEnd: 2
 %End:
 """
-NAME = "RDLi_SEAB_2019_01_01_{:02d}00.ruv"
+NAME = "RDLi_TEST_2019_01_01_{:02d}00.ruv"
 
 
 def parsed(spark, *texts):
@@ -80,7 +80,7 @@ def test_parse(spark):
     got = parsed(spark, CODAR.format(hour=0, velo=5.5), WERA, CODAR.format(hour=2, velo=1)[:-6], "", CODAR.replace("%TableColumnTypes: LOND LATD VELO VFLG BEAR SPRC\n", "").format(hour=4, velo=1))
     files = {r.file_name: r for r in ctf.file_table(got).collect()}
     a, b, c, d, e = (files[NAME.format(i)] for i in range(5))
-    assert (a.site, a.n_rows, a.n_cols_row, a.is_wera, a.is_corrupt) == ("SEAB", 2, 6, False, False)
+    assert (a.site, a.n_rows, a.n_cols_row, a.is_wera, a.is_corrupt) == ("TEST", 2, 6, False, False)
     assert a.time == a.file_time == dt.datetime(2019, 1, 1) and a.processing_tools == ['"A" 1', '"B" 2'] and a.meta["Note"] == "a"
     assert b.is_wera and not b.is_corrupt and b.columns == ["LATD", "LOND", "VELO"] and c.is_corrupt and d.is_corrupt and e.n_rows == 0
     assert series.valid_files(ctf.file_table(got)).count() == 2
@@ -151,7 +151,7 @@ def test_incremental_equals_whole(spark, station, tmp_path_factory):
 
 def test_render_round_trip(spark):
     rows = ctf.read_radials(parsed(spark, CODAR.format(hour=0, velo=5.5)))
-    texts = ctf.render_files(rows, F.array(F.lit("%Site: SEAB"), F.lit("%TimeStamp: 2019 01 01 00 00 00")), {"LOND": "%.7f", "VELO": "%.3f", "VFLG": "%d"}, "LLUV RDL9")
+    texts = ctf.render_files(rows, F.array(F.lit("%Site: TEST"), F.lit("%TimeStamp: 2019 01 01 00 00 00")), {"LOND": "%.7f", "VELO": "%.3f", "VFLG": "%d"}, "LLUV RDL9")
     text = texts.first().value
     assert "%TableRows: 2" in text and "999.000" in text
     back = ctf.read_radials(ctf.parse_files(texts.withColumnRenamed("value", "content"))).orderBy("row_no").collect()
@@ -162,10 +162,10 @@ def test_wave_and_series_jobs(spark, tmp_path):
     source = tmp_path / "waves"
     source.mkdir()
     for i, (h, d) in enumerate((("0.1", "nan"), ("5.0", "3.0"))):
-        (source / f"WVLM_SEAB_2019_0{i + 1}_01_0000.wls").write_text(WAVES.format(h=h, d=d))
+        (source / f"WVLM_TEST_2019_0{i + 1}_01_0000.wls").write_text(WAVES.format(h=h, d=d))
     workflows.wave_job(spark, str(source), str(tmp_path / "out"))
     kept = tables.read_tables(spark, str(tmp_path / "out"))
-    assert sorted(r.wave_height for r in kept.collect()) == [2.5, 5.0] and {r.site for r in kept.collect()} == {"SEAB"}
+    assert sorted(r.wave_height for r in kept.collect()) == [2.5, 5.0] and {r.site for r in kept.collect()} == {"TEST"}
 
     t0 = dt.datetime(2019, 1, 1)
     cells = spark.createDataFrame([("A", t0, 1.0, 10.0, 5.0), ("A", t0 + dt.timedelta(hours=1), 1.0, 20.0, 6.0)], "site string, time timestamp, range double, bearing double, VELO double")
