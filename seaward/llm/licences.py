@@ -35,6 +35,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 THRESHOLD = 0.8
+#: Words of ordinary prose: lines that share only these with the templates are not looked at further.
+COMMON = set("a an and are as at be by for from in into is it of on or that the this to under use was with".split())
 _WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
@@ -56,11 +58,11 @@ def template_weights(templates: dict[str, str]) -> tuple[dict[str, float], dict[
 def deciding_words(templates: dict[str, str], threshold: float) -> list[str]:
     """Words of which a line needs at least one: those without them share less than ``threshold`` with any template.
 
-    Short words are set aside first as long as, in each template, those set aside keep a norm under the threshold.
+    Words are set aside, common ones first, as long as those of each template keep a norm under the threshold.
     """
     weight, scaled = template_weights(templates)
     aside: set[str] = set()
-    for w in sorted(weight, key=lambda w: (len(w), w)):
+    for w in sorted(weight, key=lambda w: (w not in COMMON, len(w), w)):
         more = aside | {w}
         if all(math.sqrt(sum(v * v for x, v in t.items() if x in more)) < threshold - 1e-6 for t in scaled.values()):
             aside = more
