@@ -4,6 +4,7 @@ Largest inner product becomes nearest Euclidean distance by one more dimension (
 for queries).  Each table has ``k`` functions floor((a.x + b) / w) with Gaussian a.  A query visits the buckets that
 success is likeliest in, in the order of the squared distances from its projections to the buckets' sides.  The number
 of probes is fitted on a bounded sample of rows, so that the sample's recall reaches the target; every row is indexed.
+The sample's best rows are candidates of each query too, so that candidates that score less need not leave their task.
 
 Buckets are joined with their visitors in blocks: a bucket's rows and its queries are each dealt to blocks of bounded
 size, all pairs of blocks meet, and a task returns the best ``top`` of each query only.  Hot buckets thus become many
@@ -40,6 +41,8 @@ class Hashing:
     shifts: np.ndarray  # tables x k
     largest: float
     probes: int = 1
+    sample: np.ndarray | None = None
+    sample_ids: np.ndarray | None = None
 
     @classmethod
     def draw(cls, length: int, k: int, largest: float, seed: int = 11) -> Hashing:
@@ -57,6 +60,18 @@ class Hashing:
         return np.einsum("nd,tkd->ntk", wide, self.directions) / _WIDTH + self.shifts[None]
 
 
+    def sample_best(self, x: np.ndarray, ids: list, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the positions of its ``top`` best sample rows (fewer, if there are fewer) and their scores.
+
+        A query's own row comes last, with a score of minus infinity.
+        """
+        scores = x @ self.sample.T
+        scores[np.array(ids)[:, None] == self.sample_ids[None, :]] = -np.inf
+        n = min(top, scores.shape[1])
+        best = np.argpartition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n :]
+        return best, np.take_along_axis(scores, best, 1)
+
+
 def bucket_ids(cells: np.ndarray) -> np.ndarray:
     """One signed 64-bit number for each row of whole numbers (a fixed polynomial hash; no functions: 0)."""
     out = np.zeros(cells.shape[:-1], dtype=np.int64)
@@ -121,35 +136,46 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
     for s in sizes:
         k = max(0, round(np.log(s.rows / BUCKET_ROWS) / np.log(_SLOTS)))
         h = Hashing.draw(s.n, k, float(s.largest))
-        some = rows.filter(F.col("n") == s.n).select("v", F.xxhash64(key).alias("h")).orderBy("h").limit(SAMPLE).collect()
-        h.probes = fit_probes(h, np.array([r.v for r in some]), top)
+        some = rows.filter(F.col("n") == s.n).select(key, "v", F.xxhash64(key).alias("h")).dropDuplicates([key]).orderBy("h").limit(SAMPLE).collect()
+        h.sample, h.sample_ids = np.array([r.v for r in some]), np.array([r[key] for r in some])
+        h.probes = fit_probes(h, h.sample, top)
         tables[s.n] = h
 
     def place(query: bool):
         def run(batch):
-            out = {"id": [], "v": [], "tab": [], "bucket": []}
+            out = {"id": [], "v": [], "least": [], "tab": [], "bucket": []}
             by_length: dict[int, list[int]] = {}
             for i, n in enumerate(batch["n"]):
                 by_length.setdefault(n, []).append(i)
             for n, at in by_length.items():
-                h = tables[n]
-                f = h.project(np.array([batch["v"][i] for i in at]), query)
-                for i, own in zip(at, f, strict=True):
-                    for t in range(TABLES):
-                        cells = probe_cells(own[t], h.probes) if query else np.floor(own[t])[None]
-                        ids = bucket_ids(cells).tolist() if cells.shape[1] else [0]
-                        if not cells.shape[1] and t:
-                            continue  # without functions there is one bucket, and one table holds it all
-                        for b in ids:
-                            for name, x in zip(out, (batch["id"][i], batch["v"][i], t, b), strict=True):
-                                out[name].append(x)
-            return {**out, "tab": [n * TABLES + t for n, t in zip([len(v) for v in out["v"]], out["tab"], strict=True)]}
+                h, x = tables[n], np.array([batch["v"][i] for i in at])
+                own = [batch["id"][i] for i in at]
+                known = h.sample_best(x, own, top)[1] if query else np.zeros((len(at), 1))
+                least = known.min(1) if known.shape[1] == top or not query else np.full(len(at), -np.inf)
+                for name, v, low, f in zip(own, x, least.tolist(), h.project(x, query), strict=True):
+                    for t in range(TABLES if f.shape[1] else 1):  # without functions one bucket holds all
+                        ids = bucket_ids(probe_cells(f[t], h.probes) if query else np.floor(f[t])[None]).tolist()
+                        out["bucket"] += ids
+                        for k, value in (("id", name), ("v", v.tobytes()), ("least", low), ("tab", n * TABLES + t)):
+                            out[k] += [value] * len(ids)
+            return out
 
         source = rows if not query else rows.filter(is_query)
         kind = dict(rows.dtypes)[key]
-        return map_columns(source.select(F.col(key).alias("id"), "v", "n"), run, f"id {kind}, v array<double>, tab int, bucket long")
+        return map_columns(source.select(F.col(key).alias("id"), "v", "n"), run, f"id {kind}, v binary, least double, tab int, bucket long")
 
-    index, visits = materialize(place(False), "lsh-index"), materialize(place(True), "lsh-visits")
+    def from_sample(batch):
+        out = {"query_id": [], "id": [], "score": []}
+        for name, v, n in zip(batch["id"], batch["v"], batch["n"], strict=True):
+            h, q = tables[n], np.array(v)
+            best, score = h.sample_best(q[None], [name], top)
+            best = best[0][score[0] > -np.inf]
+            out["query_id"] += [name] * len(best)
+            out["id"] += h.sample_ids[best].tolist()
+            out["score"] += exact_scores(h.sample[best], q).tolist()
+        return out
+
+    index, visits = materialize(place(False).drop("least"), "lsh-index"), materialize(place(True), "lsh-visits")
     # Blocks: a bucket of many rows or visitors is dealt to several, and every pair of blocks meets.
     n_rows = index.groupBy("tab", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("xs"))
     n_visits = visits.groupBy("tab", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs"))
@@ -158,34 +184,35 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
     mine = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
     left = index.join(met, ["tab", "bucket"]).withColumn("x", mine("xs", 1)).withColumn("q", upto("qs"))
     right = visits.join(met, ["tab", "bucket"]).withColumn("q", mine("qs", 2)).withColumn("x", upto("xs"))
-    keys, names = ["tab", "bucket", "x", "q"], ["tab", "bucket", "x", "q", "id", "v"]
+    keys = ["tab", "bucket", "x", "q"]
 
     def compare(xs, qs):
         import pandas as pd
 
         out = {"query_id": [], "id": [], "score": []}
         if len(xs) and len(qs):
-            x, ids = np.stack(xs["v"].to_numpy()), xs["id"].to_numpy()
-            near = np.stack(qs["v"].to_numpy()) @ x.T
-            for query, q, s in zip(qs["id"], qs["v"], near, strict=True):
-                s = np.where(ids == query, -np.inf, s)
-                if len(s) > top:  # all that may be among the best once scores are exact
-                    cut = np.partition(s, len(s) - top)[len(s) - top]
-                    found = np.flatnonzero(s >= cut - 1e-9 * max(1.0, abs(cut)))
-                else:
-                    found = np.arange(len(s))
-                found = found[ids[found] != query]
-                score = exact_scores(x[found], q)
-                best = np.lexsort((ids[found], -score))[:top]
-                out["query_id"] += [query] * len(best)
-                out["id"] += ids[found][best].tolist()
+            x, q = (np.frombuffer(b"".join(d["v"]), dtype=np.float64).reshape(len(d), -1) for d in (xs, qs))
+            ids, own, least = xs["id"].to_numpy(), qs["id"].to_numpy(), qs["least"].to_numpy()
+            for cut in range(0, len(q), 256):
+                near = q[cut : cut + 256] @ x.T
+                at, to = np.nonzero(near >= (least[cut : cut + 256] - 1e-9 * np.maximum(1, np.abs(least[cut : cut + 256])))[:, None])
+                at = at + cut
+                other = ids[to] != own[at]
+                at, to = at[other], to[other]
+                score = np.concatenate([exact_scores(x[to[i : i + 65_536]], q[at[i : i + 65_536]]) for i in range(0, len(at), 65_536)] or [np.zeros(0)])
+                order = np.lexsort((ids[to], -score, at))
+                at, to, score = at[order], to[order], score[order]
+                best = np.arange(len(at)) - np.searchsorted(at, at) < top
+                out["query_id"] += own[at[best]].tolist()
+                out["id"] += ids[to[best]].tolist()
                 out["score"] += score[best].tolist()
         return pd.DataFrame(out)
 
     kind = dict(rows.dtypes)[key]
-    parts = left.select(*names).groupBy(*keys).cogroup(right.select(*names).groupBy(*keys))
+    parts = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v", "least").groupBy(*keys))
     found = parts.applyInPandas(compare, f"query_id {kind}, id {kind}, score double")
-    once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    sampled = map_columns(rows.filter(is_query).select(F.col(key).alias("id"), "v", "n"), from_sample, f"query_id {kind}, id {kind}, score double")
+    once = found.unionByName(sampled).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return once.withColumn("rank", order).filter(F.col("rank") <= top).select("query_id", "rank", F.col("id").alias(key), "score")
 
