@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from seaward.llm.common import map_columns, materialize, read_table
 
-TABLES, TARGET, SAMPLE, SAMPLE_QUERIES = 2, 0.97, 4096, 200
+TABLES, TARGET, SAMPLE, FIT_ROWS, FIT_QUERIES = 2, 0.97, 16_384, 4096, 200
 #: Rows of a bucket on average, rows and queries of a block at most (about).
 BUCKET_ROWS, BLOCK = 800, 2048
 _WIDTH, _SLOTS, _MOST_PROBES = 1.0, 4.0, 4096
@@ -104,7 +104,7 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def fit_probes(h: Hashing, sample: np.ndarray, top: int, target: float = TARGET) -> int:
     """Fewest probes that find the target share of the sample's true neighbours (or all, if no number does)."""
-    queries = sample[: min(SAMPLE_QUERIES, len(sample))]
+    queries = sample[: min(FIT_QUERIES, len(sample))]
     if len(sample) < 2 or not h.shifts.size:
         return 1
     scores = queries @ sample.T
@@ -138,7 +138,7 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
         h = Hashing.draw(s.n, k, float(s.largest))
         some = rows.filter(F.col("n") == s.n).select(key, "v", F.xxhash64(key).alias("h")).dropDuplicates([key]).orderBy("h").limit(SAMPLE).collect()
         h.sample, h.sample_ids = np.array([r.v for r in some]), np.array([r[key] for r in some])
-        h.probes = fit_probes(h, h.sample, top)
+        h.probes = fit_probes(h, h.sample[:FIT_ROWS], top)
         tables[s.n] = h
 
     def place(query: bool):
