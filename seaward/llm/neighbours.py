@@ -4,7 +4,8 @@ Largest inner product becomes nearest Euclidean distance by one more dimension (
 for queries).  Each table has ``k`` functions floor((a.x + b) / w) with Gaussian a.  A query visits the buckets that
 success is likeliest in, in the order of the squared distances from its projections to the buckets' sides.  The number
 of probes is fitted on a bounded sample of rows, so that the sample's recall reaches the target; every row is indexed.
-The sample's best rows are candidates of each query too, so that candidates that score less need not leave their task.
+What a query's best rows of the sample score is a bound that its true neighbours reach: from all but its first buckets only
+candidates that reach it leave their task.  The sample is used for nothing else; results come from the tables alone.
 
 Buckets are joined with their visitors in blocks: a bucket's rows and its queries are each dealt to blocks of bounded
 size, all pairs of blocks meet, and a task returns the best ``top`` of each query only.  Hot buckets thus become many
@@ -30,6 +31,8 @@ from seaward.llm.common import map_columns, materialize, read_table
 TABLES, TARGET, SAMPLE, FIT_ROWS, FIT_QUERIES = 2, 0.97, 16_384, 4096, 200
 #: Rows of a bucket on average, rows and queries of a block at most (about).
 BUCKET_ROWS, BLOCK = 800, 2048
+#: Buckets of each table, likeliest first, whose best rows are returned whatever they score.
+FREE = 2
 _WIDTH, _SLOTS, _MOST_PROBES = 1.0, 4.0, 4096
 
 
@@ -60,16 +63,13 @@ class Hashing:
         return np.einsum("nd,tkd->ntk", wide, self.directions) / _WIDTH + self.shifts[None]
 
 
-    def sample_best(self, x: np.ndarray, ids: list, top: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the positions of its ``top`` best sample rows (fewer, if there are fewer) and their scores.
-
-        A query's own row comes last, with a score of minus infinity.
-        """
+    def least_scores(self, x: np.ndarray, ids: list, top: int) -> np.ndarray:
+        """For each query the ``top``-th best score in the sample (its own row left out): neighbours score no less."""
         scores = x @ self.sample.T
         scores[np.array(ids)[:, None] == self.sample_ids[None, :]] = -np.inf
-        n = min(top, scores.shape[1])
-        best = np.argpartition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n :]
-        return best, np.take_along_axis(scores, best, 1)
+        if scores.shape[1] < top:
+            return np.full(len(x), -np.inf)
+        return np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top]
 
 
 def bucket_ids(cells: np.ndarray) -> np.ndarray:
@@ -150,13 +150,13 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
             for n, at in by_length.items():
                 h, x = tables[n], np.array([batch["v"][i] for i in at])
                 own = [batch["id"][i] for i in at]
-                known = h.sample_best(x, own, top)[1] if query else np.zeros((len(at), 1))
-                least = known.min(1) if known.shape[1] == top or not query else np.full(len(at), -np.inf)
+                least = h.least_scores(x, own, top) if query else np.zeros(len(at))
                 for name, v, low, f in zip(own, x, least.tolist(), h.project(x, query), strict=True):
                     for t in range(TABLES if f.shape[1] else 1):  # without functions one bucket holds all
                         ids = bucket_ids(probe_cells(f[t], h.probes) if query else np.floor(f[t])[None]).tolist()
                         out["bucket"] += ids
-                        for k, value in (("id", name), ("v", v.tobytes()), ("least", low), ("tab", n * TABLES + t)):
+                        out["least"] += [-np.inf] * min(FREE, len(ids)) + [low] * (len(ids) - FREE)
+                        for k, value in (("id", name), ("v", v.tobytes()), ("tab", n * TABLES + t)):
                             out[k] += [value] * len(ids)
             return out
 
@@ -164,17 +164,6 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
         kind = dict(rows.dtypes)[key]
         return map_columns(source.select(F.col(key).alias("id"), "v", "n"), run, f"id {kind}, v binary, least double, tab int, bucket long")
 
-    def from_sample(batch):
-        out = {"query_id": [], "id": [], "score": []}
-        for name, v, n in zip(batch["id"], batch["v"], batch["n"], strict=True):
-            h, q = tables[n], np.array(v)
-            best, score = h.sample_best(q[None], [name], top)
-            best = best[0][score[0] > -np.inf]
-            out["query_id"] += [name] * len(best)
-            out["id"] += h.sample_ids[best].tolist()
-            out["score"] += exact_scores(h.sample[best], q).tolist()
-        return out
-
     index, visits = materialize(place(False).drop("least"), "lsh-index"), materialize(place(True), "lsh-visits")
     # Blocks: a bucket of many rows or visitors is dealt to several, and every pair of blocks meets.
     n_rows = index.groupBy("tab", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("xs"))
@@ -211,8 +200,7 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "emb
     kind = dict(rows.dtypes)[key]
     parts = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v", "least").groupBy(*keys))
     found = parts.applyInPandas(compare, f"query_id {kind}, id {kind}, score double")
-    sampled = map_columns(rows.filter(is_query).select(F.col(key).alias("id"), "v", "n"), from_sample, f"query_id {kind}, id {kind}, score double")
-    once = found.unionByName(sampled).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return once.withColumn("rank", order).filter(F.col("rank") <= top).select("query_id", "rank", F.col("id").alias(key), "score")
 
