@@ -231,14 +231,27 @@ def signature(hashes: np.ndarray) -> bytes:
     return low.astype("<u2").tobytes()
 
 
-def _bucket_links(batches, least: int):
-    """Links in a stream of rows (group, fp, sig) sorted by group: star links of the pairs that share ``least`` values."""
+def _shingle_set(hashes: np.ndarray) -> bytes:
+    """The distinct hashes in order, 8 bytes each."""
+    return np.unique(np.ascontiguousarray(hashes).view("<u8")).tobytes()
+
+
+def _bucket_pairs(batches, least: int, similarity: float, first_only: bool):
+    """Pairs in a stream of rows (grp, side, node, label, size, sig) sorted by grp: those that share ``least`` values.
+
+    Rows of one label, of one side (but for side 0) or of sizes too unlike for the similarity are no pair.  With
+    ``first_only`` a row is paired with the first such row of its group only.
+    """
     import pyarrow as pa
 
     rest: tuple | None = None
 
-    def compare(group, fp, sig):
-        pairs = []
+    def compare(group, side, node, label, size, sig):
+        def open_pairs(i, j):
+            apart = (label[i] != label[j]) & ((side[i] == 0) | (side[i] != side[j]))
+            return apart & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+
+        pairs = [np.zeros((0, 2), dtype=np.int64)]
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         sizes = np.diff(np.append(starts, len(group)))
         small = np.repeat(sizes <= 16, sizes)
@@ -246,25 +259,28 @@ def _bucket_links(batches, least: int):
             i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
             if not len(i):
                 break
+            i = i[open_pairs(i, i + d)]
             for cut in range(0, len(i), 4096):
                 j = i[cut : cut + 4096]
                 pairs.append(np.stack([j, j + d], 1)[(sig[j] == sig[j + d]).sum(1) >= least])
-        for s, m in zip(starts, sizes, strict=True):
-            if m > 16:
-                own = sig[s : s + m]
-                for k in range(m - 1):
-                    near = np.flatnonzero((own[k + 1 :] == own[k]).sum(1) >= least)
-                    pairs.append(np.stack([np.full(len(near), s + k), s + k + 1 + near], 1))
-        points, at = np.unique(fp, return_inverse=True)
-        found = points[star(at[np.concatenate(pairs)] if pairs else np.zeros((0, 2), dtype=np.int64), len(points))]
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["src", "dst"])
+        for s, m in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
+            loose = np.arange(s, s + m)
+            for k in range(s, s + m - 1):
+                j = loose[np.searchsorted(loose, k, "right") :]
+                j = j[open_pairs(k, j)]
+                near = j[(sig[j] == sig[k]).sum(1) >= least]
+                pairs.append(np.stack([np.full(len(near), k), near], 1))
+                if first_only and len(near):
+                    loose = np.setdiff1d(loose, near, assume_unique=True)
+        found = np.concatenate(pairs)
+        if first_only:
+            found = found[np.lexsort((found[:, 0], found[:, 1]))]
+            found = found[np.append(True, found[1:, 1] != found[:-1, 1])[: len(found)]]
+        ends = np.sort(node[found], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
     for batch in batches:
-        part = (
-            batch.column(0).to_numpy(zero_copy_only=False),
-            batch.column(1).to_numpy(zero_copy_only=False),
-            np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u2").reshape(-1, PERMUTATIONS),
-        )
+        part = (*(batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)), np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype="<u2").reshape(-1, PERMUTATIONS))
         if rest is not None:
             part = tuple(np.concatenate([a, b]) for a, b in zip(rest, part, strict=True))
         last = np.searchsorted(part[0], part[0][-1]) if len(part[0]) else 0  # the last group may go on
@@ -275,30 +291,72 @@ def _bucket_links(batches, least: int):
         yield compare(*rest)
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (src, dst) between nodes (fp, sig) whose shingle sets are similar, found by min-hash bands.
+def _pairs(rows: DataFrame, nodes: DataFrame, least: int, similarity: float, first_only: bool) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of the rows (grp, side, node, label) that are compared group by group."""
+    full = rows.join(nodes.select("node", "size", "sig"), "node").select("grp", "side", "node", "label", "size", "sig")
+    dealt = full.repartition("grp").sortWithinPartitions("grp", "node")
+    return dealt.mapInArrow(lambda batches: _bucket_pairs(batches, least, similarity, first_only), "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst): the pairs (a, b) whose sets (node, set) of shingle hashes have a Jaccard similarity that reaches the limit."""
+
+    def alike(rows):
+        out = {"src": [], "dst": []}
+        for a, b, x, y in zip(rows["a"], rows["b"], rows["x"], rows["y"], strict=True):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = np.concatenate([x, y])
+            both.sort(kind="stable")
+            shared = int((both[1:] == both[:-1]).sum())
+            if shared >= similarity * (len(both) - shared) - 1e-9:
+                out["src"].append(a)
+                out["dst"].append(b)
+        return out
 
-    A bucket's rows are dealt to chunks by a hash that differs for each band, and compared within chunks: members of a
-    large group meet hundreds of others in each band.  A pair counts if its signatures agree in the share that texts of
-    the given similarity reach but for one standard error.
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    return map_columns(left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"), alike, "src long, dst long")
+
+
+def similar_links(nodes: DataFrame, links: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """``links`` and those between nodes (node, size, sig) whose shingle sets are similar, all compared exactly.
+
+    Min-hash bands and the estimate by signatures only propose pairs; ``sets_of`` gives the shingle sets of a table of
+    nodes, and a pair counts if their Jaccard similarity reaches the limit.  First each row of a bucket is paired with
+    one row that seems similar, which joins most of each dense group by few pairs.  Then all pairs of a bucket whose
+    ends are not in one group yet are proposed, if their estimate is not four standard errors below the limit.
     """
-    least = int(np.ceil(PERMUTATIONS * (similarity - (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5)))
+    error = (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5
+    sure, least = int(np.ceil(PERMUTATIONS * similarity)), int(np.floor(PERMUTATIONS * (similarity - 4 * error)))
 
     def bands(rows):
         import xxhash
 
-        out = {"bucket": [], "fp": []}
-        for fp, sig in zip(rows["fp"], rows["sig"], strict=True):
+        out = {"bucket": [], "node": []}
+        for node, sig in zip(rows["node"], rows["sig"], strict=True):
             out["bucket"] += [xxhash.xxh64_intdigest(sig[b * 2 * BAND_ROWS : (b + 1) * 2 * BAND_ROWS], b) - (1 << 63) for b in range(PERMUTATIONS // BAND_ROWS)]
-            out["fp"] += [fp] * (PERMUTATIONS // BAND_ROWS)
+            out["node"] += [node] * (PERMUTATIONS // BAND_ROWS)
         return out
 
-    keys = materialize(map_columns(nodes.select("fp", "sig"), bands, "bucket long, fp long"), "bands")
+    def exact(pairs, name):
+        pairs = materialize(pairs, f"{name}-pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return materialize(verified(pairs, materialize(sets_of(ends), f"{name}-sets"), similarity), f"{name}-links")
+
+    keys = materialize(map_columns(nodes.select("node", "sig"), bands, "bucket long, node long"), "bands")
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    chunk = F.pmod(F.xxhash64("fp", "bucket"), F.ceil(F.col("n") / CHUNK))
-    rows = keys.join(shared, "bucket").select(F.xxhash64("bucket", chunk).alias("grp"), "fp").join(nodes.select("fp", "sig"), "fp")
-    dealt = rows.select("grp", "fp", "sig").repartition("grp").sortWithinPartitions("grp", "fp")
-    return dealt.mapInArrow(lambda batches: _bucket_links(batches, least), "src long, dst long").distinct()
+    chunk = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / CHUNK))
+    rows = keys.join(shared, "bucket").select(F.xxhash64("bucket", chunk).alias("grp"), F.lit(0).alias("side"), "node", F.col("node").alias("label"))
+    links = links.union(exact(_pairs(rows, nodes, sure, similarity, True), "first"))
+    grouped = groups(links, "first-groups").select("node", "label")
+    return links.union(exact(_pairs(open_rows(keys, grouped), nodes, least, similarity, False), "rest"))
+
+
+def open_rows(keys: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Rows (grp, side, node, label) of the buckets whose nodes are not in one group yet."""
+    named = keys.join(grouped, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    split = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    chunk = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / CHUNK))
+    return named.join(split, "bucket").select(F.xxhash64("bucket", chunk).alias("grp"), F.lit(0).alias("side"), "node", "label")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 2, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,19 +368,41 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 2, similar
     """
 
     def run(rows):
-        out = {"id": rows["id"], "fp": [], "sig": []}
+        import xxhash
+
+        out = {"id": rows["id"], "fp": [], "node": [], "size": [], "sig": []}
         for t in rows["__text"]:
             hashes = shingle_hashes(t, shingle)
+            held = _shingle_set(hashes)
             out["fp"].append(fingerprint(hashes))
+            out["node"].append(xxhash.xxh64_intdigest(held) - (1 << 63))
+            out["size"].append(len(held) // 8)
             out["sig"].append(signature(hashes) if len(hashes) else bytes(2 * PERMUTATIONS))
         return out
 
     named = docs.filter(F.col(key).isNotNull())
     source = named.select(F.col(key).alias("id"), text_or_empty(text).alias("__text"))
-    prints = materialize(map_columns(source, run, f"id {dict(docs.dtypes)[key]}, fp long, sig binary"), "signatures")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("sig").alias("sig")), "signature-nodes")
-    links = materialize(link_nodes(nodes, radius).union(similar_links(nodes, similarity)), "near-links")
-    found = components(prints.select("id", "fp"), links, "id")
+    prints = materialize(map_columns(source, run, f"id {dict(docs.dtypes)[key]}, fp long, node long, size long, sig binary"), "signatures")
+    nodes = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("sig").alias("sig")), "signature-nodes")
+
+    def sets_of(wanted):
+        def run(rows):
+            import xxhash
+
+            held = [_shingle_set(shingle_hashes(t, shingle)) for t in rows["__text"]]
+            return {"node": [xxhash.xxh64_intdigest(h) - (1 << 63) for h in held], "set": held}
+
+        ids = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
+        return map_columns(source.join(ids, "id", "left_semi"), run, "node long, set binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    # Nodes of one fingerprint hang on the smallest of them; the tree links those of fingerprints near each other.
+    of_print = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "print-heads")
+    near = link_nodes(of_print.select("fp"), radius)
+    heads = near.join(of_print.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(of_print.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
+    equal = nodes.join(of_print, "fp").filter("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
+    tree = materialize(heads.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(equal), "print-links")
+    links = materialize(similar_links(nodes, tree, sets_of, similarity), "near-links")
+    found = components(prints.select("id", F.col("node").alias("fp")), links, "id")
     first = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(key)).distinct()
     once = named.join(first, key, "left_semi").dropDuplicates([key])
     return once.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
