@@ -322,7 +322,7 @@ def similar_links(nodes: DataFrame, links: DataFrame, sets_of, similarity: float
 
     Min-hash bands and the estimate by signatures only propose pairs; ``sets_of`` gives the shingle sets of a table of
     nodes, and a pair counts if their Jaccard similarity reaches the limit.  First each row of a bucket is paired with
-    one row that seems similar, which joins most of each dense group by few pairs.  Then all pairs of a bucket whose
+    one row of its chunk that seems similar, which joins most of each dense group by few pairs.  Then all pairs of a bucket whose
     ends are not in one group yet are proposed, if their estimate is not four standard errors below the limit.
     """
     error = (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5
@@ -352,11 +352,29 @@ def similar_links(nodes: DataFrame, links: DataFrame, sets_of, similarity: float
 
 
 def open_rows(keys: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Rows (grp, side, node, label) of the buckets whose nodes are not in one group yet."""
+    """Rows (grp, side, node, label) of the buckets whose nodes are not in one group yet, so that all open pairs meet.
+
+    A bucket of more than ``CHUNK`` rows is cut in blocks, and each pair of blocks is a group with two sides.  Rows of
+    its largest label have blocks of their own, which are compared with the other blocks only.
+    """
     named = keys.join(grouped, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    split = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    chunk = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / CHUNK))
-    return named.join(split, "bucket").select(F.xxhash64("bucket", chunk).alias("grp"), F.lit(0).alias("side"), "node", "label")
+    counts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    split = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    rows = named.join(split.filter("labels > 1").drop("labels"), "bucket")
+    blocks = lambda n: F.ceil(n / F.lit(CHUNK)).cast("long")
+    is_main, main_blocks, other_blocks = F.col("label") == F.col("main"), blocks(F.col("most")), blocks(F.col("n") - F.col("most"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.when(is_main, main_blocks).otherwise(other_blocks)))
+    own = F.col("own")
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    side = lambda j: F.when(j == own, 0).when(j > own, 1).otherwise(2)
+    with_main = F.transform(numbers(other_blocks), lambda j: place("main", own, j, F.lit(1)))
+    with_others = F.concat(
+        F.transform(numbers(main_blocks), lambda i: place("main", i, own, F.lit(2))),
+        F.transform(numbers(other_blocks), lambda j: place("other", F.least(own, j), F.greatest(own, j), side(j))),
+    )
+    places = F.when(F.col("n") <= CHUNK, F.array(place("all", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0)))).when(is_main, with_main).otherwise(with_others)
+    return rows.withColumn("p", F.explode(places)).select(F.xxhash64("bucket", "p.kind", "p.i", "p.j").alias("grp"), "p.side", "node", "label")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 2, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -33,3 +33,27 @@ def test_family_on_one_template_is_compared_exactly(spark):
     want, _ = one_of_each(docs.collect())
     assert len(want) > 40
     assert {r.doc_id for r in simhash.keep_one_of_each(docs).collect()} == want
+
+
+def test_pairs_that_meet_in_hot_buckets_only(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 2)
+    rng = random.Random(9)
+    passage = words(rng, 200)
+    texts = [" ".join(passage + words(rng, n)) for n in [20] * 2 + [60] * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b = shingles(texts[0]), shingles(texts[1])
+    assert len(a & b) / len(a | b) >= 0.8
+    assert {r.doc_id for r in simhash.keep_one_of_each(docs).collect()} == set(range(302)) - {1}
+
+
+def test_all_open_pairs_of_a_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 3)
+    keys = spark.createDataFrame([(b, n) for b, size in ((1, 20), (2, 3), (3, 12)) for n in range(size)], "bucket long, node long")
+    grouped = spark.createDataFrame([(n, 0 if n < 12 else n) for n in range(14)], "node long, label long")
+    by_group, met = {}, set()
+    for r in simhash.open_rows(keys, grouped).collect():
+        by_group.setdefault(r.grp, []).append(r)
+    for rows in by_group.values():
+        assert len(rows) < 20
+        met |= {tuple(sorted((x.node, y.node))) for x, y in combinations(rows, 2) if x.label != y.label and (x.side == 0 or x.side != y.side)}
+    assert met == {(x, y) for x, y in combinations(range(20), 2) if y >= 12}  # nodes under 12 are one group already
