@@ -1,10 +1,15 @@
 """Lexical retrieval packing: documents that share rare tokens are put in the same training sequences.
 
-Each task tokenises its documents and collects them in shards of bounded size.  A shard has a BM25 inverted index over
-token ids; a seed document's strongest terms query it, and the best unused neighbours fill the seed's window of 4096
-tokens greedily.  The document that no longer fits whole is cut, and its rest is the seed of the next window, so windows
-have no padding.  What is left at a shard's end is cut into sequences whose lengths are powers of two, which need none.
-There is no shuffle: neighbours come from the shard, and no group of equal or similar texts can gather in one task.
+1. Documents are tokenised once.  In how many documents each token is and their mean length are counted over all of them.
+2. Documents are ordered by their strongest tokens (BM25 weights of the whole table), wherever their rows lie, and cut in
+   shards of bounded size at documents of a sample: those with the same strong tokens come to the same shard.  An id hash
+   is last in the order, so that no group of equal or similar texts can gather in one task.
+3. A shard has an inverted index over token ids; a seed document's strongest tokens query it, and the best unused neighbours
+   fill the seed's window of 4096 tokens greedily, down the ranking until it is full or none shares a token.
+
+The document that no longer fits whole is cut, and its rest is the seed of the next window, so windows have no padding.
+What is left at a shard's end is cut into sequences whose lengths are powers of two, which need none.  Neither files nor
+splits change the result.
 
 Null and empty texts hold only the end id.  Rows with equal ids or equal texts are packed once each.
 """
@@ -15,19 +20,20 @@ import os
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 
 import numpy as np
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaward.llm.common import arrow_schema, read_table, text_or_empty
+from seaward.llm.common import arrow_schema, map_columns, materialize, read_table, text_or_empty
 
 WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1_500_000
-QUERY_TERMS = 24
-NEIGHBOURS = 64
+#: Strongest tokens that order documents; documents sampled for each cut between shards, and at least.
+QUERY_TERMS, NEIGHBOURS = 24, 64
+KEY_TERMS, SAMPLED, LEAST_SAMPLE = 3, 40, 8192
 K1, B = 1.2, 0.75
 #: Chunks whose ids a worker keeps; beyond it the store starts anew (a bound on memory, not on results).
 CACHE = 1_000_000
@@ -86,32 +92,58 @@ def _cut(chunk: str) -> tuple[str, ...]:
     return (chunk,)
 
 
+class Statistics:
+    """What BM25 needs to know of the whole table: number of documents, mean length, documents of each token."""
+
+    def __init__(self, documents: int, mean: float, df: np.ndarray):
+        self.mean = mean
+        self.df = df
+        self.idf = np.log(1 + (documents - df + 0.5) / (df + 0.5))
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Statistics:
+        held = [np.unique(d) for d in docs]
+        return cls(len(docs), sum(map(len, docs)) / len(docs), np.bincount(np.concatenate(held).astype(np.int64)))
+
+    def key(self, ids: np.ndarray) -> tuple[int, ...]:
+        """The strongest tokens among those that other documents have too, -1 for missing ones."""
+        terms, tf = np.unique(ids, return_counts=True)
+        weight = self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
+        weight[self.df[terms] < 2] = 0
+        if len(terms) > KEY_TERMS:
+            least = np.partition(weight, len(weight) - KEY_TERMS)[len(weight) - KEY_TERMS]
+            terms, weight = terms[weight >= least], weight[weight >= least]
+        best = np.lexsort((terms, -weight))[:KEY_TERMS]
+        return tuple([int(terms[i]) if weight[i] > 0 else -1 for i in best] + [-1] * (KEY_TERMS - len(best)))
+
+
 class Bm25:
-    """Inverted index of one shard: term -> documents and their BM25 weights."""
+    """Inverted index of one shard: term -> documents and their BM25 weights, by the statistics of the whole table."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], known: Statistics | None = None):
+        known = known or Statistics.of(docs)
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
         key = np.concatenate(docs).astype(np.int64) << 32 | np.repeat(np.arange(len(docs)), lengths)
         key, tf = np.unique(key, return_counts=True)
         terms, self.docs = key >> 32, (key & 0xFFFFFFFF).astype(np.int64)
-        self.terms, first, df = np.unique(terms, return_index=True, return_counts=True)
+        self.terms, first, held = np.unique(terms, return_index=True, return_counts=True)
         self.slices = np.append(first, len(terms))
-        self.idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / lengths.mean())
-        self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
+        norm = K1 * (1 - B + B * lengths / known.mean)
+        self.weight = known.idf[terms] * tf * (K1 + 1) / (tf + norm[self.docs])
         order = np.argsort(self.docs, kind="stable")
         self.by_doc, self.doc_at = order, np.searchsorted(self.docs[order], np.arange(len(docs) + 1))
-        self.row_term = np.repeat(np.arange(len(self.terms)), df)
+        self.row_term = np.repeat(np.arange(len(self.terms)), held)
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score (ties: the earlier one); all that share a query term can come."""
+        """Unused documents by falling score (ties: the earlier one)."""
         rows = self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]
         if len(rows) > QUERY_TERMS:
             rows = rows[np.argpartition(-self.weight[rows], QUERY_TERMS)[:QUERY_TERMS]]
         score = np.zeros(len(free))
         for t in self.row_term[rows]:
             s = slice(self.slices[t], self.slices[t + 1])
-            score[self.docs[s]] += self.weight[s]
+            if s.stop - s.start > 1:  # else the seed alone
+                score[self.docs[s]] += self.weight[s]
         score[~free] = 0
         found = np.flatnonzero(score)
         if len(found) > NEIGHBOURS:
@@ -119,9 +151,9 @@ class Bm25:
         return found[np.lexsort((found, -score[found]))]
 
 
-def packing_order(docs: list[np.ndarray], window: int = WINDOW) -> list[int]:
+def packing_order(docs: list[np.ndarray], window: int = WINDOW, known: Statistics | None = None) -> list[int]:
     """The order in which a shard's documents fill its windows."""
-    index, free = Bm25(docs), np.ones(len(docs), dtype=bool)
+    index, free = Bm25(docs, known), np.ones(len(docs), dtype=bool)
     seeds = iter(np.argsort([-len(d) for d in docs], kind="stable"))
     order: list[int] = []
     filled, seed = 0, None
@@ -159,44 +191,118 @@ def lay_out(lengths: list[int], window: int = WINDOW):
                 sequence, offset = sequence + 1, 0
 
 
+def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ids (little-endian, 32 bits each), their number n and a hash of key and text."""
+    kind, arrow = arrow_schema(f"`{key}` {dict(docs.dtypes)[key]}, ids binary, n long, h long")
+
+    def run(batches):
+        import pyarrow as pa
+
+        tokens, end = Tokens.get(path), END_ID.to_bytes(4, "little")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [raw + end for raw in tokens.encode(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow[0].type), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), part.column(2)], schema=arrow)
+
+    body = text_or_empty(text)
+    rows = docs.select(F.col(key), body.alias("__text"), F.xxhash64(F.col(key).cast("string"), body).alias("__h")).mapInArrow(run, kind)
+    return materialize(rows, "tokens")
+
+
+def statistics(tokens: DataFrame) -> tuple[Statistics, int, int]:
+    """Statistics of all documents, their number and their tokens; the driver gets one row for each token id."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        df = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                held = np.unique(np.frombuffer(raw, "<u4"))
+                if held[-1] >= len(df):
+                    df = np.append(df, np.zeros(int(held[-1]) * 2 + 1 - len(df), dtype=np.int64))
+                df[held] += 1
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df[terms])], names=["term", "df"])
+
+    total = tokens.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    rows = tokens.select("ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    df = np.zeros(1 + max([END_ID, *(r.term for r in rows)]), dtype=np.int64)
+    for r in rows:
+        df[r.term] = r.df
+    return Statistics(total.docs, total.n / max(total.docs, 1), df), total.docs, total.n
+
+
+def shard_cuts(tokens: DataFrame, known: Statistics, documents: int, total: int) -> list[tuple]:
+    """Places (key, hash) in the order of all documents at which shards begin, from documents sampled by their hash."""
+    shards = -(-total // SHARD_TOKENS)
+    if shards < 2:
+        return []
+    share = min(1.0, max(LEAST_SAMPLE, SAMPLED * shards) / documents)
+    fields = [f"k{i}" for i in range(KEY_TERMS)]
+
+    def keys(rows):
+        found = [known.key(np.frombuffer(raw, "<u4")) for raw in rows["ids"]]
+        return {f: [k[i] for k in found] for i, f in enumerate(fields)} | {"h": rows["h"], "n": rows["n"]}
+
+    # Other bits of the hash than those that order documents.
+    few = tokens.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    sample = map_columns(few.select("ids", "h", "n"), keys, ", ".join(f"{f} long" for f in [*fields, "h", "n"])).collect()
+    sample = sorted(tuple(r) for r in sample)
+    if not sample:
+        return []
+    filled = np.cumsum([r[-1] for r in sample])
+    at = np.searchsorted(filled, filled[-1] * np.arange(1, shards) / shards)
+    return sorted({sample[i][:-1] for i in at})
+
+
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents; with ``keep_ids`` each piece's ids are a column too."""
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    id_type = dict(docs.dtypes)[key]
+    schema = f"`{key}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     schema += ", ids array<long>" * keep_ids
     kind, arrow = arrow_schema(schema)
+    tokens = tokenised(docs, path, key, text)
+    known, documents, total = statistics(tokens)
+    cuts = shard_cuts(tokens, known, documents, total)
+    placed_kind, placed_arrow = arrow_schema(f"`{key}` {id_type}, ids binary, h long, shard long")
+
+    def place(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, hashes = batch.column(1), batch.column(2)
+            shard = [bisect_right(cuts, (*known.key(np.frombuffer(raw, "<u4")), h)) if cuts else 0 for raw, h in zip(ids.to_pylist(), hashes.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, hashes, pa.array(shard, pa.int64())], schema=placed_arrow)
 
     def run(batches):
         import pyarrow as pa
 
-        tokens, base, shard, size = Tokens.get(path), TaskContext.get().partitionId() << 32, [], 0
+        shard, now = [], None
 
         def flush():
-            nonlocal base
-            order = packing_order([ids for _, ids in shard], window)
-            rows, last = [], -1
+            order = packing_order([ids for _, ids in shard], window, known)
+            rows = []
             for d, start, take, sequence, offset in lay_out([len(shard[i][1]) for i in order], window):
                 name, ids = shard[order[d]]
                 part = ids[start : start + take]
-                row = (name, start, take, zlib.crc32(part.tobytes()), len(ids), base + sequence, offset)
+                row = (name, start, take, zlib.crc32(part.tobytes()), len(ids), (now << 32) + sequence, offset)
                 rows.append((*row, part.tolist()) if keep_ids else row)
-                last = sequence
-            base += last + 1
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for name, raw in zip(part.column(0).to_pylist(), tokens.encode(part.column(1).to_pylist()), strict=True):
-                    ids = np.frombuffer(raw + END_ID.to_bytes(4, "little"), dtype="<u4")
-                    shard.append((name, ids))
-                    size += len(ids)
-                    if size >= SHARD_TOKENS:
+            for name, raw, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if number != now:
+                    if shard:
                         yield flush()
-                        shard, size = [], 0
+                    shard, now = [], number
+                shard.append((name, np.frombuffer(raw, "<u4")))
         if shard:
             yield flush()
 
-    return docs.select(F.col(key), text_or_empty(text).alias("__text")).mapInArrow(run, kind)
+    placed = tokens.select(key, "ids", "h").mapInArrow(place, placed_kind)
+    return placed.repartition("shard").sortWithinPartitions("shard", "h", "ids").mapInArrow(run, kind)
 
 
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

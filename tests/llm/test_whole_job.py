@@ -3,9 +3,13 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pytest
 from test_pipeline import one_of_each, shingles
 
-from seaward.llm import simhash
+from seaward.llm import packing, simhash
+
+P = pytest.importorskip("public_tokenizers")
 
 
 def words(rng, n):
@@ -57,3 +61,23 @@ def test_all_open_pairs_of_a_bucket_meet(spark, monkeypatch):
         assert len(rows) < 20
         met |= {tuple(sorted((x.node, y.node))) for x, y in combinations(rows, 2) if x.label != y.label and (x.side == 0 or x.side != y.side)}
     assert met == {(x, y) for x, y in combinations(range(20), 2) if y >= 12}  # nodes under 12 are one group already
+
+
+# --- retrieval packing
+
+
+def test_related_documents_meet_wherever_their_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 20_000)
+    rng = random.Random(4)
+    common = ["river", "stone", "green", "house", "light", "paper", "table", "water", "small", "north"]
+    topics = ["zebra", "piano", "volcano", "oxygen", "chess", "diamond", "penguin", "algebra"] * 10
+    texts = [" ".join(rng.choice([*common, topic, topic]) for _ in range(800)) for topic in topics]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    path = P.path("word_bpe_49k.json")
+    runs = [sorted(tuple(r) for r in packing.pack(docs.repartition(n), path).collect()) for n in (1, 16)]
+    assert runs[0] == runs[1]
+    held = {}
+    for r in runs[0]:
+        held.setdefault(r[5], []).append(r[0] % 8)
+    whole = [w for w in held.values() if len(w) > 3]
+    assert sum(max(w.count(t) for t in w) for w in whole) > 0.7 * sum(map(len, whole))
