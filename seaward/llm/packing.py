@@ -4,7 +4,7 @@
 2. Documents are ordered by their strongest tokens (BM25 weights of the whole table), wherever their rows lie, and cut in
    shards of bounded size at documents of a sample: those with the same strong tokens come to the same shard.  An id hash
    is last in the order, so that no group of equal or similar texts can gather in one task.
-3. A shard has an inverted index over token ids; a seed document's strongest tokens query it, and the best unused neighbours
+3. A shard has an inverted index over token ids; all tokens of a seed document query it, and the best unused neighbours
    fill the seed's window of 4096 tokens greedily, down the ranking until it is full or none shares a token.
 
 The document that no longer fits whole is cut, and its rest is the seed of the next window, so windows have no padding.
@@ -32,7 +32,6 @@ WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1_500_000
 #: Strongest tokens that order documents; documents sampled for each cut between shards, and at least.
-QUERY_TERMS, NEIGHBOURS = 24, 64
 KEY_TERMS, SAMPLED, LEAST_SAMPLE = 3, 40, 8192
 K1, B = 1.2, 0.75
 #: Chunks whose ids a worker keeps; beyond it the store starts anew (a bound on memory, not on results).
@@ -135,19 +134,14 @@ class Bm25:
         self.row_term = np.repeat(np.arange(len(self.terms)), held)
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score (ties: the earlier one)."""
-        rows = self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]
-        if len(rows) > QUERY_TERMS:
-            rows = rows[np.argpartition(-self.weight[rows], QUERY_TERMS)[:QUERY_TERMS]]
+        """All unused documents that share a token, by falling score (ties: the earlier one)."""
         score = np.zeros(len(free))
-        for t in self.row_term[rows]:
+        for t in self.row_term[self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]]:
             s = slice(self.slices[t], self.slices[t + 1])
             if s.stop - s.start > 1:  # else the seed alone
                 score[self.docs[s]] += self.weight[s]
         score[~free] = 0
         found = np.flatnonzero(score)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
         return found[np.lexsort((found, -score[found]))]
 
 

@@ -66,6 +66,16 @@ def test_all_open_pairs_of_a_bucket_meet(spark, monkeypatch):
 # --- retrieval packing
 
 
+def test_window_is_filled_down_the_ranking():
+    """A seed's true neighbours come before strangers, also by its weaker tokens and beyond the best 64."""
+    rng = np.random.default_rng(3)
+    seed = np.arange(100, 200)
+    near = [np.concatenate([[100 + i % 100], rng.integers(1000, 1500, 5)]) for i in range(200)]
+    far = [rng.integers(2000, 2500, 50) for _ in range(30)]
+    order = packing.packing_order([seed, *near, *far], 1200)
+    assert set(order[:184]) <= set(range(201))  # 100 tokens and 184 documents of 6 tokens fill the window
+
+
 def test_related_documents_meet_wherever_their_rows_lie(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_TOKENS", 20_000)
     rng = random.Random(4)
