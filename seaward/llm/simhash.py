@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaward.llm.common import map_columns, materialize, read_table, text_or_empty
+from seaward.llm.common import free_names, map_columns, materialize, read_table, text_or_empty
 
 SEED = 42
 #: Nodes a shard has about; nodes in the sample that the top of the tree is built from.
@@ -382,13 +382,14 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 2, similar
 
     Two texts are linked if their SimHash fingerprints differ in at most ``radius`` bits, or if their sets of word
     shingles are ``similarity`` alike or more: 64 fingerprint bits cannot tell that (at a similarity of 0.8 fingerprints
-    differ in 9 bits on average, and some in 18).  Rows without an id are kept as they are.
+    differ in 9 bits on average, and some in 18).  A row is its id and text: rows of one id with different texts are
+    judged each by its own text.  Rows without an id are kept as they are.
     """
 
     def run(rows):
         import xxhash
 
-        out = {"id": rows["id"], "fp": [], "node": [], "size": [], "sig": []}
+        out = {"id": rows["id"], "text_hash": rows["text_hash"], "fp": [], "node": [], "size": [], "sig": []}
         for t in rows["__text"]:
             hashes = shingle_hashes(t, shingle)
             held = _shingle_set(hashes)
@@ -399,8 +400,9 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 2, similar
         return out
 
     named = docs.filter(F.col(key).isNotNull())
-    source = named.select(F.col(key).alias("id"), text_or_empty(text).alias("__text"))
-    prints = materialize(map_columns(source, run, f"id {dict(docs.dtypes)[key]}, fp long, node long, size long, sig binary"), "signatures")
+    (mark,), text_hash = free_names(docs, "text_hash"), F.xxhash64(text_or_empty(text))
+    source = named.select(F.col(key).alias("id"), text_hash.alias("text_hash"), text_or_empty(text).alias("__text"))
+    prints = materialize(map_columns(source, run, f"id {dict(docs.dtypes)[key]}, text_hash long, fp long, node long, size long, sig binary"), "signatures")
     nodes = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("sig").alias("sig")), "signature-nodes")
 
     def sets_of(wanted):
@@ -420,9 +422,10 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 2, similar
     equal = nodes.join(of_print, "fp").filter("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
     tree = materialize(heads.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(equal), "print-links")
     links = materialize(similar_links(nodes, tree, sets_of, similarity), "near-links")
-    found = components(prints.select("id", F.col("node").alias("fp")), links, "id")
-    first = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(key)).distinct()
-    once = named.join(first, key, "left_semi").dropDuplicates([key])
+    labels = groups(links).select("node", "label")
+    rows = prints.select("id", "text_hash", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = rows.groupBy("label").agg(F.min(F.struct("id", "text_hash")).alias("row")).select(F.col("row.id").alias(key), F.col("row.text_hash").alias(mark))
+    once = named.withColumn(mark, text_hash).join(first, [key, mark], "left_semi").dropDuplicates([key, mark])
     return once.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
 
 

@@ -63,6 +63,14 @@ def test_all_open_pairs_of_a_bucket_meet(spark, monkeypatch):
     assert met == {(x, y) for x, y in combinations(range(20), 2) if y >= 12}  # nodes under 12 are one group already
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    rng = random.Random(2)
+    one, other, third = (" ".join(words(rng, 50)) for _ in range(3))
+    rows = [(1, one), (1, other), (2, one), (3, third), (3, third)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one_of_each(docs).collect())) == sorted([(1, one), (1, other), (3, third)])
+
+
 # --- retrieval packing
 
 
