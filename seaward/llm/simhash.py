@@ -236,94 +236,144 @@ def _shingle_set(hashes: np.ndarray) -> bytes:
     return np.unique(np.ascontiguousarray(hashes).view("<u8")).tobytes()
 
 
-def _bucket_pairs(batches, least: int, similarity: float, first_only: bool):
-    """Pairs in a stream of rows (grp, side, node, label, size, sig) sorted by grp: those that share ``least`` values.
-
-    Rows of one label, of one side (but for side 0) or of sizes too unlike for the similarity are no pair.  With
-    ``first_only`` a row is paired with the first such row of its group only.
-    """
-    import pyarrow as pa
-
+def _whole_groups(batches, decode):
+    """Tuples of arrays of a stream of rows sorted by the first of them, cut between its values."""
     rest: tuple | None = None
-
-    def compare(group, side, node, label, size, sig):
-        def open_pairs(i, j):
-            apart = (label[i] != label[j]) & ((side[i] == 0) | (side[i] != side[j]))
-            return apart & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
-
-        pairs = [np.zeros((0, 2), dtype=np.int64)]
-        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        sizes = np.diff(np.append(starts, len(group)))
-        small = np.repeat(sizes <= 16, sizes)
-        for d in range(1, 16):
-            i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
-            if not len(i):
-                break
-            i = i[open_pairs(i, i + d)]
-            for cut in range(0, len(i), 4096):
-                j = i[cut : cut + 4096]
-                pairs.append(np.stack([j, j + d], 1)[(sig[j] == sig[j + d]).sum(1) >= least])
-        for s, m in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
-            loose = np.arange(s, s + m)
-            for k in range(s, s + m - 1):
-                j = loose[np.searchsorted(loose, k, "right") :]
-                j = j[open_pairs(k, j)]
-                near = j[(sig[j] == sig[k]).sum(1) >= least]
-                pairs.append(np.stack([np.full(len(near), k), near], 1))
-                if first_only and len(near):
-                    loose = np.setdiff1d(loose, near, assume_unique=True)
-        found = np.concatenate(pairs)
-        if first_only:
-            found = found[np.lexsort((found[:, 0], found[:, 1]))]
-            found = found[np.append(True, found[1:, 1] != found[:-1, 1])[: len(found)]]
-        ends = np.sort(node[found], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
-
     for batch in batches:
-        part = (*(batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)), np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype="<u2").reshape(-1, PERMUTATIONS))
+        part = decode(batch)
         if rest is not None:
             part = tuple(np.concatenate([a, b]) for a, b in zip(rest, part, strict=True))
         last = np.searchsorted(part[0], part[0][-1]) if len(part[0]) else 0  # the last group may go on
         rest = tuple(x[last:] for x in part)
         if last:
-            yield compare(*(x[:last] for x in part))
+            yield tuple(x[:last] for x in part)
     if rest is not None and len(rest[0]):
-        yield compare(*rest)
+        yield rest
 
 
-def _pairs(rows: DataFrame, nodes: DataFrame, least: int, similarity: float, first_only: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of the rows (grp, side, node, label) that are compared group by group."""
-    full = rows.join(nodes.select("node", "size", "sig"), "node").select("grp", "side", "node", "label", "size", "sig")
-    dealt = full.repartition("grp").sortWithinPartitions("grp", "node")
-    return dealt.mapInArrow(lambda batches: _bucket_pairs(batches, least, similarity, first_only), "a long, b long").distinct()
+def _decoded(batch):
+    """(grp, side, node, label, size, sig and what else there is) of a batch as arrays."""
+    first = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+    sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype="<u2").reshape(-1, PERMUTATIONS)
+    return (*first, sig, *(batch.column(c).to_numpy(zero_copy_only=False) for c in range(6, batch.num_columns)))
+
+
+def _near_pairs(group, side, label, size, sig, least: int, similarity: float, first_only: bool):
+    """Arrays of pairs of positions, group by group, whose signatures share ``least`` values.
+
+    Rows of one label, of one side (but for side 0) or of sizes too unlike for the similarity are no pair.  With
+    ``first_only`` a row that was paired is not looked at again in its group.
+    """
+
+    def open_pairs(i, j):
+        apart = (label[i] != label[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        return apart & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    sizes = np.diff(np.append(starts, len(group)))
+    small = np.repeat(sizes <= 16, sizes)
+    for d in range(1, 16):
+        i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
+        if not len(i):
+            break
+        i = i[open_pairs(i, i + d)]
+        for cut in range(0, len(i), 4096):
+            j = i[cut : cut + 4096]
+            yield np.stack([j, j + d], 1)[(sig[j] == sig[j + d]).sum(1) >= least]
+    for s, m in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
+        loose, pairs = np.arange(s, s + m), []
+        for k in range(s, s + m - 1):
+            j = loose[np.searchsorted(loose, k, "right") :]
+            j = j[open_pairs(k, j)]
+            near = j[(sig[j] == sig[k]).sum(1) >= least]
+            pairs.append(np.stack([np.full(len(near), k), near], 1))
+            if first_only and len(near):
+                loose = np.setdiff1d(loose, near, assume_unique=True)
+        yield np.concatenate(pairs)
+
+
+def _first_pairs(batches, least: int, similarity: float):
+    """Pairs (a, b), a < b: each row of a group with one row before it that seems similar."""
+    import pyarrow as pa
+
+    for group, side, node, label, size, sig in _whole_groups(batches, _decoded):
+        found = np.concatenate([np.zeros((0, 2), dtype=np.int64), *_near_pairs(group, side, label, size, sig, least, similarity, True)])
+        found = found[np.lexsort((found[:, 0], found[:, 1]))]
+        found = found[np.append(True, found[1:, 1] != found[:-1, 1])[: len(found)]]
+        ends = np.sort(node[found], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted, distinct) have a Jaccard similarity that reaches the limit."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared) - 1e-9
+
+
+def _links_between_labels(batches, least: int, similarity: float):
+    """Links (src, dst) in a stream of rows that carry their band and shingle set too, compared exactly where they meet.
+
+    Only links that join two labels not joined before in the same batch are returned, likeliest pairs first, so there are
+    fewer links than rows however many pairs are similar or nearly so.  A pair that shares several bands is compared in the
+    first of them only.
+    """
+    import pyarrow as pa
+
+    bands = PERMUTATIONS // BAND_ROWS
+    for group, side, node, label, size, sig, band, held in _whole_groups(batches, _decoded):
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        labels, sets, links = label.tolist(), {}, []
+        for pairs in _near_pairs(group, side, label, size, sig, least, similarity, False):
+            keep, score = np.zeros(len(pairs), dtype=bool), np.zeros(len(pairs), dtype=np.int64)
+            for cut in range(0, len(pairs), 4096):
+                i, j = pairs[cut : cut + 4096].T
+                same = (sig[i] == sig[j]).reshape(-1, bands, BAND_ROWS)
+                score[cut : cut + 4096] = same.sum((1, 2))
+                keep[cut : cut + 4096] = same.all(2).argmax(1) == band[i]
+            pairs, score = pairs[keep], score[keep]
+            sets.clear()
+            for i, j in pairs[np.argsort(-score, kind="stable")].tolist():
+                a, b = root(labels[i]), root(labels[j])
+                if a == b:
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = np.frombuffer(held[k], "<u8")
+                if _alike(sets[i], sets[j], similarity):
+                    parent[max(a, b)] = min(a, b)
+                    links.append((i, j))
+        ends = node[np.array(links, dtype=np.int64).reshape(-1, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["src", "dst"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (src, dst): the pairs (a, b) whose sets (node, set) of shingle hashes have a Jaccard similarity that reaches the limit."""
+    """Links (src, dst): the pairs (a, b) whose sets (node, set) of shingle hashes are similar."""
 
     def alike(rows):
-        out = {"src": [], "dst": []}
-        for a, b, x, y in zip(rows["a"], rows["b"], rows["x"], rows["y"], strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            if shared >= similarity * (len(both) - shared) - 1e-9:
-                out["src"].append(a)
-                out["dst"].append(b)
-        return out
+        near = [_alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), similarity) for x, y in zip(rows["x"], rows["y"], strict=True)]
+        return {to: [n for n, ok in zip(rows[c], near, strict=True) if ok] for to, c in (("src", "a"), ("dst", "b"))}
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     return map_columns(left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"), alike, "src long, dst long")
 
 
-def similar_links(nodes: DataFrame, links: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """``links`` and those between nodes (node, size, sig) whose shingle sets are similar, all compared exactly.
+def similar_links(nodes: DataFrame, near: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """Links (src, dst) whose groups are those of all pairs of nodes (node, size, sig) with similar shingle sets.
 
-    Min-hash bands and the estimate by signatures only propose pairs; ``sets_of`` gives the shingle sets of a table of
-    nodes, and a pair counts if their Jaccard similarity reaches the limit.  First each row of a bucket is paired with
-    one row of its chunk that seems similar, which joins most of each dense group by few pairs.  Then all pairs of a bucket whose
-    ends are not in one group yet are proposed, if their estimate is not four standard errors below the limit.
+    ``near`` (a, b) are pairs proposed by fingerprints.  Min-hash bands and the estimate by signatures propose more, and a
+    pair counts if its sets, which ``sets_of`` gives for a table of nodes, reach the similarity exactly.  First each row of
+    a bucket is paired with one row of its chunk that seems similar, which joins most of each dense group by few pairs.
+    Then all rows of a bucket whose ends are not in one group yet meet, with their sets, and those whose estimate is not
+    four standard errors below the limit are compared where they meet.
     """
     error = (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5
     sure, least = int(np.ceil(PERMUTATIONS * similarity)), int(np.floor(PERMUTATIONS * (similarity - 4 * error)))
@@ -331,33 +381,37 @@ def similar_links(nodes: DataFrame, links: DataFrame, sets_of, similarity: float
     def bands(rows):
         import xxhash
 
-        out = {"bucket": [], "node": []}
+        out = {"bucket": [], "band": [], "node": []}
         for node, sig in zip(rows["node"], rows["sig"], strict=True):
             out["bucket"] += [xxhash.xxh64_intdigest(sig[b * 2 * BAND_ROWS : (b + 1) * 2 * BAND_ROWS], b) - (1 << 63) for b in range(PERMUTATIONS // BAND_ROWS)]
+            out["band"] += range(PERMUTATIONS // BAND_ROWS)
             out["node"] += [node] * (PERMUTATIONS // BAND_ROWS)
         return out
 
-    def exact(pairs, name):
-        pairs = materialize(pairs, f"{name}-pairs")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return materialize(verified(pairs, materialize(sets_of(ends), f"{name}-sets"), similarity), f"{name}-links")
-
-    keys = materialize(map_columns(nodes.select("node", "sig"), bands, "bucket long, node long"), "bands")
+    known = nodes.select("node", "size", "sig")
+    keys = materialize(map_columns(nodes.select("node", "sig"), bands, "bucket long, band int, node long"), "bands")
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     chunk = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / CHUNK))
     rows = keys.join(shared, "bucket").select(F.xxhash64("bucket", chunk).alias("grp"), F.lit(0).alias("side"), "node", F.col("node").alias("label"))
-    links = links.union(exact(_pairs(rows, nodes, sure, similarity, True), "first"))
-    grouped = groups(links, "first-groups").select("node", "label")
-    return links.union(exact(_pairs(open_rows(keys, grouped), nodes, least, similarity, False), "rest"))
+    dealt = rows.join(known, "node").select("grp", "side", "node", "label", "size", "sig").repartition("grp").sortWithinPartitions("grp", "node")
+    first = dealt.mapInArrow(lambda batches: _first_pairs(batches, sure, similarity), "a long, b long")
+    pairs = materialize(first.union(near.select("a", "b")).distinct(), "first-pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    links = materialize(verified(pairs, materialize(sets_of(ends), "first-sets"), similarity), "first-links")
+    opened = materialize(open_rows(keys, groups(links, "first-groups").select("node", "label")), "open-rows")
+    sets = materialize(sets_of(opened.select("node").distinct()), "open-sets")
+    full = opened.join(known.join(sets, "node"), "node").select("grp", "side", "node", "label", "size", "sig", "band", "set")
+    dealt = full.repartition("grp").sortWithinPartitions("grp", "node")
+    return links.union(materialize(dealt.mapInArrow(lambda batches: _links_between_labels(batches, least, similarity), "src long, dst long"), "rest-links"))
 
 
 def open_rows(keys: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Rows (grp, side, node, label) of the buckets whose nodes are not in one group yet, so that all open pairs meet.
+    """Rows (grp, side, node, label, band) of the buckets whose nodes are not in one group yet, so that all open pairs meet.
 
     A bucket of more than ``CHUNK`` rows is cut in blocks, and each pair of blocks is a group with two sides.  Rows of
     its largest label have blocks of their own, which are compared with the other blocks only.
     """
-    named = keys.join(grouped, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    named = keys.join(grouped, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
     counts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     split = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     rows = named.join(split.filter("labels > 1").drop("labels"), "bucket")
@@ -374,16 +428,21 @@ def open_rows(keys: DataFrame, grouped: DataFrame) -> DataFrame:
         F.transform(numbers(other_blocks), lambda j: place("other", F.least(own, j), F.greatest(own, j), side(j))),
     )
     places = F.when(F.col("n") <= CHUNK, F.array(place("all", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0)))).when(is_main, with_main).otherwise(with_others)
-    return rows.withColumn("p", F.explode(places)).select(F.xxhash64("bucket", "p.kind", "p.i", "p.j").alias("grp"), "p.side", "node", "label")
+    return rows.withColumn("p", F.explode(places)).select(F.xxhash64("bucket", "p.kind", "p.i", "p.j").alias("grp"), "p.side", "node", "label", "band")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 2, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row (the smallest id) of each group of near copies; all columns unchanged.
 
-    Two texts are linked if their SimHash fingerprints differ in at most ``radius`` bits, or if their sets of word
-    shingles are ``similarity`` alike or more: 64 fingerprint bits cannot tell that (at a similarity of 0.8 fingerprints
-    differ in 9 bits on average, and some in 18).  A row is its id and text: rows of one id with different texts are
-    judged each by its own text.  Rows without an id are kept as they are.
+    Two texts are linked if their sets of word shingles have a Jaccard similarity of ``similarity`` or more, and groups
+    follow links.  Pairs come from SimHash fingerprints within ``radius`` bits (the vantage-point tree) and, as 64
+    fingerprint bits cannot tell such texts (at a similarity of 0.8 fingerprints differ in 9 bits on average, and some in
+    18), from min-hash bands; each is compared exactly.
+
+    A row is its id and text: rows of one id with different texts are judged each by its own text, and rows equal in both
+    are one.  Null and empty texts, and those without a word, are copies of each other.  Texts of any length are taken
+    whole.  Ties: the smallest id, then the smaller text hash.  Rows without an id are kept as they are, and so are the
+    columns, whatever their names.  An empty table gives an empty table.
     """
 
     def run(rows):
@@ -415,12 +474,12 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 2, similar
         ids = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
         return map_columns(source.join(ids, "id", "left_semi"), run, "node long, set binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    # Nodes of one fingerprint hang on the smallest of them; the tree links those of fingerprints near each other.
+    # Nodes of one fingerprint are paired with the smallest of them; the tree pairs those of fingerprints near each other.
     of_print = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "print-heads")
     near = link_nodes(of_print.select("fp"), radius)
     heads = near.join(of_print.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(of_print.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
-    equal = nodes.join(of_print, "fp").filter("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
-    tree = materialize(heads.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(equal), "print-links")
+    equal = nodes.join(of_print, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    tree = materialize(heads.select("a", "b").union(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "print-links")
     links = materialize(similar_links(nodes, tree, sets_of, similarity), "near-links")
     labels = groups(links).select("node", "label")
     rows = prints.select("id", "text_hash", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

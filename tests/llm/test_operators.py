@@ -297,6 +297,48 @@ def test_one_of_each_near_copy(spark):
     assert kept == list(range(0, 48, 4))
 
 
+def test_near_copies_like_brute_force(spark, monkeypatch):
+    """Families around the limit, in buckets larger than a chunk, and texts that share a passage or a fingerprint only."""
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(4):
+        base = [rng.choice(words) for _ in range(150)]
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(rng.randint(0, 7)):
+                copy[rng.randrange(150)] = rng.choice(words)
+            texts.append(" ".join(copy))
+    passage = " ".join(rng.choice(words) for _ in range(90))
+    for _ in range(60):
+        tail = " ".join(rng.choice(words) for _ in range(rng.randint(5, 60)))
+        texts += [f"{passage} {tail}", f"{passage} {passage} {passage} {tail}"]
+    for _ in range(8):  # P and Q share a fingerprint, Q and C are alike
+        line = " ".join(rng.choice(words) for _ in range(10)) + " "
+        one, two = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(2))
+        texts += [line * 60 + one, line * 60 + two, line + two]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)})
+    label = list(range(len(texts)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one_of_each(docs).collect()}
+    assert kept == {find(x) for x in label} and 30 < len(kept) < 300
+
+
 # --- licences and secrets
 
 
