@@ -5,21 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaward.operators import grid, land, qc, series
+from seaward.operators import grid, land, qc, series, small
 from seaward.sources import ctf, tables
 
 
-def qc_job(spark: SparkSession, source: str, target: str, thresholds: qc.Thresholds = qc.Thresholds(), edges: DataFrame | None = None) -> None:
-    """Reads radial files, writes their flagged vectors, the cleaned ones and the catalogue as Parquet."""
-    parsed = ctf.read_files(spark, source, "*.ruv")
-    files = series.valid_files(ctf.file_table(parsed))
-    radials = ctf.read_radials(parsed)
+def qc_job(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    thresholds: qc.Thresholds = qc.Thresholds(),
+    edges: DataFrame | None = None,
+    limits: DataFrame | None = None,
+    tests=qc.USUAL,
+    include: list[str] | None = None,
+    export: bool = False,
+) -> None:
+    """Reads radial files and writes their flagged vectors, the cleaned ones and the catalogue as Parquet.
+
+    Files are parsed once, to a Parquet table that all else reads.  ``limits``, ``tests`` and ``include`` are those of
+    ``qc.qc_radials``; with ``export`` the flagged files are written as text too.
+    """
+    ctf.read_files(spark, source, "*.ruv").write.mode("overwrite").parquet(f"{target}/parsed")
+    parsed = spark.read.parquet(f"{target}/parsed")
+    files, radials = series.valid_files(ctf.file_table(parsed)), ctf.read_radials(parsed)
     if edges is not None:
         radials = land.mask_land(radials, edges)
     mask = F.col("on_land") if edges is not None else None
-    tables.write_table(qc.qc_radials(radials, files, thresholds, mask), f"{target}/flagged")
-    tables.write_table(qc.clean_copy(spark.read.parquet(f"{target}/flagged").drop("date")), f"{target}/clean")
-    files.withColumn("provenance", qc.provenance(thresholds)).write.mode("overwrite").parquet(f"{target}/files")
+    tables.write_table(qc.qc_radials(radials, files, thresholds, mask, limits=limits, tests=tests, include=include), f"{target}/flagged")
+    flagged = spark.read.parquet(f"{target}/flagged").drop("date")
+    tables.write_table(qc.clean_copy(flagged), f"{target}/clean")
+    valid = flagged.groupBy("path").agg(F.count_if(~F.col("VFLG").eqNullSafe(F.lit(128))).alias("n_valid"))
+    known, limited = files.join(valid, "path", "left"), thresholds
+    if limits is not None:
+        known, limited, added = qc.with_limits(known, limits, thresholds)
+        if "include" in limits.columns:
+            known, added = known.join(small(limits.select("site", F.col("include").alias("__include"))), "site", "left"), [*added, "__include"]
+            include = F.coalesce("__include", F.lit(None).cast("array<string>") if include is None else F.array(*(F.lit(x) for x in include)))
+    known = known.withColumn("provenance", qc.provenance(limited, tests, include, F.coalesce("n_valid", F.lit(0))))
+    known.drop("n_valid", *(added if limits is not None else [])).write.mode("overwrite").parquet(f"{target}/files")
+    if export:
+        ran = spark.read.parquet(f"{target}/files").select("path", "provenance")
+        flags = tuple(c for c in qc.TESTS if c in tests)
+        tables.write_text(ctf.export_files(flagged, parsed.join(ran, "path"), ctf.RADIAL_COLUMNS, (*flags, "PRIM"), "provenance"), f"{target}/text")
+
+
+def gridded_job(spark: SparkSession, source: str, target: str, variables=("VELU", "VELV", "VELO"), ranges=None, bearings=None, dense: bool = False) -> None:
+    """Reads radial files, puts the vectors of valid ones on their grids, and writes cells and coverage."""
+    ctf.read_files(spark, source, "*.ruv").write.mode("overwrite").parquet(f"{target}/parsed")
+    parsed = spark.read.parquet(f"{target}/parsed")
+    files = series.valid_files(ctf.file_table(parsed))
+    radials = ctf.read_radials(parsed).join(files.select("path"), "path", "left_semi")
+    tables.write_table(grid.grid_files(radials, files, list(variables), ranges, bearings, dense), f"{target}/gridded")
+    series.coverage(radials).write.mode("overwrite").parquet(f"{target}/coverage")
 
 
 def series_job(cells: DataFrame, points: DataFrame, origins: DataFrame, target: str, start=None, end=None, variables=("VELO",)) -> None:
@@ -37,6 +74,7 @@ def concat_job(spark: SparkSession, sources: list[str], target: str, prefix: str
 
 
 def wave_job(spark: SparkSession, source: str, target: str, low: float = 0.2, high: float = 5.0) -> None:
-    """Reads wave files, leaves out heights beyond the limits, and writes the rest."""
-    waves = series.flag_wave_heights(ctf.read_waves(ctf.read_files(spark, source, "*.wls")), low, high, remove=True)
+    """Reads wave files, leaves out heights beyond the limits, and writes the rest with the receiver's position."""
+    parsed = ctf.read_files(spark, source, "*.wls")
+    waves = series.flag_wave_heights(series.wave_positions(ctf.read_waves(parsed), ctf.file_table(parsed)), low, high, remove=True)
     tables.write_table(series.rename_published(waves, series.WAVE_NAMES), target)

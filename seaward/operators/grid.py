@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seaward.functions.geodesy import inverse, reckon
+from seaward.functions.headers import header, numbers, receiver
+from seaward.operators import FILE_KEY, small
 
 
 def range_axis(low: Column, high: Column, step: Column) -> Column:
@@ -27,19 +29,89 @@ def nearest_index(value: Column, first: Column, step: Column, size: Column) -> C
     return F.least(F.greatest(F.ceil((value - first) / step - 0.5), F.lit(0)), size - 1).cast("int")
 
 
-def snap(df: DataFrame, axes: DataFrame, variables: list[str], keys=("prefix", "site", "time")) -> DataFrame:
+def nearest_value(value: Column, axis: Column) -> Column:
+    """The axis value (of any array) nearest to a value; of two as near the lower one."""
+    return F.array_min(F.transform(axis, lambda a: F.struct(F.abs(a - value).alias("d"), a.alias("a"))))["a"]
+
+
+def snap(df: DataFrame, axes: DataFrame, variables: list[str], keys=FILE_KEY) -> DataFrame:
     """One row per file and grid cell, with the last vector's variables.
 
     ``axes`` has, for each site, range_first, range_step, n_ranges, bearing_first, bearing_step, n_bearings.
     """
-    joined = df.join(axes, "site")
+    joined = df.join(small(axes), "site")
     i = nearest_index(F.col("RNGE"), F.col("range_first"), F.col("range_step"), F.col("n_ranges"))
     j = nearest_index(F.col("BEAR"), F.col("bearing_first"), F.col("bearing_step"), F.col("n_bearings"))
     placed = joined.withColumns({"range": F.round(F.col("range_first") + i * F.col("range_step"), 4), "bearing": F.col("bearing_first") + j * F.col("bearing_step")})
+    return _last(placed, variables, keys)
+
+
+def _last(placed: DataFrame, variables: list[str], keys) -> DataFrame:
     last = F.max_by(F.struct(*variables), "row_no")
     return placed.filter("RNGE IS NOT NULL AND BEAR IS NOT NULL").groupBy(*keys, "range", "bearing").agg(last.alias("v")).select(*keys, "range", "bearing", "v.*")
 
 
+def file_axes(radials: DataFrame, files: DataFrame, ranges=None, bearings=None) -> DataFrame:
+    """Each file's key with its axes (arrays ``ranges`` and ``bearings``), their steps, and the receiver's position.
+
+    ``ranges``: a list is the axis itself; a pair (low, high), or without one the file's own least and largest range, is
+    filled in steps of the header's range resolution.  ``bearings``: a list is the axis itself; a pair (start, step), or
+    the header's antenna bearing and angular resolution, or steps of one degree from 0 where the header lacks one of them,
+    goes round the circle.  Steps are null for lists.
+    """
+    meta = F.col("meta")
+    number = lambda k: F.get(numbers(header(meta, k)), F.lit(0)).try_cast("double")
+    literal = lambda values: F.array(*(F.lit(float(v)) for v in values))
+    lon, lat = receiver(meta)
+    info = files.groupBy(*FILE_KEY).agg(F.max_by(F.struct(number("RangeResolutionKMeters").alias("r"), number("AntennaBearing").alias("a"), number("AngularResolution").alias("s"), lon.alias("origin_lon"), lat.alias("origin_lat")), "path").alias("i")).select(*FILE_KEY, "i.*")
+    if isinstance(ranges, list):
+        info = info.withColumns({"ranges": F.array_sort(literal(ranges)), "range_step": F.lit(None).cast("double")})
+    else:
+        if ranges is None:
+            own = radials.groupBy(*FILE_KEY).agg(F.min("RNGE").alias("low"), F.max("RNGE").alias("high"))
+            info = info.join(own, list(FILE_KEY))
+        low, high = (F.col("low"), F.col("high")) if ranges is None else (F.lit(float(v)) for v in ranges)
+        info = info.withColumns({"ranges": range_axis(low, high, F.col("r")), "range_step": F.col("r")})
+    if isinstance(bearings, list):
+        return info.withColumns({"bearings": F.array_sort(literal(bearings)), "bearing_step": F.lit(None).cast("double")})
+    known = F.col("a").isNotNull() & F.col("s").isNotNull()
+    start, step = (F.when(known, F.col("a")).otherwise(0.0), F.when(known, F.col("s")).otherwise(1.0)) if bearings is None else (F.lit(float(v)) for v in bearings)
+    # Steps that do not divide the circle leave a gap, so that such an axis is not uniform.
+    return info.withColumns({"bearings": bearing_axis(start, step), "bearing_step": F.when(F.pmod(F.lit(360.0), step) == 0, step)})
+
+
+def grid_files(radials: DataFrame, files: DataFrame, variables: list[str], ranges=None, bearings=None, dense: bool = False) -> DataFrame:
+    """Vectors on their files' grids: key, range, bearing, lon, lat (4 places) and the variables, ``kind`` gridded.
+
+    Axes are those of ``file_axes``; of vectors in one cell the last one counts, and those beyond an axis go to its edge.
+    With ``dense`` every cell of each file's grid is a row.  Vectors join their file's axes by the file's key, and positions
+    are worked out once for each receiver, range and bearing.
+    """
+    axes = file_axes(radials, files, ranges, bearings)
+
+    def on(value, axis, step):
+        index = nearest_index(value, F.get(axis, F.lit(0)), step, F.size(axis))
+        return F.when(step.isNotNull(), F.get(axis, index)).otherwise(nearest_value(value, axis))
+
+    origin = ["origin_lon", "origin_lat"]
+    joined = radials.join(axes.select(*FILE_KEY, "ranges", "bearings", "range_step", "bearing_step"), list(FILE_KEY)).filter(F.size("ranges") > 0)
+    placed = joined.withColumns({"range": on(F.col("RNGE"), F.col("ranges"), F.col("range_step")), "bearing": on(F.col("BEAR"), F.col("bearings"), F.col("bearing_step"))})
+    cells = _last(placed, variables, FILE_KEY)
+    if dense:
+        whole = axes.withColumn("range", F.explode("ranges")).withColumn("bearing", F.explode("bearings")).select(*FILE_KEY, "range", "bearing", *origin)
+        cells = whole.join(cells, [*FILE_KEY, "range", "bearing"], "left")
+    else:
+        cells = cells.join(axes.select(*FILE_KEY, *origin), list(FILE_KEY))
+    once = cells.select(*origin, "range", "bearing").distinct().withColumn("p", reckon(F.col("origin_lon"), F.col("origin_lat"), F.col("bearing"), F.col("range")))
+    at = once.select(*origin, "range", "bearing", F.round("p.lon", 4).alias("lon"), F.round("p.lat", 4).alias("lat"))
+    return cells.join(at, [*origin, "range", "bearing"], "left").select(*FILE_KEY, "range", "bearing", "lon", "lat", *variables, F.lit("gridded").alias("kind"))
+
+
+def tabular(radials: DataFrame) -> DataFrame:
+    """Vectors as they are, with positions named lon and lat, ``kind`` tabular."""
+    return radials.withColumnsRenamed({"LOND": "lon", "LATD": "lat"}).withColumn("kind", F.lit("tabular"))
+
+
 def positions(cells: DataFrame, origins: DataFrame) -> DataFrame:
     """lon and lat (4 places) of each distinct site, range and bearing; ``origins``: site, origin_lon, origin_lat."""
     once = cells.select("site", "range", "bearing").distinct().join(origins, "site")
@@ -47,9 +119,9 @@ def positions(cells: DataFrame, origins: DataFrame) -> DataFrame:
     return at.select("site", "range", "bearing", F.round("p.lon", 4).alias("lon"), F.round("p.lat", 4).alias("lat"))
 
 
-def densify(cells: DataFrame, axes: DataFrame, variables: list[str], keys=("prefix", "site", "time")) -> DataFrame:
+def densify(cells: DataFrame, axes: DataFrame, variables: list[str], keys=FILE_KEY) -> DataFrame:
     """Every cell of each file's grid, null where there is no vector; ``axes``: site, ranges and bearings (arrays)."""
-    whole = cells.select(*keys).distinct().join(axes, "site").withColumn("range", F.explode("ranges")).withColumn("bearing", F.explode("bearings"))
+    whole = cells.select(*keys).distinct().join(small(axes), "site").withColumn("range", F.explode("ranges")).withColumn("bearing", F.explode("bearings"))
     return whole.select(*keys, "range", "bearing").join(cells.select(*keys, "range", "bearing", *variables), [*keys, "range", "bearing"], "left")
 
 

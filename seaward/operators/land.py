@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Size in degrees of the tiles that points find rings by, and of the latitude bands that they find a ring's edges by.
+TILE, BAND = 1.0, 0.1
+
 
 def on_land(places: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (LOND, LATD) with ``on_land``: inside a ring of the edges (ring_id, x1, y1, x2, y2).
 
-    A ring holds a point if a ray to the east crosses an odd number of its edges.  Edges are matched to latitude bands
-    of one degree, so only edges near a point's latitude are looked at.
+    A ring holds a point if a ray to the east crosses an odd number of its edges.  A point looks only at rings whose box
+    holds it (found by tiles that the box covers), and of those only at the edges in its narrow band of latitude.
     """
     points = places.select("LOND", "LATD").filter("LOND IS NOT NULL AND LATD IS NOT NULL").distinct()
-    low, high = F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2"))
-    banded = edges.withColumn("band", F.explode(F.sequence(low, high)))
-    met = points.withColumn("band", F.floor("LATD")).join(banded, "band")
+    low, high = (lambda f, a, b: f(F.least(a, b))), (lambda f, a, b: f(F.greatest(a, b)))
+    boxes = edges.groupBy("ring_id").agg(low(F.min, "x1", "x2").alias("left"), high(F.max, "x1", "x2").alias("right"), low(F.min, "y1", "y2").alias("bottom"), high(F.max, "y1", "y2").alias("top"))
+    tile = lambda c: F.floor(F.col(c) / F.lit(TILE))
+    tiles = boxes.withColumn("tx", F.explode(F.sequence(tile("left"), tile("right")))).withColumn("ty", F.explode(F.sequence(tile("bottom"), tile("top"))))
+    near = points.withColumns({"tx": tile("LOND"), "ty": tile("LATD")}).join(tiles, ["tx", "ty"])
+    near = near.filter(F.col("LOND").between(F.col("left"), F.col("right")) & F.col("LATD").between(F.col("bottom"), F.col("top")))
+    band = lambda c: F.floor(c / F.lit(BAND))
+    banded = edges.withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    met = near.select("LOND", "LATD", "ring_id", band(F.col("LATD")).alias("band")).join(banded, ["ring_id", "band"])
     spans = (F.col("y1") > F.col("LATD")) != (F.col("y2") > F.col("LATD"))
     cross = F.when(spans, F.col("LOND") < (F.col("x2") - F.col("x1")) * (F.col("LATD") - F.col("y1")) / F.when(spans, F.col("y2") - F.col("y1")) + F.col("x1"))
     rings = met.groupBy("LOND", "LATD", "ring_id").agg((F.count_if(cross) % 2 == 1).alias("inside"))

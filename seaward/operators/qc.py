@@ -1,41 +1,70 @@
 """Quality control of radial vectors (QARTOD tests): row, file, neighbour and history tests, and the primary flag.
 
 Flags: 1 pass, 2 not evaluated, 3 suspect, 4 fail.  Comparisons with null leave the default flag, so fill values and NaN
-must be null before (``sources.ctf``).  Equality with a threshold passes, unless said otherwise.
+must be null before (``sources.ctf``).  Equality with a threshold passes, unless said otherwise.  Limits are numbers, or
+columns where each site has its own (``with_limits``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seaward.functions.headers import header, numbers, receiver, whole_number
-from seaward.operators import FILE_KEY
+from seaward.operators import FILE_KEY, small
+
+#: The names of the tests in file headers, in the order in which they run.
+TESTS = {
+    "Q201": "qc_qartod_syntax",
+    "Q202": "qc_qartod_maximum_velocity",
+    "Q203": "qc_qartod_valid_location",
+    "Q204": "qc_qartod_radial_count",
+    "Q205": "qc_qartod_spatial_median",
+    "Q206": "qc_qartod_temporal_gradient",
+    "Q209": "qc_qartod_stuck_value",
+    "Q207": "qc_qartod_avg_radial_bearing",
+    "Q901": "qc_qartod_stuck_value_v2",
+}
+PRIMARY = "qc_qartod_primary_flag"
+#: Tests that run unless others are asked for.
+USUAL = tuple(t for t in TESTS if t != "Q901")
 
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Limits of the tests; one set for each site, or one for all."""
-
-    max_speed: float = 250.0
-    high_speed: float = 150.0
-    min_count: int = 150
-    low_count: int = 300
-    reference_bearing: float = 180.0
-    warning_threshold: float = 15.0
-    failure_threshold: float = 30.0
-    range_cell_limit: float = 2.1
-    angular_limit: float = 10.0
-    current_difference: float = 30.0
-    gradient_fail: float = 54.0
-    gradient_warn: float = 36.0
-    resolution: float = 0.01
-    n_steps: int = 3
+    """Limits of the tests: numbers for all sites, or columns of the table they are applied to."""
+
+    max_speed: float | Column = 250.0
+    high_speed: float | Column = 150.0
+    min_count: int | Column = 150
+    low_count: int | Column = 300
+    reference_bearing: float | Column = 180.0
+    warning_threshold: float | Column = 15.0
+    failure_threshold: float | Column = 30.0
+    range_cell_limit: float | Column = 2.1
+    angular_limit: float | Column = 10.0
+    current_difference: float | Column = 30.0
+    gradient_fail: float | Column = 54.0
+    gradient_warn: float | Column = 36.0
+    resolution: float | Column = 0.01
+    n_steps: int | Column = 3
+
+
+def with_limits(df: DataFrame, limits: DataFrame, t: Thresholds = Thresholds()) -> tuple[DataFrame, Thresholds, list[str]]:
+    """``df`` with the limits of each row's site, as thresholds, and the names of the columns added.
+
+    ``limits`` has a row for each site: ``site`` and any of the thresholds' names; a site, name or value that it lacks
+    takes the value of ``t``.  The table is joined by broadcast as long as it is short.
+    """
+    names = [f.name for f in fields(Thresholds) if f.name in limits.columns]
+    added = [f"__limit_{n}" for n in names]
+    held = limits.select("site", *(F.col(n).alias(a) for n, a in zip(names, added, strict=True)))
+    columns = {n: F.coalesce(a, F.lit(getattr(t, n))) for n, a in zip(names, added, strict=True)}
+    return df.join(small(held), "site", "left"), Thresholds(**{f.name: columns.get(f.name, getattr(t, f.name)) for f in fields(Thresholds)}), added
 
 
 def q202_maximum_velocity(t: Thresholds = Thresholds()) -> Column:
@@ -106,32 +135,45 @@ def _neighbour_median(bcell: np.ndarray, rcell: np.ndarray, velo: np.ndarray, ro
     return np.where(n > 0, (low + high) / 2, np.nan), last
 
 
-def q205_spatial_median(df: DataFrame, t: Thresholds = Thresholds(), step: str = "bearing_step") -> DataFrame:
-    """``df`` with Q205: 4 where a velocity is off the median of its neighbours by more than the limit.
+_IN_FILE = ("row_no", "BEAR", "SPRC", "VELO")
+
 
-    ``step`` is the column with the file's angular resolution.  Files without it, and vectors without bearing or range
-    cell, get 2.  The key is the file's, so the tests by file share this shuffle.
+def spatial_flags(df: DataFrame, t: Thresholds = Thresholds(), step: str = "bearing_step") -> DataFrame:
+    """Each file's key and its Q205 flags: an array in the order of ``row_no`` (then bearing, range cell, velocity).
+
+    Only what the test looks at goes through Python, and one row for each file comes back.
     """
-    rlim = int(round(t.range_cell_limit))
+    limits = {"__step": F.col(step), "__cells": F.lit(t.range_cell_limit), "__angle": F.lit(t.angular_limit), "__off": F.lit(t.current_difference)}
+    sent = df.select(*FILE_KEY, "row_no", *(F.col(c).cast("double").alias(c) for c in _IN_FILE[1:]), *(c.cast("double").alias(n) for n, c in limits.items()))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_no", kind="stable")
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(_IN_FILE), kind="stable", na_position="first")
         flag = np.full(len(pdf), 2)
         ok = (pdf["BEAR"].notna() & pdf["SPRC"].notna()).to_numpy()
-        size = pdf[step].iloc[0]
+        size, cells, angle, most = pdf[["__step", "__cells", "__angle", "__off"]].iloc[0]
         if ok.any() and pd.notna(size) and size > 0:
-            bear, rcell, velo = (pdf.loc[ok, c].to_numpy(dtype=float) for c in ("BEAR", "SPRC", "VELO"))
+            bear, rcell, velo = (pdf.loc[ok, c].to_numpy(dtype=float) for c in _IN_FILE[1:])
             rows, rcell = max(1, int(round(360 / size))), rcell.astype(int) - int(rcell.min())
             bcell = np.trunc((bear - np.mod(bear.min(), size)) / size - 1).astype(int) % rows
-            median, last = _neighbour_median(bcell, rcell, velo, rows, min(int(t.angular_limit / size), (rows - 1) // 2), rlim)
+            median, last = _neighbour_median(bcell, rcell, velo, rows, min(int(angle / size), (rows - 1) // 2), int(round(cells)))
             own = np.ones(len(bear), dtype=int)
-            off = np.abs(velo - median[bcell, rcell]) > t.current_difference
-            own[off & (last[bcell, rcell] == np.arange(len(bear)))] = 4
+            own[(np.abs(velo - median[bcell, rcell]) > most) & (last[bcell, rcell] == np.arange(len(bear)))] = 4
             flag[ok] = own
-        return pdf.assign(Q205=flag.astype("int32"))
+        return pd.DataFrame([(*key, flag.astype("int32"))], columns=[*FILE_KEY, "__flags"])
+
+    kinds = dict(df.dtypes)
+    return sent.groupBy(*FILE_KEY).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in FILE_KEY), "__flags array<int>"]))
+
+
+def q205_spatial_median(df: DataFrame, t: Thresholds = Thresholds(), step: str = "bearing_step") -> DataFrame:
+    """``df`` with Q205: 4 where a velocity is off the median of its neighbours by more than the limit.
 
-    schema = T.StructType([*df.schema.fields, T.StructField("Q205", T.IntegerType())])
-    return df.groupBy(*FILE_KEY).applyInPandas(run, schema)
+    ``step`` is the column with the file's angular resolution.  Files without it, vectors without bearing or range cell,
+    and vectors of files without a part of their key get 2.  The key is the file's, so the tests by file share this shuffle.
+    """
+    place = F.row_number().over(Window.partitionBy(*FILE_KEY).orderBy(*_IN_FILE))
+    ranked = df.withColumn("__place", place).join(spatial_flags(df, t, step), list(FILE_KEY), "left")
+    return ranked.withColumn("Q205", F.coalesce(F.get("__flags", F.col("__place") - 1), F.lit(2))).drop("__place", "__flags")
 
 
 def spatial_median_by_offsets(df: DataFrame, t: Thresholds = Thresholds(), bearings: int = 72) -> DataFrame:
@@ -152,25 +194,29 @@ def _hours_back(i: int) -> Column:
     return F.max_by(F.struct(F.col("VELO").alias("v")), F.col("row_no")).over(w)
 
 
-def temporal_tests(df: DataFrame, t: Thresholds = Thresholds(), tests=("Q206", "Q209", "Q901")) -> DataFrame:
+def temporal_tests(df: DataFrame, t: Thresholds = Thresholds(), tests=("Q206", "Q209", "Q901"), most_steps: int | None = None) -> DataFrame:
     """``df`` with the tests that look at earlier hours; all share one shuffle by place.
 
     Q206 temporal gradient: 2 without the row one hour earlier, 4 and 3 by the step's size.  Q209 stuck value: 2 if a
     velocity of the last ``n_steps`` hours is missing, 4 if no step between them reaches the resolution.  Q901: the same
-    with each earlier hour held against the current one; there an earlier null velocity passes.
+    with each earlier hour held against the current one; there an earlier null velocity passes.  Where ``n_steps`` is a
+    column, ``most_steps`` is its largest value.
     """
-    lags = range(1, max(2, t.n_steps))
+    most = most_steps if most_steps is not None else t.n_steps
+    steps = F.lit(t.n_steps)
+    lags = range(1, max(2, most))
     back = df.withColumns({f"__h{i}": _hours_back(i) for i in lags})
     step = F.abs(F.col("VELO") - F.col("__h1.v"))
     gradient = F.when(F.col("__h1").isNull(), 2).when(step > t.gradient_fail, 4).when((step > t.gradient_warn) & (step < t.gradient_fail), 3).otherwise(1)
-    series = [F.col("VELO"), *(F.col(f"__h{i}.v") for i in range(1, t.n_steps))]
-    missing, moved, apart, gone = F.lit(False), F.lit(False), F.lit(False), F.lit(False)
-    for a, b in zip(series, series[1:], strict=False):
-        missing = missing | a.isNull() | b.isNull()
-        moved = moved | (F.abs(a - b) >= t.resolution)
-    for i in range(1, t.n_steps):
-        gone = gone | F.col(f"__h{i}").isNull()
-        apart = apart | ~F.coalesce(F.abs(F.col("VELO") - F.col(f"__h{i}.v")) < t.resolution, F.lit(False))
+    missing, moved, apart, gone = F.col("VELO").isNull() & (steps > 1), F.lit(False), F.lit(False), F.lit(False)
+    before = F.col("VELO")
+    for i in range(1, most):
+        now, used = F.col(f"__h{i}.v"), steps > i
+        missing = missing | (used & now.isNull())
+        moved = moved | (used & (F.abs(before - now) >= t.resolution))
+        gone = gone | (used & F.col(f"__h{i}").isNull())
+        apart = apart | (used & ~F.coalesce(F.abs(F.col("VELO") - now) < t.resolution, F.lit(False)))
+        before = now
     found = {
         "Q206": gradient,
         "Q209": F.when(missing, 2).when(moved, 1).otherwise(4),
@@ -179,37 +225,85 @@ def temporal_tests(df: DataFrame, t: Thresholds = Thresholds(), tests=("Q206", "
     return back.withColumns({k: found[k] for k in tests}).drop(*(f"__h{i}" for i in lags))
 
 
-def primary_flag(tests: list[str]) -> Column:
-    """4 if any test has 4, else 3 if any has 3, else 1 (not evaluated counts as passed)."""
-    flags = F.array(*(F.col(c) for c in tests))
-    return F.when(F.exists(flags, lambda x: x == 4), 4).when(F.exists(flags, lambda x: x == 3), 3).otherwise(1)
+def primary_flag(tests: list[str], include: Column | list[str] | None = None) -> Column:
+    """4 if any test has 4, else 3 if any has 3, else 1 (not evaluated counts as passed).
 
+    ``include`` names the tests that count, by flag or by test name: a list, or a column of such lists (null: all).
+    """
+    chosen = F.array(*(F.lit(x) for x in include)).cast("array<string>") if isinstance(include, list | tuple) else include
+    one = lambda c: F.col(c) if chosen is None else F.when(chosen.isNull() | F.array_contains(chosen, c) | F.array_contains(chosen, TESTS.get(c, c)), F.col(c))
+    flags = F.array(*(one(c) for c in tests))
+    has = lambda v: F.exists(flags, lambda x: F.coalesce(x == v, F.lit(False)))
+    return F.when(has(4), 4).when(has(3), 3).otherwise(1)
 
-def provenance(t: Thresholds = Thresholds()) -> Column:
-    """Array of text: which tests ran with which limits, for a file's header."""
-    lines = {
-        "qc_qartod_syntax (Q201)": "",
-        "qc_qartod_maximum_velocity (Q202)": f"high={t.high_speed}, max={t.max_speed}",
-        "qc_qartod_valid_location (Q203)": "VFLG==128",
-        "qc_qartod_radial_count (Q204)": f"failure={t.min_count}, warning={t.low_count}",
-        "qc_qartod_spatial_median (Q205)": f"range_cells={t.range_cell_limit}, angle={t.angular_limit}, difference={t.current_difference}",
-        "qc_qartod_temporal_gradient (Q206)": f"warning={t.gradient_warn}, failure={t.gradient_fail}",
-        "qc_qartod_avg_radial_bearing (Q207)": f"reference={t.reference_bearing}, warning={t.warning_threshold}, failure={t.failure_threshold}",
-        "qc_qartod_stuck_value (Q209)": f"resolution={t.resolution}, N={t.n_steps}",
-    }
-    return F.array(*(F.lit(f"%QCTest: {k} - Thresholds=[{v}]") for k, v in lines.items()))
 
+def provenance(t: Thresholds = Thresholds(), tests=USUAL, include: Column | list[str] | None = None, valid: Column | None = None) -> Column:
+    """Array of text for a file's header: which tests ran with which limits, and what the primary flag is made of.
 
-def qc_radials(radials: DataFrame, files: DataFrame, t: Thresholds = Thresholds(), on_land: Column | None = None, extra: bool = False) -> DataFrame:
-    """All tests and PRIM.  Two shuffles of the vectors: by file for Q204, Q205 and Q207, by place for the hours before."""
+    ``valid`` is the file's number of valid vectors, if known.
+    """
+    limits = {
+        "Q201": {},
+        "Q202": {"high": t.high_speed, "max": t.max_speed},
+        "Q203": {"VFLG": 128},
+        "Q204": {"failure": t.min_count, "warning": t.low_count} | ({} if valid is None else {"valid": valid}),
+        "Q205": {"range_cells": t.range_cell_limit, "angle": t.angular_limit, "difference": t.current_difference},
+        "Q206": {"warning": t.gradient_warn, "failure": t.gradient_fail},
+        "Q207": {"reference": t.reference_bearing, "warning": t.warning_threshold, "failure": t.failure_threshold},
+        "Q209": {"resolution": t.resolution, "N": t.n_steps},
+        "Q901": {"resolution": t.resolution, "N": t.n_steps},
+    }
+    inside = lambda v: F.concat_ws(", ", *(F.concat(F.lit(f"{n}="), F.lit(x).cast("string")) for n, x in v.items()))
+    line = lambda c: F.concat(F.lit(f"%QCTest: {TESTS[c]} ({c}) - Thresholds=["), inside(limits[c]), F.lit("]"))
+    ran = [c for c in TESTS if c in tests]
+    chosen = F.array(*(F.lit(x) for x in include)).cast("array<string>") if isinstance(include, list | tuple) else include
+    counted = F.array(*(F.lit(c) for c in ran))
+    if chosen is not None:
+        kept = [F.when(F.array_contains(chosen, c) | F.array_contains(chosen, TESTS[c]), F.lit(c)) for c in ran]
+        counted = F.when(chosen.isNull(), counted).otherwise(F.filter(F.array(*kept), lambda x: x.isNotNull()))
+    return F.array(*(line(c) for c in ran), F.concat(F.lit(f"%QCTest: {PRIMARY} (PRIM) - highest of "), F.array_join(counted, ", "), F.lit(" (2 ignored)")))
+
+
+def qc_radials(
+    radials: DataFrame,
+    files: DataFrame,
+    t: Thresholds = Thresholds(),
+    on_land: Column | None = None,
+    extra: bool = False,
+    limits: DataFrame | None = None,
+    tests=None,
+    include: list[str] | None = None,
+) -> DataFrame:
+    """The tests and PRIM.  Two shuffles of the vectors: by file for Q204, Q205 and Q207, by place for the hours before.
+
+    ``limits`` gives sites their own thresholds (see ``with_limits``) and, in a column ``include`` (array of text), the
+    tests that count for the primary flag; ``include`` is that list for the sites without one.  ``tests`` are those that run
+    (``USUAL``, with ``extra`` Q901 too).
+    """
+    order = [c for c in TESTS if c in (tests or (*USUAL, *(["Q901"] if extra else [])))]
     step = F.get(numbers(header(F.col("meta"), "AngularResolution")), F.lit(0)).try_cast("double")
     info = files.groupBy(*FILE_KEY).agg(F.max(syntax_flag()).alias("Q201"), F.max(step).alias("bearing_step"))
-    rows = radials.withColumns({"Q202": q202_maximum_velocity(t), "Q203": q203_valid_location(radials.columns, on_land)})
-    by_file = rows.join(info, list(FILE_KEY), "left").withColumns({"Q204": q204_radial_count(t), "Q207": q207_average_bearing(t)})
-    tests = ["Q206", "Q209", *(["Q901"] if extra else [])]
-    done = temporal_tests(q205_spatial_median(by_file, t), t, tests)
-    order = ["Q201", "Q202", "Q203", "Q204", "Q205", "Q206", "Q209", "Q207", *(["Q901"] if extra else [])]
-    return done.withColumn("Q201", F.coalesce("Q201", F.lit(4))).withColumn("PRIM", primary_flag(order)).drop("bearing_step")
+    rows, added, most, chosen = radials, [], t.n_steps, include
+    if limits is not None:
+        rows, t, added = with_limits(radials, limits, t)
+        if "n_steps" in limits.columns:
+            most = max(most, limits.agg(F.max("n_steps")).first()[0] or 0)  # one number
+        if "include" in limits.columns:
+            given = limits.select("site", F.col("include").alias("__include"))
+            rows, added = rows.join(small(given), "site", "left"), [*added, "__include"]
+            default = F.lit(None).cast("array<string>") if include is None else F.array(*(F.lit(x) for x in include))
+            chosen = F.coalesce("__include", default)
+    by_row = {"Q202": q202_maximum_velocity(t), "Q203": q203_valid_location(radials.columns, on_land)}
+    rows = rows.withColumns({c: by_row[c] for c in by_row if c in order}).join(info, list(FILE_KEY), "left")
+    rows = rows.withColumn("Q201", F.coalesce("Q201", F.lit(4)))
+    by_file = {"Q204": q204_radial_count(t), "Q207": q207_average_bearing(t)}
+    rows = rows.withColumns({c: by_file[c] for c in by_file if c in order})
+    if "Q205" in order:
+        rows = q205_spatial_median(rows, t)
+    if back := [c for c in ("Q206", "Q209", "Q901") if c in order]:
+        rows = temporal_tests(rows, t, back, most)
+    flags = rows.withColumn("PRIM", primary_flag(order, chosen))
+    return flags.drop("bearing_step", *added, *([] if "Q201" in order else ["Q201"]))
 
 
 def clean_copy(flagged: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seaward.functions.headers import receiver
+from seaward.operators import small
+
 #: The names that columns have in published data sets.
 RADIAL_NAMES = {
     "VELU": "u", "VELV": "v", "VFLG": "vector_flag", "ESPC": "spatial_quality", "ETMP": "temporal_quality", "MAXV": "velocity_max",
@@ -21,15 +24,34 @@ WAVE_NAMES = {
     "DIST": "distance_from_origin", "RCLL": "range_cell_result", "WDPT": "doppler_points_used", "MTHD": "wave_method", "FLAG": "vector_flag",
     "PMWH": "maximum_observable_wave_height", "WHNM": "num_valid_source_wave_vectors", "WHSD": "standard_deviation_of_wave_heights",
 }
-UNITS = {"VELO": "cm s-1", "VELU": "cm s-1", "VELV": "cm s-1", "RNGE": "km", "BEAR": "degrees", "LOND": "degrees_east", "LATD": "degrees_north", "MWHT": "m", "MWPD": "s"}
+#: Units and long names of the published data sets.
+UNITS = {
+    "VELO": "cm s-1", "VELU": "cm s-1", "VELV": "cm s-1", "ESPC": "cm s-1", "ETMP": "cm s-1", "MAXV": "cm s-1", "MINV": "cm s-1", "EACC": "cm s-1",
+    "XDST": "km", "YDST": "km", "RNGE": "km", "BEAR": "degrees", "HEAD": "degrees", "LOND": "degrees_east", "LATD": "degrees_north",
+    "MWHT": "m", "PMWH": "m", "WHSD": "m", "MWPD": "s", "WAVB": "degrees", "WNDB": "degrees", "DIST": "km",
+}
+LONG_NAMES = {
+    "LOND": "Longitude", "LATD": "Latitude", "VELU": "Eastward Surface Current (cm/s)", "VELV": "Northward Surface Current (cm/s)",
+    "BEAR": "Bearing from origin (away from instrument)", "RNGE": "Range from origin (away from instrument)", "VFLG": "Vector Flag Masks",
+    "ESPC": "Spatial Quality of radial sea water velocity", "ETMP": "Temporal Quality of radial sea water velocity",
+    "MAXV": "Maximum Velocity of sea water (away from instrument)", "MINV": "Minimum Velocity of sea water (away from instrument)",
+    "ERSC": "Spatial count of sea water velocity (away from instrument)", "ERTC": "Temporal count of sea water velocity (away from instrument)",
+    "XDST": "Eastward distance from instrument", "YDST": "Northward distance from instrument",
+    "SPRC": "Cross Spectra Range Cell  of sea water velocity (away from instrument)", "EACC": "Accuracy",
+    "Q201": "Syntax (QARTOD Test 201) Flag Masks", "Q202": "Maximum Velocity Threshold (QARTOD Test 202) Flag Masks",
+    "Q203": "Valid Location (QARTOD Test 203) Flag Masks", "Q204": "Radial Count (QARTOD Test 204) Flag Masks",
+    "Q205": "Spatial Median Filter (QARTOD Test 205) Flag Masks", "Q206": "Temporal Gradient (QARTOD Test 206) Flag Masks",
+    "Q207": "Average Radial Bearing (QARTOD Test 207) Flag Masks", "Q209": "Radial Stuck Value (QARTOD Test 209) Flag Masks",
+    "PRIM": "Primary Flag Masks", "QCOP": "Operator Flag Masks",
+}
 
 
 def rename_published(df: DataFrame, names: dict[str, str] = RADIAL_NAMES) -> DataFrame:
-    """Published names, with units and flag meanings as column metadata."""
+    """Published names, with units, long names and flag meanings as column metadata."""
     flags = {"flag_values": [1, 2, 3, 4, 9], "flag_meanings": "pass not_evaluated suspect fail missing"}
 
     def one(c: str):
-        meta = ({"units": UNITS[c]} if c in UNITS else {}) | (flags if names.get(c, "").endswith("_qc") else {})
+        meta = ({"units": UNITS[c]} if c in UNITS else {}) | ({"long_name": LONG_NAMES[c]} if c in LONG_NAMES else {}) | (flags if names.get(c, "").endswith("_qc") else {})
         return F.col(c).alias(names.get(c, c), metadata=meta) if meta else F.col(c).alias(names.get(c, c))
 
     return df.select(*(one(c) for c in df.columns))
@@ -86,3 +108,9 @@ def flag_wave_heights(df: DataFrame, low: float = 0.2, high: float = 5.0, remove
     """Heights within limits (inclusive) pass, others and nulls fail or are removed."""
     good = F.col("MWHT").between(low, high)
     return df.filter(good) if remove else df.withColumn("mwht_flag", F.when(good, 1).otherwise(4))
+
+
+def wave_positions(waves: DataFrame, files: DataFrame) -> DataFrame:
+    """``waves`` with lon and lat: the receiver of their file, by the header of ``files``."""
+    lon, lat = receiver(F.col("meta"))
+    return waves.join(small(files.select("path", lon.alias("lon"), lat.alias("lat"))), "path", "left")

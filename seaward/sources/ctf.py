@@ -21,12 +21,28 @@ RADIAL_COLUMNS = {
 }
 WAVE_COLUMNS = dict.fromkeys("MWHT MWPD WAVB WNDB PMWH ACNT DIST RCLL WDPT MTHD FLAG WHNM WHSD".split(), "double")
 TIME_PARTS = "TYRS TMON TDAY THRS TMIN TSEC".split()
-_SCHEMA = """path string, is_corrupt boolean, is_wera boolean, meta map<string,string>, processing_tools array<string>,
- tables array<struct<table_no:int,table_type:string,columns:array<string>,meta:map<string,string>,rows:array<array<string>>>>"""
+#: Decimals of each column in exported text; others have three.
+DECIMALS = {"LOND": 7, "LATD": 7, "ESPC": 3, "ETMP": 3, "BEAR": 1, "HEAD": 1, "RNGE": 4, "XDST": 4, "YDST": 4}
+#: Fixed values of the file format: lines before the list of tests in a quality-controlled file.
+QC_LINES = (
+    "%QCFileVersion: 2.0.0",
+    "%QCReference: Quality control reference: IOOS QARTOD HF Radar ver 2.0 June 2022",
+    "%QCFlagDefinitions: 1=pass 2=not_evaluated 3=suspect 4=fail 9=missing_data",
+    '%QCTestFormat: "test_name [qc_thresholds]: test_result"',
+)
+_SCHEMA = """path string, is_corrupt boolean, is_wera boolean, kind string, meta map<string,string>, head array<string>,
+ foot array<string>, processing_tools array<string>,
+ tables array<struct<table_no:int,table_type:string,columns:array<string>,meta:map<string,string>,head:array<string>,rows:array<array<string>>>>"""
 
 
 def parse_text(text: str) -> dict:
-    """One file: header and footer values, and its tables (type, column names, rows of text)."""
+    """One file: header and footer values, and its tables (type, column names, rows of text).
+
+    ``head`` and ``foot`` are the header and footer lines in their order, also of each table; ``kind`` says of wave files
+    whether their first table has distances (ranged) or not (averaged).
+    """
+    head: list[str] = []
+    foot: list[str] = []
     meta: dict[str, str] = {}
     tools: list[str] = []
     tables: list[dict] = []
@@ -38,11 +54,12 @@ def parse_text(text: str) -> dict:
             continue
         if re.match(r"%End\b", mark):
             ended = True
+            foot.append(mark)
         elif mark.startswith("%") and ":" in mark:
             name, value = (mark.split(":") + [""])[:2]
             name, value = name.replace("%", "").strip(), value.replace("%", "").strip()
             if name == "TableType":
-                open_table = {"table_type": value, "columns": [], "meta": {}, "rows": [], "reading": False}
+                open_table = {"table_type": value, "columns": [], "meta": {}, "head": [], "rows": [], "reading": False}
             if name == "TableStart" and open_table is not None:
                 open_table["reading"] = True
             elif name == "TableEnd" and open_table is not None:
@@ -50,18 +67,33 @@ def parse_text(text: str) -> dict:
                 open_table = None
             elif open_table is not None:
                 open_table["meta"][name] = value
+                if name != "TableType":
+                    open_table["head"].append(mark)
                 if name == "TableColumnTypes":
                     open_table["columns"] = value.split()
             elif name == "ProcessingTool" and tables:
                 tools.append(value)
+                foot.append(mark)
             else:
                 meta[name] = value
+                (foot if tables else head).append(mark)
         elif open_table is not None and open_table["reading"] and open_table["columns"]:
             open_table["rows"].append(mark.lstrip("%").split())
     for n, t in enumerate(tables, 1):
         t["table_no"] = n
         t.pop("reading")
-    return {"is_corrupt": not ended, "is_wera": "WERA" in meta.get("Manufacturer", ""), "meta": meta, "processing_tools": tools, "tables": tables}
+    kind = None
+    if tables and tables[0]["table_type"].startswith("WAVL"):
+        at = tables[0]["columns"].index("DIST") if "DIST" in tables[0]["columns"] else None
+        kind = "ranged" if at is not None and any(_is_number(r[at]) for r in tables[0]["rows"] if len(r) > at) else "averaged"
+    return {"is_corrupt": not ended, "is_wera": "WERA" in meta.get("Manufacturer", ""), "kind": kind, "meta": meta, "head": head, "foot": foot, "processing_tools": tools, "tables": tables}
+
+
+def _is_number(text: str) -> bool:
+    try:
+        return float(text) == float(text)
+    except ValueError:
+        return False
 
 
 def parse_files(contents: DataFrame) -> DataFrame:
@@ -70,7 +102,7 @@ def parse_files(contents: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             found = [parse_text(c if isinstance(c, str) else bytes(c).decode("ISO-8859-1")) for c in pdf["content"]]
-            yield pd.DataFrame([{"path": p, **f} for p, f in zip(pdf["path"], found, strict=True)], columns=["path", "is_corrupt", "is_wera", "meta", "processing_tools", "tables"])
+            yield pd.DataFrame([{"path": p, **f} for p, f in zip(pdf["path"], found, strict=True)], columns=["path", "is_corrupt", "is_wera", "kind", "meta", "head", "foot", "processing_tools", "tables"])
 
     return contents.select("path", "content").mapInPandas(run, _SCHEMA)
 
@@ -108,15 +140,16 @@ def file_table(parsed: DataFrame) -> DataFrame:
 def table_rows(parsed: DataFrame, type_like: str, columns: dict[str, str], extra: tuple[str, ...] = ()) -> DataFrame:
     """Typed rows of all tables whose type holds ``type_like``; columns that a file lacks are null."""
     named = parsed.filter(~F.col("is_corrupt")).withColumns(name_parts(F.col("path")))
-    tables = named.select("path", "prefix", site_code(header(F.col("meta"), "Site")).alias("site"), time_of(header(F.col("meta"), "TimeStamp")).alias("time"), F.explode("tables").alias("t"))
-    rows = tables.filter(F.contains("t.table_type", F.lit(type_like))).select("path", "prefix", "site", "time", F.col("t.table_no").alias("table_no"), F.col("t.columns").alias("cols"), F.posexplode("t.rows").alias("row_no", "v"))
+    kept = [c for c in extra if c in ("kind",)]
+    tables = named.select("path", "prefix", *kept, site_code(header(F.col("meta"), "Site")).alias("site"), time_of(header(F.col("meta"), "TimeStamp")).alias("time"), F.explode("tables").alias("t"))
+    rows = tables.filter(F.contains("t.table_type", F.lit(type_like))).select("path", "prefix", "site", "time", *kept, F.col("t.table_no").alias("table_no"), F.col("t.columns").alias("cols"), F.posexplode("t.rows").alias("row_no", "v"))
     value = lambda c: F.get("v", F.array_position("cols", c) - 1)
     number = lambda c, kind: F.when(~F.isnan(value(c).try_cast("double")), value(c).try_cast("double")).cast(kind)
     has = lambda c: F.array_contains("cols", c)
     name = lambda c: "TIME_S" if c == "TIME" else c  # noqa: E731  the table's own seconds; "time" is the row's timestamp
     picked = [F.when(has(c), number(c, k) if k != "string" else value(c)).alias(name(c)) for c, k in columns.items()]
     parts = [F.when(has(c), number(c, "int")).alias(c) for c in TIME_PARTS] if "TYRS" in extra else []
-    return rows.select("path", "prefix", "site", "time", "table_no", "row_no", *picked, *parts)
+    return rows.select("path", "prefix", "site", "time", *kept, "table_no", "row_no", *picked, *parts)
 
 
 def fill_to_null(df: DataFrame, columns=None, values=FILL_VALUES) -> DataFrame:
@@ -138,13 +171,9 @@ def flip_velocity(df: DataFrame) -> DataFrame:
 
 def read_waves(parsed: DataFrame) -> DataFrame:
     """Wave rows: all tables of files with ranges, the first table of averaged files; ``kind`` says which."""
-    rows = fill_to_null(table_rows(parsed, "WAVL", WAVE_COLUMNS, ("TYRS",)), list(WAVE_COLUMNS))
-    first = F.get(F.filter("tables", lambda t: t["table_no"] == 1), F.lit(0))
-    dist = F.array_position(first["columns"], "DIST")
-    known = F.exists(first["rows"], lambda r: ~F.isnan(F.coalesce(F.get(r, (dist - 1).cast("int")).try_cast("double"), F.lit(float("nan")))))
-    kinds = parsed.select("path", F.when((dist > 0) & known, "ranged").otherwise("averaged").alias("kind"))
-    joined = rows.join(kinds, "path").filter((F.col("kind") == "ranged") | (F.col("table_no") == 1))
-    return joined.withColumn("time", F.make_timestamp(*(F.col(c) for c in TIME_PARTS))).drop(*TIME_PARTS)
+    rows = fill_to_null(table_rows(parsed, "WAVL", WAVE_COLUMNS, ("TYRS", "kind")), list(WAVE_COLUMNS))
+    chosen = rows.filter((F.col("kind") == "ranged") | (F.col("table_no") == 1))
+    return chosen.withColumn("time", F.make_timestamp(*(F.col(c) for c in TIME_PARTS))).drop(*TIME_PARTS)
 
 
 def read_diagnostics(parsed: DataFrame, type_like: str, columns: dict[str, str]) -> DataFrame:
@@ -168,3 +197,54 @@ def render_files(rows: DataFrame, header_lines: Column, columns: dict[str, str],
     end = F.array(F.lit("%TableEnd:"), F.lit("%%"), F.lit("%End:"))
     body = F.concat("h", "q", start, F.transform("l", lambda x: x["line"]), end)
     return files.select("path", F.concat(F.array_join(body, "\n"), F.lit("\n")).alias("value"))
+
+
+def export_files(rows: DataFrame, parsed: DataFrame, columns: dict[str, str], added: tuple[str, ...] = (), qc_lines: str | None = None) -> DataFrame:
+    """path, value: the text of each parsed file with the rows of its path as its first table.
+
+    Header, other tables and footer are the file's own, in their order.  The first table has the file's columns that
+    ``columns`` (name -> type) knows, then those ``added`` (flags); its counts are rewritten, nulls are written as 999.
+    ``qc_lines`` is a column of ``parsed`` (array of text) with the tests that ran.  Rows meet their file in one shuffle by
+    path, and one file's lines are one value.
+    """
+    known = {c: k for c, k in columns.items() if (c if c != "TIME" else "TIME_S") in rows.columns}
+    number = lambda c: F.col("TIME_S" if c == "TIME" else c)
+
+    def text(c: str, kind: str):
+        if kind == "string":
+            return F.coalesce(number(c), F.lit("999"))
+        if kind == "int":
+            return F.format_string("%d", F.coalesce(number(c).cast("long"), F.lit(999)))
+        return F.format_string(f"%.{DECIMALS.get(c, 3)}f", F.coalesce(number(c), F.lit(999.0)))
+
+    files = parsed.filter(~F.col("is_corrupt")).withColumn("first", F.get(F.filter("tables", lambda t: t["table_no"] == 1), F.lit(0)))
+    names = F.array(*(F.lit(c) for c in known))
+    files = files.withColumn("written", F.concat(F.filter(F.col("first")["columns"], lambda c: F.array_contains(names, c)), F.array(*(F.lit(c) for c in added)).cast("array<string>")))
+    values = F.create_map(*(x for c, k in (known | dict.fromkeys(added, "int")).items() for x in (F.lit(c), text(c, k))))
+    lines = rows.join(files.select("path", "written"), "path").select("path", "row_no", F.array_join(F.transform("written", lambda c: F.element_at(values, c)), "  ").alias("line"))
+    grouped = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("row_no", "line"))).alias("lines"))
+    out = files.join(grouped, "path", "left").withColumn("lines", F.coalesce(F.transform("lines", lambda x: F.concat(F.lit(" "), x["line"])), F.array().cast("array<string>")))
+    counted = F.transform(
+        F.col("first")["head"],
+        lambda h: F.when(F.startswith(h, F.lit("%TableColumns:")), F.concat(F.lit("%TableColumns: "), F.size("written").cast("string")))
+        .when(F.startswith(h, F.lit("%TableColumnTypes:")), F.concat(F.lit("%TableColumnTypes: "), F.array_join("written", " ")))
+        .when(F.startswith(h, F.lit("%TableRows:")), F.concat(F.lit("%TableRows: "), F.size("lines").cast("string")))
+        .otherwise(h),
+    )
+    ran = F.concat(F.array(*(F.lit(x) for x in QC_LINES)), F.col(qc_lines)) if qc_lines else F.array().cast("array<string>")
+    kind = lambda t: F.array(F.concat(F.lit("%TableType: "), t["table_type"]))
+    first = F.concat(ran, kind(F.col("first")), counted, F.array(F.lit("%TableStart:")), F.col("lines"), F.array(F.lit("%TableEnd:"), F.lit("%%")))
+    others = F.flatten(
+        F.transform(
+            F.filter("tables", lambda t: t["table_no"] > 1),
+            lambda t: F.concat(
+                kind(t),
+                t["head"],
+                F.array(F.concat(F.lit("%TableStart: "), t["table_no"].cast("string"))),
+                F.transform(t["rows"], lambda r: F.concat(F.lit("%  "), F.array_join(r, "  "))),
+                F.array(F.concat(F.lit("%TableEnd: "), t["table_no"].cast("string")), F.lit("%%")),
+            ),
+        )
+    )
+    body = F.when(F.col("first").isNull(), F.concat("head", "foot")).otherwise(F.concat("head", first, others, "foot"))
+    return out.select("path", F.concat(F.array_join(body, "\n"), F.lit("\n")).alias("value"))

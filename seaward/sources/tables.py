@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seaward.sources.ctf import name_parts
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a folder of this machine is made and set, but only if all of Spark runs in this one
+    process; on a cluster that is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """path and length of the files under ``path`` (contents are not read)."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path)
@@ -34,3 +52,9 @@ def read_tables(spark: SparkSession, *paths: str) -> DataFrame:
 def write_series(df: DataFrame, path: str) -> None:
     """Point time series as CSV, in order of point and time."""
     df.orderBy("point_id", "time").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_text(files: DataFrame, path: str) -> None:
+    """Texts (path, value) as text files, one for each path, in folders by name."""
+    named = files.select("value", F.regexp_extract("path", "([^/]*)$", 1).alias("file"))
+    named.repartition("file").write.mode("overwrite").partitionBy("file").text(path)

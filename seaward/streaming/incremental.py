@@ -5,37 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaward.operators import qc, series
+from seaward.operators import FILE_KEY, qc, series
 from seaward.sources import ctf
 
 
 def start_qc(spark: SparkSession, source: str, target: str, checkpoint: str, thresholds: qc.Thresholds = qc.Thresholds(), pattern: str = "*.ruv"):
-    """A file stream whose batches are parsed, flagged and appended.
+    """A file stream whose batches are parsed once, flagged, and put in the table at ``target``, by day and site.
 
-    The history tests need the last hours of the batch's sites: they are read from what earlier batches wrote, of the
-    days concerned only, and the batch's own rows are kept from the result.
+    The history tests need the last hours of the batch's sites: of the table only the days concerned are read (partition
+    pruning).  A batch replaces the days and sites that it touches, with the rows they had of other hours, so a batch that
+    is played again, or a file that arrives again, leaves the same rows as before.
     """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     arriving = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(source)
 
     def flag(batch: DataFrame, _: int) -> None:
-        parsed = ctf.parse_files(batch)
+        parsed = ctf.parse_files(batch).persist()
+        try:
+            flag_parsed(parsed)
+        finally:
+            parsed.unpersist()
+
+    def flag_parsed(parsed: DataFrame) -> None:
         files, fresh = series.valid_files(ctf.file_table(parsed)), ctf.read_radials(parsed)
         span = fresh.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
         if span.a is None:
             return
-        both = fresh
+        keys, both, kept = fresh.select(*FILE_KEY).distinct(), fresh, None
         try:
             old = spark.read.parquet(target)
         except Exception as e:  # the first batch finds no table yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         else:
-            hours = F.expr(f"INTERVAL {thresholds.n_steps} HOURS")
-            near = old.filter(F.col("time").between(F.lit(span.a) - hours, F.lit(span.b)))
-            keys = fresh.select("prefix", "site", "time").distinct()
-            both = fresh.unionByName(near.select(*fresh.columns).join(keys, ["prefix", "site", "time"], "left_anti"))
-        flagged = qc.qc_radials(both, files, thresholds).join(files.select("prefix", "site", "time"), ["prefix", "site", "time"], "left_semi")
-        flagged.write.mode("append").parquet(target)
+            first = F.lit(span.a) - F.expr(f"INTERVAL {thresholds.n_steps} HOURS")
+            near = old.filter(F.col("date").between(F.to_date(first), F.to_date(F.lit(span.b)))).join(keys, list(FILE_KEY), "left_anti")
+            both = fresh.unionByName(near.filter(F.col("time").between(first, F.lit(span.b))).select(*fresh.columns))
+            kept = near.join(fresh.select("site", F.to_date("time").alias("date")).distinct(), ["site", "date"], "left_semi")
+        flagged = qc.qc_radials(both, files, thresholds).join(keys, list(FILE_KEY), "left_semi")
+        flagged = flagged.join(files.select(*FILE_KEY).distinct(), list(FILE_KEY), "left_semi").withColumn("date", F.to_date("time"))
+        whole = flagged if kept is None else flagged.unionByName(kept)
+        whole.repartition("date", "site").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "site").parquet(target)
 
     return arriving.writeStream.foreachBatch(flag).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
