@@ -1,6 +1,12 @@
 """Training-data preparation: documents are filtered, deduplicated, cleaned of secrets and packed, stage by stage.
 
 Each stage takes all that its predecessor kept, is written as Parquet and read again as the next one's input.
+
+Null texts are empty: the classifiers score them like any text, they are near copies of each other, and packing gives them
+their end id.  Texts of any length are taken whole.  Rows that repeat id and text are one from the near-duplicate stage on;
+those that repeat only one of the two are judged by their texts.  Rows without an id pass the near-duplicate stage.  Ties are
+those of the operators.  Columns besides the documents' own stay as they are up to the last stage, whatever their names.  An
+empty table gives empty tables.
 """
 
 from __future__ import annotations

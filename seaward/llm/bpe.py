@@ -4,7 +4,9 @@ Each rank's bytes are mapped byte by byte to printable characters and become one
 rank; normalisation is the identity.  A text is cut by the splitting pattern, each pre-token is encoded by itself, and
 ids go back to bytes by the inverse mapping.
 
-Nulls and empty texts: no ids.  Texts of any length are encoded whole.
+Nulls and empty texts: no ids.  Texts of any length are encoded whole.  Rows that repeat an id or a text are encoded one by
+one.  Ties between merges go to the leftmost.  Other columns are not looked at, whatever their names.  An empty table gives
+no rows.
 """
 
 from __future__ import annotations

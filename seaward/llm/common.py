@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -11,32 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from seaward.sources.tables import shared_dir
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) a folder of the driver's machine is used and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str, compressed: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, compressed: bool = False, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a lost executor later costs a re-read of a file, not the work before it.  Tables of large values
-    that are ``compressed`` already are stored as they are: a codec would only hold more buffers.
+    that are ``compressed`` already are stored as they are: a codec would only hold more buffers.  The tables are needed
+    until the result is written, and stay in ``spark.checkpoint.dir`` for the job's owner to clear, like checkpoints.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("error").option("compression", "uncompressed" if compressed else "snappy").parquet(path)
+    df.write.mode("error").option("compression", "uncompressed" if compressed else codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -102,6 +92,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, mos
     return materialize(map_columns(rows.select("text", "label"), shapes, "text string, label int, shape long, shape2 long"), label)
 
 
+def once_by(sample: DataFrame, shape: str) -> DataFrame:
+    """Of the rows (text, label, ...) of one label and shape the one whose text has the smallest hash, whatever the order."""
+    others = [c for c in sample.columns if c not in ("label", shape)]
+    least = F.min_by(F.struct(*others), F.struct(F.xxhash64("text"), F.length("text"))).alias("row")
+    return sample.groupBy("label", shape).agg(least).select("label", shape, "row.*")
+
+
 def _shapes(text: str) -> tuple[int, int]:
     words = text.lower().split()
     triples = {hash_text(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))}

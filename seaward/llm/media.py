@@ -1,7 +1,10 @@
 """Media columns: progressive JPEG files decoded to full-resolution RGB tensors, and texts kept in such files.
 
 Nulls: a null file gives null results; a null text is the empty text, stored as one block of zero bytes.  A file that is
-not a readable progressive JPEG gives null results and the reason in ``error``.  Equal inputs give equal outputs.
+not a readable progressive JPEG gives null results and the reason in ``error``.  Equal inputs give equal outputs, and rows that
+repeat an id or a text are treated one by one.  Texts of any length become one file.  Other columns are not looked at,
+whatever their names.  An empty table gives no rows.  Tensors are several times the size of the files, so that they are kept
+only where asked for; the query works its features out from them.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seaward.llm import jpeg
-from seaward.llm.common import map_columns, read_table, text_or_empty
+from seaward.llm.common import map_columns, materialize, read_table, text_or_empty
 
 BLOCK = 64
 
@@ -40,27 +43,36 @@ def decode_jpeg_column(df: DataFrame, column: str = "media", keys: tuple[str, ..
     return map_columns(df.select(*keys, column), run, schema, rows_at_once=16)
 
 
-def text_media(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", keep_media: bool = False, keep_rgb: bool = False
-) -> DataFrame:
-    """Each text as a progressive JPEG, and what reading that file back gives.
+def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_bytes and ``media`` (a progressive JPEG with the text) of each row, written to the shared folder and read back.
 
     The UTF-8 bytes are filled up with zero bytes to a positive multiple of 64; each byte is one quantised coefficient.
-    ``feature`` is the picture's size, the mean of each colour and the crc32 of its RGB tensor.  With ``keep_media`` and
-    ``keep_rgb`` the file and the tensor are columns too.
     """
 
     def run(rows):
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        out = {key: rows[key]} | {n: [] for n in names + ["media"] * keep_media + ["rgb"] * keep_rgb}
-        for value in rows["__text"]:
-            data = value.encode()
-            media = jpeg.encode_payload(data + bytes(-len(data) % BLOCK or (0 if data else BLOCK)))
+        data = [t.encode() for t in rows["__text"]]
+        filled = [d + bytes(-len(d) % BLOCK or (0 if d else BLOCK)) for d in data]
+        return {key: rows[key], "n_bytes": [len(d) for d in data], "media": [jpeg.encode_payload(d) for d in filled]}
+
+    source = docs.select(F.col(key), text_or_empty(text).alias("__text"))
+    return materialize(map_columns(source, run, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, media binary", rows_at_once=64), "media", codec="zstd")
+
+
+def read_texts(stored: DataFrame, key: str = "doc_id", keep_media: bool = False, keep_rgb: bool = False) -> DataFrame:
+    """What stored media (key, n_bytes, media) hold: payload, sizes and digests, and a feature of the decoded picture.
+
+    ``feature`` is the picture's size, the mean of each colour and the crc32 of its full-resolution RGB tensor.  With
+    ``keep_media`` and ``keep_rgb`` the file and the tensor are columns too.
+    """
+
+    def run(rows):
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        out = {key: rows[key], "n_bytes": rows["n_bytes"]} | {n: [] for n in names + ["media"] * keep_media + ["rgb"] * keep_rgb}
+        for media in rows["media"]:
             pic = jpeg.decode(media)
             back, rgb = jpeg.read_payload(pic), jpeg.to_rgb(pic)
             means = ",".join(f"{m:.4f}" for m in rgb.reshape(-1, 3).mean(0, dtype="float64"))
-            values = [len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:])]
-            values += [len(media), hashlib.sha256(media).hexdigest()]
+            values = [len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest()]
             values += [f"{pic.width}x{pic.height};{means};{zlib.crc32(rgb.tobytes()):08x}"]
             for n, v in zip(names, values, strict=True):
                 out[n].append(v)
@@ -70,10 +82,15 @@ def text_media(
                 out["rgb"].append(rgb.tobytes())
         return out
 
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long"
+    schema = f"`{key}` {dict(stored.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long"
     schema += ", media_bytes long, media_sha256 string, feature string"
     schema += ", media binary" * keep_media + ", rgb binary" * keep_rgb
-    return map_columns(docs.select(F.col(key), text_or_empty(text).alias("__text")), run, schema, rows_at_once=64)
+    return map_columns(stored.select(key, "n_bytes", "media"), run, schema, rows_at_once=64)
+
+
+def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_media: bool = False, keep_rgb: bool = False) -> DataFrame:
+    """Each text stored as a progressive JPEG, and what reading the stored file gives."""
+    return read_texts(store_texts(docs, key, text), key, keep_media, keep_rgb)
 
 
 def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,14 @@ The document that no longer fits whole is cut, and its rest is the seed of the n
 What is left at a shard's end is cut into sequences whose lengths are powers of two, which need none.  Neither files nor
 splits change the result.
 
-Null and empty texts hold only the end id.  Rows with equal ids or equal texts are packed once each.
+Null and empty texts hold only the end id.  Rows with equal ids or equal texts are packed once each.  Texts of any length are
+tokenised whole and cut over as many windows as they need.  Ties: neighbours of equal score go in the shard's order (hash of
+id and text, then ids).  Other columns are not looked at, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -51,6 +54,14 @@ class Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {}
+        # Stretches between white space have ids by themselves only where the file says that white space is dropped, and
+        # words share the ids of their lower-case form only where it says that texts are lower-cased.
+        steps = json.loads(self.model.to_str())
+        cuts, forms = _steps(steps.get("pre_tokenizer")), {s.get("type") for s in _steps(steps.get("normalizer"))}
+        bytewise = [s for s in cuts if s.get("type") == "ByteLevel"]
+        self.splits = bool(cuts) and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert", False)
+        self.splits &= not any(s.get("add_prefix_space") or s.get("use_regex") for s in bytewise) and "Metaspace" not in {s.get("type") for s in cuts}
+        self.cut = _cut if self.splits and "Lowercase" in forms else lambda chunk: (chunk,)
 
     @classmethod
     def get(cls, path: str) -> Tokens:
@@ -60,13 +71,13 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers.  All new chunks are encoded in one call."""
-        split = [None if _UNUSUAL.search(t) else t.split() for t in texts]
+        split = [None if not self.splits or _UNUSUAL.search(t) else t.split() for t in texts]
         ids, held = self.ids, set().union(*(c for c in split if c))
         new = [c for c in held if c not in ids]
         if len(ids) + len(new) > CACHE:
             ids.clear()
             new = list(held)
-        parts = [_cut(c) for c in new]
+        parts = [self.cut(c) for c in new]
         if unknown := list({t for p in parts for t in p if t not in ids}):
             for t, e in zip(unknown, self.model.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
                 ids[t] = array("I", e.ids).tobytes()
@@ -82,6 +93,14 @@ class Tokens:
         return out
 
 
+def _steps(step: dict | None) -> list[dict]:
+    """A normaliser or splitter as a flat list of its steps."""
+    if not step:
+        return []
+    inner = step.get("normalizers") or step.get("pretokenizers") or []
+    return [x for s in inner for x in _steps(s)] if inner else [step]
+
+
 def _cut(chunk: str) -> tuple[str, ...]:
     """Parts that are encoded by themselves: of a Latin word, perhaps with one sign behind it, its lower-case form."""
     word = chunk.rstrip(".,;:!?")

@@ -7,7 +7,9 @@ on the whole text; a rule without mandatory trigrams runs on every text.  All of
 runs on the executors.
 
 Null texts are empty and have no spans.  Rows with equal ids are scanned one by one: candidates of one only cause a
-needless check of the other.  Null ids are matched like any other.
+needless check of the other.  Null ids are matched like any other.  Texts of any length are searched whole.  Spans that start
+together are in the order of the rules.  Other columns are kept as they are, whatever their names (``redact``), or not looked
+at.  An empty table gives no rows.
 """
 
 from __future__ import annotations

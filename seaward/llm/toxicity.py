@@ -11,6 +11,10 @@ lambda solves the moment equation on the clean sample's token scores, K fits the
 statistic adds what its significant segments exceed chance by; a logistic curve, fitted on sample documents that the
 units were not learnt from, turns it into a score from 0 to 1.
 
+Sample rows of one label that share their smallest word-triple hash count once (near copies, mostly; unlike texts with one
+common phrase can share it too).  Texts of any length are scored whole, in one pass.  Ties between units go to the unit that
+sorts first.  Other columns are not looked at, whatever their names.  An empty table gives no rows.
+
 Null and empty texts have no segment and score as any text without one.  Rows with equal texts score equally.  If the
 labelled sample lacks one of the classes, no unit has a score and every text scores as the classes' shares say.
 """
@@ -24,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaward.llm.common import arrow_schema, fold, labelled_sample, map_columns, read_table, text_or_empty
+from seaward.llm.common import arrow_schema, fold, labelled_sample, map_columns, once_by, read_table, text_or_empty
 
 #: Labelled rows taken of each class at most (those with the smallest hash of the id).
 SAMPLE = 10_000
@@ -178,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = labelled_sample(docs, labels, key, text, SAMPLE, "toxicity-sample")
     part = F.pmod(F.xxhash64("shape"), F.lit(4))
     # Near copies mostly share the smallest hash of their word triples, and one of two such hashes nearly always.
-    learn = sample.filter(part != 0).dropDuplicates(["label", "shape"]).dropDuplicates(["label", "shape2"])
+    learn = once_by(once_by(sample.filter(part != 0), "shape"), "shape2")
     model = Model(_log_odds(_count_units(learn)))
 
     def hits(rows):

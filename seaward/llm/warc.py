@@ -9,7 +9,8 @@ Reader.  The dictionary is taken from the leading frame, the records are decompr
 payload is held against its digest.
 
 Null payloads are empty.  Rows that repeat a page_id with the same payload have the same type.  A null page_id is never
-the smallest, unless its payload has no other.  An empty table gives no archives.
+the smallest, unless its payload has no other.  A payload of any length is one record, and one beyond an archive's size has an
+archive of its own.  Other columns are not looked at, whatever their names.  An empty table gives no archives.
 """
 
 from __future__ import annotations
