@@ -3,19 +3,25 @@
 1. Each text gets a 64-bit fingerprint: the majority, bit by bit, over the hashes of its word shingles.
 2. Equal fingerprints become one node.  From a bounded sample of nodes the top of a vantage-point tree is built: a
    vantage point splits nodes by Hamming distance at the sample's median radius.  Each leaf is a shard.
+   Over-full shards are split again by further levels of the tree, from samples of their own, in rounds of DataFrame steps.
 3. A node goes to its own shard, and to the inner side of each boundary that its search ball overlaps: by the triangle
    inequality two nodes within ``radius`` bits meet in at least one shard.  Only one side of a boundary takes visitors,
    so that a level adds a fifth to the rows, not a half.
+   Nodes of a shard that no vantage point splits (a dense neighbourhood) are dealt to blocks, and all pairs of blocks meet.
 4. A shard goes on with the same tree down to small leaves and compares there.  It returns a spanning forest of its
    links, so dense groups give no more rows than they have members.
 5. Groups: smallest label over links, with pointer jumping, in rounds written to the shared folder.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Rows with equal ids or texts are all kept.  A
-group's id is the smallest id in it; null ids are in groups but never name one, unless all are null.
+group's id is the smallest id in it; null ids are in groups but never name one, unless all are null.  Texts of any length
+are taken whole.  Other columns are not looked at, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +31,12 @@ from seaward.llm.common import free_names, map_columns, materialize, read_table,
 SEED = 42
 #: Nodes a shard has about; nodes in the sample that the top of the tree is built from.
 SHARD_NODES, SAMPLE = 4096, 16_384
+#: Nodes beyond which a shard is split again, nodes of such a shard that its further levels are built from (about), and
+#: rounds of splitting before the blocks.
+MOST_NODES, SPLIT_SAMPLE, SPLIT_ROUNDS = 4 * SHARD_NODES, 1024, 12
 _LEAF = 96
+#: Tasks that the rows of one label are dealt to.
+PARTS = 8
 #: Min-hash values of a text, values in a band, rows of a bucket that are compared at once (about).
 PERMUTATIONS, BAND_ROWS, CHUNK = 125, 5, 256
 
@@ -160,11 +171,11 @@ def star(pairs: np.ndarray, n: int) -> np.ndarray:
     return np.stack([member, label[member]], 1)
 
 
-def link_nodes(nodes: DataFrame, radius: int = 2) -> DataFrame:
+def link_nodes(nodes: DataFrame, radius: int = 2, shard_nodes: int = SHARD_NODES, most: int = MOST_NODES, sampled: int = SAMPLE) -> DataFrame:
     """Links (src, dst) whose groups are those of all pairs of nodes (column ``fp``, distinct) within ``radius`` bits."""
     total = nodes.count()
-    sample = nodes.select("fp", F.xxhash64("fp").alias("h")).orderBy("h").limit(SAMPLE).collect()  # at most SAMPLE rows
-    tree = build_tree(np.array([r.fp for r in sample], dtype=np.int64).view(np.uint64), total, radius)
+    sample = nodes.select("fp", F.xxhash64("fp").alias("h")).orderBy("h").limit(sampled).collect()  # at most SAMPLE rows
+    tree = build_tree(np.array([r.fp for r in sample], dtype=np.int64).view(np.uint64), total, radius, shard_nodes)
 
     def place(rows):
         points, out = np.array(rows["fp"], dtype=np.int64), []
@@ -174,12 +185,65 @@ def link_nodes(nodes: DataFrame, radius: int = 2) -> DataFrame:
     def search(pdf):
         import pandas as pd
 
-        points = np.sort(pdf["fp"].to_numpy())
+        points = np.unique(pdf["fp"].to_numpy())
         found = points[spanning_links(points.view(np.uint64), radius)]
         return pd.DataFrame({"src": found[:, 0], "dst": found[:, 1]})
 
-    placed = map_columns(nodes.select("fp"), place, "shard int, fp long", rows_at_once=10_000)
-    return placed.groupBy("shard").applyInPandas(search, "src long, dst long")
+    placed = materialize(map_columns(nodes.select("fp"), place, "shard long, fp long", rows_at_once=10_000), "placed")
+    return bounded_shards(placed, radius, shard_nodes, most).groupBy("shard").applyInPandas(search, "src long, dst long")
+
+
+def bounded_shards(placed: DataFrame, radius: int, shard_nodes: int = SHARD_NODES, most: int = MOST_NODES) -> DataFrame:
+    """(shard, fp) with over-full shards split again, so that nodes within ``radius`` bits still meet in a shard.
+
+    A round samples each over-full shard, builds further levels of the tree from that sample, and places the shard's nodes
+    in them; trees stay rows of a table.  Shards that do not get smaller become pairs of blocks.
+    """
+
+    def grow(key, pdf):
+        import pandas as pd
+
+        tree = build_tree(np.sort(pdf["fp"].to_numpy()).view(np.uint64), int(pdf["n"].iloc[0]), radius, shard_nodes)
+        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(tree) if isinstance(tree, tuple) else None]})
+
+    def place(rows):
+        import xxhash
+
+        out = {"shard": [], "fp": []}
+        points = np.array(rows["fp"], dtype=np.int64)
+        at: dict[int, list[int]] = {}
+        for i, shard in enumerate(rows["shard"]):
+            at.setdefault(shard, []).append(i)
+        for shard, index in at.items():
+            leaves: list = []
+            _place(pickle.loads(rows["tree"][index[0]]), points.view(np.uint64), np.array(index), radius, leaves)
+            for leaf, members in leaves:
+                if len(members):
+                    out["shard"] += [xxhash.xxh64_intdigest(b"%d %d" % (shard, leaf[0])) - (1 << 63)] * len(members)
+                    out["fp"] += points[members].tolist()
+        return out
+
+    done, stuck = [], []
+    for step in range(SPLIT_ROUNDS):
+        counts = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+        over = materialize(placed.join(counts, "shard"), f"over-full-{step}")
+        if not over.limit(1).count():
+            break
+        done.append(placed.join(counts, "shard", "left_anti").select("shard", "fp"))
+        few = over.filter(F.pmod(F.xxhash64("fp", F.lit(step)), F.ceil(F.col("n") / SPLIT_SAMPLE)) == 0)
+        trees = materialize(few.groupBy("shard").applyInPandas(grow, "shard long, tree binary"), f"trees-{step}")
+        split = over.join(trees, "shard", "left")
+        stuck.append(split.filter("tree IS NULL").select("shard", "fp", "n"))
+        placed = materialize(map_columns(split.filter("tree IS NOT NULL").select("shard", "fp", "tree"), place, "shard long, fp long", rows_at_once=10_000), f"placed-{step}")
+    else:
+        counts = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+        stuck.append(placed.join(counts.filter(F.col("n") > most), "shard").select("shard", "fp", "n"))
+        placed = placed.join(counts.filter(F.col("n") <= most), "shard").select("shard", "fp")
+    for part in stuck:
+        blocks = F.ceil(F.col("n") / F.lit(shard_nodes))
+        dealt = part.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        done.append(dealt.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "fp"))
+    return reduce(DataFrame.union, done, placed.select("shard", "fp"))
 
 
 def groups(links: DataFrame, label: str = "groups") -> DataFrame:
@@ -192,8 +256,11 @@ def groups(links: DataFrame, label: str = "groups") -> DataFrame:
         step += 1
         near = edges.join(now.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("m"))
         low = now.join(near.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        up = low.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = low.join(up, "label", "left").select("node", F.least("label", "up").alias("label"), (F.least("label", "up") < F.col("old")).alias("changed"))
+        # A label can be most rows' own: the few labels that moved on are dealt to several tasks each.
+        moved = low.filter(F.col("node") != F.col("label")).select(F.col("node").alias("label"), F.col("label").alias("up"))
+        up = moved.join(low.select("label").distinct(), "label", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        parted = low.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
+        jumped = parted.join(up, ["label", "part"], "left").select("node", F.least("label", "up").alias("label"), (F.least("label", "up") < F.col("old")).alias("changed"))
         now = materialize(jumped, f"{label}-{step}")
     return now.select("node", "label")
 

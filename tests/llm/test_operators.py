@@ -311,6 +311,29 @@ def test_shards_and_groups(spark, monkeypatch):
             assert got.get(p, p) == min(members)
 
 
+def dense(n, seed):
+    """Fingerprints a few bits around two centres, most of them linked, and some far away."""
+    rng = np.random.default_rng(seed)
+    bit = lambda: np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    near = np.where(rng.random(n) < 0.5, np.uint64(7), np.uint64(0xFFFF)) ^ bit() ^ bit() ^ bit()
+    return np.unique(np.concatenate([near, rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)]))
+
+
+@pytest.mark.parametrize("kind", ["clustered", "dense"])
+def test_shards_stay_bounded(spark, kind):
+    """A small sample and many nodes: shards are split in rounds, or dealt to blocks, and no link is lost."""
+    points = clustered(6000, 5) if kind == "clustered" else dense(1500, 5)
+    nodes = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    start = nodes.withColumn("shard", F.lit(0).cast("long")).select("shard", "fp")
+    sizes = [r["count"] for r in simhash.bounded_shards(start, 2, 100, 300).groupBy("shard").count().collect()]
+    assert max(sizes) <= 300 and len(sizes) > 10
+    got = {r.node: r.label for r in simhash.groups(simhash.link_nodes(nodes, 2, 100, 300, 64)).collect()}
+    want = {}
+    for p, g in zip(points.view(np.int64).tolist(), brute_groups(points, 2).tolist(), strict=True):
+        want.setdefault(g, []).append(p)
+    assert all(got.get(p, p) == min(members) for members in want.values() for p in members)
+
+
 def test_one_of_each_near_copy(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(4000)]
