@@ -1,90 +1,162 @@
-"""Licence scans: TF-IDF cosine of each text's lines to licence templates, then inheritance from directories.
-
-Each line of a text is a candidate header or licence notice.  Words weigh term frequency times inverse template frequency;
-a word that no template has weighs most.  A line's cosine to each template is one grouped sum over the words they share
-(the templates' words are a small broadcast table, as long as the parameter).  Lines whose shared words could not reach
-the threshold with any template are left out before that, by a bound worked out from the templates.  A file's licence
-is its best line's; files without one take that of the nearest directory above them that has one, by joins on paths.
-All of it is DataFrame functions, no Python runs on the executors.
-
-Null and empty texts have no licence of their own.  A null path is the root directory.  Rows with equal paths share the
-best of their licences.  Ties: the larger cosine, then the template's name, then the path.
+"""Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from directories.
+
+The units of a text are its lines, its pairs of lines (notices that wrap), its blocks between empty lines (header comments,
+paragraphs of a licence file) and the whole text.  Templates are short notices, standard header notices and whole licence
+texts.  Words weigh term frequency times inverse template frequency; a word that no template has weighs most.  A unit's
+cosine to each template is one grouped sum over the words they share (the templates' words are a small broadcast table, as
+long as the parameter).  Texts and units whose shared words could not reach the threshold with any template are left out
+before that, by a bound worked out from the templates.  A file's licence is its best unit's; files without one take that of
+the nearest directory above them that has one, by joins on paths.  All of it is DataFrame functions, no Python runs on the
+executors.
+
+Null and empty texts have no licence of their own.  A null path is the root directory.  A row is its id, path and text: rows
+without an id, or that repeat one, are looked at each by itself.  Ties: the larger cosine, then the licence's name; among
+files of a directory the same.  Texts of any length are looked at whole.  Other columns are not looked at, whatever their
+names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seaward.llm.common import read_table, text_or_empty
 
-#: Notices that stand for each licence; a parameter of ``licences``.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0, Creative Commons Attribution International.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-2.1": "Licensed under the GNU Lesser General Public License, version 2.1.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "Subject to the terms of the Mozilla Public License, version 2.0.",
-    "Proprietary": "All rights reserved.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
+#: Notices, header notices and texts of licences as published; a parameter of ``licences``.
+NOTICES = {
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
+    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "BSD 3-Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0, Creative Commons Attribution International.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1."],
+    "MIT": ["Released under the MIT License.", "The MIT License (MIT)", "This file is licensed under the MIT license."],
+    "MPL-2.0": ["Subject to the terms of the Mozilla Public License, version 2.0."],
+    "Proprietary": ["All rights reserved."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+}
+_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_TWO = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_GNU = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software "
+    "Foundation, either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will "
+    "be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} "
+    "for more details. You should have received a copy of the GNU {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+)
+TEXTS = {
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may '
+        "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+        'distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See '
+        "the License for the specific language governing permissions and limitations under the License."
+    ],
+    "BSD-2-Clause": [_TWO + _AS_IS],
+    "BSD-3-Clause": [
+        _TWO + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission. " + _AS_IS
+    ],
+    "GPL-2.0": [_GNU.format(what="program", name="General Public License", version="2")],
+    "GPL-3.0": [_GNU.format(what="program", name="General Public License", version="3")],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH '
+        "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+        "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ],
+    "LGPL-2.1": [_GNU.format(what="library", name="Lesser General Public License", version="2.1")],
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+        "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions:",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/."
+    ],
 }
+#: Each licence's templates: notices, the short identifier line, header notices and texts.
+TEMPLATES = {n: [*NOTICES.get(n, []), *([] if n == "Proprietary" else [f"SPDX-License-Identifier: {n}"]), *TEXTS.get(n, [])] for n in sorted({*NOTICES, *TEXTS})}
 THRESHOLD = 0.8
 #: Words of ordinary prose: lines that share only these with the templates are not looked at further.
 COMMON = set("a an and are as at be by for from in into is it of on or that the this to under use was with".split())
 _WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
-def template_weights(templates: dict[str, str]) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
-    """Weight of one occurrence of each word; for each template its words' weights, scaled to length 1."""
-    counts = {n: {w: 0 for w in re.findall(_WORD, t.lower())} for n, t in templates.items()}
-    for n, t in templates.items():
-        for w in re.findall(_WORD, t.lower()):
-            counts[n][w] += 1
-    words = sorted({w for c in counts.values() for w in c})
-    weight = {w: math.log((1 + len(counts)) / (1 + sum(w in c for c in counts.values()))) + 1 for w in words}
-    scaled = {}
-    for n, c in counts.items():
+def template_weights(templates: dict[str, list[str]]) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]], float]:
+    """Weight of one occurrence of each word; of each template its licence and its words' weights, scaled to length 1; the
+    weight of words that no template has."""
+    counts = [(n, Counter(re.findall(_WORD, t.lower()))) for n in sorted(templates) for t in templates[n]]
+    held = Counter(w for _, c in counts for w in c)
+    weight = {w: math.log((1 + len(counts)) / (1 + held[w])) + 1 for w in sorted(held)}
+    scaled = []
+    for n, c in counts:
         norm = math.sqrt(sum((k * weight[w]) ** 2 for w, k in c.items()))
-        scaled[n] = {w: k * weight[w] / norm for w, k in c.items()}
-    return weight, scaled
+        scaled.append((n, {w: k * weight[w] / norm for w, k in c.items()}))
+    return weight, scaled, math.log(1 + len(counts)) + 1
 
 
-def deciding_words(templates: dict[str, str], threshold: float) -> list[str]:
-    """Words of which a line needs at least one: those without them share less than ``threshold`` with any template.
+def deciding_words(templates: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which a unit needs at least one: those without them share less than ``threshold`` with any template.
 
     Words are set aside, common ones first, as long as those of each template keep a norm under the threshold.
     """
-    weight, scaled = template_weights(templates)
+    weight, scaled, _ = template_weights(templates)
+    limit = (threshold - 1e-6) ** 2
+    sums = [0.0] * len(scaled)
     aside: set[str] = set()
     for w in sorted(weight, key=lambda w: (w not in COMMON, len(w), w)):
-        more = aside | {w}
-        if all(math.sqrt(sum(v * v for x, v in t.items() if x in more)) < threshold - 1e-6 for t in scaled.values()):
-            aside = more
+        new = [s + t.get(w, 0.0) ** 2 for s, (_, t) in zip(sums, scaled, strict=True)]
+        if all(s < limit for s in new):
+            sums, aside = new, aside | {w}
     return sorted(set(weight) - aside)
 
 
-def line_licences(files: DataFrame, key: str, text: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """key, licence, similarity of the best line of each row that has one."""
+def unit_licences(files: DataFrame, key: str, text: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """key, licence, similarity of the best unit of each row that has one; rows of one key are looked at together."""
     spark = files.sparkSession
-    weight, scaled = template_weights(templates)
-    rare = math.log(1 + len(templates)) + 1
-    postings = F.broadcast(spark.createDataFrame([(w, n, weight[w] * v) for n, t in scaled.items() for w, v in t.items()], "word string, licence string, product double"))
+    weight, scaled, rare = template_weights(templates)
+    postings = F.broadcast(spark.createDataFrame([(w, i, n, weight[w] * v) for i, (n, t) in enumerate(scaled) for w, v in t.items()], "word string, template int, licence string, product double"))
     weights = F.broadcast(spark.createDataFrame(list(weight.items()), "word string, weight double"))
-    lines = files.select(F.col(key), F.explode(F.split(F.lower(text_or_empty(text)), "\n")).alias("line"))
-    words = lines.select(key, F.regexp_extract_all("line", F.lit(_WORD), F.lit(0)).alias("words"), F.xxhash64("line").alias("line"))
     asked = F.array(*(F.lit(w) for w in deciding_words(templates, threshold)))
-    near = words.filter(F.arrays_overlap("words", asked)).distinct()
-    counts = near.select(key, "line", F.explode("words").alias("word")).groupBy(key, "line", "word").agg(F.count(F.lit(1)).alias("tf"))
+    words = lambda c: F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
+    # Most texts have none of the words asked for: they are left out before they are cut into units.
+    whole = files.select(F.col(key), F.lower(text_or_empty(text)).alias("body")).filter(F.arrays_overlap(words(F.col("body")), asked))
+    cut = whole.select(key, "body", F.split("body", "\n").alias("lines"), F.split("body", "\n[ \t\r]*\n").alias("blocks"))
+    pairs = F.when(F.size("lines") > 1, F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.concat_ws(" ", F.slice("lines", i, 2)))).otherwise(F.array().cast("array<string>"))
+    units = cut.select(key, F.explode(F.concat("lines", pairs, "blocks", F.array("body"))).alias("unit"))
+    near = units.select(key, words(F.col("unit")).alias("words"), F.xxhash64("unit").alias("unit")).filter(F.arrays_overlap("words", asked)).dropDuplicates([key, "unit"])
+    counts = near.select(key, "unit", F.explode("words").alias("word")).groupBy(key, "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
     weighed = counts.join(weights, "word", "left").withColumn("w", F.col("tf") * F.coalesce("weight", F.lit(rare)))
     norms = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    shared = counts.join(postings, "word").groupBy(key, "line", "licence").agg(F.sum(F.col("tf") * F.col("product")).alias("dot"))
-    scored = shared.join(weighed.groupBy(key, "line").agg(norms.alias("norm")), [key, "line"])
+    shared = counts.join(postings, "word").groupBy(key, "unit", "template", "licence").agg(F.sum(F.col("tf") * F.col("product")).alias("dot"))
+    scored = shared.join(weighed.groupBy(key, "unit").agg(norms.alias("norm")), [key, "unit"])
     good = scored.withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("licence", "similarity"), F.struct("similarity", _falling("licence", templates)))
     return good.groupBy(key).agg(best.alias("b")).select(key, "b.licence", "b.similarity")
@@ -98,10 +170,12 @@ def _falling(column: str, templates) -> Column:
 
 def licences(files: DataFrame, key: str, path: str = "path", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """key, path, licence, similarity, origin (own, inherited, none) and ``from_directory`` of each row."""
-    rows = files.select(F.col(key), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
+    body = text_or_empty(text)
+    row = F.xxhash64(F.col(key).cast("string"), F.col(path).cast("string"), body).alias("row")  # tells rows apart that lack an id or repeat one
+    rows = files.select(F.col(key), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), row)
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
-    own = line_licences(files, key, text, templates, threshold)
-    placed = rows.join(own, key, "left").withColumn("directory", folder)
+    own = unit_licences(files.select(row, body.alias("body")).dropDuplicates(["row"]), "row", "body", templates, threshold)
+    placed = rows.join(own, "row", "left").withColumn("directory", folder)
     first = F.max_by(F.struct("licence", "similarity"), F.struct("similarity", _falling("licence", templates)))
     held = placed.filter("licence IS NOT NULL").groupBy("directory").agg(first.alias("b")).select(F.col("directory").alias("above"), F.col("b.licence").alias("theirs"))
     # Directories look up their ancestors once, so that files only join their own directory.
@@ -134,19 +208,21 @@ def op7_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    weight, scaled = template_weights(TEMPLATES)
-    rare = math.log(1 + len(TEMPLATES)) + 1
+    weight, scaled, rare = template_weights(TEMPLATES)
     w = ", ".join(f"('{k}', CAST({v!r} AS DOUBLE))" for k, v in weight.items())
-    p = ", ".join(f"('{k}', '{n}', CAST({weight[k] * v!r} AS DOUBLE))" for n, t in scaled.items() for k, v in t.items())
+    p = ", ".join(f"('{k}', {i}, '{n}', CAST({weight[k] * v!r} AS DOUBLE))" for i, (n, t) in enumerate(scaled) for k, v in t.items())
     return f"""
-WITH weights(word, weight) AS (VALUES {w}), postings(word, licence, product) AS (VALUES {p}),
+WITH weights(word, weight) AS (VALUES {w}), postings(word, template, licence, product) AS (VALUES {p}),
 files AS (SELECT doc_id, coalesce(source, '') || '/' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CAST(doc_id // 50 AS VARCHAR) AS directory,
- CAST(doc_id AS VARCHAR) AS name, text FROM documents),
-lines AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line FROM files)),
-counts AS (SELECT doc_id, line, word, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(line, '{_WORD}', 0)) AS word FROM lines) GROUP BY ALL),
-norms AS (SELECT doc_id, line, sqrt(sum(tf * coalesce(weight, {rare!r}) * tf * coalesce(weight, {rare!r}))) AS norm FROM counts LEFT JOIN weights USING (word) GROUP BY ALL),
-dots AS (SELECT doc_id, line, licence, sum(tf * product) AS dot FROM counts JOIN postings USING (word) GROUP BY ALL),
-good AS (SELECT doc_id, licence, round(dot / norm, 6) AS similarity FROM dots JOIN norms USING (doc_id, line) WHERE round(dot / norm, 6) >= {THRESHOLD}),
+ CAST(doc_id AS VARCHAR) AS name, lower(coalesce(text, '')) AS body FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS unit, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM files),
+units AS (SELECT doc_id, unit FROM lines UNION SELECT a.doc_id, a.unit || ' ' || b.unit FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.n = a.n + 1
+ UNION SELECT doc_id, unnest(regexp_split_to_array(body, '\\n[ \\t\\r]*\\n')) FROM files UNION SELECT doc_id, body FROM files),
+told AS (SELECT DISTINCT doc_id, unit FROM units),
+counts AS (SELECT doc_id, unit, word, count(*) AS tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(unit, '{_WORD}', 0)) AS word FROM told) GROUP BY ALL),
+norms AS (SELECT doc_id, unit, sqrt(sum(tf * coalesce(weight, {rare!r}) * tf * coalesce(weight, {rare!r}))) AS norm FROM counts LEFT JOIN weights USING (word) GROUP BY ALL),
+dots AS (SELECT doc_id, unit, template, licence, sum(tf * product) AS dot FROM counts JOIN postings USING (word) GROUP BY ALL),
+good AS (SELECT doc_id, licence, round(dot / norm, 6) AS similarity FROM dots JOIN norms USING (doc_id, unit) WHERE round(dot / norm, 6) >= {THRESHOLD}),
 own AS (SELECT doc_id, licence, similarity FROM good QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, licence) = 1),
 placed AS (SELECT f.doc_id, directory, name, licence, similarity FROM files f LEFT JOIN own USING (doc_id)),
 held AS (SELECT directory AS above, licence AS theirs FROM placed WHERE licence IS NOT NULL

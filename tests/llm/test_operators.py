@@ -397,7 +397,7 @@ def test_near_copies_like_brute_force(spark, monkeypatch):
 
 
 def test_licence_inheritance(spark):
-    mit, gpl = licences.TEMPLATES["MIT"], licences.TEMPLATES["GPL-3.0"]
+    mit, gpl = licences.NOTICES["MIT"][0], licences.NOTICES["GPL-3.0"][0]
     files = [("a/LICENSE", mit), ("a/x.txt", "words"), ("a/b/y.txt", "the public of this"), ("a/b/c/LICENSE", gpl + "\nmore"), ("a/b/c/z.txt", None), ("q/r.txt", ""), (None, "x")]
     df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "id int, path string, text string")
     got = {r.id: (r.licence, r.origin, r.from_directory) for r in licences.licences(df, "id").collect()}
@@ -405,6 +405,38 @@ def test_licence_inheritance(spark):
     assert got[3] == ("GPL-3.0", "own", None) and got[4] == ("GPL-3.0", "inherited", "a/b/c") and got[5] == got[6] == (None, "none", None)
 
 
+def wrapped(text, mark="", width=72):
+    import textwrap
+
+    return "\n".join(f"{mark}{line}" for line in textwrap.wrap(text, width))
+
+
+def test_real_headers_and_files(spark):
+    """Headers in comments, wrapped notices and whole licence files, with names and years filled in, among other text."""
+    t = licences.TEXTS
+    prose = "The harbour lay still that morning and nobody spoke of the licence on the wall.\n\nA second paragraph of plain words follows."
+    cases = [
+        (f"MIT License\n\nCopyright (c) 2019 Some Body\n\n{wrapped(t['MIT'][0])}\n", "MIT"),
+        ("The MIT License (MIT)\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n", "MIT"),
+        ("/*\n" + wrapped("Copyright 2020 Some Company. " + t["Apache-2.0"][0], " * ") + "\n */\n\nint main() { return 0; }\n" + prose, "Apache-2.0"),
+        (f"BSD 3-Clause License\n\nCopyright (c) 2018, Them\n\n{wrapped(t['BSD-3-Clause'][0])}", "BSD-3-Clause"),
+        (f"Copyright (c) 2018, Them\n\n{wrapped(t['BSD-2-Clause'][0])}", "BSD-2-Clause"),
+        ("#!/usr/bin/env python\n#\n" + wrapped("Copyright (C) 2021 A. Uthor. " + t["GPL-3.0"][0], "# ") + "\n\nimport os\n", "GPL-3.0"),
+        (wrapped(t["LGPL-2.1"][0], "// ") + "\n\n" + prose, "LGPL-2.1"),
+        (wrapped(t["MPL-2.0"][0], "; "), "MPL-2.0"),
+        (wrapped(t["ISC"][0]), "ISC"),
+        ("// SPDX-License-Identifier: GPL-2.0\n" + prose, "GPL-2.0"),
+        ("# Use of this source code is governed by a BSD-style license that can be\n# found in the LICENSE file.\n\n" + prose, "BSD-3-Clause"),
+        ("# This work is licensed under the GNU General\n# Public License, version 3.\n" + prose, "GPL-3.0"),
+        (prose, None),
+        ("We must use, copy and modify the software without permission, the author said, and distribute it for any purpose.", None),
+    ]
+    rows = [(i if i else None, f"d{i}/f", x) for i, (x, _) in enumerate(cases)]  # one row without an id
+    df = spark.createDataFrame(rows, "id long, path string, text string")
+    got = {r.path: r.licence for r in licences.licences(df, "id").collect()}
+    assert got == {f"d{i}/f": want for i, (_, want) in enumerate(cases)}
+
+
 def test_trigram_queries():
     q = trigrams.trigram_query
     assert q("AKIA[A-Z0-9]{12,}") == [frozenset({"aki", "kia"})] and q("[0-9a-f]{32,}") is None and q("abc?") is None
