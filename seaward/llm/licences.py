@@ -174,7 +174,7 @@ def licences(files: DataFrame, key: str, path: str = "path", text: str = "text",
     row = F.xxhash64(F.col(key).cast("string"), F.col(path).cast("string"), body).alias("row")  # tells rows apart that lack an id or repeat one
     rows = files.select(F.col(key), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), row)
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
-    own = unit_licences(files.select(row, body.alias("body")).dropDuplicates(["row"]), "row", "body", templates, threshold)
+    own = unit_licences(files.select(row, body.alias("body")), "row", "body", templates, threshold)
     placed = rows.join(own, "row", "left").withColumn("directory", folder)
     first = F.max_by(F.struct("licence", "similarity"), F.struct("similarity", _falling("licence", templates)))
     held = placed.filter("licence IS NOT NULL").groupBy("directory").agg(first.alias("b")).select(F.col("directory").alias("above"), F.col("b.licence").alias("theirs"))
