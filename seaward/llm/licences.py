@@ -24,7 +24,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaward.llm.common import read_table, text_or_empty
+from seaward.llm.common import materialize, read_table, text_or_empty
 
 #: Notices, header notices and texts of licences as published; a parameter of ``licences``.
 NOTICES = {
@@ -152,7 +152,7 @@ def unit_licences(files: DataFrame, key: str, text: str, templates=TEMPLATES, th
     pairs = F.when(F.size("lines") > 1, F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.concat_ws(" ", F.slice("lines", i, 2)))).otherwise(F.array().cast("array<string>"))
     units = cut.select(key, F.explode(F.concat("lines", pairs, "blocks", F.array("body"))).alias("unit"))
     near = units.select(key, words(F.col("unit")).alias("words"), F.xxhash64("unit").alias("unit")).filter(F.arrays_overlap("words", asked)).dropDuplicates([key, "unit"])
-    counts = near.select(key, "unit", F.explode("words").alias("word")).groupBy(key, "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
+    counts = materialize(near.select(key, "unit", F.explode("words").alias("word")).groupBy(key, "unit", "word").agg(F.count(F.lit(1)).alias("tf")), "licence-words")
     weighed = counts.join(weights, "word", "left").withColumn("w", F.col("tf") * F.coalesce("weight", F.lit(rare)))
     norms = F.sqrt(F.sum(F.col("w") * F.col("w")))
     shared = counts.join(postings, "word").groupBy(key, "unit", "template", "licence").agg(F.sum(F.col("tf") * F.col("product")).alias("dot"))
