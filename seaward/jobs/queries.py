@@ -6,6 +6,8 @@ and diagnostics come from ``events``, points from ``supplier``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -481,3 +483,280 @@ def rename_cf(spark, sf_dir):
     rad = vectors_of(spark, sf_dir)
     flagged = rad.withColumn("Q203", qc.q203_valid_location(rad.columns)).drop("prefix", "time", "row_no")
     return series.rename_published(flagged)
+
+
+# --- limits of each site, chosen tests, provenance
+
+LIMIT_ROWS = {
+    "S0": {"max_speed": 75.0, "high_speed": 60.0, "min_count": 180, "low_count": 190, "reference_bearing": 180.0, "warning_threshold": 2.0, "failure_threshold": 5.0,
+           "current_difference": 30.0, "gradient_fail": 54.0, "gradient_warn": 36.0, "n_steps": 3, "include": ["qc_qartod_syntax", "qc_qartod_valid_location", "qc_qartod_radial_count", "qc_qartod_maximum_velocity", "qc_qartod_spatial_median"]},
+    "S1": {"max_speed": 70.0, "high_speed": 50.0, "min_count": 170, "low_count": 185, "reference_bearing": 170.0, "warning_threshold": 4.0, "failure_threshold": 12.0,
+           "current_difference": 25.0, "gradient_fail": 50.0, "gradient_warn": 30.0, "n_steps": 2, "include": None},
+}
+_NAMES = [n for n in LIMIT_ROWS["S0"] if n != "include"]
+
+
+def site_limits(spark: SparkSession) -> DataFrame:
+    kinds = ", ".join(f"{n} {'int' if n in ('min_count', 'low_count', 'n_steps') else 'double'}" for n in _NAMES)
+    return spark.createDataFrame([(s, *(v[n] for n in _NAMES), v["include"]) for s, v in LIMIT_ROWS.items()], f"site string, {kinds}, include array<string>")
+
+
+_LIM = f"lim(site, {', '.join(_NAMES)}) AS (VALUES {', '.join('(' + ', '.join([repr(s), *(f'{v[n]}' if n in ('min_count', 'low_count', 'n_steps') else f'CAST({v[n]} AS DOUBLE)' for n in _NAMES)]) + ')' for s, v in LIMIT_ROWS.items())})"
+_STEP = "abs(r.velo - p.velo)"
+
+
+@query(f"""{WITH}, {_MED}, {_LIM}, flagged AS (SELECT {_RK}, {_Q201.replace('hr', 'r.hr')} AS "Q201", CASE WHEN abs(r.velo) > max_speed THEN 4 WHEN abs(r.velo) > high_speed AND abs(r.velo) < max_speed THEN 3 ELSE 1 END AS "Q202",
+ {_Q203.replace('vflg', 'r.vflg')} AS "Q203", CASE WHEN n < min_count THEN 4 WHEN n <= low_count THEN 3 ELSE 1 END AS "Q204", CASE WHEN abs(r.velo - m) > current_difference THEN 4 ELSE 1 END AS "Q205",
+ CASE WHEN p.velo IS NULL THEN 2 WHEN {_STEP} > gradient_fail THEN 4 WHEN {_STEP} > gradient_warn AND {_STEP} < gradient_fail THEN 3 ELSE 1 END AS "Q206",
+ CASE WHEN p.velo IS NULL OR (n_steps > 2 AND o.velo IS NULL) THEN 2 WHEN {_STEP} >= 0.01 OR (n_steps > 2 AND abs(p.velo - o.velo) >= 0.01) THEN 1 ELSE 4 END AS "Q209",
+ CASE WHEN abs(b - reference_bearing) >= failure_threshold THEN 4 WHEN abs(b - reference_bearing) >= warning_threshold THEN 3 ELSE 1 END AS "Q207"
+ FROM {_BACK} JOIN med m ON m.site = r.site AND m.hr = r.hr AND m.bcell = r.bcell AND m."SPRC" = r."SPRC" JOIN lim ON lim.site = r.site
+ JOIN (SELECT site, hr, count(*) FILTER (WHERE vflg <> 128) AS n, avg(bear) AS b FROM rad GROUP BY ALL) f ON f.site = r.site AND f.hr = r.hr)
+SELECT {_K}, {_ALL}, CASE WHEN site = 'S0' THEN {_prim("Q201", "Q202", "Q203", "Q204", "Q205")} ELSE {_prim(*_TESTS)} END AS "PRIM" FROM flagged""")
+def qc_by_site(spark, sf_dir):
+    rad = vectors_of(spark, sf_dir)
+    return qc.qc_radials(rad, files_of(rad), limits=site_limits(spark)).select(*KEYS, *_TESTS, "PRIM")
+
+
+@query(f'{WITH} SELECT {_K}, "Q202", "Q204", {_prim("Q202")} AS "PRIM" FROM ({_ROWS})')
+def qc_chosen_tests(spark, sf_dir):
+    rad = vectors_of(spark, sf_dir)
+    flagged = qc.qc_radials(rad, files_of(rad), LIMITS, tests=("Q202", "Q204"), include=["qc_qartod_maximum_velocity"])
+    return flagged.drop("prefix", "time", "row_no", "LOND", "LATD", "VELO", "VFLG", "BEAR", "RNGE")
+
+
+@query(f'{_CHAIN} SELECT {_K}, velo AS "VELO" FROM flagged WHERE {_prim(*_TESTS)} = 1')
+def passed_only(spark, sf_dir):
+    return qc.passed_only(_chain(spark, sf_dir)).select(*KEYS, "VELO")
+
+
+def _provenance_sql() -> str:
+    def lines(v: dict) -> list[str]:
+        inside = {
+            "syntax (Q201": "", "maximum_velocity (Q202": f"high={v['high_speed']}, max={v['max_speed']}", "valid_location (Q203": "VFLG=128",
+            "radial_count (Q204": f"failure={v['min_count']}, warning={v['low_count']}, valid=@", "spatial_median (Q205": f"range_cells=2.1, angle=10.0, difference={v['current_difference']}",
+            "temporal_gradient (Q206": f"warning={v['gradient_warn']}, failure={v['gradient_fail']}", "stuck_value (Q209": f"resolution=0.01, N={v['n_steps']}",
+            "avg_radial_bearing (Q207": f"reference={v['reference_bearing']}, warning={v['warning_threshold']}, failure={v['failure_threshold']}",
+        }
+        counted = "Q201, Q202, Q203, Q204, Q205" if v["include"] else "Q201, Q202, Q203, Q204, Q205, Q206, Q209, Q207"
+        return [*(f"%QCTest: qc_qartod_{k}) - Thresholds=[{x}]" for k, x in inside.items()), f"%QCTest: qc_qartod_primary_flag (PRIM) - highest of {counted} (2 ignored)"]
+
+    rows = ", ".join(f"('{s}', {i}, '{line}')" for s, v in LIMIT_ROWS.items() for i, line in enumerate(lines(v)))
+    return f"""{WITH}, told(site, position, line) AS (VALUES {rows}), n AS (SELECT site, hr, count(*) FILTER (WHERE vflg <> 128) AS n FROM rad GROUP BY ALL)
+SELECT site, hr, CAST(position AS INTEGER) AS position, replace(line, '@', CAST(n AS VARCHAR)) AS line FROM told JOIN n USING (site)"""
+
+
+@query(_provenance_sql())
+def qc_provenance(spark, sf_dir):
+    rad = vectors_of(spark, sf_dir)
+    valid = rad.groupBy("site", "hr").agg(F.count_if(F.col("VFLG") != 128).alias("n_valid"))
+    files, limits, _ = qc.with_limits(valid, site_limits(spark))
+    include = site_limits(spark).select("site", "include")
+    lines = qc.provenance(limits, qc.USUAL, F.col("include"), F.col("n_valid"))
+    return files.join(include, "site").select("site", "hr", F.posexplode(lines).alias("position", "line"))
+
+
+# --- texts of station files
+
+_SECOND = "%TableType: rads rad1\n%TableColumns: 8\n%TableColumnTypes: TIME AMP1 TYRS TMON TDAY THRS TMIN TSEC\n%TableRows: 1\n%TableStart: 2\n%  {}  0.5  2019  1  2  3  4  5\n%TableEnd: 2\n%%\n"
+_FOOT = "%ProcessedTimeStamp: 2019 01 02  03 04 05\n%ProcessingTool: \"First\" 1.0\n%ProcessingTool: \"Second\" 2.0\n%End:\n"
+
+
+def radial_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content of a station file for each site and hour, with an inner diagnostics table and a footer."""
+    rad = vectors_of(spark, sf_dir).withColumn("path", F.concat(F.concat_ws("_", "prefix", "site", F.date_format("time", "yyyy_MM_dd_HHmm")), F.lit(".ruv")))
+    head = F.array(F.lit("%CTF: 1.00"), F.concat(F.lit("%Site: "), "site", F.lit(' ""')), F.concat(F.lit("%TimeStamp: "), F.date_format("time", "yyyy MM dd  HH mm ss")))
+    texts = ctf.render_files(rad, head, FORMATS, "LLUV RDL9")
+    hour = F.regexp_extract("path", "_([0-9]{2})00\\.ruv$", 1)
+    before, after = (F.lit(x) for x in _SECOND.split("{}"))
+    return texts.select("path", F.concat(F.regexp_replace("value", "%End:\n$", ""), before, hour, after, F.lit(_FOOT)).alias("content"))
+
+
+def _text(*lines: str) -> str:
+    return " || chr(10) || ".join(lines)
+
+
+_QC_HEAD = _text(*(f"'{x}'" for x in ctf.QC_LINES))
+_STAMP = "strftime(any_value(ts), '%Y %m %d  %H %M %S')"
+_LINE = """' ' || concat_ws('  ', printf('%.7f', lond), printf('%.7f', latd), CAST(vflg AS VARCHAR), printf('%.3f', velo), printf('%.1f', bear), CAST("SPRC" AS VARCHAR), CAST("Q202" AS VARCHAR), CAST("Q202" AS VARCHAR))"""
+
+
+@query(f"""{WITH}, flagged AS (SELECT *, {_Q202} AS "Q202" FROM rad),
+texts AS (SELECT site, hr, 'RDLi_' || site || strftime(any_value(ts), '_%Y_%m_%d_%H%M') || '.ruv' AS path, {_text("'%CTF: 1.00'", "'%Site: ' || site || ' \"\"'", f"'%TimeStamp: ' || {_STAMP}", _QC_HEAD,
+ "'%QCTest: qc_qartod_maximum_velocity (Q202) - Thresholds=[high=60.0, max=75.0]'", "'%QCTest: qc_qartod_primary_flag (PRIM) - highest of Q202 (2 ignored)'", "'%TableType: LLUV RDL9'", "'%TableColumns: 8'", "'%TableColumnTypes: LOND LATD VFLG VELO BEAR SPRC Q202 PRIM'",
+ "'%TableRows: ' || CAST(count(*) AS VARCHAR)", "'%TableStart:'", f"string_agg({_LINE}, chr(10) ORDER BY row_no)", "'%TableEnd:'", "'%%'")} || chr(10) ||
+ replace(replace('{_SECOND}', '{{}}', lpad(CAST(hr % 24 AS VARCHAR), 2, '0')), '\n', chr(10)) || replace('{_FOOT}', '\n', chr(10)) AS value FROM flagged GROUP BY site, hr)
+SELECT path, length(value) AS n, md5(value) AS digest FROM texts""".replace(_SECOND, _SECOND.replace("\n", "\\n")).replace(_FOOT, _FOOT.replace("\n", "\\n")).replace("'\n', chr(10)", "'\\n', chr(10)"))
+def ctf_export(spark, sf_dir):
+    parsed = ctf.parse_files(radial_texts(spark, sf_dir)).withColumn("ran", qc.provenance(LIMITS, ("Q202",)))
+    flagged = qc.qc_radials(ctf.read_radials(parsed), ctf.file_table(parsed), LIMITS, tests=("Q202",))
+    out = ctf.export_files(flagged, parsed, ctf.RADIAL_COLUMNS, ("Q202", "PRIM"), "ran")
+    return out.select("path", F.length("value").alias("n"), F.md5("value").alias("digest"))
+
+
+@query(f"""{WITH} SELECT DISTINCT site, hr, CAST(hr % 24 AS DOUBLE) AS "TIME_S", CAST(0.5 AS DOUBLE) AS "AMP1", '2019-01-02 03:04:05' AS stamp FROM rad""")
+def internal_diagnostics(spark, sf_dir):
+    parsed = ctf.parse_files(radial_texts(spark, sf_dir))
+    rows = ctf.read_diagnostics(parsed, "rads", {"TIME": "double", "AMP1": "double"}).withColumn("hour", F.regexp_extract("path", "_([0-9]{4}_[0-9]{2}_[0-9]{2}_[0-9]{4})", 1))
+    at = F.try_to_timestamp("hour", F.lit("yyyy_MM_dd_HHmm"))
+    return rows.select("site", ((F.unix_timestamp(at) - EPOCH) / 3600).cast("bigint").alias("hr"), "TIME_S", "AMP1", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+
+
+def diagnostic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content of a diagnostics file for each day of events."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS row_no", "concat('STAT_TEST_', date_format(ts, 'yyyy_MM_dd'), '.rdt') AS path", "CAST(event_id AS INT) AS TIME", "CAST(round(value * 100) AS INT) AS AMP1", *_PARTS)
+    head = F.array(F.lit("%CTF: 1.00"), F.lit('%Site: TEST ""'))
+    texts = ctf.render_files(rows, head, dict.fromkeys(("TIME", "AMP1", *ctf.TIME_PARTS), "%d"), "rads rad1")
+    return texts.select("path", F.regexp_replace("value", "%End:\n$", '%ProcessingTool: "One" 1.0\n%End:\n').alias("content"))
+
+
+_PARTS = [f"CAST({f}(ts) AS INT) AS {n}" for f, n in zip(("year", "month", "day", "hour", "minute", "second"), ctf.TIME_PARTS, strict=True)]
+_DIAG = {"TIME": "int", "AMP1": "int"}
+
+
+@query("""SELECT event_id AS "TIME_S", CAST(round(value * 100) AS INTEGER) AS "AMP1", strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, 'TEST' AS site FROM events""")
+def diag_read(spark, sf_dir):
+    rows = ctf.read_diagnostics(ctf.parse_files(diagnostic_texts(spark, sf_dir)), "rads", _DIAG)
+    return rows.select(F.col("TIME_S").cast("bigint").alias("TIME_S"), "AMP1", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "site")
+
+
+@query(f"""WITH rows AS (SELECT event_id, strftime(ts, 'STAT_TEST_%Y_%m_%d.rdt') AS path, ' ' || concat_ws('  ', event_id, CAST(round(value * 100) AS INTEGER), {', '.join(f'{f}(ts)' for f in ('year', 'month', 'day', 'hour', 'minute', 'second'))}) AS line FROM events WHERE event_id % 2 = 0),
+texts AS (SELECT path, {_text("'%CTF: 1.00'", "'%Site: TEST \"\"'", "'%TableType: rads rad1'", "'%TableColumns: 8'", "'%TableColumnTypes: TIME AMP1 TYRS TMON TDAY THRS TMIN TSEC'", "'%TableRows: ' || CAST(count(*) AS VARCHAR)", "'%TableStart:'", "string_agg(line, chr(10) ORDER BY event_id)", "'%TableEnd:'", "'%%'", "'%ProcessingTool: \"One\" 1.0'", "'%End:'")} || chr(10) AS value FROM rows GROUP BY path)
+SELECT path, length(value) AS n, md5(value) AS digest FROM texts""")
+def diag_export(spark, sf_dir):
+    parsed = ctf.parse_files(diagnostic_texts(spark, sf_dir))
+    columns = _DIAG | dict.fromkeys(ctf.TIME_PARTS, "int")
+    rows = ctf.table_rows(parsed, "rads", columns).filter("TIME_S % 2 = 0")
+    out = ctf.export_files(rows, parsed.join(rows.select("path").distinct(), "path", "left_semi"), columns)
+    return out.select("path", F.length("value").alias("n"), F.md5("value").alias("digest"))
+
+
+def wave_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content of wave files: ranged ones with a table for each distance, averaged ones with a second table too."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id AS row_no", "event_id % 2 AS ranged", "event_id % 4 DIV 2 AS part", "date_format(ts, 'yyyy_MM_dd') AS day", "CAST(event_id AS INT) AS TIME", "CAST(round(value * 100) AS INT) AS MWHT", "CAST(user_id % 10 AS INT) AS DIST", *_PARTS,
+    ).withColumn("path", F.concat_ws("/", "ranged", "day", "part"))
+    head = F.array(F.lit('%Site: TEST ""'), F.lit("%Origin: 40.3668167 -73.9735333"))
+    shown = dict.fromkeys(("TIME", "MWHT", "DIST", *ctf.TIME_PARTS), "%d")
+    one = ctf.render_files(rows, head, shown, "WAVL WVM9").select(F.split("path", "/").alias("p"), "value")
+    hidden = F.regexp_replace("value", r"(?m)^(\d+  \d+)  \d+", "$1  nan")  # averaged files have no distances
+    tables_ = one.select(F.col("p")[0].alias("ranged"), F.col("p")[1].alias("day"), F.col("p")[2].alias("part"), F.regexp_replace(F.when(F.col("p")[0] == "1", F.col("value")).otherwise(hidden), "%End:\n$", "").alias("value"))
+    whole = tables_.groupBy("ranged", "day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "value"))), lambda x: x["value"]), "").alias("text"))
+    return whole.select(F.concat(F.when(F.col("ranged") == "1", "WVLR").otherwise("WVLM"), F.lit("_TEST_"), "day", F.lit("_0000.wls")).alias("path"), F.concat("text", F.lit("%End:\n")).alias("content"))
+
+
+@query("""WITH e AS (SELECT *, min(event_id % 4 // 2) OVER (PARTITION BY event_id % 2, CAST(ts AS DATE)) AS part FROM events)
+SELECT event_id AS "TIME_S", CAST(round(value * 100) AS DOUBLE) AS "MWHT", CASE WHEN event_id % 2 = 1 THEN CAST(user_id % 10 AS DOUBLE) END AS "DIST", CASE WHEN event_id % 2 = 1 THEN 'ranged' ELSE 'averaged' END AS kind,
+ strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, CAST(-73.9735333 AS DOUBLE) AS lon, CAST(40.3668167 AS DOUBLE) AS lat FROM e WHERE (event_id % 2 = 1 OR event_id % 4 // 2 = part) AND round(value * 100) NOT IN (999, 1080)
+UNION ALL SELECT event_id, NULL, CASE WHEN event_id % 2 = 1 THEN CAST(user_id % 10 AS DOUBLE) END, CASE WHEN event_id % 2 = 1 THEN 'ranged' ELSE 'averaged' END, strftime(ts, '%Y-%m-%d %H:%M:%S'), -73.9735333, 40.3668167
+ FROM e WHERE (event_id % 2 = 1 OR event_id % 4 // 2 = part) AND round(value * 100) IN (999, 1080)""")
+def wave_read(spark, sf_dir):
+    parsed = ctf.parse_files(wave_texts(spark, sf_dir))
+    rows = ctf.table_rows(parsed, "WAVL", {"TIME": "double"}).select("path", "table_no", "row_no", F.col("TIME_S").cast("bigint").alias("TIME_S"))
+    waves = series.wave_positions(ctf.read_waves(parsed), ctf.file_table(parsed)).join(rows, ["path", "table_no", "row_no"])
+    return waves.select("TIME_S", "MWHT", "DIST", "kind", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "lon", "lat")
+
+
+@query("""SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, 'TEST' AS "Site", strftime(ts, '%Y-%m-%d') || ' 01:00:00' AS "TimeStamp", '10.5' AS "TimeCoverage", '2' AS "WaveMergeMethod", 'UTC' AS "TimeZone",
+ '0.0, 360.0' AS "WaveBearingLimits", CAST(year(ts) AS VARCHAR) || ', -' || CAST(day(ts) AS VARCHAR) AS "CoastlineSector" FROM events""")
+def clean_wave_header(spark, sf_dir):
+    days = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.year("ts").alias("y"), F.dayofmonth("ts").alias("d")).distinct()
+    pairs = {
+        "Site": F.lit('TEST ""'), "TimeStamp": F.concat(F.regexp_replace("day", "-", " "), F.lit("  01 00 00")), "TimeCoverage": F.lit("10.5 Minutes"), "WaveMergeMethod": F.lit("2 MedVectors"),
+        "TimeZone": F.lit('"UTC" +0.000 0'), "WaveBearingLimits": F.lit("0.0 360.0"), "CoastlineSector": F.concat_ws(" ", F.col("y"), F.concat(F.lit("-"), F.col("d"))),
+    }
+    typed = headers.clean_wave_header(F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v))))
+    return days.select("day", *(typed[k].alias(k) for k in pairs))
+
+
+# --- written and read back
+
+
+def _scratch(spark: SparkSession, label: str) -> str:
+    return f"{tables.shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query(f"{WITH} SELECT DISTINCT 'RDLi_' || site || strftime(ts, '_%Y_%m_%d_%H%M') || '.ruv' AS file FROM rad")
+def list_files(spark, sf_dir):
+    at = _scratch(spark, "text")
+    tables.write_text(radial_texts(spark, sf_dir).withColumnRenamed("content", "value"), at)
+    return tables.list_files(spark, at, "*.txt").filter("length > 0").select(F.regexp_extract("path", "file=([^/]*)/", 1).alias("file")).distinct()
+
+
+@query(SQL["extract_timeseries"].replace('"range", bearing, velo AS "VELO" FROM near', 'velo AS "VELO" FROM near'))
+def series_csv(spark, sf_dir):
+    at = _scratch(spark, "series")
+    cells = series.time_slice(_cells(spark, sf_dir), None, "2019-01-03 11:00:00")
+    tables.write_series(grid.extract_series(cells, _points(spark, sf_dir), origins_of(spark), ["VELO"]), at)
+    columns = grid.extract_series(cells, _points(spark, sf_dir), origins_of(spark), ["VELO"]).columns
+    kinds = {"point_id": "bigint", "site": "string", "time": "timestamp", "range": "double", "bearing": "double", "VELO": "double"}
+    back = spark.read.option("header", True).schema(", ".join(f"`{c}` {kinds[c]}" for c in columns)).csv(at)
+    return back.select("point_id", "site", ((F.unix_timestamp("time") - EPOCH) / 3600).cast("bigint").alias("hr"), "VELO")
+
+
+@query(SQL["concat_radials"])
+def read_back(spark, sf_dir):
+    at, rad = _scratch(spark, "tables"), vectors_of(spark, sf_dir)
+    tables.write_table(rad.filter("site = 'S0'").drop("VFLG"), f"{at}/one")
+    tables.write_table(rad.filter("site = 'S1'"), f"{at}/two")
+    return tables.read_tables(spark, f"{at}/one", f"{at}/two").select(*KEYS, "VELO", "VFLG")
+
+
+@query(f"""{WITH} SELECT {_K}, velo AS "VELO" FROM rad WHERE site = 'S1'""")
+def of_prefix(spark, sf_dir):
+    rad = vectors_of(spark, sf_dir).withColumn("prefix", F.when(F.col("site") == "S1", "RDLm").otherwise("RDLi"))
+    return series.of_prefix(rad, "RDLm").select(*KEYS, "VELO")
+
+
+@query(f"{WITH} SELECT site, hr FROM (SELECT site, hr, count(*) AS n FROM rad GROUP BY ALL) WHERE hr % 17 <> 4")
+def valid_files(spark, sf_dir):
+    files = files_of(vectors_of(spark, sf_dir)).withColumn("is_corrupt", F.col("hr") % 17 == 4)
+    return series.valid_files(files).select("site", "hr")
+
+
+# --- grids of files
+
+_AXES = """ax AS (SELECT site, hr, round(min(rnge), 4) AS lo, CAST(ceil((round(max(rnge) + 3.0203, 4) - min(rnge)) / 3.0203) AS BIGINT) AS n, min(rnge) AS low FROM rad WHERE hr % 11 <> 5 GROUP BY ALL),
+fcells AS (SELECT site, hr, round(low + i * CAST(3.0203 AS DOUBLE), 4) AS "range", bear AS bearing, arg_max(velo, row_no) AS velo FROM (SELECT *, least(greatest(ceil((rnge - lo) / CAST(3.0203 AS DOUBLE) - 0.5), 0), n - 1) AS i FROM rad JOIN ax USING (site, hr)) GROUP BY ALL)"""
+_HERE = "CAST(-73.9735333 AS DOUBLE) AS lon, CAST(40.3668167 AS DOUBLE) AS lat"
+_GRID = f"""{WITH}, {_AXES}, places AS ({_forward_sql(f'SELECT DISTINCT "range", bearing, {_HERE}, bearing AS az, "range" AS km FROM fcells', '"range", bearing')})
+SELECT site, hr, "range", bearing, round(lon2, 4) AS lon, round(lat2, 4) AS lat, velo AS "VELO" FROM fcells JOIN places USING ("range", bearing)"""
+
+
+def _hour(column: str = "time"):
+    return ((F.unix_timestamp(column) - EPOCH) / 3600).cast("bigint").alias("hr")
+
+
+@query(_GRID)
+def grid_from_header(spark, sf_dir):
+    rad = vectors_of(spark, sf_dir)
+    cells = grid.grid_files(rad, files_of(rad).filter("hr % 11 <> 5"), ["VELO"])
+    return cells.select("site", _hour(), "range", "bearing", "lon", "lat", "VELO")
+
+
+RANGES, BEARINGS = [6.0, 20.0, 45.5, 60.0], [0.0, 45.0, 90.0, 200.0, 300.0]
+_VALUES = lambda name, values: f"{name}(v) AS (VALUES {', '.join(f'(CAST({v} AS DOUBLE))' for v in values)})"
+
+
+@query(f"""{WITH}, {_VALUES("rs", RANGES)}, {_VALUES("bs", BEARINGS)}, files AS (SELECT DISTINCT site, hr FROM rad WHERE hr % 11 <> 5),
+nr AS (SELECT rnge, v AS "range" FROM (SELECT DISTINCT rnge FROM rad), rs QUALIFY row_number() OVER (PARTITION BY rnge ORDER BY abs(v - rnge), v) = 1),
+nb AS (SELECT bear, v AS bearing FROM (SELECT DISTINCT bear FROM rad), bs QUALIFY row_number() OVER (PARTITION BY bear ORDER BY abs(v - bear), v) = 1),
+ecells AS (SELECT site, hr, "range", bearing, arg_max(velo, row_no) AS velo FROM rad JOIN nr USING (rnge) JOIN nb USING (bear) GROUP BY ALL)
+SELECT f.site, f.hr, f.r AS "range", f.b AS bearing, velo AS "VELO" FROM (SELECT site, hr, rs.v AS r, bs.v AS b FROM files, rs, bs) f LEFT JOIN ecells c ON c.site = f.site AND c.hr = f.hr AND c."range" = f.r AND c.bearing = f.b""")
+def grid_explicit_axes(spark, sf_dir):
+    rad = vectors_of(spark, sf_dir)
+    cells = grid.grid_files(rad, files_of(rad).filter("hr % 11 <> 5"), ["VELO"], RANGES, BEARINGS, dense=True)
+    return cells.select("site", _hour(), "range", "bearing", "VELO")
+
+
+@query(f"SELECT *, 'gridded' AS kind, strftime(to_timestamp({EPOCH} + hr * 3600) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM ({_GRID})")
+def write_gridded(spark, sf_dir):
+    at, rad = _scratch(spark, "gridded"), vectors_of(spark, sf_dir)
+    tables.write_table(grid.grid_files(rad, files_of(rad).filter("hr % 11 <> 5"), ["VELO"]), at)
+    back = tables.read_tables(spark, at)
+    return back.select("site", _hour(), "range", "bearing", "lon", "lat", "VELO", "kind", F.date_format("date", "yyyy-MM-dd").alias("day"))
+
+
+@query(f"""{WITH} SELECT {_K}, lond AS lon, latd AS lat, velo AS "VELO", 'tabular' AS kind FROM rad""")
+def tabular(spark, sf_dir):
+    return grid.tabular(vectors_of(spark, sf_dir)).select(*KEYS, "lon", "lat", "VELO", "kind")

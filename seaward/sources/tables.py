@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +46,9 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def read_tables(spark: SparkSession, *paths: str) -> DataFrame:
-    """Tables written before, united by column name."""
-    return spark.read.option("mergeSchema", True).parquet(*paths)
+    """Tables written before, each with its own partitions, united by column name (columns that one lacks are null)."""
+    one = [spark.read.option("mergeSchema", True).parquet(p) for p in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one)
 
 
 def write_series(df: DataFrame, path: str) -> None:

@@ -112,3 +112,14 @@ def test_chain_has_few_shuffles(spark):
     flagged = qc.qc_radials(rad, queries.files_of(rad), queries.LIMITS)
     plan = flagged._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(prefix") <= 9 and "CartesianProduct" not in plan
+
+
+def test_passed_only(spark):
+    df = spark.createDataFrame([(1, 1), (2, 3), (3, 4)], "k int, PRIM int")
+    assert [r.k for r in qc.passed_only(df).collect()] == [1]
+
+
+def test_primary_flag_of_chosen_tests(spark):
+    df = spark.createDataFrame([(4, 1, ["Q202"]), (4, 3, ["qc_qartod_valid_location"]), (2, 3, None)], "Q202 int, Q203 int, i array<string>")
+    got = df.select(qc.primary_flag(["Q202", "Q203"], F.col("i")).alias("a"), qc.primary_flag(["Q202", "Q203"], ["Q203"]).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(4, 1), (3, 3), (3, 3)]

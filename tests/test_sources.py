@@ -174,3 +174,110 @@ def test_wave_and_series_jobs(spark, tmp_path):
     workflows.series_job(cells, points, origins, str(tmp_path / "series"))
     rows = spark.read.option("header", True).csv(str(tmp_path / "series")).orderBy("time").collect()
     assert [(r.point_id, r.VELO) for r in rows] == [("x", None), ("x", "6.0")]
+
+
+# --- small files of the other kinds
+
+RANGED = """%Site: TEST ""
+%Origin:  40.3668167  -73.9735333
+%TableType: WAVL WVM9
+%TableColumnTypes: TIME MWHT DIST TYRS TMON TDAY THRS TMIN TSEC
+%TableStart:
+ 0 1.5 3.0 2019 1 1 0 0 0
+%TableEnd:
+%TableType: WAVL WVM9
+%TableColumnTypes: TIME MWHT DIST TYRS TMON TDAY THRS TMIN TSEC
+%TableStart: 2
+ 0 1.7 6.0 2019 1 1 0 0 0
+%TableEnd: 2
+%End:
+"""
+RDT = """%Site: TEST ""
+%TableType: rads rad1
+%TableColumns: 10
+%TableColumnTypes: TIME AMP1 AMP2 RTYP TYRS TMON TDAY THRS TMIN TSEC
+%TableRows: 2
+%TableStart:
+%%   Time  Amp1  Amp2
+    0  0.5000  999.0000  1  2018 1 1 0 0 0
+  600  0.6000    0.7000  1  2018 1 1 0 10 0
+%TableEnd:
+%%
+%ProcessingTool: "Maker" 1.0
+%End:
+"""
+ELLIPTICAL = """%FileType: LLUV elpt "EllipticalMap"
+%Site: BRLO ""
+%TimeStamp: 2020 10 01  00 00 00
+%RadialSite: BRLO
+%TransmitterLocation: 40.3 -73.9
+%TableType: LLUV ELP9
+%TableColumnTypes: LOND LATD VELU VELV VFLG VELO SPRC
+%TableStart:
+ -73.1 40.1 1.0 2.0 0 2.2 3
+%TableEnd:
+%End:
+"""
+
+
+def parsed_text(spark, *files):
+    return ctf.parse_files(spark.createDataFrame(list(files), "path string, content string"))
+
+
+def test_other_kinds(spark):
+    waves = ctf.read_waves(parsed_text(spark, ("WVLR_TEST_2019_01_01_0000.wls", RANGED)))
+    assert sorted((r.kind, r.MWHT, r.DIST) for r in waves.collect()) == [("ranged", 1.5, 3.0), ("ranged", 1.7, 6.0)]
+    parsed = parsed_text(spark, ("STAT_TEST_2018_01_01.rdt", RDT))
+    rows = ctf.read_diagnostics(parsed, "rads", {"TIME": "double", "AMP1": "double", "AMP2": "double"}).orderBy("TIME_S").collect()
+    assert [(r.AMP1, r.AMP2) for r in rows] == [(0.5, 999.0), (0.6, 0.7)] and rows[1].time == dt.datetime(2018, 1, 1, 0, 10)
+    parsed = parsed_text(spark, ("ELTm_BRLO_2020_10_01_0000.euv", ELLIPTICAL))
+    assert ctf.file_table(parsed).first().meta["TransmitterLocation"] == "40.3 -73.9" and ctf.read_radials(parsed).first().VELO == 2.2
+
+
+def test_export_of_whole_files(spark):
+    parsed = parsed_text(spark, ("RDLi_TEST_2019_01_01_0000.ruv", CODAR.format(hour=0, velo=5.5)), ("RDLi_TEST_2019_01_01_0100.ruv", CODAR.format(hour=1, velo=6.5)))
+    parsed = parsed.withColumn("ran", F.array(F.lit("%QCTest: one")))
+    rows = ctf.read_radials(parsed).withColumn("PRIM", F.lit(1))
+    texts = {r.path: r.value for r in ctf.export_files(rows, parsed, ctf.RADIAL_COLUMNS, ("PRIM",), "ran").collect()}
+    first = texts["RDLi_TEST_2019_01_01_0000.ruv"]
+    lines = first.splitlines()
+    assert lines[:3] == ["%CTF: 1.00", '%FileType: LLUV rdls "RadialMap"', "%Manufacturer: CODAR"]
+    assert lines.index("%QCTest: one") < lines.index("%TableType: LLUV RDL9") and "%TableColumnTypes: LOND LATD VELO VFLG BEAR SPRC PRIM" in lines
+    assert " -73.9600000  40.4300000  999.000  128  6.0  3  1" in lines and "%  0  0F  2019  1  1  0  10  0" in lines
+    assert lines[-4:] == ["%ProcessedTimeStamp: 2019 01 02", '%ProcessingTool: "A" 1', '%ProcessingTool: "B" 2', "%End:"]
+    again = ctf.export_files(ctf.read_radials(parsed_text(spark, *texts.items())).withColumn("PRIM", F.lit(1)), parsed, ctf.RADIAL_COLUMNS, ("PRIM",), "ran")
+    assert {r.path: r.value for r in again.collect()} == texts
+
+
+def test_signs_of_whole_numbers(spark):
+    row = spark.createDataFrame([("-40 -73",), ("+5 .5 -1.25 7.",)], "o string").select(headers.numbers(F.col("o")).alias("n")).collect()
+    assert [r.n for r in row] == [["-40", "-73"], ["+5", ".5", "-1.25", "7."]]
+
+
+def test_replayed_files_leave_the_same_rows(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for run, hours in enumerate(((0, 1), (1, 2, 3), (3,))):  # later batches bring hours again, with other velocities
+        for h in hours:
+            (source / f"RDLi_TEST_2019_01_01_0{h}00.ruv").write_text(CODAR.format(hour=h, velo=5.0 + h + run))
+        incremental.start_qc(spark, f"file://{source}", target, str(tmp_path / f"check{run}")).awaitTermination()
+    rows = spark.read.parquet(target).groupBy("time").count().collect()
+    assert sorted((r.time.hour, r["count"]) for r in rows) == [(0, 2), (1, 2), (2, 2), (3, 2)]
+
+
+def test_jobs_on_files(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for h in range(3):
+        (source / f"RDLi_TEST_2019_01_01_0{h}00.ruv").write_text(CODAR.format(hour=h, velo=5.0 + h))
+    limits = spark.createDataFrame([("TEST", 6.5, ["Q202"])], "site string, max_speed double, include array<string>")
+    workflows.qc_job(spark, f"file://{source}", target, limits=limits, export=True)
+    flagged = spark.read.parquet(f"{target}/flagged")
+    assert sorted((r.time.hour, r.PRIM) for r in flagged.filter("VELO IS NOT NULL").collect()) == [(0, 1), (1, 1), (2, 4)]
+    assert "highest of Q202 (2 ignored)" in spark.read.parquet(f"{target}/files").first().provenance[-1]
+    assert spark.read.text(f"{target}/text").filter("value = '%End:'").count() == 3
+    with_range = CODAR.replace("%TableColumnTypes: LOND LATD VELO VFLG BEAR SPRC", "%TableColumnTypes: LOND LATD VELO VFLG BEAR RNGE")
+    (source / "RDLi_TEST_2019_01_01_0500.ruv").write_text(with_range.format(hour=5, velo=1.0))
+    workflows.gridded_job(spark, f"file://{source}", f"{target}/g", ("VELO",))
+    cells = spark.read.parquet(f"{target}/g/gridded").collect()
+    assert {r.kind for r in cells} == {"gridded"} and {r.time.hour for r in cells} == {5} and len(cells) == 2
