@@ -151,7 +151,8 @@ def unit_licences(files: DataFrame, key: str, text: str, templates=TEMPLATES, th
     cut = whole.select(key, "body", F.split("body", "\n").alias("lines"), F.split("body", "\n[ \t\r]*\n").alias("blocks"))
     pairs = F.when(F.size("lines") > 1, F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.concat_ws(" ", F.slice("lines", i, 2)))).otherwise(F.array().cast("array<string>"))
     units = cut.select(key, F.explode(F.concat("lines", pairs, "blocks", F.array("body"))).alias("unit"))
-    near = units.select(key, words(F.col("unit")).alias("words"), F.xxhash64("unit").alias("unit")).filter(F.arrays_overlap("words", asked)).dropDuplicates([key, "unit"])
+    # A unit that a text repeats counts its words as often, which leaves the cosine as it is.
+    near = units.select(key, words(F.col("unit")).alias("words"), F.xxhash64("unit").alias("unit")).filter(F.arrays_overlap("words", asked))
     counts = materialize(near.select(key, "unit", F.explode("words").alias("word")).groupBy(key, "unit", "word").agg(F.count(F.lit(1)).alias("tf")), "licence-words")
     weighed = counts.join(weights, "word", "left").withColumn("w", F.col("tf") * F.coalesce("weight", F.lit(rare)))
     norms = F.sqrt(F.sum(F.col("w") * F.col("w")))
