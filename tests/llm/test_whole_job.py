@@ -34,7 +34,7 @@ def test_family_on_one_template_is_compared_exactly(spark):
     alike = [len(a & b) / len(a | b) for a, b in combinations(sets, 2)]
     assert 0.69 < sorted(alike)[len(alike) // 2] < 0.76
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want, _ = one_of_each(docs.collect())
+    want = one_of_each(docs.collect())
     assert len(want) > 40
     assert {r.doc_id for r in simhash.keep_one_of_each(docs).collect()} == want
 
@@ -52,7 +52,7 @@ def test_pairs_that_meet_in_hot_buckets_only(spark, monkeypatch):
 
 def test_all_open_pairs_of_a_bucket_meet(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 3)
-    keys = spark.createDataFrame([(b, n) for b, size in ((1, 20), (2, 3), (3, 12)) for n in range(size)], "bucket long, node long")
+    keys = spark.createDataFrame([(b, b, n) for b, size in ((1, 20), (2, 3), (3, 12)) for n in range(size)], "bucket long, band int, node long")
     grouped = spark.createDataFrame([(n, 0 if n < 12 else n) for n in range(14)], "node long, label long")
     by_group, met = {}, set()
     for r in simhash.open_rows(keys, grouped).collect():
