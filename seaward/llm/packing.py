@@ -39,6 +39,10 @@ KEY_TERMS, SAMPLED, LEAST_SAMPLE = 3, 40, 8192
 K1, B = 1.2, 0.75
 #: Chunks whose ids a worker keeps; beyond it the store starts anew (a bound on memory, not on results).
 CACHE = 1_000_000
+#: Text that is tokenised at once (the more, the fewer words are looked up twice).
+SLICE_BYTES = 4 << 20
+#: New words that are encoded in one line.
+WORDS_AT_ONCE = 64
 #: White space on which splitting rules differ; a text with such signs is encoded in one call.
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
@@ -61,7 +65,11 @@ class Tokens:
         bytewise = [s for s in cuts if s.get("type") == "ByteLevel"]
         self.splits = bool(cuts) and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert", False)
         self.splits &= not any(s.get("add_prefix_space") or s.get("use_regex") for s in bytewise) and "Metaspace" not in {s.get("type") for s in cuts}
-        self.cut = _cut if self.splits and "Lowercase" in forms else lambda chunk: (chunk,)
+        self.cut = _cut if self.splits and "Lowercase" in forms else lambda chunk: ("", chunk)
+        suffix = steps["model"].get("end_of_word_suffix")
+        self.last = np.zeros(self.model.get_vocab_size(), dtype=bool) if self.splits and suffix else None
+        if self.last is not None:
+            self.last[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
 
     @classmethod
     def get(cls, path: str) -> Tokens:
@@ -70,28 +78,63 @@ class Tokens:
         return cls._made[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers.  All new chunks are encoded in one call."""
-        split = [None if not self.splits or _UNUSUAL.search(t) else t.split() for t in texts]
-        ids, held = self.ids, set().union(*(c for c in split if c))
-        new = [c for c in held if c not in ids]
+        """Ids of each text as little-endian unsigned 32-bit numbers: distinct chunks are looked up, then put in their places."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = [not self.splits or _UNUSUAL.search(t) is not None for t in texts]
+        chunks = pc.ascii_split_whitespace(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()))
+        coded = chunks.values.dictionary_encode()
+        known = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, ends = gather(known, coded.indices.to_numpy(zero_copy_only=False))
+        at = np.append(0, ends)[chunks.offsets.to_numpy()].tolist()
+        return [array("I", self.model.encode(t, add_special_tokens=False).ids).tobytes() if w else ids[a:b].tobytes() for t, w, a, b in zip(texts, whole, at[:-1], at[1:], strict=True)]
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks; those not seen before are encoded together."""
+        ids = self.ids
+        new = [c for c in chunks if c not in ids]
         if len(ids) + len(new) > CACHE:
             ids.clear()
-            new = list(held)
+            new = chunks
+        ids[""] = b""
         parts = [self.cut(c) for c in new]
-        if unknown := list({t for p in parts for t in p if t not in ids}):
-            for t, e in zip(unknown, self.model.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-                ids[t] = array("I", e.ids).tobytes()
-        for c, p in zip(new, parts, strict=True):
-            if len(p) > 1:
-                ids[c] = ids[p[0]] + ids[p[1]]
-            elif p[0] != c:
-                ids[c] = ids[p[0]]
-        out = [array("I", self.model.encode(t, add_special_tokens=False).ids).tobytes() if c is None else b"".join(map(ids.__getitem__, c)) for t, c in zip(texts, split, strict=True)]
+        self._learn({word for word, _ in parts} - ids.keys(), {rest for _, rest in parts} - ids.keys())
+        for c, (word, rest) in zip(new, parts, strict=True):
+            ids[c] = ids[word] + ids[rest]
+        out = [ids[c] for c in chunks]
         for c in new:
             if len(c) > 64:  # long chunks hardly come again
                 ids.pop(c, None)
         return out
 
+    def _learn(self, words: set[str], others: set[str]) -> None:
+        """Encode new parts.  Words go in lines of many where the file marks each word's last id."""
+        words, single = list(words), list(others)
+        if self.last is None:
+            words, single = [], words + single
+        lines = [words[at : at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
+        for line, e in zip(lines, self.model.encode_batch_fast([" ".join(w) for w in lines], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) == len(line) and ends[-1] == len(found):
+                raw, at = found.tobytes(), (ends * 4).tolist()
+                self.ids.update(zip(line, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+            else:
+                single += line
+        for t, e in zip(single, self.model.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            self.ids[t] = array("I", e.ids).tobytes()
+
+
+def gather(known: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that ``codes`` name, end to end, and where each ends."""
+    if not len(codes):
+        return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+    first, count = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+    ends = np.cumsum(count)
+    return np.frombuffer(b"".join(known), "<u4")[np.repeat(first - ends + count, count) + np.arange(ends[-1])], ends
+
 
 def _steps(step: dict | None) -> list[dict]:
     """A normaliser or splitter as a flat list of its steps."""
@@ -101,13 +144,15 @@ def _steps(step: dict | None) -> list[dict]:
     return [x for s in inner for x in _steps(s)] if inner else [step]
 
 
-def _cut(chunk: str) -> tuple[str, ...]:
-    """Parts that are encoded by themselves: of a Latin word, perhaps with one sign behind it, its lower-case form."""
+def _cut(chunk: str) -> tuple[str, str]:
+    """Parts that are encoded by themselves: the lower-case form of a Latin word, if it is one, and a sign behind it or all else.
+
+    Letters below U+0130 do not compose with each other, and every splitting rule that keeps letters together takes them as one word.
+    """
     word = chunk.rstrip(".,;:!?")
     if len(chunk) - len(word) < 2 and word.isalpha() and (word.isascii() or max(word) < "\u0130"):
-        low = word.lower()
-        return (low,) if len(low) == len(chunk) else (low, chunk[len(word) :])
-    return (chunk,)
+        return word.lower(), chunk[len(word) :]
+    return "", chunk
 
 
 class Statistics:
@@ -204,6 +249,17 @@ def lay_out(lengths: list[int], window: int = WINDOW):
                 sequence, offset = sequence + 1, 0
 
 
+def text_slices(batch, column: int):
+    """Runs of a batch's rows of about ``SLICE_BYTES`` of text, one row at least."""
+    import pyarrow.compute as pc
+
+    run = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+    starts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(starts, starts[1:], strict=False):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids (little-endian, 32 bits each), their number n and a hash of key and text."""
     kind, arrow = arrow_schema(f"`{key}` {dict(docs.dtypes)[key]}, ids binary, n long, h long")
@@ -213,8 +269,7 @@ def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 
         tokens, end = Tokens.get(path), END_ID.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in text_slices(batch, 1):
                 ids = [raw + end for raw in tokens.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow[0].type), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), part.column(2)], schema=arrow)
 
