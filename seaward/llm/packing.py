@@ -199,11 +199,12 @@ class Bm25:
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
         """All unused documents that share a token, by falling score (ties: the earlier one)."""
-        score = np.zeros(len(free))
-        for t in self.row_term[self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]]:
-            s = slice(self.slices[t], self.slices[t + 1])
-            if s.stop - s.start > 1:  # else the seed alone
-                score[self.docs[s]] += self.weight[s]
+        terms = self.row_term[self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]]
+        held = self.slices[terms + 1] - self.slices[terms]
+        terms, held = terms[held > 1], held[held > 1]  # else the seed alone
+        ends = np.cumsum(held)
+        postings = np.repeat(self.slices[terms] - ends + held, held) + np.arange(ends[-1] if len(ends) else 0)
+        score = np.bincount(self.docs[postings], self.weight[postings], len(free))
         score[~free] = 0
         found = np.flatnonzero(score)
         return found[np.lexsort((found, -score[found]))]
