@@ -245,6 +245,31 @@ def test_shortcuts_only_where_the_file_allows():
         assert tokens.splits == splits and [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(texts)] == want
 
 
+def test_tokens_of_any_text():
+    """Arbitrary mixtures, and more new words than fit one line, equal the tokenizer's own ids; so they do after the store starts anew."""
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(5)
+    signs = [*"abcXYZéÉßµªÀÿĀįİıŁ '’.,;:!?-_1२\t\n\r\x0b\x1c\x85\xa0\u0301\u0345\u2028\u3000ΣΑς漢か<|>\u200b😀ǅ", "'s", "'LL", "<|endoftext|>", " the "]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(4000)]
+    texts += [" ".join("".join(rng.choices("abcdeéü", k=rng.randint(1, 9))) for _ in range(500)), "", "x" * 5000 + "."]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    tokens = packing.Tokens(path)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(texts)] == want
+        tokens.ids.clear()
+
+
+def test_text_slices(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "SLICE_BYTES", 10)
+    for texts in ([], [""], ["a" * 35], ["abc"] * 9 + ["b" * 40, ""]):
+        batch = pa.RecordBatch.from_pydict({"k": pa.array(range(len(texts))), "t": pa.array(texts, pa.string())})
+        parts = [p.column(1).to_pylist() for p in packing.text_slices(batch, 1)]
+        assert sum(parts, []) == texts and all(parts)
+
+
 def test_bm25_neighbours():
     docs = [np.array(x) for x in ([1, 2, 3, 4], [1, 2, 9, 9], [7, 8, 9, 9], [1, 2, 3, 5], [7, 7, 8, 6])]
     got = packing.Bm25(docs).neighbours(0, np.array([False, True, True, True, True]))
