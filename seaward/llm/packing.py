@@ -41,6 +41,11 @@ K1, B = 1.2, 0.75
 CACHE = 1_000_000
 #: Text that is tokenised at once (the more, the fewer words are looked up twice).
 SLICE_BYTES = 4 << 20
+#: Signs that may stand behind a word.
+SIGNS = ".,;:!?"
+#: Words of letters below U+0130: these do not compose with each other, and every splitting rule that keeps letters
+#: together takes them as one word.
+LATIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+$"
 #: New words that are encoded in one line.
 WORDS_AT_ONCE = 64
 #: White space on which splitting rules differ; a text with such signs is encoded in one call.
@@ -65,7 +70,7 @@ class Tokens:
         bytewise = [s for s in cuts if s.get("type") == "ByteLevel"]
         self.splits = bool(cuts) and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert", False)
         self.splits &= not any(s.get("add_prefix_space") or s.get("use_regex") for s in bytewise) and "Metaspace" not in {s.get("type") for s in cuts}
-        self.cut = _cut if self.splits and "Lowercase" in forms else lambda chunk: ("", chunk)
+        self.lowers = self.splits and "Lowercase" in forms
         suffix = steps["model"].get("end_of_word_suffix")
         self.last = np.zeros(self.model.get_vocab_size(), dtype=bool) if self.splits and suffix else None
         if self.last is not None:
@@ -85,32 +90,47 @@ class Tokens:
         whole = [not self.splits or _UNUSUAL.search(t) is not None for t in texts]
         chunks = pc.ascii_split_whitespace(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()))
         coded = chunks.values.dictionary_encode()
-        known = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        ids, ends = gather(known, coded.indices.to_numpy(zero_copy_only=False))
+        ids, ends = gather(*self._look_up(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False))
         at = np.append(0, ends)[chunks.offsets.to_numpy()].tolist()
         return [array("I", self.model.encode(t, add_special_tokens=False).ids).tobytes() if w else ids[a:b].tobytes() for t, w, a, b in zip(texts, whole, at[:-1], at[1:], strict=True)]
 
-    def _look_up(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks; those not seen before are encoded together."""
+    def _look_up(self, chunks) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks (an Arrow array), end to end, and where each ends.
+
+        Latin words with at most one sign behind them are cut in Arrow; all else is encoded chunk by chunk.
+        """
+        import pyarrow.compute as pc
+
+        bare = pc.ascii_rtrim(chunks, SIGNS)
+        signs = pc.subtract(pc.binary_length(chunks), pc.binary_length(bare)).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(bare, LATIN).to_numpy(zero_copy_only=False) & (signs < 2) & self.lowers
+        words = pc.utf8_lower(bare.filter(plain)).dictionary_encode()
+        ended = plain & (signs == 1)
+        sign = pc.index_in(pc.utf8_slice_codeunits(chunks.filter(ended), -1), value_set=_arrow(SIGNS, chunks.type))
+        known, others = (c.to_numpy(zero_copy_only=False).tolist() for c in (words.dictionary, chunks.filter(~plain)))
+        ids = self._known(set(known), {*SIGNS, *others})
+        table = [b"", *map(ids.__getitem__, [*SIGNS, *known, *others])]
+        codes = np.zeros((len(chunks), 2), dtype=np.int64)
+        codes[plain, 0] = words.indices.to_numpy(zero_copy_only=False) + (1 + len(SIGNS))
+        codes[~plain, 0] = np.arange(len(others)) + (1 + len(SIGNS) + len(known))
+        codes[ended, 1] = sign.to_numpy(zero_copy_only=False) + 1
+        flat, ends = gather(*end_to_end(table), codes.ravel())
+        for c in [c for c in known + others if len(c) > 64]:  # long chunks hardly come again
+            ids.pop(c, None)
+        return flat, ends[1::2]
+
+    def _known(self, words: set[str], others: set[str]) -> dict[str, bytes]:
+        """The store, with the ids of all these parts; those not seen before are encoded together."""
         ids = self.ids
-        new = [c for c in chunks if c not in ids]
-        if len(ids) + len(new) > CACHE:
+        new, rest = words.difference(ids), others.difference(ids)
+        if len(ids) + len(new) + len(rest) > CACHE:
             ids.clear()
-            new = chunks
-        ids[""] = b""
-        parts = [self.cut(c) for c in new]
-        self._learn({word for word, _ in parts} - ids.keys(), {rest for _, rest in parts} - ids.keys())
-        for c, (word, rest) in zip(new, parts, strict=True):
-            ids[c] = ids[word] + ids[rest]
-        out = [ids[c] for c in chunks]
-        for c in new:
-            if len(c) > 64:  # long chunks hardly come again
-                ids.pop(c, None)
-        return out
-
-    def _learn(self, words: set[str], others: set[str]) -> None:
+            new, rest = words, others
+        self._learn(list(new), list(rest))
+        return ids
+
+    def _learn(self, words: list[str], single: list[str]) -> None:
         """Encode new parts.  Words go in lines of many where the file marks each word's last id."""
-        words, single = list(words), list(others)
         if self.last is None:
             words, single = [], words + single
         lines = [words[at : at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
@@ -126,14 +146,24 @@ class Tokens:
             self.ids[t] = array("I", e.ids).tobytes()
 
 
-def gather(known: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids that ``codes`` name, end to end, and where each ends."""
+def end_to_end(known: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all entries in one array, and where each ends."""
+    return np.frombuffer(b"".join(known), "<u4"), np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) >> 2)
+
+
+def gather(flat: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of ``flat`` (each ends at its bound) that ``codes`` name, end to end, and where each ends."""
     if not len(codes):
         return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
-    sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
-    first, count = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+    count = np.diff(bounds, prepend=0)[codes]
     ends = np.cumsum(count)
-    return np.frombuffer(b"".join(known), "<u4")[np.repeat(first - ends + count, count) + np.arange(ends[-1])], ends
+    return flat[np.repeat(bounds[codes] - ends, count) + np.arange(ends[-1])], ends
+
+
+def _arrow(values, kind):
+    import pyarrow as pa
+
+    return pa.array(list(values), kind)
 
 
 def _steps(step: dict | None) -> list[dict]:
@@ -144,17 +174,6 @@ def _steps(step: dict | None) -> list[dict]:
     return [x for s in inner for x in _steps(s)] if inner else [step]
 
 
-def _cut(chunk: str) -> tuple[str, str]:
-    """Parts that are encoded by themselves: the lower-case form of a Latin word, if it is one, and a sign behind it or all else.
-
-    Letters below U+0130 do not compose with each other, and every splitting rule that keeps letters together takes them as one word.
-    """
-    word = chunk.rstrip(".,;:!?")
-    if len(chunk) - len(word) < 2 and word.isalpha() and (word.isascii() or max(word) < "\u0130"):
-        return word.lower(), chunk[len(word) :]
-    return "", chunk
-
-
 class Statistics:
     """What BM25 needs to know of the whole table: number of documents, mean length, documents of each token."""
 

@@ -253,6 +253,8 @@ def test_tokens_of_any_text():
     signs = [*"abcXYZéÉßµªÀÿĀįİıŁ '’.,;:!?-_1२\t\n\r\x0b\x1c\x85\xa0\u0301\u0345\u2028\u3000ΣΑς漢か<|>\u200b😀ǅ", "'s", "'LL", "<|endoftext|>", " the "]
     texts = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(4000)]
     texts += [" ".join("".join(rng.choices("abcdeéü", k=rng.randint(1, 9))) for _ in range(500)), "", "x" * 5000 + "."]
+    letters = [chr(c) for c in range(0x80, 0x250)]
+    texts += [f"{c} a{c}b, {c}x. X{c}!? {c}" for c in letters]
     want = [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
     tokens = packing.Tokens(path)
     for _ in range(2):
