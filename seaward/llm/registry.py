@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["media", "bpe", "packing", "warc", "quality", "toxicity", "simhash", "secrets", "neighbours", "licences", "mixing", "periodic"]
+MODULES = ["media", "bpe", "packing", "warc", "quality", "toxicity", "simhash", "secrets", "neighbours", "licences", "mixing", "spelling", "periodic"]
 
 
 def _collect(name: str) -> dict:
