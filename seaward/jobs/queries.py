@@ -6,6 +6,7 @@ and diagnostics come from ``events``, points from ``supplier``.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from seaward.functions import geodesy, headers, vectors
 from seaward.operators import grid, land, qc, series
 from seaward.sources import ctf, tables
+from seaward.streaming import incremental
 
 EPOCH = 1546300800  # 2019-01-01, hour 0
 LIMITS = qc.Thresholds(max_speed=75.0, high_speed=60.0, min_count=180, low_count=190, warning_threshold=2.0, failure_threshold=5.0)
@@ -43,7 +45,7 @@ def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     cells = raw.groupBy("site_id", "hr", "bcell", "sprc").agg(F.max("v").alias("v"))
     return cells.selectExpr(
-        "'RDLi' AS prefix", "concat('S', site_id) AS site", f"timestamp_seconds({EPOCH} + hr * 3600) AS time", "CAST(hr AS BIGINT) AS hr",
+        "concat('RDL', CASE WHEN site_id < 2 THEN 'i' ELSE 'm' END) AS prefix", "concat('S', site_id) AS site", f"timestamp_seconds({EPOCH} + hr * 3600) AS time", "CAST(hr AS BIGINT) AS hr",
         "CAST(bcell AS BIGINT) AS bcell", "CAST(sprc AS BIGINT) AS SPRC", "CAST(bcell * 100 + sprc AS BIGINT) AS row_no",
         "CAST(-74 AS DOUBLE) + bcell * CAST(0.01 AS DOUBLE) AS LOND", "CAST(39.8 AS DOUBLE) + sprc * CAST(0.02 AS DOUBLE) AS LATD",
         "CASE WHEN bcell % 9 = 0 THEN CAST(sprc AS DOUBLE) ELSE v END AS VELO", "CASE WHEN (bcell + sprc) % 5 = 0 THEN 128 ELSE 0 END AS VFLG",
@@ -385,8 +387,8 @@ def nearest_cell(spark, sf_dir):
 @query(f"""{_NEAR} SELECT point_id, site, t.hr, "range", bearing, velo AS "VELO" FROM near JOIN (SELECT DISTINCT site, hr FROM cells WHERE hr BETWEEN 0 AND 59) t USING (site)
  LEFT JOIN cells c USING (site, hr, "range", bearing)""")
 def extract_timeseries(spark, sf_dir):
-    cells = series.time_slice(_cells(spark, sf_dir), None, "2019-01-03 11:00:00")
-    found = grid.extract_series(cells, _points(spark, sf_dir), origins_of(spark), ["VELO"])
+    rad = series.time_slice(vectors_of(spark, sf_dir), None, "2019-01-03 11:00:00")
+    found = grid.extract_vectors(rad, _axes(spark), _points(spark, sf_dir), origins_of(spark), ["VELO"])
     return found.select("point_id", "site", ((F.unix_timestamp("time") - EPOCH) / 3600).cast("bigint").alias("hr"), "range", "bearing", "VELO")
 
 
@@ -651,10 +653,8 @@ SELECT event_id AS "TIME_S", CAST(round(value * 100) AS DOUBLE) AS "MWHT", CASE
 UNION ALL SELECT event_id, NULL, CASE WHEN event_id % 2 = 1 THEN CAST(user_id % 10 AS DOUBLE) END, CASE WHEN event_id % 2 = 1 THEN 'ranged' ELSE 'averaged' END, strftime(ts, '%Y-%m-%d %H:%M:%S'), -73.9735333, 40.3668167
  FROM e WHERE (event_id % 2 = 1 OR event_id % 4 // 2 = part) AND round(value * 100) IN (999, 1080)""")
 def wave_read(spark, sf_dir):
-    parsed = ctf.parse_files(wave_texts(spark, sf_dir))
-    rows = ctf.table_rows(parsed, "WAVL", {"TIME": "double"}).select("path", "table_no", "row_no", F.col("TIME_S").cast("bigint").alias("TIME_S"))
-    waves = series.wave_positions(ctf.read_waves(parsed), ctf.file_table(parsed)).join(rows, ["path", "table_no", "row_no"])
-    return waves.select("TIME_S", "MWHT", "DIST", "kind", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "lon", "lat")
+    waves = ctf.read_waves(ctf.parse_files(wave_texts(spark, sf_dir)), {"TIME": "double"}, positions=True)
+    return waves.select(F.col("TIME_S").cast("bigint").alias("TIME_S"), "MWHT", "DIST", "kind", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "lon", "lat")
 
 
 @query("""SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, 'TEST' AS "Site", strftime(ts, '%Y-%m-%d') || ' 01:00:00' AS "TimeStamp", '10.5' AS "TimeCoverage", '2' AS "WaveMergeMethod", 'UTC' AS "TimeZone",
@@ -680,7 +680,7 @@ def _scratch(spark: SparkSession, label: str) -> str:
 def list_files(spark, sf_dir):
     at = _scratch(spark, "text")
     tables.write_text(radial_texts(spark, sf_dir).withColumnRenamed("content", "value"), at)
-    return tables.list_files(spark, at, "*.txt").filter("length > 0").select(F.regexp_extract("path", "file=([^/]*)/", 1).alias("file")).distinct()
+    return tables.list_files(spark, at, "*.ruv").filter("length > 0").select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"))
 
 
 @query(SQL["extract_timeseries"].replace('"range", bearing, velo AS "VELO" FROM near', 'velo AS "VELO" FROM near'))
@@ -760,3 +760,216 @@ def write_gridded(spark, sf_dir):
 @query(f"""{WITH} SELECT {_K}, lond AS lon, latd AS lat, velo AS "VELO", 'tabular' AS kind FROM rad""")
 def tabular(spark, sf_dir):
     return grid.tabular(vectors_of(spark, sf_dir)).select(*KEYS, "lon", "lat", "VELO", "kind")
+
+
+# --- files chosen by name, written under their names
+
+_SEEN = """site, hr, CAST(round(lond, 7) AS DOUBLE) AS "LOND", CAST(round(latd, 7) AS DOUBLE) AS "LATD", vflg AS "VFLG", round(velo, 3) AS "VELO", bear AS "BEAR", CAST("SPRC" AS INTEGER) AS "SPRC\""""
+
+
+@query(f"{WITH} SELECT {_SEEN} FROM rad WHERE site = 'S1' AND hr BETWEEN 10 AND 34")
+def ctf_pruned(spark, sf_dir):
+    at = _scratch(spark, "pruned")
+    tables.write_text(radial_texts(spark, sf_dir).withColumnRenamed("content", "value"), at)
+    parsed = ctf.read_files(spark, at, ["*.ruv", "*.wls"], prefix="RDLi", sites=["S1"], start="2019-01-01 10:00:00", end="2019-01-02 10:00:00")
+    return ctf.read_radials(parsed).select("site", _hour(), *FORMATS)
+
+
+@query(f"""{WITH} SELECT DISTINCT 'S1' AS folder, 'RDLi_' || site || strftime(ts, '_%Y_%m_%d_%H%M') || '.ruv' AS file FROM rad WHERE site = 'S1'
+UNION ALL SELECT DISTINCT 'diagnostics', strftime(ts, 'STAT_TEST_%Y_%m_%d.rdt') FROM events""")
+def list_files_in_folders(spark, sf_dir):
+    at = _scratch(spark, "folders")
+    radials = radial_texts(spark, sf_dir).select("path", F.col("content").alias("value"), F.regexp_extract("path", "_(S[0-9])_", 1).alias("folder"))
+    others = diagnostic_texts(spark, sf_dir).select("path", F.col("content").alias("value"), F.lit("diagnostics").alias("folder"))
+    tables.write_text(radials.unionByName(others), at, "folder")
+    found = tables.list_files(spark, at, ["*.ruv", "*.rdt"], folders=["S1", "diagnostics", "absent"])
+    parts = F.split("path", "/")
+    return found.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file"))
+
+
+@query(f"""{WITH} SELECT 'RDLi_' || site || strftime(ts, '_%Y_%m_%d_%H%M') || '.ruv' AS file, {_SEEN} FROM rad WHERE {_Q202} <> 4""")
+def clean_export(spark, sf_dir):
+    at, parsed = _scratch(spark, "clean"), ctf.parse_files(radial_texts(spark, sf_dir))
+    flagged = qc.qc_radials(ctf.read_radials(parsed), ctf.file_table(parsed), LIMITS, tests=("Q202",))
+    tables.write_text(ctf.export_files(qc.clean_copy(flagged), parsed, ctf.RADIAL_COLUMNS), at)
+    back = ctf.read_radials(ctf.read_files(spark, at, "RDLi_*.ruv"))
+    return back.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "site", _hour(), *FORMATS)
+
+
+# --- files that arrive late
+
+
+@query(SQL["qc_chain"])
+def qc_late_files(spark, sf_dir):
+    at, rad = _scratch(spark, "late"), vectors_of(spark, sf_dir)
+    files = files_of(rad)
+    for part in ("hr % 2 = 1", "hr % 2 = 0"):  # every other hour comes after the hours that look back at it
+        incremental.update(at, files.filter(part), rad.filter(part), LIMITS)
+    return spark.read.parquet(at).select(*KEYS, "VELO", *_TESTS, "PRIM")
+
+
+@query(SQL["qc_by_site"])
+def qc_late_files_by_site(spark, sf_dir):
+    at, rad = _scratch(spark, "late"), vectors_of(spark, sf_dir)
+    files = files_of(rad)
+    for part in ("hr % 3 = 2", "hr % 3 = 0", "hr % 3 = 1", "hr % 3 = 0"):  # one batch comes twice
+        incremental.update(at, files.filter(part), rad.filter(part), limits=site_limits(spark))
+    return spark.read.parquet(at).select(*KEYS, *_TESTS, "PRIM")
+
+
+# --- overlapping tables
+
+_CHANGED = "CASE WHEN bcell % 10 = 0 AND hr < 80 THEN velo + 1 ELSE velo END"
+_COMBINE_KEYS = ["site", "time", "BEAR", "SPRC"]
+
+
+def _overlapping(spark, sf_dir) -> list[DataFrame]:
+    rad = vectors_of(spark, sf_dir)
+    one = rad.filter("hr < 80").select(*_COMBINE_KEYS, "VELO")
+    return [one, rad.filter("hr >= 40").select(*_COMBINE_KEYS, F.expr("CASE WHEN bcell % 10 = 0 AND hr < 80 THEN VELO + 1 ELSE VELO END").alias("VELO"), "VFLG")]
+
+
+@query(f"""{WITH} SELECT site, hr, bear AS "BEAR", "SPRC", CASE WHEN hr < 80 THEN velo ELSE {_CHANGED} END AS "VELO", CASE WHEN hr >= 40 THEN vflg END AS "VFLG" FROM rad""")
+def combine_by_coords(spark, sf_dir):
+    whole, _ = tables.combine(_overlapping(spark, sf_dir), _COMBINE_KEYS, "first")
+    return whole.select("site", _hour(), "BEAR", "SPRC", "VELO", "VFLG")
+
+
+@query(f"""{WITH} SELECT site, hr, bear AS "BEAR", "SPRC", 'VELO' AS "column", 2 AS n_tables FROM rad WHERE hr BETWEEN 40 AND 79 AND bcell % 10 = 0""")
+def combine_conflicts(spark, sf_dir):
+    _, report = tables.combine(_overlapping(spark, sf_dir), _COMBINE_KEYS, "last")
+    good = report.filter("abs(CAST(highest AS DOUBLE) - CAST(lowest AS DOUBLE) - 1) < 1e-9")
+    return good.select("site", _hour(), "BEAR", "SPRC", "column", "n_tables")
+
+
+# --- grids of several files and of flagged vectors
+
+_STEPS = 'CASE WHEN hr % 2 = 0 THEN CAST(3.0203 AS DOUBLE) ELSE CAST(6.0406 AS DOUBLE) END AS s, CASE WHEN hr % 2 = 0 THEN 5 ELSE 10 END AS b'
+
+
+@query(f"""{WITH}, st AS (SELECT *, {_STEPS} FROM rad WHERE hr % 11 <> 5),
+ax AS (SELECT site, hr, s, b, min(rnge) AS low, round(min(rnge), 4) AS lo, CAST(ceil((round(max(rnge) + s, 4) - min(rnge)) / s) AS BIGINT) AS n FROM st GROUP BY site, hr, s, b),
+ccells AS (SELECT site, hr, round(low + ri * s, 4) AS "range", 1 + bi * b AS bearing, arg_max(velo, row_no) AS velo FROM (SELECT st.*, low, least(greatest(ceil((rnge - lo) / st.s - 0.5), 0), n - 1) AS ri,
+ least(greatest(ceil((bear - 1) / st.b - 0.5), 0), 360 / st.b - 1) AS bi FROM st JOIN ax USING (site, hr)) GROUP BY ALL),
+rv AS (SELECT DISTINCT site, round(low + i * s, 4) AS "range" FROM (SELECT site, low, s, unnest(generate_series(0, n - 1)) AS i FROM ax)),
+bv AS (SELECT DISTINCT site, 1 + i * b AS bearing FROM (SELECT DISTINCT site, b, unnest(generate_series(0, CAST(360 / b AS BIGINT) - 1)) AS i FROM ax))
+SELECT site, hr, "range", CAST(bearing AS DOUBLE) AS bearing, velo AS "VELO" FROM (SELECT DISTINCT site, hr FROM ax) JOIN rv USING (site) JOIN bv USING (site) LEFT JOIN ccells USING (site, hr, "range", bearing)""")
+def concat_gridded(spark, sf_dir):
+    rad = vectors_of(spark, sf_dir)
+    even = F.col("hr") % 2 == 0
+    own = F.create_map(F.lit("RangeResolutionKMeters"), F.when(even, "3.0203").otherwise("6.0406"), F.lit("AntennaBearing"), F.lit("1.0"), F.lit("AngularResolution"), F.when(even, "5 Deg").otherwise("10 Deg"))
+    known = F.map_filter("meta", lambda k, _: ~k.isin("RangeResolutionKMeters", "AntennaBearing", "AngularResolution"))
+    files = files_of(rad).filter("hr % 11 <> 5").withColumn("meta", F.map_concat(known, own))
+    whole = grid.concat_gridded(grid.grid_files(rad, files, ["VELO"]), grid.file_axes(rad, files), ["VELO"])
+    return whole.select("site", _hour(), "range", "bearing", "VELO")
+
+
+def _flag_cells(where: str, columns: str) -> str:
+    return f"""{_CHAIN}, f AS (SELECT *, bcell * 100 + "SPRC" AS row_no, "SPRC" * CAST(3.0203 AS DOUBLE) AS rnge, CAST(1 + 5 * bcell AS DOUBLE) AS bearing, {_prim(*_TESTS)} AS "PRIM" FROM flagged WHERE hr % 11 <> 5),
+k AS (SELECT * FROM f WHERE {where}),
+ax AS (SELECT site, hr, min(rnge) AS low, round(min(rnge), 4) AS lo, CAST(ceil((round(max(rnge) + 3.0203, 4) - min(rnge)) / 3.0203) AS BIGINT) AS n FROM k GROUP BY ALL),
+c AS (SELECT k.*, round(low + least(greatest(ceil((rnge - lo) / CAST(3.0203 AS DOUBLE) - 0.5), 0), n - 1) * CAST(3.0203 AS DOUBLE), 4) AS "range" FROM k JOIN ax USING (site, hr))
+SELECT site, hr, "range", bearing, velo AS "VELO"{columns} FROM c QUALIFY row_number() OVER (PARTITION BY site, hr, "range", bearing ORDER BY row_no DESC) = 1"""
+
+
+@query(_flag_cells("true", f', {_ALL}, "PRIM"'))
+def qc_gridded(spark, sf_dir):
+    at, rad = _scratch(spark, "qc-gridded"), vectors_of(spark, sf_dir)
+    files = files_of(rad)
+    tables.write_table(grid.grid_files(qc.qc_radials(rad, files, LIMITS), files.filter("hr % 11 <> 5"), ["VELO", *_TESTS, "PRIM"]), at)
+    return tables.read_tables(spark, at).select("site", _hour(), "range", "bearing", "VELO", *_TESTS, "PRIM")
+
+
+@query(_flag_cells('"PRIM" <> 4', ""))
+def clean_gridded(spark, sf_dir):
+    rad = vectors_of(spark, sf_dir)
+    files = files_of(rad)
+    cells = grid.grid_files(qc.clean_copy(qc.qc_radials(rad, files, LIMITS)), files.filter("hr % 11 <> 5"), ["VELO"])
+    return cells.select("site", _hour(), "range", "bearing", "VELO")
+
+
+# --- point series from stored cells
+
+
+@query(SQL["extract_timeseries"])
+def series_stored(spark, sf_dir):
+    at = _scratch(spark, "cells")
+    cells = series.time_slice(_cells(spark, sf_dir), None, "2019-01-03 11:00:00")
+    tables.write_table(cells, f"{at}/cells")
+    stored = spark.read.parquet(f"{at}/cells")
+    grid.cell_axes(stored).write.parquet(f"{at}/axes")
+    found = grid.extract_stored(stored, spark.read.parquet(f"{at}/axes"), _points(spark, sf_dir), origins_of(spark), ["VELO"])
+    return found.select("point_id", "site", _hour(), "range", "bearing", "VELO")
+
+
+# --- land from polygon files
+
+_BOX = lambda x, y, w, h: [[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]
+_HOLE, _ISLES, _ELSEWHERE = _BOX(-73.85, 40.0, 0.15, 0.05), [_BOX(-73.45, 39.85, 0.1, 0.1), _BOX(-73.4, 40.2, 0.1, 0.06)], _BOX(-74.0, 40.1, 0.1, 0.1)
+
+
+def _geojson() -> str:
+    feature = lambda kind, shape, continent: {"type": "Feature", "properties": {"continent": continent, "rank": 1}, "geometry": {"type": kind, "coordinates": shape}}
+    main = feature("Polygon", [[list(p) for p in RING], _HOLE], "North America")
+    isles = feature("MultiPolygon", [[r] for r in _ISLES], "North America")
+    line = feature("LineString", [[-74.0, 40.0], [-73.0, 40.0]], "North America")
+    return json.dumps({"type": "FeatureCollection", "features": [main, isles, line, feature("Polygon", [_ELSEWHERE], "Europe")]})
+
+
+def _geo_edges(spark) -> DataFrame:
+    return land.edges_from_geojson(spark.createDataFrame([(_geojson(),)], "value string"), "properties['continent'] = 'North America'")
+
+
+_POLYGONS = [(n, *a, *b) for n, ring in ((0, RING), (0, _HOLE), (1, _ISLES[0]), (2, _ISLES[1])) for a, b in zip(ring, ring[1:], strict=False)]
+_LAND = f"""edges(poly, x1, y1, x2, y2) AS (VALUES {", ".join("(" + ", ".join([str(e[0]), *(f"CAST({v} AS DOUBLE)" for v in e[1:])]) + ")" for e in _POLYGONS)}), places AS (SELECT DISTINCT lond, latd FROM rad),
+crossed AS (SELECT lond, latd, poly, count(*) FILTER (WHERE CASE WHEN (y1 > latd) <> (y2 > latd) THEN lond < (x2 - x1) * (latd - y1) / (y2 - y1) + x1 ELSE false END) % 2 = 1 AS inside FROM places, edges GROUP BY ALL),
+land AS (SELECT lond, latd, bool_or(inside) AS on_land FROM crossed GROUP BY ALL)"""
+
+
+@query(f'{WITH}, {_LAND} SELECT lond AS "LOND", latd AS "LATD", on_land FROM land')
+def land_from_geojson(spark, sf_dir):
+    return land.on_land(vectors_of(spark, sf_dir), _geo_edges(spark))
+
+
+@query(f"""{WITH}, {_LAND}, flagged AS (SELECT rad.*, CASE WHEN vflg = 128 OR on_land THEN 4 ELSE 1 END AS "Q203" FROM rad JOIN land USING (lond, latd))
+SELECT {_K}, on_land, "Q202", "Q203", {_prim("Q202", "Q203")} AS "PRIM" FROM (SELECT flagged.*, on_land, {_Q202} AS "Q202" FROM flagged JOIN land USING (lond, latd))""")
+def q203_masked(spark, sf_dir):
+    masked = land.mask_land(vectors_of(spark, sf_dir), _geo_edges(spark))
+    flagged = qc.qc_radials(masked, files_of(masked), LIMITS, F.col("on_land"), tests=("Q202", "Q203"))
+    return flagged.select(*KEYS, "on_land", "Q202", "Q203", "PRIM")
+
+
+# --- metadata, written and read back
+
+_PUBLISHED = {
+    "lon": ("degrees_east", "longitude", "Longitude", -180, 180), "lat": ("degrees_north", "latitude", "Latitude", -90, 90), "range": ("km", None, "Range from origin (away from instrument)", 0, 1000),
+    "bearing": ("degrees", None, "Bearing from origin (away from instrument)", 0, 360), "velocity": ("cm s-1", "radial_sea_water_velocity_away_from_instrument", None, -1000, 1000),
+    "vector_flag": (None, None, "Vector Flag Masks", 0, 2048), "time": (None, "time", None, None, None), "valid_location_qc": (None, None, "Valid Location (QARTOD Test 203) Flag Masks", 1, 9),
+}
+_TOLD = ", ".join(f"('{c}', {', '.join('NULL' if x is None else repr(x) for x in v[:3])}, {', '.join('NULL' if x is None else str(x) for x in v[3:])})" for c, v in _PUBLISHED.items())
+_HELD = {"lon": "lond", "lat": "latd", "range": "rnge", "bearing": "bear", "velocity": "velo", "vector_flag": "vflg", "valid_location_qc": "vflg", "time": "ts"}
+_COUNTS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({x}) AS n_values FROM rad" for c, x in _HELD.items())
+
+
+@query(f"""{WITH}, told("column", units, standard_name, long_name, low, high) AS (VALUES {_TOLD}), held AS ({_COUNTS})
+SELECT "column", units, standard_name, long_name, CAST(low AS DOUBLE) AS valid_min, CAST(high AS DOUBLE) AS valid_max, CASE WHEN "column" LIKE '%_qc' THEN 'pass not_evaluated suspect fail missing_data' END AS qc_meanings, n_values FROM told JOIN held USING ("column")""")
+def published_metadata(spark, sf_dir):
+    at, rad = _scratch(spark, "published"), vectors_of(spark, sf_dir)
+    flagged = rad.withColumn("Q203", qc.q203_valid_location(rad.columns))
+    tables.write_table(series.rename_published(flagged.drop("prefix", "hr", "bcell", "SPRC", "row_no")), at)
+    back = tables.read_tables(spark, at)
+    found = tables.column_metadata(back)
+    names = ("units", "standard_name", "long_name", "valid_min", "valid_max")
+    told = [(c, *(m.get(k) for k in names), m.get("flag_meanings") if c.endswith("_qc") else None) for c, m in found.items()]
+    rows = spark.createDataFrame(told, "column string, units string, standard_name string, long_name string, valid_min double, valid_max double, qc_meanings string")
+    counts = back.agg(*(F.count(c).alias(c) for c in found)).unpivot([], list(found), "column", "n_values")
+    return rows.join(F.broadcast(counts), "column")  # a row for each column
+
+
+@query(f"""{WITH}, a AS (SELECT strftime(min(ts), '%Y%m%dT%H%M%SZ') AS time_coverage_start, strftime(max(ts), '%Y%m%dT%H%M%SZ') AS time_coverage_end, CAST(min(latd) AS VARCHAR) AS geospatial_lat_min, CAST(max(latd) AS VARCHAR) AS geospatial_lat_max,
+ CAST(min(lond) AS VARCHAR) AS geospatial_lon_min, CAST(max(lond) AS VARCHAR) AS geospatial_lon_max, 'CF-1.6, ACDD-1.3' AS "Conventions", 'CF Standard Name Table v41' AS standard_name_vocabulary, 'degrees_north' AS geospatial_lat_units,
+ 'degrees_east' AS geospatial_lon_units, 'surface currents' AS title FROM rad) SELECT name AS attribute, value FROM (UNPIVOT a ON COLUMNS(*))""")
+def dataset_attributes(spark, sf_dir):
+    at, rad = _scratch(spark, "attributes"), vectors_of(spark, sf_dir)
+    tables.write_table(rad, at, series.dataset_attributes(rad, {"title": "surface currents"}))
+    return tables.read_attributes(spark, at)

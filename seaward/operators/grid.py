@@ -34,16 +34,20 @@ def nearest_value(value: Column, axis: Column) -> Column:
     return F.array_min(F.transform(axis, lambda a: F.struct(F.abs(a - value).alias("d"), a.alias("a"))))["a"]
 
 
-def snap(df: DataFrame, axes: DataFrame, variables: list[str], keys=FILE_KEY) -> DataFrame:
-    """One row per file and grid cell, with the last vector's variables.
+def place(df: DataFrame, axes: DataFrame) -> DataFrame:
+    """``df`` with the range and bearing of the grid cell of each vector; no shuffle.
 
     ``axes`` has, for each site, range_first, range_step, n_ranges, bearing_first, bearing_step, n_bearings.
     """
     joined = df.join(small(axes), "site")
     i = nearest_index(F.col("RNGE"), F.col("range_first"), F.col("range_step"), F.col("n_ranges"))
     j = nearest_index(F.col("BEAR"), F.col("bearing_first"), F.col("bearing_step"), F.col("n_bearings"))
-    placed = joined.withColumns({"range": F.round(F.col("range_first") + i * F.col("range_step"), 4), "bearing": F.col("bearing_first") + j * F.col("bearing_step")})
-    return _last(placed, variables, keys)
+    return joined.withColumns({"range": F.round(F.col("range_first") + i * F.col("range_step"), 4), "bearing": F.col("bearing_first") + j * F.col("bearing_step")})
+
+
+def snap(df: DataFrame, axes: DataFrame, variables: list[str], keys=FILE_KEY) -> DataFrame:
+    """One row per file and grid cell, with the last vector's variables; ``axes`` as for ``place``."""
+    return _last(place(df, axes), variables, keys)
 
 
 def _last(placed: DataFrame, variables: list[str], keys) -> DataFrame:
@@ -107,6 +111,34 @@ def grid_files(radials: DataFrame, files: DataFrame, variables: list[str], range
     return cells.join(at, [*origin, "range", "bearing"], "left").select(*FILE_KEY, "range", "bearing", "lon", "lat", *variables, F.lit("gridded").alias("kind"))
 
 
+def shared_axes(axes: DataFrame, group=("site",)) -> DataFrame:
+    """The outer axes of the files of each group: all values (to 4 places) that any file has, sorted.
+
+    ``axes`` has a row for each file (``file_axes``).  Most files of a site have the same axes, so the different ones are found
+    first, and only their values are gathered.
+    """
+    rounded = lambda c: F.transform(c, lambda v: F.round(v, 4))
+    keys = list(group)
+    different = [axes.select(*keys, rounded(c).alias(c)).distinct().select(*keys, F.explode(c).alias("v")).groupBy(*keys).agg(F.array_sort(F.collect_set("v")).alias(c)) for c in ("ranges", "bearings")]
+    return different[0].join(different[1], keys)
+
+
+def concat_gridded(cells: DataFrame, axes: DataFrame, variables: list[str], group=("site",), dense: bool = True) -> DataFrame:
+    """Gridded files of each group on one shared grid: every file has every range and bearing, null where it has no vector.
+
+    Values of axes match exactly, to 4 places: a cell stays where it is, and files with other steps get empty cells between
+    theirs.  ``dense=False`` leaves the empty cells out.  Rows are range-partitioned and sorted by group and time.
+    """
+    place = {c: F.round(c, 4) for c in ("range", "bearing")}
+    order = [*group, "time", "range", "bearing"]
+    own = cells.withColumns(place).select(*FILE_KEY, "range", "bearing", *variables)
+    if dense:
+        files = axes.select(*FILE_KEY).distinct().join(small(shared_axes(axes, group)), list(group))
+        whole = files.withColumn("range", F.explode("ranges")).withColumn("bearing", F.explode("bearings")).select(*FILE_KEY, "range", "bearing")
+        own = whole.join(own, [*FILE_KEY, "range", "bearing"], "left")
+    return own.repartitionByRange(*group, "time").sortWithinPartitions(*order)
+
+
 def tabular(radials: DataFrame) -> DataFrame:
     """Vectors as they are, with positions named lon and lat, ``kind`` tabular."""
     return radials.withColumnsRenamed({"LOND": "lon", "LATD": "lat"}).withColumn("kind", F.lit("tabular"))
@@ -140,11 +172,52 @@ def nearest_cells(points: DataFrame, cells: DataFrame, origins: DataFrame) -> Da
 def extract_series(cells: DataFrame, points: DataFrame, origins: DataFrame, variables: list[str]) -> DataFrame:
     """A row for each point and each time of its site; null where the point's cell has no vector then."""
     chosen = nearest_cells(points, cells, origins)
-    times = cells.select("site", "time").distinct()
+    return _series(chosen, cells.select("site", "time").distinct(), cells, variables)
+
+
+def _series(chosen: DataFrame, times: DataFrame, cells: DataFrame, variables: list[str]) -> DataFrame:
     wanted = chosen.select("point_id", "site", "range", "bearing").join(times, "site")
     return wanted.join(cells.select("site", "time", "range", "bearing", *variables), ["site", "time", "range", "bearing"], "left")
 
 
+def extract_vectors(radials: DataFrame, axes: DataFrame, points: DataFrame, origins: DataFrame, variables: list[str], keys=FILE_KEY) -> DataFrame:
+    """The same as ``extract_series`` from vectors: only those in a point's cell are shuffled and compared.
+
+    ``axes`` as for ``place``.  The points' cells are found from the sites' distinct ranges and bearings.
+    """
+    placed = place(radials, axes)
+    chosen = nearest_cells(points, placed.filter("RNGE IS NOT NULL AND BEAR IS NOT NULL"), origins)
+    picked = placed.join(small(chosen.select("site", "range", "bearing").distinct()), ["site", "range", "bearing"], "left_semi")
+    return _series(chosen, placed.filter("RNGE IS NOT NULL AND BEAR IS NOT NULL").select("site", "time").distinct(), _last(picked, variables, keys), variables)
+
+
+#: Most different cells that are written into a scan's filter.
+MOST_PICKED = 500
+
+
+def extract_stored(cells: DataFrame, axes: DataFrame, points: DataFrame, origins: DataFrame, variables: list[str]) -> DataFrame:
+    """The same from a table of cells that ``tables.write_table`` wrote, of which the scan reads the points' cells only.
+
+    ``axes`` has the distinct site, range and bearing of the table, ``times`` of which are its site and time (see
+    ``cell_axes``).  The cells of up to ``MOST_PICKED`` points become filters of the scan: partitions of other sites and row
+    groups of other bearings and ranges are passed over.  More than these are joined.
+    """
+    chosen = nearest_cells(points, axes.filter("kind = 'cell'"), origins)
+    few = chosen.select("site", "range", "bearing").distinct().limit(MOST_PICKED + 1).collect()  # a bounded number of rows
+    if len(few) <= MOST_PICKED:
+        sites, ranges, bearings = (sorted({r[i] for r in few}) for i in range(3))
+        picked = cells.filter(F.col("site").isin(sites) & F.col("range").isin(ranges) & F.col("bearing").isin(bearings))
+    else:
+        picked = cells.join(chosen.select("site", "range", "bearing").distinct(), ["site", "range", "bearing"], "left_semi")
+    return _series(chosen, axes.filter("kind = 'time'").select("site", "time"), picked, variables)
+
+
+def cell_axes(cells: DataFrame) -> DataFrame:
+    """What ``extract_stored`` needs to know of a table of cells: its distinct cells (``kind`` cell) and times (``kind`` time)."""
+    places = cells.select("site", "range", "bearing").distinct().withColumn("kind", F.lit("cell"))
+    return places.unionByName(cells.select("site", "time").distinct().withColumn("kind", F.lit("time")), allowMissingColumns=True)
+
+
 def in_box(df: DataFrame, bearings: tuple[float, float], ranges: tuple[float, float], bearing: str = "BEAR", range_: str = "RNGE") -> DataFrame:
     """Rows inside a bearing-range box, both ends inclusive."""
     return df.filter(F.col(bearing).between(*bearings) & F.col(range_).between(*ranges))

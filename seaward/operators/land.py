@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Size in degrees of the tiles that points find rings by, and of the latitude bands that they find a ring's edges by.
 TILE, BAND = 1.0, 0.1
 
 
+#: A polygon file, or a line of one: a collection of features, or one feature.  Coordinates are parsed by the kind of geometry.
+_FEATURE = "properties map<string,string>, geometry struct<type:string,coordinates:string>"
+_GEOJSON = f"{_FEATURE}, features array<struct<{_FEATURE.replace(' map', ':map').replace(' struct', ':struct')}>>"
+_RING = "array<array<double>>"
+
+
+def edges_from_geojson(texts: DataFrame, where: str | Column | None = None) -> DataFrame:
+    """Edges (ring_id, x1, y1, x2, y2) of the polygons in GeoJSON texts (column ``value``: a file, or a feature, each).
+
+    ``where`` chooses features by their ``properties`` (a map of text).  A polygon of several rings is one ``ring_id``: its holes
+    cross a ray as its outline does, so that a point in a hole has crossed an even number.  The parts of a multiple polygon are
+    polygons of their own.  Rings that are not closed are closed; other geometries, and texts that are no GeoJSON, have no edges.
+    """
+    read = texts.select(F.xxhash64("value").alias("text"), F.from_json("value", _GEOJSON).alias("j")).filter("j IS NOT NULL")
+    one = F.array(F.struct(F.col("j.properties").alias("properties"), F.col("j.geometry").alias("geometry")))
+    features = read.select("text", F.posexplode(F.coalesce("j.features", one)).alias("feature", "f")).select("text", "feature", "f.*")
+    if where is not None:
+        features = features.filter(where)
+    shape = F.col("geometry.coordinates")
+    parts = F.when(F.col("geometry.type") == "Polygon", F.array(F.from_json(shape, f"array<{_RING}>"))).when(F.col("geometry.type") == "MultiPolygon", F.from_json(shape, f"array<array<{_RING}>>"))
+    rings = features.select("text", "feature", F.posexplode(parts).alias("part", "polygon")).select(F.concat_ws(".", "text", "feature", "part").alias("ring_id"), F.explode("polygon").alias("r"))
+    closed = rings.filter(F.size("r") > 2).withColumn("next", F.concat(F.slice("r", 2, F.size("r")), F.slice("r", 1, 1)))
+    edges = closed.select("ring_id", F.explode(F.arrays_zip("r", "next")).alias("e"))
+    at = lambda side, i: F.col(f"e.{side}")[i]
+    return edges.select("ring_id", at("r", 0).alias("x1"), at("r", 1).alias("y1"), at("next", 0).alias("x2"), at("next", 1).alias("y2")).filter("x1 <> x2 OR y1 <> y2")
+
+
 def on_land(places: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct (LOND, LATD) with ``on_land``: inside a ring of the edges (ring_id, x1, y1, x2, y2).
+    """Distinct (LOND, LATD) with ``on_land``: inside a ring (or polygon with holes) of the edges (ring_id, x1, y1, x2, y2).
 
     A ring holds a point if a ray to the east crosses an odd number of its edges.  A point looks only at rings whose box
     holds it (found by tiles that the box covers), and of those only at the edges in its narrow band of latitude.

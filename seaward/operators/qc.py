@@ -7,10 +7,10 @@ columns where each site has its own (``with_limits``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,14 +57,17 @@ class Thresholds:
 def with_limits(df: DataFrame, limits: DataFrame, t: Thresholds = Thresholds()) -> tuple[DataFrame, Thresholds, list[str]]:
     """``df`` with the limits of each row's site, as thresholds, and the names of the columns added.
 
-    ``limits`` has a row for each site: ``site`` and any of the thresholds' names; a site, name or value that it lacks
-    takes the value of ``t``.  The table is joined by broadcast as long as it is short.
+    ``limits`` has one row for each site: ``site`` and any of the thresholds' names; a site, name or value that it lacks
+    takes the value of ``t``.  A column ``include`` comes along as ``__include``.  A site that is listed twice is an error when
+    the job runs.  The table is joined by broadcast as long as it is short.
     """
     names = [f.name for f in fields(Thresholds) if f.name in limits.columns]
-    added = [f"__limit_{n}" for n in names]
-    held = limits.select("site", *(F.col(n).alias(a) for n, a in zip(names, added, strict=True)))
-    columns = {n: F.coalesce(a, F.lit(getattr(t, n))) for n, a in zip(names, added, strict=True)}
-    return df.join(small(held), "site", "left"), Thresholds(**{f.name: columns.get(f.name, getattr(t, f.name)) for f in fields(Thresholds)}), added
+    added = [f"__limit_{n}" for n in names] + ["__include"] * ("include" in limits.columns)
+    given = F.struct(*(F.col(c.replace("__limit_", "").replace("__include", "include")).alias(c) for c in added))
+    twice = F.raise_error(F.concat(F.lit("limits name a site twice: "), "site")).cast(limits.select(given.alias("v")).schema["v"].dataType)
+    one = limits.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.max(given).alias("v")).select("site", F.when(F.col("n") > 1, twice).otherwise(F.col("v")).alias("v"))
+    columns = {n: F.coalesce(a, F.lit(getattr(t, n))) for n, a in zip(names, added, strict=False)}
+    return df.join(small(one.select("site", "v.*")), "site", "left"), Thresholds(**{f.name: columns.get(f.name, getattr(t, f.name)) for f in fields(Thresholds)}), added
 
 
 def q202_maximum_velocity(t: Thresholds = Thresholds()) -> Column:
@@ -84,13 +87,24 @@ def q203_valid_location(columns: list[str], on_land: Column | None = None) -> Co
 
 def q204_radial_count(t: Thresholds = Thresholds()) -> Column:
     """By the file's vectors that are not flagged 128 (null flags count)."""
-    n = F.count_if(~F.col("VFLG").eqNullSafe(F.lit(128))).over(Window.partitionBy(*FILE_KEY))
+    return _count_flag(_valid_vectors().over(Window.partitionBy(*FILE_KEY)), t)
+
+
+def _valid_vectors() -> Column:
+    return F.count_if(~F.col("VFLG").eqNullSafe(F.lit(128)))
+
+
+def _count_flag(n: Column, t: Thresholds) -> Column:
     return F.when(n < t.min_count, 4).when(n <= t.low_count, 3).otherwise(1)
 
 
 def q207_average_bearing(t: Thresholds = Thresholds()) -> Column:
     """By the distance of the file's plain mean bearing from the reference; equality flags; no bearings: 2."""
-    off = F.abs(F.avg("BEAR").over(Window.partitionBy(*FILE_KEY)) - F.lit(t.reference_bearing))
+    return _bearing_flag(F.avg("BEAR").over(Window.partitionBy(*FILE_KEY)), t)
+
+
+def _bearing_flag(mean: Column, t: Thresholds) -> Column:
+    off = F.abs(mean - F.lit(t.reference_bearing))
     return F.when(off.isNull(), 2).when(off >= t.failure_threshold, 4).when(off >= t.warning_threshold, 3).otherwise(1)
 
 
@@ -135,45 +149,70 @@ def _neighbour_median(bcell: np.ndarray, rcell: np.ndarray, velo: np.ndarray, ro
     return np.where(n > 0, (low + high) / 2, np.nan), last
 
 
-_IN_FILE = ("row_no", "BEAR", "SPRC", "VELO")
+def _file_flags(row_no: np.ndarray, bear: np.ndarray, sprc: np.ndarray, velo: np.ndarray, size: float, cells: float, angle: float, most: float) -> np.ndarray:
+    """The Q205 flags of one file's vectors, in their order."""
+    flag = np.full(len(row_no), 2, dtype=np.int32)
+    order = np.lexsort((velo, sprc, bear, row_no))
+    order = order[~(np.isnan(bear) | np.isnan(sprc))[order]]
+    if len(order) and size > 0:
+        bear, rcell, velo = bear[order], sprc[order].astype(int), velo[order]
+        rows, rcell = max(1, int(round(360 / size))), rcell - int(rcell.min())
+        bcell = np.trunc((bear - np.mod(bear.min(), size)) / size - 1).astype(int) % rows
+        median, last = _neighbour_median(bcell, rcell, velo, rows, min(int(angle / size), (rows - 1) // 2), int(round(cells)))
+        flag[order] = 1
+        flag[order[(np.abs(velo - median[bcell, rcell]) > most) & (last[bcell, rcell] == np.arange(len(bear)))]] = 4
+    return flag
+
+
+def _spatial_flags(row_no: pa.Array, bear: pa.Array, sprc: pa.Array, velo: pa.Array, size: pa.Array, cells: pa.Array, angle: pa.Array, most: pa.Array) -> pa.Array:
+    ends = row_no.offsets.to_numpy()
+    columns = [np.asarray(c.flatten().to_numpy(zero_copy_only=False), dtype=float) for c in (row_no, bear, sprc, velo)]
+    limits = [np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in (size, cells, angle, most)]
+    parts = [_file_flags(*(c[a - ends[0] : b - ends[0]] for c in columns), *(x[i] for x in limits)) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+    return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *parts])))
 
 
-def spatial_flags(df: DataFrame, t: Thresholds = Thresholds(), step: str = "bearing_step") -> DataFrame:
-    """Each file's key and its Q205 flags: an array in the order of ``row_no`` (then bearing, range cell, velocity).
+def spatial_flags(rows: Column, step: Column, t: Thresholds = Thresholds()) -> Column:
+    """The Q205 flags of a file from the array of its vectors (row_no, BEAR, SPRC, VELO), in the order of the array.
 
-    Only what the test looks at goes through Python, and one row for each file comes back.
+    ``step`` is the file's angular resolution.  Only the four arrays go through Python, a file at a time.
     """
-    limits = {"__step": F.col(step), "__cells": F.lit(t.range_cell_limit), "__angle": F.lit(t.angular_limit), "__off": F.lit(t.current_difference)}
-    sent = df.select(*FILE_KEY, "row_no", *(F.col(c).cast("double").alias(c) for c in _IN_FILE[1:]), *(c.cast("double").alias(n) for n, c in limits.items()))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(_IN_FILE), kind="stable", na_position="first")
-        flag = np.full(len(pdf), 2)
-        ok = (pdf["BEAR"].notna() & pdf["SPRC"].notna()).to_numpy()
-        size, cells, angle, most = pdf[["__step", "__cells", "__angle", "__off"]].iloc[0]
-        if ok.any() and pd.notna(size) and size > 0:
-            bear, rcell, velo = (pdf.loc[ok, c].to_numpy(dtype=float) for c in _IN_FILE[1:])
-            rows, rcell = max(1, int(round(360 / size))), rcell.astype(int) - int(rcell.min())
-            bcell = np.trunc((bear - np.mod(bear.min(), size)) / size - 1).astype(int) % rows
-            median, last = _neighbour_median(bcell, rcell, velo, rows, min(int(angle / size), (rows - 1) // 2), int(round(cells)))
-            own = np.ones(len(bear), dtype=int)
-            own[(np.abs(velo - median[bcell, rcell]) > most) & (last[bcell, rcell] == np.arange(len(bear)))] = 4
-            flag[ok] = own
-        return pd.DataFrame([(*key, flag.astype("int32"))], columns=[*FILE_KEY, "__flags"])
-
-    kinds = dict(df.dtypes)
-    return sent.groupBy(*FILE_KEY).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in FILE_KEY), "__flags array<int>"]))
+    part = lambda c, kind: F.transform(rows, lambda r: r[c].cast(kind))
+    limits = (F.lit(x).cast("double") for x in (t.range_cell_limit, t.angular_limit, t.current_difference))
+    return F.arrow_udf(_spatial_flags, "array<int>")(part("row_no", "bigint"), *(part(c, "double") for c in ("BEAR", "SPRC", "VELO")), step.cast("double"), *limits)
+
+
+def by_file(df: DataFrame, *more: Column) -> DataFrame:
+    """One row for each file: its key, its vectors as an array of structs ``__rows``, and other aggregates.
+
+    The vectors move once, by the file's key; a file's array is bounded by its grid.
+    """
+    return df.groupBy(*FILE_KEY).agg(F.collect_list(F.struct(*(c for c in df.columns if c not in FILE_KEY))).alias("__rows"), *more)
+
+
+def by_row(files: DataFrame, columns: list[str], flags: list[str], spatial: Column | None = None) -> DataFrame:
+    """The vectors of ``by_file`` as rows again, with the files' ``flags`` and, if given, Q205 from an array in their order."""
+    known = F.lit(True)
+    for k in FILE_KEY:
+        known = known & F.col(k).isNotNull()
+    zipped = F.arrays_zip("__rows") if spatial is None else F.arrays_zip("__rows", spatial.alias("__flags"))
+    rows = files.select(*FILE_KEY, *flags, known.alias("__known"), F.inline(zipped))
+    own = [F.col(c) if c in FILE_KEY else F.col(f"__rows.{c}") for c in columns]
+    q205 = [] if spatial is None else [F.when(F.col("__known"), F.col("__flags")).otherwise(2).alias("Q205")]
+    return rows.select(*own, *flags, *q205)
 
 
 def q205_spatial_median(df: DataFrame, t: Thresholds = Thresholds(), step: str = "bearing_step") -> DataFrame:
     """``df`` with Q205: 4 where a velocity is off the median of its neighbours by more than the limit.
 
     ``step`` is the column with the file's angular resolution.  Files without it, vectors without bearing or range cell,
-    and vectors of files without a part of their key get 2.  The key is the file's, so the tests by file share this shuffle.
+    and vectors of files without a part of their key get 2.  One shuffle, by file, and no join: a file's vectors are one array
+    from which the flags are worked out.
     """
-    place = F.row_number().over(Window.partitionBy(*FILE_KEY).orderBy(*_IN_FILE))
-    ranked = df.withColumn("__place", place).join(spatial_flags(df, t, step), list(FILE_KEY), "left")
-    return ranked.withColumn("Q205", F.coalesce(F.get("__flags", F.col("__place") - 1), F.lit(2))).drop("__place", "__flags")
+    names = ("range_cell_limit", "angular_limit", "current_difference")
+    files = by_file(df, F.first(step).alias("__step"), *(F.first(F.lit(getattr(t, n))).alias(f"__{n}") for n in names))
+    files = files.withColumn("__q205", spatial_flags(F.col("__rows"), F.col("__step"), replace(t, **{n: F.col(f"__{n}") for n in names})))
+    return by_row(files, df.columns, [], F.col("__q205"))
 
 
 def spatial_median_by_offsets(df: DataFrame, t: Thresholds = Thresholds(), bearings: int = 72) -> DataFrame:
@@ -264,6 +303,65 @@ def provenance(t: Thresholds = Thresholds(), tests=USUAL, include: Column | list
     return F.array(*(line(c) for c in ran), F.concat(F.lit(f"%QCTest: {PRIMARY} (PRIM) - highest of "), F.array_join(counted, ", "), F.lit(" (2 ignored)")))
 
 
+def file_tests(
+    radials: DataFrame,
+    files: DataFrame,
+    t: Thresholds = Thresholds(),
+    on_land: Column | None = None,
+    tests=USUAL,
+) -> DataFrame:
+    """The tests that need a vector's own file only (Q201 to Q205, Q207), as columns of ``radials``.
+
+    One shuffle of the vectors, by file: there they meet the file's header, become one array beside the file's counts and
+    means, and are rows again with all flags.
+    """
+    step = F.get(numbers(header(F.col("meta"), "AngularResolution")), F.lit(0)).try_cast("double")
+    info = files.groupBy(*FILE_KEY).agg(F.max(syntax_flag()).alias("Q201"), F.max(step).alias("__step"))
+    by_vector = {"Q202": q202_maximum_velocity(t), "Q203": q203_valid_location(radials.columns, on_land)}
+    rows = radials.withColumns({c: by_vector[c] for c in by_vector if c in tests})
+    of_file = {"Q204": ("min_count", "low_count"), "Q205": ("range_cell_limit", "angular_limit", "current_difference"), "Q207": ("reference_bearing", "warning_threshold", "failure_threshold")}
+    names = [n for c, some in of_file.items() if c in tests for n in some]
+    more = [F.first("__step").alias("__size"), *(F.first(F.lit(getattr(t, n))).alias(f"__{n}") for n in names)]
+    more += [_valid_vectors().alias("__valid")] * ("Q204" in tests) + [F.avg("BEAR").alias("__bearing")] * ("Q207" in tests)
+    met = rows.join(info.hint("shuffle_hash"), list(FILE_KEY), "left").withColumn("Q201", F.coalesce("Q201", F.lit(4)))
+    held = by_file(met, *more)
+    own = replace(t, **{n: F.col(f"__{n}") for n in names})
+    if "Q204" in tests:
+        held = held.withColumn("Q204", _count_flag(F.col("__valid"), own))
+    if "Q207" in tests:
+        held = held.withColumn("Q207", _bearing_flag(F.col("__bearing"), own))
+    if "Q205" in tests:
+        held = held.withColumn("__q205", spatial_flags(F.col("__rows"), F.col("__size"), own))
+    own_columns = [*rows.columns, *(["Q201"] if "Q201" in tests else [])]
+    return by_row(held, own_columns, [c for c in ("Q204", "Q207") if c in tests], F.col("__q205") if "Q205" in tests else None)
+
+
+def chosen_tests(tests=None, extra: bool = False) -> list[str]:
+    """The names of the tests that run, in their order."""
+    return [c for c in TESTS if c in (tests or (*USUAL, *(["Q901"] if extra else [])))]
+
+
+def included(include: list[str] | None, by_site: bool) -> Column | list[str] | None:
+    """The tests that count for the primary flag: the column ``__include`` where sites have lists, else the list for all."""
+    if not by_site:
+        return include
+    return F.coalesce("__include", F.lit(None).cast("array<string>") if include is None else F.array(*(F.lit(x) for x in include)))
+
+
+def history_tests(rows: DataFrame, t: Thresholds, order: list[str], include: Column | list[str] | None = None, most_steps: int | None = None) -> DataFrame:
+    """``rows`` of ``file_tests`` with the tests that look at earlier hours, and the primary flag."""
+    if back := [c for c in ("Q206", "Q209", "Q901") if c in order]:
+        rows = temporal_tests(rows, t, back, most_steps)
+    return rows.withColumn("PRIM", primary_flag(order, include))
+
+
+def most_steps(limits: DataFrame | None, t: Thresholds) -> int:
+    """The largest number of hours that a site's tests look at; of ``limits`` one number is read."""
+    if limits is None or "n_steps" not in limits.columns:
+        return t.n_steps
+    return max(t.n_steps, limits.agg(F.max("n_steps")).first()[0] or 0)
+
+
 def qc_radials(
     radials: DataFrame,
     files: DataFrame,
@@ -274,36 +372,18 @@ def qc_radials(
     tests=None,
     include: list[str] | None = None,
 ) -> DataFrame:
-    """The tests and PRIM.  Two shuffles of the vectors: by file for Q204, Q205 and Q207, by place for the hours before.
+    """The tests and PRIM.  Two shuffles of the vectors: by file for the file's own tests, by place for the hours before.
 
     ``limits`` gives sites their own thresholds (see ``with_limits``) and, in a column ``include`` (array of text), the
     tests that count for the primary flag; ``include`` is that list for the sites without one.  ``tests`` are those that run
     (``USUAL``, with ``extra`` Q901 too).
     """
-    order = [c for c in TESTS if c in (tests or (*USUAL, *(["Q901"] if extra else [])))]
-    step = F.get(numbers(header(F.col("meta"), "AngularResolution")), F.lit(0)).try_cast("double")
-    info = files.groupBy(*FILE_KEY).agg(F.max(syntax_flag()).alias("Q201"), F.max(step).alias("bearing_step"))
-    rows, added, most, chosen = radials, [], t.n_steps, include
+    order, most = chosen_tests(tests, extra), most_steps(limits, t)
+    rows, added = radials, []
     if limits is not None:
         rows, t, added = with_limits(radials, limits, t)
-        if "n_steps" in limits.columns:
-            most = max(most, limits.agg(F.max("n_steps")).first()[0] or 0)  # one number
-        if "include" in limits.columns:
-            given = limits.select("site", F.col("include").alias("__include"))
-            rows, added = rows.join(small(given), "site", "left"), [*added, "__include"]
-            default = F.lit(None).cast("array<string>") if include is None else F.array(*(F.lit(x) for x in include))
-            chosen = F.coalesce("__include", default)
-    by_row = {"Q202": q202_maximum_velocity(t), "Q203": q203_valid_location(radials.columns, on_land)}
-    rows = rows.withColumns({c: by_row[c] for c in by_row if c in order}).join(info, list(FILE_KEY), "left")
-    rows = rows.withColumn("Q201", F.coalesce("Q201", F.lit(4)))
-    by_file = {"Q204": q204_radial_count(t), "Q207": q207_average_bearing(t)}
-    rows = rows.withColumns({c: by_file[c] for c in by_file if c in order})
-    if "Q205" in order:
-        rows = q205_spatial_median(rows, t)
-    if back := [c for c in ("Q206", "Q209", "Q901") if c in order]:
-        rows = temporal_tests(rows, t, back, most)
-    flags = rows.withColumn("PRIM", primary_flag(order, chosen))
-    return flags.drop("bearing_step", *added, *([] if "Q201" in order else ["Q201"]))
+    flags = history_tests(file_tests(rows, files, t, on_land, order), t, order, included(include, "__include" in added), most)
+    return flags.drop(*added)
 
 
 def clean_copy(flagged: DataFrame) -> DataFrame:

@@ -46,17 +46,84 @@ LONG_NAMES = {
 }
 
 
+#: Standard names, axes, comments and valid ranges of the published data sets.
+STANDARD_NAMES = {
+    "LOND": "longitude", "LATD": "latitude", "VELU": "surface_eastward_sea_water_velocity", "VELV": "surface_northward_sea_water_velocity",
+    "VELO": "radial_sea_water_velocity_away_from_instrument", "HEAD": "direction_of_radial_vector_away_from_instrument", "time": "time",
+}
+WAVE_STANDARD_NAMES = {
+    "MWHT": "sea_surface_wave_significant_height", "MWPD": "sea_surface_wave_mean_period", "WAVB": "sea_surface_wave_from_direction",
+    "WNDB": "sea_surface_wind_wave_from_direction", "lon": "longitude", "lat": "latitude", "time": "time",
+}
+WAVE_LONG_NAMES = {
+    "MWHT": "wave model height in meters", "MWPD": "wave spectra period in seconds", "WAVB": "wave from direction in degrees",
+    "WNDB": "wind from direction in degrees", "lon": "Longitude", "lat": "Latitude", "time": "Universal Time Coordinated (UTC) Time",
+}
+COMMENTS = {"QCOP": "Flag that is manually set by operator. Flag vectors that are not detected by QC tests but are clearly wrong."}
+WAVE_COMMENTS = {
+    "MWHT": "wave model height in meters for every one of three waves", "MWPD": "wave spectra period in seconds",
+    "WAVB": "wave from direction in degrees", "WNDB": "wind from direction in degrees",
+}
+VALID = {
+    "LOND": (-180.0, 180.0), "LATD": (-90.0, 90.0), "VELU": (-300.0, 300.0), "VELV": (-300.0, 300.0), "BEAR": (0.0, 360.0), "RNGE": (0.0, 1000.0),
+    "VELO": (-1000.0, 1000.0), "VFLG": (0.0, 2048.0),
+}
+WAVE_VALID = {"MWHT": (0.0, 100.0), "MWPD": (0.0, 100.0), "WAVB": (0.0, 360.0), "WNDB": (0.0, 360.0), "lon": (-180.0, 180.0), "lat": (-90.0, 90.0)}
+AXES = {"LOND": "X", "LATD": "Y", "RNGE": "X", "BEAR": "Y"}
+WAVE_UNITS = {"lon": "degrees_east", "lat": "degrees_north"}
+FLAG_VALUES, FLAG_MEANINGS = [1, 2, 3, 4, 9], "pass not_evaluated suspect fail missing_data"
+VECTOR_FLAG_MASKS = [1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]
+VECTOR_FLAG_MEANINGS = (
+    "grid_point_deleted grid_point_near_coast point_measurement no_radial_solution baseline_interpolation exceeds_max_speed "
+    "invalid_solution solution_beyond_valid_spatial_domain insufficient_angular_resolution reserved reserved"
+)
+
+
+def published_metadata(column: str, names: dict[str, str] = RADIAL_NAMES) -> dict:
+    """What a published data set says of a column: units, names, valid range, axis, comment, the meaning of flags.
+
+    Flag values are those that the tests give (9 for missing data).  Headings are degrees as they are, without a scale.
+    """
+    wave = names is WAVE_NAMES
+    tables = {
+        "units": UNITS | WAVE_UNITS if wave else UNITS, "standard_name": WAVE_STANDARD_NAMES if wave else STANDARD_NAMES,
+        "long_name": WAVE_LONG_NAMES if wave else LONG_NAMES, "comment": WAVE_COMMENTS if wave else COMMENTS, "axis": {} if wave else AXES,
+    }
+    found = {k: t[column] for k, t in tables.items() if column in t}
+    if column in (valid := WAVE_VALID if wave else VALID):
+        found |= dict(zip(("valid_min", "valid_max"), valid[column], strict=True))
+    if names.get(column, "").endswith("_qc"):
+        found |= {"flag_values": FLAG_VALUES, "flag_meanings": FLAG_MEANINGS, "valid_min": 1.0, "valid_max": 9.0}
+    elif column == "VFLG" and not wave:
+        found |= {"flag_masks": VECTOR_FLAG_MASKS, "flag_meanings": VECTOR_FLAG_MEANINGS}
+    if not wave and column in names and column not in AXES:
+        found["coordinates"] = "lon lat"
+    elif column in WAVE_STANDARD_NAMES and column in WAVE_NAMES and wave:
+        found |= {"coordinates": "time", "coverage_content_type": "physicalMeasurement"}
+    return found
+
+
 def rename_published(df: DataFrame, names: dict[str, str] = RADIAL_NAMES) -> DataFrame:
-    """Published names, with units, long names and flag meanings as column metadata."""
-    flags = {"flag_values": [1, 2, 3, 4, 9], "flag_meanings": "pass not_evaluated suspect fail missing"}
+    """Published names, with ``published_metadata`` as metadata of the columns (Parquet keeps it)."""
 
     def one(c: str):
-        meta = ({"units": UNITS[c]} if c in UNITS else {}) | ({"long_name": LONG_NAMES[c]} if c in LONG_NAMES else {}) | (flags if names.get(c, "").endswith("_qc") else {})
+        meta = published_metadata(c, names)
         return F.col(c).alias(names.get(c, c), metadata=meta) if meta else F.col(c).alias(names.get(c, c))
 
     return df.select(*(one(c) for c in df.columns))
 
 
+def dataset_attributes(df: DataFrame, given: dict[str, str] | None = None, lon: str = "LOND", lat: str = "LATD") -> DataFrame:
+    """The attributes of a data set as one row: time coverage, bounds of positions, conventions, and those ``given``."""
+    stamp = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
+    found = df.agg(
+        stamp(F.min("time")).alias("time_coverage_start"), stamp(F.max("time")).alias("time_coverage_end"),
+        *(f(c).alias(f"geospatial_{n}_{e}") for n, c in (("lat", lat), ("lon", lon)) for e, f in (("min", F.min), ("max", F.max))),
+    )
+    fixed = {"Conventions": "CF-1.6, ACDD-1.3", "standard_name_vocabulary": "CF Standard Name Table v41", "geospatial_lat_units": "degrees_north", "geospatial_lon_units": "degrees_east"}
+    return found.withColumns({k: F.lit(v) for k, v in (fixed | (given or {})).items()})
+
+
 def time_slice(df: DataFrame, start=None, end=None, column: str = "time") -> DataFrame:
     """Rows from start to end, both inclusive; an end left out is open."""
     out = df

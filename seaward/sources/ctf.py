@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaward.functions.headers import header, site_code, time_of
+from seaward.functions.headers import header, receiver, site_code, time_of
 
 FILL_VALUES = (999.0, 1080.0)
 RADIAL_COLUMNS = {
@@ -107,9 +107,33 @@ def parse_files(contents: DataFrame) -> DataFrame:
     return contents.select("path", "content").mapInPandas(run, _SCHEMA)
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """Parsed files under ``path`` whose names match the pattern."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path)
+def contents(spark: SparkSession, path: str | list[str], pattern: str | list[str] = "*", recursive: bool = True) -> DataFrame:
+    """path, content, and file_name, prefix, named_site and file_time from the name, of the files that match a pattern.
+
+    The parts of the name come from the file's metadata, not from its content: Spark evaluates filters on them while it lists
+    the files, and files that do not pass are never opened.
+    """
+    globs = pattern if isinstance(pattern, str) else "{" + ",".join(pattern) + "}"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", globs).option("recursiveFileLookup", recursive).load(path)
+    return found.select("path", "content", *(c.alias(n) for n, c in name_parts(F.col("_metadata.file_name")).items()), site_in_name(F.col("_metadata.file_name")).alias("named_site"))
+
+
+def chosen_files(found: DataFrame, prefix: str | list[str] | None = None, sites: list[str] | None = None, start=None, end=None) -> DataFrame:
+    """Of ``contents`` (or a catalogue) the files of some prefixes and sites, from ``start`` to ``end`` (both inclusive)."""
+    if prefix is not None:
+        found = found.filter(F.col("prefix").isin([prefix] if isinstance(prefix, str) else list(prefix)))
+    if sites is not None:
+        found = found.filter(F.col("named_site").isin(list(sites)))
+    if start is not None:
+        found = found.filter(F.col("file_time") >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        found = found.filter(F.col("file_time") <= F.lit(end).cast("timestamp"))
+    return found
+
+
+def read_files(spark: SparkSession, path: str | list[str], pattern: str | list[str] = "*", recursive: bool = True, prefix=None, sites=None, start=None, end=None) -> DataFrame:
+    """Parsed files under ``path`` whose names match a pattern; of those only the ``chosen_files`` are opened."""
+    found = chosen_files(contents(spark, path, pattern, recursive), prefix, sites, start, end)
     return parse_files(found.select("path", "content"))
 
 
@@ -124,6 +148,11 @@ def name_parts(path: Column) -> dict[str, Column]:
     }
 
 
+def site_in_name(path: Column) -> Column:
+    """The site that stands after the prefix in the name of a path."""
+    return F.regexp_extract(F.regexp_extract(path, "([^/]*)$", 1), "^[A-Za-z0-9]+_([A-Za-z0-9]+)_", 1)
+
+
 def file_table(parsed: DataFrame) -> DataFrame:
     """The catalogue row of each file: names, times, header, columns and sizes."""
     first = F.get(F.filter("tables", lambda t: t["table_no"] == 1), F.lit(0))
@@ -140,7 +169,9 @@ def file_table(parsed: DataFrame) -> DataFrame:
 def table_rows(parsed: DataFrame, type_like: str, columns: dict[str, str], extra: tuple[str, ...] = ()) -> DataFrame:
     """Typed rows of all tables whose type holds ``type_like``; columns that a file lacks are null."""
     named = parsed.filter(~F.col("is_corrupt")).withColumns(name_parts(F.col("path")))
-    kept = [c for c in extra if c in ("kind",)]
+    kept = [c for c in extra if c in ("kind", "lon", "lat")]
+    if "lon" in kept:
+        named = named.withColumns(dict(zip(("lon", "lat"), receiver(F.col("meta")), strict=True)))
     tables = named.select("path", "prefix", *kept, site_code(header(F.col("meta"), "Site")).alias("site"), time_of(header(F.col("meta"), "TimeStamp")).alias("time"), F.explode("tables").alias("t"))
     rows = tables.filter(F.contains("t.table_type", F.lit(type_like))).select("path", "prefix", "site", "time", *kept, F.col("t.table_no").alias("table_no"), F.col("t.columns").alias("cols"), F.posexplode("t.rows").alias("row_no", "v"))
     value = lambda c: F.get("v", F.array_position("cols", c) - 1)
@@ -169,9 +200,14 @@ def flip_velocity(df: DataFrame) -> DataFrame:
     return df.withColumns({c: -F.col(c) for c in ("MINV", "MAXV", "VELO") if c in df.columns})
 
 
-def read_waves(parsed: DataFrame) -> DataFrame:
-    """Wave rows: all tables of files with ranges, the first table of averaged files; ``kind`` says which."""
-    rows = fill_to_null(table_rows(parsed, "WAVL", WAVE_COLUMNS, ("TYRS", "kind")), list(WAVE_COLUMNS))
+def read_waves(parsed: DataFrame, columns: dict[str, str] | None = None, positions: bool = False) -> DataFrame:
+    """Wave rows: all tables of files with ranges, the first table of averaged files; ``kind`` says which.
+
+    ``columns`` are read besides the wave columns; with ``positions`` the receiver's lon and lat come along from the header of
+    the same file.
+    """
+    wanted = WAVE_COLUMNS | (columns or {})
+    rows = fill_to_null(table_rows(parsed, "WAVL", wanted, ("TYRS", "kind", *(("lon", "lat") if positions else ()))), list(WAVE_COLUMNS))
     chosen = rows.filter((F.col("kind") == "ranged") | (F.col("table_no") == 1))
     return chosen.withColumn("time", F.make_timestamp(*(F.col(c) for c in TIME_PARTS))).drop(*TIME_PARTS)
 

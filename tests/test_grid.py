@@ -97,5 +97,5 @@ def test_subsets_and_names(spark):
     assert [r.row_no for r in series.every_nth(df, 2).orderBy("row_no").collect()] == [0, 2]
     named = series.rename_published(df)
     assert named.columns == ["site", "time", "row_no", "velocity", "primary_flag_qc"]
-    assert named.schema["velocity"].metadata == {"units": "cm s-1"} and named.schema["primary_flag_qc"].metadata["flag_values"] == [1, 2, 3, 4, 9]
+    assert named.schema["velocity"].metadata["units"] == "cm s-1" and named.schema["primary_flag_qc"].metadata["flag_values"] == [1, 2, 3, 4, 9]
     assert series.concatenate(df, df.drop("VELO")).filter("VELO IS NULL").count() == 3

@@ -86,6 +86,8 @@ def test_spatial_median(spark):
     assert got[50] == 1  # alone: its own median
     assert got[51] == 4 and got[4] == 1  # of two in a cell the last counts, the other passes
     assert got[52] == 2
+    no_key = qc.q205_spatial_median(df.withColumn("time", F.lit(None).cast("timestamp")))
+    assert set(flags(no_key, "Q205")) == {2} and no_key.count() == len(odd) and no_key.columns == [*df.columns, "Q205"]
     assert set(flags(qc.q205_spatial_median(df.withColumn("bearing_step", F.lit(None).cast("double"))), "Q205")) == {2}
 
 
@@ -105,13 +107,30 @@ def test_primary_flag(spark):
     assert kept.columns == ["row_no"] and kept.count() == 3
 
 
-def test_chain_has_few_shuffles(spark):
+def plan_counts(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan"), plan.count("Exchange"), plan.count("Join"), "CartesianProduct" in plan
+
+
+def test_plans_read_and_shuffle_once(spark):
+    """Beside what derives the test table (a scan and a shuffle for vectors, the same and one more for files)."""
     from seaward.jobs import queries
 
     rad = queries.vectors_of(spark, "/root/testdata/sf0.001")
-    flagged = qc.qc_radials(rad, queries.files_of(rad), queries.LIMITS)
-    plan = flagged._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(prefix") <= 9 and "CartesianProduct" not in plan
+    alone = qc.q205_spatial_median(rad.withColumn("bearing_step", F.lit(5.0)), queries.LIMITS)
+    assert plan_counts(alone) == (1, 1 + 1, 0, False)
+    # vectors: by file, by place; files: by key
+    chain = qc.qc_radials(rad, queries.files_of(rad), queries.LIMITS)
+    assert plan_counts(chain) == (2, (1 + 2) + (2 + 1), 1, False)
+
+
+def test_limits_name_a_site_once(spark):
+    df = rows(spark, [{"VELO": 9.0}, {"site": "B", "VELO": 9.0}])
+    one = spark.createDataFrame([("A", 5.0), ("B", None)], "site string, max_speed double")
+    got, t, added = qc.with_limits(df, one, qc.Thresholds(max_speed=20.0))
+    assert {r.site: r.q for r in got.select("site", qc.q202_maximum_velocity(t).alias("q")).collect()} == {"A": 4, "B": 1} and added == ["__limit_max_speed"]
+    with pytest.raises(Exception, match="name a site twice: A"):
+        qc.with_limits(df, one.unionByName(one.limit(1)))[0].collect()
 
 
 def test_passed_only(spark):
