@@ -1,17 +1,18 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from directories.
 
-The units of a text are its lines, its pairs of lines (notices that wrap), its blocks between empty lines (header comments,
-paragraphs of a licence file) and the whole text.  Templates are short notices, standard header notices and whole licence
-texts.  Words weigh term frequency times inverse template frequency; a word that no template has weighs most.  A unit's
-cosine to each template is one grouped sum over the words they share (the templates' words are a small broadcast table, as
-long as the parameter).  Texts and units whose shared words could not reach the threshold with any template are left out
-before that, by a bound worked out from the templates.  A file's licence is its best unit's; files without one take that of
-the nearest directory above them that has one, by joins on paths.  All of it is DataFrame functions, no Python runs on the
-executors.
-
-Null and empty texts have no licence of their own.  A null path is the root directory.  A row is its id, path and text: rows
-without an id, or that repeat one, are looked at each by itself.  Ties: the larger cosine, then the licence's name; among
-files of a directory the same.  Texts of any length are looked at whole.  Other columns are not looked at, whatever their
+The units of a text are its lines, its pairs of lines (notices that wrap, titles), its blocks between empty lines (header
+comments, paragraphs of a licence file), runs of two to four blocks, and the whole text.  Templates are of four tiers: a bare
+line of rights, short notices, header notices, and titles and texts of licences.  Words weigh term frequency times inverse
+template frequency; a word that no template has weighs most.  A unit's cosine to each template is one grouped sum over the
+words they share (the templates' words are a small broadcast table, as long as the parameter).  Texts and units whose shared
+words could not reach the threshold with any template are left out before that, by a bound worked out from the templates.  A
+file's licence is that of the highest tier that reaches the threshold, there the most similar; files without one take that of
+the nearest directory above them that has one, by joins on paths.  A line of rights never stands against a licence, and says
+nothing of other files.  All of it is DataFrame functions, no Python runs on the executors.
+
+More whole texts are a parameter (``with_texts``, ``read_texts``).  Null and empty texts have no licence of their own.  A null path is the root directory.  A row is its id, path and text: rows
+without an id, or that repeat one, are looked at each by itself.  Ties of tier and cosine: the licence's name; among files of
+a directory the same.  Texts of any length are looked at whole.  Other columns are not looked at, whatever their
 names.  An empty table gives no rows.
 """
 
@@ -28,14 +29,14 @@ from seaward.llm.common import materialize, read_table, text_or_empty
 
 #: Notices, header notices and texts of licences as published; a parameter of ``licences``.
 NOTICES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "BSD 3-Clause License"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0. See LICENSE for details."],
+    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "BSD 3-Clause License", "Licensed under the BSD 3-Clause License."],
     "BSD-2-Clause": ["BSD 2-Clause License"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0, Creative Commons Attribution International.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
     "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1."],
-    "MIT": ["Released under the MIT License.", "The MIT License (MIT)", "This file is licensed under the MIT license."],
+    "MIT": ["Released under the MIT License.", "The MIT License (MIT)", "This file is licensed under the MIT license.", "Licensed under the MIT license.", "Licensed under the MIT License. See LICENSE for details."],
     "MPL-2.0": ["Subject to the terms of the Mozilla Public License, version 2.0."],
     "Proprietary": ["All rights reserved."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
@@ -60,20 +61,34 @@ _GNU = (
     "be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} "
     "for more details. You should have received a copy of the GNU {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
 )
-TEXTS = {
+#: Header notices, as the licences recommend them for source files.
+HEADERS = {
     "Apache-2.0": [
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may '
         "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
         'distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See '
-        "the License for the specific language governing permissions and limitations under the License."
+        "the License for the specific language governing permissions and limitations under the License.",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work "
+        "for additional information regarding copyright ownership. The ASF licenses this file to you under the Apache License, Version 2.0 (the "
+        '"License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        'distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific '
+        "language governing permissions and limitations under the License.",
+    ],
+    "GPL-2.0": [_GNU.format(what="program", name="General Public License", version="2")],
+    "GPL-3.0": [_GNU.format(what="program", name="General Public License", version="3")],
+    "LGPL-2.1": [_GNU.format(what="library", name="Lesser General Public License", version="2.1")],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/."
     ],
+}
+TEXTS = {
     "BSD-2-Clause": [_TWO + _AS_IS],
     "BSD-3-Clause": [
         _TWO + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
         "this software without specific prior written permission. " + _AS_IS
     ],
-    "GPL-2.0": [_GNU.format(what="program", name="General Public License", version="2")],
-    "GPL-3.0": [_GNU.format(what="program", name="General Public License", version="3")],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH '
@@ -81,7 +96,6 @@ TEXTS = {
         "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
         "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ],
-    "LGPL-2.1": [_GNU.format(what="library", name="Lesser General Public License", version="2.1")],
     "MIT": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
         '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
@@ -96,33 +110,65 @@ TEXTS = {
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
         "following conditions:",
     ],
-    "MPL-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
-        "You can obtain one at https://mozilla.org/MPL/2.0/."
-    ],
 }
-#: Each licence's templates: notices, the short identifier line, header notices and texts.
-TEMPLATES = {n: [*NOTICES.get(n, []), *([] if n == "Proprietary" else [f"SPDX-License-Identifier: {n}"]), *TEXTS.get(n, [])] for n in sorted({*NOTICES, *TEXTS})}
+#: Titles, and sentences that name the licence, of licence files that have no short text.
+TITLES = {
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004"],
+    "GPL-1.0": ["GNU GENERAL PUBLIC LICENSE Version 1, February 1989"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.0": ["GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "MPL-1.1": ["MOZILLA PUBLIC LICENSE Version 1.1"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+    "PSF-2.0": ["PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2"],
+}
+#: Tiers of templates.
+RIGHTS, NOTICE, HEADER, TEXT = range(4)
+
+
+def _templates() -> list[tuple[str, int, str]]:
+    """(licence, tier, text) of each template; each licence but the line of rights has its short identifier line too."""
+    out = [(n, RIGHTS if n == "Proprietary" else NOTICE, t) for n in NOTICES for t in NOTICES[n]]
+    out += [(n, NOTICE, f"SPDX-License-Identifier: {n}") for n in {*NOTICES, *HEADERS, *TEXTS, *TITLES} - {"Proprietary"}]
+    out += [(n, HEADER, t) for n in HEADERS for t in HEADERS[n]]
+    return sorted(out + [(n, TEXT, t) for table in (TEXTS, TITLES) for n in table for t in table[n]])
+
+
+TEMPLATES = _templates()
 THRESHOLD = 0.8
 #: Words of ordinary prose: lines that share only these with the templates are not looked at further.
 COMMON = set("a an and are as at be by for from in into is it of on or that the this to under use was with".split())
 _WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
-def template_weights(templates: dict[str, list[str]]) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]], float]:
-    """Weight of one occurrence of each word; of each template its licence and its words' weights, scaled to length 1; the
-    weight of words that no template has."""
-    counts = [(n, Counter(re.findall(_WORD, t.lower()))) for n in sorted(templates) for t in templates[n]]
-    held = Counter(w for _, c in counts for w in c)
+def with_texts(texts: dict[str, str], templates=None) -> list[tuple[str, int, str]]:
+    """The templates (or those given) and whole licence texts by name."""
+    return sorted([*(TEMPLATES if templates is None else templates), *((n, TEXT, t) for n, t in texts.items())])
+
+
+def read_texts(spark: SparkSession, path: str) -> dict[str, str]:
+    """Whole licence texts from a folder, named as their files without an ending: a parameter of some dozens of texts."""
+    found = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.txt|\.md)?$", 1).alias("n"), "value")
+    return {r.n: r.value for r in found.collect()}
+
+
+def template_weights(templates) -> tuple[dict[str, float], list[tuple[str, int, dict[str, float]]], float]:
+    """Weight of one occurrence of each word; of each template its licence, tier and its words' weights, scaled to length 1;
+    the weight of words that no template has."""
+    counts = [(n, tier, Counter(re.findall(_WORD, t.lower()))) for n, tier, t in templates]
+    held = Counter(w for _, _, c in counts for w in c)
     weight = {w: math.log((1 + len(counts)) / (1 + held[w])) + 1 for w in sorted(held)}
     scaled = []
-    for n, c in counts:
+    for n, tier, c in counts:
         norm = math.sqrt(sum((k * weight[w]) ** 2 for w, k in c.items()))
-        scaled.append((n, {w: k * weight[w] / norm for w, k in c.items()}))
+        scaled.append((n, tier, {w: k * weight[w] / norm for w, k in c.items()}))
     return weight, scaled, math.log(1 + len(counts)) + 1
 
 
-def deciding_words(templates: dict[str, list[str]], threshold: float) -> list[str]:
+def deciding_words(templates, threshold: float) -> list[str]:
     """Words of which a unit needs at least one: those without them share less than ``threshold`` with any template.
 
     Words are set aside, common ones first, as long as those of each template keep a norm under the threshold.
@@ -132,41 +178,70 @@ def deciding_words(templates: dict[str, list[str]], threshold: float) -> list[st
     sums = [0.0] * len(scaled)
     aside: set[str] = set()
     for w in sorted(weight, key=lambda w: (w not in COMMON, len(w), w)):
-        new = [s + t.get(w, 0.0) ** 2 for s, (_, t) in zip(sums, scaled, strict=True)]
+        new = [s + t.get(w, 0.0) ** 2 for s, (_, _, t) in zip(sums, scaled, strict=True)]
         if all(s < limit for s in new):
             sums, aside = new, aside | {w}
     return sorted(set(weight) - aside)
 
 
+def least_shared(templates, threshold: float) -> list[tuple[tuple[str, ...], int]]:
+    """Of each template its words, and how many different ones of them a unit needs at least.
+
+    The cosine is at most the norm of the template's words that the unit has, so that with the template's heaviest words
+    first, those that reach the threshold are the fewest that can.
+    """
+    out = {}
+    for _, _, t in template_weights(templates)[1]:
+        total, n = 0.0, 0
+        for v in sorted(t.values(), reverse=True):
+            total, n = total + v * v, n + 1
+            if total >= (threshold - 1e-6) ** 2:
+                break
+        out[tuple(sorted(t))] = n
+    return sorted(out.items())
+
+
 def unit_licences(files: DataFrame, key: str, text: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """key, licence, similarity of the best unit of each row that has one; rows of one key are looked at together."""
+    """key, licence, similarity, tier of the best unit of each row that has one; rows of one key are looked at together."""
     spark = files.sparkSession
     weight, scaled, rare = template_weights(templates)
-    postings = F.broadcast(spark.createDataFrame([(w, i, n, weight[w] * v) for i, (n, t) in enumerate(scaled) for w, v in t.items()], "word string, template int, licence string, product double"))
+    postings = F.broadcast(spark.createDataFrame([(w, i, n, tier, weight[w] * v) for i, (n, tier, t) in enumerate(scaled) for w, v in t.items()], "word string, template int, licence string, tier int, product double"))
     weights = F.broadcast(spark.createDataFrame(list(weight.items()), "word string, weight double"))
-    asked = F.array(*(F.lit(w) for w in deciding_words(templates, threshold)))
+    literals = lambda ws: F.array(*(F.lit(w) for w in ws))
+    asked, needed = literals(deciding_words(templates, threshold)), [(literals(ws), n) for ws, n in least_shared(templates, threshold)]
     words = lambda c: F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
-    # Most texts have none of the words asked for: they are left out before they are cut into units.
-    whole = files.select(F.col(key), F.lower(text_or_empty(text)).alias("body")).filter(F.arrays_overlap(words(F.col("body")), asked))
+
+    def possible(held: Column) -> Column:
+        some = F.lit(False)
+        for ws, n in needed:
+            some = some | (F.size(F.array_intersect(ws, held)) >= n)
+        return F.arrays_overlap(held, asked) & some
+
+    # Most texts lack the words asked for: they are left out before they are cut into units, and most units again.
+    whole = files.select(F.col(key), F.lower(text_or_empty(text)).alias("body")).filter(possible(words(F.col("body"))))
     cut = whole.select(key, "body", F.split("body", "\n").alias("lines"), F.split("body", "\n[ \t\r]*\n").alias("blocks"))
-    pairs = F.when(F.size("lines") > 1, F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.concat_ws(" ", F.slice("lines", i, 2)))).otherwise(F.array().cast("array<string>"))
-    units = cut.select(key, F.explode(F.concat("lines", pairs, "blocks", F.array("body"))).alias("unit"))
+
+    def runs(parts: str, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size(parts) - (n - 1))
+        return F.when(F.size(parts) >= n, F.transform(places, lambda i: F.concat_ws(" ", F.slice(parts, i, n)))).otherwise(F.array().cast("array<string>"))
+
+    all_units = F.concat("lines", runs("lines", 2), "blocks", *(runs("blocks", n) for n in (2, 3, 4)), F.array("body"))
+    units = cut.select(key, F.explode(all_units).alias("unit"))
     # A unit that a text repeats counts its words as often, which leaves the cosine as it is.
-    near = units.select(key, words(F.col("unit")).alias("words"), F.xxhash64("unit").alias("unit")).filter(F.arrays_overlap("words", asked))
+    near = units.select(key, words(F.col("unit")).alias("words"), F.xxhash64("unit").alias("unit")).filter(possible(F.col("words")))
     counts = materialize(near.select(key, "unit", F.explode("words").alias("word")).groupBy(key, "unit", "word").agg(F.count(F.lit(1)).alias("tf")), "licence-words")
     weighed = counts.join(weights, "word", "left").withColumn("w", F.col("tf") * F.coalesce("weight", F.lit(rare)))
     norms = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    shared = counts.join(postings, "word").groupBy(key, "unit", "template", "licence").agg(F.sum(F.col("tf") * F.col("product")).alias("dot"))
+    shared = counts.join(postings, "word").groupBy(key, "unit", "template", "licence", "tier").agg(F.sum(F.col("tf") * F.col("product")).alias("dot"))
     scored = shared.join(weighed.groupBy(key, "unit").agg(norms.alias("norm")), [key, "unit"])
     good = scored.withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= threshold)
-    best = F.max_by(F.struct("licence", "similarity"), F.struct("similarity", _falling("licence", templates)))
-    return good.groupBy(key).agg(best.alias("b")).select(key, "b.licence", "b.similarity")
+    return good.groupBy(key).agg(_best(templates, "licence", "similarity", "tier").alias("b")).select(key, "b.licence", "b.similarity", "b.tier")
 
 
-def _falling(column: str, templates) -> Column:
-    """A number that is larger for names earlier in the alphabet."""
-    names = sorted(templates)
-    return F.lit(-1) * F.array_position(F.array(*(F.lit(n) for n in names)), F.col(column))
+def _best(templates, *columns: str) -> Column:
+    """The columns of the row of the highest tier, there the most similar, there the first name."""
+    names = F.array(*(F.lit(n) for n in sorted({n for n, _, _ in templates})))
+    return F.max_by(F.struct(*columns), F.struct("tier", "similarity", F.lit(-1) * F.array_position(names, F.col("licence"))))
 
 
 def licences(files: DataFrame, key: str, path: str = "path", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -177,8 +252,7 @@ def licences(files: DataFrame, key: str, path: str = "path", text: str = "text",
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
     own = unit_licences(files.select(row, body.alias("body")), "row", "body", templates, threshold)
     placed = rows.join(own, "row", "left").withColumn("directory", folder)
-    first = F.max_by(F.struct("licence", "similarity"), F.struct("similarity", _falling("licence", templates)))
-    held = placed.filter("licence IS NOT NULL").groupBy("directory").agg(first.alias("b")).select(F.col("directory").alias("above"), F.col("b.licence").alias("theirs"))
+    held = placed.filter(F.col("tier") > RIGHTS).groupBy("directory").agg(_best(templates, "licence").alias("b")).select(F.col("directory").alias("above"), F.col("b.licence").alias("theirs"))
     # Directories look up their ancestors once, so that files only join their own directory.
     parts = F.split("directory", "/")
     above = F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")), F.array(F.lit("")))
@@ -211,23 +285,25 @@ def op7_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     weight, scaled, rare = template_weights(TEMPLATES)
     w = ", ".join(f"('{k}', CAST({v!r} AS DOUBLE))" for k, v in weight.items())
-    p = ", ".join(f"('{k}', {i}, '{n}', CAST({weight[k] * v!r} AS DOUBLE))" for i, (n, t) in enumerate(scaled) for k, v in t.items())
+    p = ", ".join(f"('{k}', {i}, '{n}', {tier}, CAST({weight[k] * v!r} AS DOUBLE))" for i, (n, tier, t) in enumerate(scaled) for k, v in t.items())
     return f"""
-WITH weights(word, weight) AS (VALUES {w}), postings(word, template, licence, product) AS (VALUES {p}),
+WITH weights(word, weight) AS (VALUES {w}), postings(word, template, licence, tier, product) AS (VALUES {p}),
 files AS (SELECT doc_id, coalesce(source, '') || '/' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CAST(doc_id // 50 AS VARCHAR) AS directory,
  CAST(doc_id AS VARCHAR) AS name, lower(coalesce(text, '')) AS body FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS unit, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM files),
+blocks AS (SELECT doc_id, regexp_split_to_array(body, '\\n[ \\t\\r]*\\n') AS bs FROM files),
 units AS (SELECT doc_id, unit FROM lines UNION SELECT a.doc_id, a.unit || ' ' || b.unit FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.n = a.n + 1
- UNION SELECT doc_id, unnest(regexp_split_to_array(body, '\\n[ \\t\\r]*\\n')) FROM files UNION SELECT doc_id, body FROM files),
+ UNION SELECT doc_id, unnest(bs) FROM blocks UNION SELECT doc_id, array_to_string(bs[i:i + k - 1], ' ') FROM (SELECT doc_id, bs, k, unnest(generate_series(1, len(bs) - k + 1)) AS i FROM blocks, (SELECT unnest([2, 3, 4]) AS k))
+ UNION SELECT doc_id, body FROM files),
 told AS (SELECT DISTINCT doc_id, unit FROM units),
 counts AS (SELECT doc_id, unit, word, count(*) AS tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(unit, '{_WORD}', 0)) AS word FROM told) GROUP BY ALL),
 norms AS (SELECT doc_id, unit, sqrt(sum(tf * coalesce(weight, {rare!r}) * tf * coalesce(weight, {rare!r}))) AS norm FROM counts LEFT JOIN weights USING (word) GROUP BY ALL),
-dots AS (SELECT doc_id, unit, template, licence, sum(tf * product) AS dot FROM counts JOIN postings USING (word) GROUP BY ALL),
-good AS (SELECT doc_id, licence, round(dot / norm, 6) AS similarity FROM dots JOIN norms USING (doc_id, unit) WHERE round(dot / norm, 6) >= {THRESHOLD}),
-own AS (SELECT doc_id, licence, similarity FROM good QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, licence) = 1),
-placed AS (SELECT f.doc_id, directory, name, licence, similarity FROM files f LEFT JOIN own USING (doc_id)),
-held AS (SELECT directory AS above, licence AS theirs FROM placed WHERE licence IS NOT NULL
- QUALIFY row_number() OVER (PARTITION BY directory ORDER BY similarity DESC, licence) = 1),
+dots AS (SELECT doc_id, unit, template, licence, tier, sum(tf * product) AS dot FROM counts JOIN postings USING (word) GROUP BY ALL),
+good AS (SELECT doc_id, licence, tier, round(dot / norm, 6) AS similarity FROM dots JOIN norms USING (doc_id, unit) WHERE round(dot / norm, 6) >= {THRESHOLD}),
+own AS (SELECT doc_id, licence, similarity, tier FROM good QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tier DESC, similarity DESC, licence) = 1),
+placed AS (SELECT f.doc_id, directory, name, licence, similarity, tier FROM files f LEFT JOIN own USING (doc_id)),
+held AS (SELECT directory AS above, licence AS theirs FROM placed WHERE tier > {RIGHTS}
+ QUALIFY row_number() OVER (PARTITION BY directory ORDER BY tier DESC, similarity DESC, licence) = 1),
 given AS (SELECT d.directory, theirs, above FROM (SELECT DISTINCT directory FROM placed) d JOIN held h ON d.directory = h.above OR starts_with(d.directory, h.above || '/')
  QUALIFY row_number() OVER (PARTITION BY d.directory ORDER BY length(above) DESC) = 1)
 SELECT doc_id, directory || '/' || name AS path, coalesce(licence, theirs) AS licence, similarity,

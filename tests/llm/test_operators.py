@@ -440,7 +440,7 @@ def wrapped(text, mark="", width=72):
 
 def test_real_headers_and_files(spark):
     """Headers in comments, wrapped notices and whole licence files, with names and years filled in, among other text."""
-    t = licences.TEXTS
+    t = licences.HEADERS | licences.TEXTS
     prose = "The harbour lay still that morning and nobody spoke of the licence on the wall.\n\nA second paragraph of plain words follows."
     cases = [
         (f"MIT License\n\nCopyright (c) 2019 Some Body\n\n{wrapped(t['MIT'][0])}\n", "MIT"),
