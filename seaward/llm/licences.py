@@ -1,7 +1,7 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from directories.
 
 The units of a text are its lines, its pairs of lines (notices that wrap, titles), its blocks between empty lines (header
-comments, paragraphs of a licence file), runs of two to four blocks, and the whole text.  Templates are of four tiers: a bare
+comments, paragraphs of a licence file), runs of two to four blocks, and the whole text (the last two, and long lines and blocks, for templates of ``LONG`` words or more).  Templates are of four tiers: a bare
 line of rights, short notices, header notices, and titles and texts of licences.  Words weigh term frequency times inverse
 template frequency; a word that no template has weighs most.  A unit's cosine to each template is one grouped sum over the
 words they share (the templates' words are a small broadcast table, as long as the parameter).  Texts and units whose shared
@@ -139,6 +139,9 @@ def _templates() -> list[tuple[str, int, str]]:
 
 TEMPLATES = _templates()
 THRESHOLD = 0.8
+#: Runs of blocks, whole texts, and lines and blocks of more than ``MANY`` words are held against templates of at least ``LONG``
+#: different words only; shorter notices fit in a block of their own.
+LONG, MANY = 20, 100
 #: Words of ordinary prose: lines that share only these with the templates are not looked at further.
 COMMON = set("a an and are as at be by for from in into is it of on or that the this to under use was with".split())
 _WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -184,56 +187,80 @@ def deciding_words(templates, threshold: float) -> list[str]:
     return sorted(set(weight) - aside)
 
 
-def least_shared(templates, threshold: float) -> list[tuple[tuple[str, ...], int]]:
-    """Of each template its words, and how many different ones of them a unit needs at least.
+def least_shared(templates, threshold: float, long: bool = False) -> list[list[tuple[tuple[str, ...], int]]]:
+    """Of each template (with ``long``: the long ones) sets of its words, and how many different ones of each a unit needs.
 
-    The cosine is at most the norm of the template's words that the unit has, so that with the template's heaviest words
-    first, those that reach the threshold are the fewest that can.
+    The cosine is at most the norm of the template's words that the unit has.  So, even with all the lighter words, the others
+    must make up for the rest; with the heaviest of these first, those that reach it are the fewest that can.  A unit that fails
+    one of the sets cannot reach the threshold.
     """
-    out = {}
+    out, limit = [], (threshold - 1e-6) ** 2
     for _, _, t in template_weights(templates)[1]:
-        total, n = 0.0, 0
-        for v in sorted(t.values(), reverse=True):
-            total, n = total + v * v, n + 1
-            if total >= (threshold - 1e-6) ** 2:
-                break
-        out[tuple(sorted(t))] = n
-    return sorted(out.items())
+        if long and len(t) < LONG:
+            continue
+        falling = sorted(t, key=lambda w: (-t[w], w))
+        tests: dict[int, int] = {}
+        for light in (0.9 * limit, 0.6 * limit, 0.3 * limit, 0.0):
+            size, mass = len(falling), 0.0
+            while size and mass + t[falling[size - 1]] ** 2 <= light:
+                size -= 1
+                mass += t[falling[size]] ** 2
+            n = 0
+            while mass < limit:
+                mass += t[falling[n]] ** 2
+                n += 1
+            tests[size] = n
+        out.append([(tuple(falling[:size]), n) for size, n in sorted(tests.items()) if n])
+    return out
 
 
 def unit_licences(files: DataFrame, key: str, text: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """key, licence, similarity, tier of the best unit of each row that has one; rows of one key are looked at together."""
     spark = files.sparkSession
     weight, scaled, rare = template_weights(templates)
-    postings = F.broadcast(spark.createDataFrame([(w, i, n, tier, weight[w] * v) for i, (n, tier, t) in enumerate(scaled) for w, v in t.items()], "word string, template int, licence string, tier int, product double"))
+    postings = F.broadcast(spark.createDataFrame([(w, i, n, tier, len(t) >= LONG, weight[w] * v) for i, (n, tier, t) in enumerate(scaled) for w, v in t.items()], "word string, template int, licence string, tier int, long boolean, product double"))
     weights = F.broadcast(spark.createDataFrame(list(weight.items()), "word string, weight double"))
     literals = lambda ws: F.array(*(F.lit(w) for w in ws))
-    asked, needed = literals(deciding_words(templates, threshold)), [(literals(ws), n) for ws, n in least_shared(templates, threshold)]
+    asked = literals(deciding_words(templates, threshold))
     words = lambda c: F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
 
-    def possible(held: Column) -> Column:
-        some = F.lit(False)
-        for ws, n in needed:
-            some = some | (F.size(F.array_intersect(ws, held)) >= n)
-        return F.arrays_overlap(held, asked) & some
+    def possible(held: Column, long: bool) -> Column:
+        tests = [[(literals(ws), n) for ws, n in one] for one in least_shared(templates, threshold, long)]
+
+        def enough(own: Column) -> Column:
+            some = F.lit(False)
+            for one in tests:
+                good = F.size(own) >= max((n for _, n in one), default=0)
+                for ws, n in one:
+                    good = good & (F.size(F.array_intersect(own, ws)) >= n)
+                some = some | good
+            return some
+
+        # A variable of a lambda is worked out once, not for each use.  The words that templates have are picked first.
+        known = literals(sorted(weight))
+        return F.exists(F.array(held), lambda h: F.arrays_overlap(h, asked) & F.exists(F.array(F.array_intersect(h, known)), enough))
 
     # Most texts lack the words asked for: they are left out before they are cut into units, and most units again.
-    whole = files.select(F.col(key), F.lower(text_or_empty(text)).alias("body")).filter(possible(words(F.col("body"))))
+    whole = files.select(F.col(key), F.lower(text_or_empty(text)).alias("body")).filter(possible(words(F.col("body")), False))
     cut = whole.select(key, "body", F.split("body", "\n").alias("lines"), F.split("body", "\n[ \t\r]*\n").alias("blocks"))
 
     def runs(parts: str, n: int) -> Column:
         places = F.sequence(F.lit(1), F.size(parts) - (n - 1))
         return F.when(F.size(parts) >= n, F.transform(places, lambda i: F.concat_ws(" ", F.slice(parts, i, n)))).otherwise(F.array().cast("array<string>"))
 
-    all_units = F.concat("lines", runs("lines", 2), "blocks", *(runs("blocks", n) for n in (2, 3, 4)), F.array("body"))
-    units = cut.select(key, F.explode(all_units).alias("unit"))
+    def units(texts: Column, long: bool) -> DataFrame:
+        one = cut.select(key, F.explode(texts).alias("unit")).select(key, words(F.col("unit")).alias("words"), F.xxhash64("unit").alias("unit"))
+        marked = one.withColumn("large", F.lit(long) | (F.size("words") > MANY))
+        return marked.filter(possible(F.col("words"), True) if long else F.when(F.col("large"), possible(F.col("words"), True)).otherwise(possible(F.col("words"), False)))
+
     # A unit that a text repeats counts its words as often, which leaves the cosine as it is.
-    near = units.select(key, words(F.col("unit")).alias("words"), F.xxhash64("unit").alias("unit")).filter(possible(F.col("words")))
-    counts = materialize(near.select(key, "unit", F.explode("words").alias("word")).groupBy(key, "unit", "word").agg(F.count(F.lit(1)).alias("tf")), "licence-words")
+    near = units(F.concat("lines", runs("lines", 2), "blocks"), False).unionByName(units(F.concat(*(runs("blocks", n) for n in (2, 3, 4)), F.array("body")), True))
+    group = [key, "unit", "large"]
+    counts = materialize(near.select(*group, F.explode("words").alias("word")).groupBy(*group, "word").agg(F.count(F.lit(1)).alias("tf")), "licence-words")
     weighed = counts.join(weights, "word", "left").withColumn("w", F.col("tf") * F.coalesce("weight", F.lit(rare)))
     norms = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    shared = counts.join(postings, "word").groupBy(key, "unit", "template", "licence", "tier").agg(F.sum(F.col("tf") * F.col("product")).alias("dot"))
-    scored = shared.join(weighed.groupBy(key, "unit").agg(norms.alias("norm")), [key, "unit"])
+    shared = counts.join(postings, "word").filter("long OR NOT large").groupBy(*group, "template", "licence", "tier").agg(F.sum(F.col("tf") * F.col("product")).alias("dot"))
+    scored = shared.join(weighed.groupBy(*group).agg(norms.alias("norm")), group)
     good = scored.withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= threshold)
     return good.groupBy(key).agg(_best(templates, "licence", "similarity", "tier").alias("b")).select(key, "b.licence", "b.similarity", "b.tier")
 
@@ -285,21 +312,21 @@ def op7_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     weight, scaled, rare = template_weights(TEMPLATES)
     w = ", ".join(f"('{k}', CAST({v!r} AS DOUBLE))" for k, v in weight.items())
-    p = ", ".join(f"('{k}', {i}, '{n}', {tier}, CAST({weight[k] * v!r} AS DOUBLE))" for i, (n, tier, t) in enumerate(scaled) for k, v in t.items())
+    p = ", ".join(f"('{k}', {i}, '{n}', {tier}, {len(t) >= LONG}, CAST({weight[k] * v!r} AS DOUBLE))" for i, (n, tier, t) in enumerate(scaled) for k, v in t.items())
     return f"""
-WITH weights(word, weight) AS (VALUES {w}), postings(word, template, licence, tier, product) AS (VALUES {p}),
+WITH weights(word, weight) AS (VALUES {w}), postings(word, template, licence, tier, long, product) AS (VALUES {p}),
 files AS (SELECT doc_id, coalesce(source, '') || '/' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CAST(doc_id // 50 AS VARCHAR) AS directory,
  CAST(doc_id AS VARCHAR) AS name, lower(coalesce(text, '')) AS body FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS unit, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM files),
 blocks AS (SELECT doc_id, regexp_split_to_array(body, '\\n[ \\t\\r]*\\n') AS bs FROM files),
-units AS (SELECT doc_id, unit FROM lines UNION SELECT a.doc_id, a.unit || ' ' || b.unit FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.n = a.n + 1
- UNION SELECT doc_id, unnest(bs) FROM blocks UNION SELECT doc_id, array_to_string(bs[i:i + k - 1], ' ') FROM (SELECT doc_id, bs, k, unnest(generate_series(1, len(bs) - k + 1)) AS i FROM blocks, (SELECT unnest([2, 3, 4]) AS k))
- UNION SELECT doc_id, body FROM files),
-told AS (SELECT DISTINCT doc_id, unit FROM units),
-counts AS (SELECT doc_id, unit, word, count(*) AS tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(unit, '{_WORD}', 0)) AS word FROM told) GROUP BY ALL),
-norms AS (SELECT doc_id, unit, sqrt(sum(tf * coalesce(weight, {rare!r}) * tf * coalesce(weight, {rare!r}))) AS norm FROM counts LEFT JOIN weights USING (word) GROUP BY ALL),
-dots AS (SELECT doc_id, unit, template, licence, tier, sum(tf * product) AS dot FROM counts JOIN postings USING (word) GROUP BY ALL),
-good AS (SELECT doc_id, licence, tier, round(dot / norm, 6) AS similarity FROM dots JOIN norms USING (doc_id, unit) WHERE round(dot / norm, 6) >= {THRESHOLD}),
+units AS (SELECT doc_id, unit, false AS large FROM lines UNION SELECT a.doc_id, a.unit || ' ' || b.unit, false FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.n = a.n + 1
+ UNION SELECT doc_id, unnest(bs), false FROM blocks UNION SELECT doc_id, array_to_string(bs[i:i + k - 1], ' '), true FROM (SELECT doc_id, bs, k, unnest(generate_series(1, len(bs) - k + 1)) AS i FROM blocks, (SELECT unnest([2, 3, 4]) AS k))
+ UNION SELECT doc_id, body, true FROM files),
+told AS (SELECT DISTINCT doc_id, unit, large OR len(regexp_extract_all(unit, '{_WORD}', 0)) > {MANY} AS large FROM units),
+counts AS (SELECT doc_id, unit, large, word, count(*) AS tf FROM (SELECT doc_id, unit, large, unnest(regexp_extract_all(unit, '{_WORD}', 0)) AS word FROM told) GROUP BY ALL),
+norms AS (SELECT doc_id, unit, large, sqrt(sum(tf * coalesce(weight, {rare!r}) * tf * coalesce(weight, {rare!r}))) AS norm FROM counts LEFT JOIN weights USING (word) GROUP BY ALL),
+dots AS (SELECT doc_id, unit, large, template, licence, tier, sum(tf * product) AS dot FROM counts JOIN postings USING (word) WHERE long OR NOT large GROUP BY ALL),
+good AS (SELECT doc_id, licence, tier, round(dot / norm, 6) AS similarity FROM dots JOIN norms USING (doc_id, unit, large) WHERE round(dot / norm, 6) >= {THRESHOLD}),
 own AS (SELECT doc_id, licence, similarity, tier FROM good QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tier DESC, similarity DESC, licence) = 1),
 placed AS (SELECT f.doc_id, directory, name, licence, similarity, tier FROM files f LEFT JOIN own USING (doc_id)),
 held AS (SELECT directory AS above, licence AS theirs FROM placed WHERE tier > {RIGHTS}
