@@ -3,8 +3,10 @@
 From each rule's expression a Boolean trigram query is derived (``trigrams``).  The index has a posting (trigram, row id)
 for each text that holds a trigram some rule asks for.  Intersecting postings is one grouped aggregate: the bits of an
 alternative's trigrams are or-ed for each id and must all be set.  Candidates are then verified by the rule's expression
-on the whole text; a rule without mandatory trigrams runs on every text.  All of it is DataFrame functions, no Python
-runs on the executors.
+on the whole text; a rule without mandatory trigrams runs on every text.  The candidates (an id and the bits of its rules) are
+written, and go to the texts by broadcast while there are at most ``FEW`` of them, so that no text moves.  Beyond that, texts
+without any posting stay where they are and the others meet their bits in a shuffle.  All of it is DataFrame functions, no
+Python runs on the executors.
 
 Null texts are empty and have no spans.  Rows with equal ids are scanned one by one: candidates of one only cause a
 needless check of the other.  Null ids are matched like any other.  Texts of any length are searched whole.  Spans that start
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaward.llm.common import free_names, read_table, text_or_empty
+from seaward.llm.common import free_names, materialize, read_table, text_or_empty
 from seaward.llm.trigrams import trigram_query
 
 
@@ -53,9 +55,17 @@ MORE = (
 RULES = BASE + MORE
 
 
+#: Candidates that are sent to all tasks: some 100 bytes each.
+FEW = 500_000
+
+
+def _asked_trigrams(rules) -> list[str]:
+    return sorted({t for r in rules for q in trigram_query(r.pattern) or [] for t in q})
+
+
 def postings(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The inverted index, for the trigrams that the rules ask for: (trigram, key)."""
-    wanted = sorted({t for r in rules for q in trigram_query(r.pattern) or [] for t in q})
+    wanted = _asked_trigrams(rules)
     rows = docs.select(F.col(key), F.lower(text_or_empty(text)).alias("__low"))
     held = F.array_compact(F.array(*(F.when(F.contains("__low", F.lit(t)), F.lit(t)) for t in wanted)))
     return rows.select(F.explode(held).alias("trigram"), key)
@@ -79,9 +89,16 @@ def _flagged(docs: DataFrame, rules, key: str, text: str, name: str = "__rules")
     """``docs`` with a column ``name``: the bits of the rules to verify on each row."""
     always = sum(1 << n for n, r in enumerate(rules) if trigram_query(r.pattern) is None)
     (other,) = free_names(docs, "__key")
-    found = candidates(postings(docs, rules, key, text), rules, key).select(F.col(key).alias(other), F.col("__rules").alias(name))
-    joined = docs.join(found.hint("shuffle_hash"), docs[key].eqNullSafe(found[other]), "left").drop(other)
-    return joined.withColumn(name, F.coalesce(F.col(name), F.lit(0)).bitwiseOR(F.lit(always)))
+    index = candidates(postings(docs, rules, key, text), rules, key).select(F.col(key).alias(other), F.col("__rules").alias(name))
+    found = materialize(index, "secret-candidates")
+    with_bits = lambda rows, side: rows.join(side, rows[key].eqNullSafe(side[other]), "left").drop(other).withColumn(name, F.coalesce(F.col(name), F.lit(0)).bitwiseOR(F.lit(always)))
+    if found.limit(FEW + 1).count() <= FEW:
+        return with_bits(docs, F.broadcast(found))
+    low = F.lower(text_or_empty(text))
+    posted = F.lit(False)
+    for t in _asked_trigrams(rules):
+        posted = posted | F.contains(low, F.lit(t))
+    return with_bits(docs.filter(posted), found.hint("shuffle_hash")).unionByName(docs.filter(~posted).withColumn(name, F.lit(always).cast("long")))
 
 
 def _asked(n: int, rule: Rule, text: Column, name: str = "__rules") -> Column:

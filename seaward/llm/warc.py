@@ -100,13 +100,22 @@ def read_archive(content: bytes):
         at = stop + 4
 
 
+#: Payloads that come again, of which the list is sent to all tasks: some 100 bytes each.
+FEW = 500_000
+
+
 def mark_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload and ``refers_to``: for a page whose payload a smaller page_id has, that page_id."""
+    """page_id, url, payload and ``refers_to``: for a page whose payload a smaller page_id has, that page_id.
+
+    Digests and ids are grouped, and those of payloads that come again are written.  While they are at most ``FEW`` they go to
+    the pages by broadcast, so that no payload moves, however many pages share one; beyond that the pages meet them in a
+    shuffle, whose skewed parts Spark splits.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.col("url").cast("string"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
+    rows = pages.select("page_id", F.col("url").cast("string"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     shared = rows.filter(F.length("payload") >= LEAST_BYTES).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    # Only payloads that come again are joined; the hot ones are split by the skew handling of this join.
-    joined = rows.join(shared.filter("n > 1 AND first IS NOT NULL").drop("n"), "sha", "left")
+    again = materialize(shared.filter("n > 1 AND first IS NOT NULL").drop("n"), "warc-again")
+    joined = rows.join(F.broadcast(again) if again.limit(FEW + 1).count() <= FEW else again, "sha", "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", F.when(other, F.col("first")).alias("refers_to"))
 

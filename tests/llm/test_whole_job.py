@@ -99,3 +99,31 @@ def test_related_documents_meet_wherever_their_rows_lie(spark, monkeypatch):
         held.setdefault(r[5], []).append(r[0] % 8)
     whole = [w for w in held.values() if len(w) > 3]
     assert sum(max(w.count(t) for t in w) for w in whole) > 0.7 * sum(map(len, whole))
+
+
+# --- tables beyond what is sent to all tasks
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_secrets_and_revisits_beyond_a_broadcast(spark, monkeypatch, few):
+    from pyspark.sql import functions as F
+
+    from seaward.llm import secrets, warc
+
+    monkeypatch.setattr(secrets, "FEW", few)
+    monkeypatch.setattr(warc, "FEW", few)
+    rng = random.Random(2)
+    bits = ["password=abcdefgh", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, "plain words", "token", "x", None]
+    docs = spark.createDataFrame([(rng.choice([i, None, 7]), rng.choice(bits)) for i in range(300)], "doc_id long, text string")
+    got = {(r.doc_id, r.spans) for r in secrets.scan(docs).collect()}
+    kinds = {"password=abcdefgh": "assign:0:17", "AKIAABCDEFGHIJKL": "access:0:16", "0123456789abcdef" * 2: "hex:0:32"}
+    assert got == {(r.doc_id, kinds.get(r.text, "")) for r in docs.collect()} and secrets.scan(docs).count() == 300
+    assert sorted(r.text or "" for r in secrets.redact(docs).collect()) == sorted({"password=abcdefgh": "<assign>", "AKIAABCDEFGHIJKL": "<access>", "0123456789abcdef" * 2: "<hex>"}.get(r.text, r.text or "") for r in docs.collect())
+    plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange hashpartitioning" in plan) == (few == 0)
+    pages = docs.select(F.monotonically_increasing_id().alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"))
+    first: dict = {}
+    rows = [(r.page_id, r.html or "") for r in pages.collect()]
+    for i, t in sorted(rows):
+        first.setdefault(t, i)
+    assert {(r.page_id, r.refers_to) for r in warc.mark_revisits(pages).collect()} == {(i, None if first[t] == i else first[t]) for i, t in rows}
