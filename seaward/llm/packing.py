@@ -2,8 +2,9 @@
 
 1. Documents are tokenised once.  In how many documents each token is and their mean length are counted over all of them.
 2. Documents are ordered by their strongest tokens (BM25 weights of the whole table), wherever their rows lie, and cut in
-   shards of bounded size at documents of a sample: those with the same strong tokens come to the same shard.  An id hash
-   is last in the order, so that no group of equal or similar texts can gather in one task.
+   two steps: in at most ``RANGES`` ranges at documents of a bounded sample, the only ones that the driver sees, and each range,
+   sorted in its task, in shards of bounded size as its rows pass by.  Documents with the same strong tokens come to the same
+   shard.  An id hash is last in the order, so that no group of equal or similar texts can gather in one task.
 3. A shard has an inverted index over token ids; all tokens of a seed document query it, and the best unused neighbours
    fill the seed's window of 4096 tokens greedily, down the ranking until it is full or none shares a token.
 
@@ -34,8 +35,10 @@ from seaward.llm.common import arrow_schema, map_columns, materialize, read_tabl
 WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1_500_000
-#: Strongest tokens that order documents; documents sampled for each cut between shards, and at least.
-KEY_TERMS, SAMPLED, LEAST_SAMPLE = 3, 40, 8192
+#: Strongest tokens that order documents; documents sampled for each cut between ranges, at least, and at most.
+KEY_TERMS, SAMPLED, LEAST_SAMPLE, MOST_SAMPLE = 3, 40, 8192, 1 << 18
+#: Most ranges: their cuts are sent to all tasks (some 100 bytes each), and a range is sorted, not held, in one task.
+RANGES = 1 << 14
 K1, B = 1.2, 0.75
 #: Chunks whose ids a worker keeps; beyond it the store starts anew (a bound on memory, not on results).
 CACHE = 1_000_000
@@ -322,12 +325,15 @@ def statistics(tokens: DataFrame) -> tuple[Statistics, int, int]:
     return Statistics(total.docs, total.n / max(total.docs, 1), df), total.docs, total.n
 
 
-def shard_cuts(tokens: DataFrame, known: Statistics, documents: int, total: int) -> list[tuple]:
-    """Places (key, hash) in the order of all documents at which shards begin, from documents sampled by their hash."""
-    shards = -(-total // SHARD_TOKENS)
-    if shards < 2:
+def range_cuts(tokens: DataFrame, known: Statistics, documents: int, total: int) -> list[tuple]:
+    """Places (key, hash) in the order of all documents at which ranges begin, from documents sampled by their hash.
+
+    As long as they are few, ranges are as large as shards.  The sample is bounded by ``MOST_SAMPLE``, whatever the table.
+    """
+    ranges = min(RANGES, -(-total // SHARD_TOKENS))
+    if ranges < 2:
         return []
-    share = min(1.0, max(LEAST_SAMPLE, SAMPLED * shards) / documents)
+    share = min(1.0, min(MOST_SAMPLE, max(LEAST_SAMPLE, SAMPLED * ranges)) / documents)
     fields = [f"k{i}" for i in range(KEY_TERMS)]
 
     def keys(rows):
@@ -335,13 +341,13 @@ def shard_cuts(tokens: DataFrame, known: Statistics, documents: int, total: int)
         return {f: [k[i] for k in found] for i, f in enumerate(fields)} | {"h": rows["h"], "n": rows["n"]}
 
     # Other bits of the hash than those that order documents.
-    few = tokens.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    few = tokens.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
     sample = map_columns(few.select("ids", "h", "n"), keys, ", ".join(f"{f} long" for f in [*fields, "h", "n"])).collect()
     sample = sorted(tuple(r) for r in sample)
     if not sample:
         return []
     filled = np.cumsum([r[-1] for r in sample])
-    at = np.searchsorted(filled, filled[-1] * np.arange(1, shards) / shards)
+    at = np.searchsorted(filled, filled[-1] * np.arange(1, ranges) / ranges)
     return sorted({sample[i][:-1] for i in at})
 
 
@@ -353,44 +359,54 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     kind, arrow = arrow_schema(schema)
     tokens = tokenised(docs, path, key, text)
     known, documents, total = statistics(tokens)
-    cuts = shard_cuts(tokens, known, documents, total)
-    placed_kind, placed_arrow = arrow_schema(f"`{key}` {id_type}, ids binary, h long, shard long")
+    cuts = range_cuts(tokens, known, documents, total)
+    most = SHARD_TOKENS * 4 // 3  # a range may be somewhat larger than a shard and still be one
+    fields = [f"__k{i}" for i in range(KEY_TERMS)]
+    placed_kind, placed_arrow = arrow_schema(f"`{key}` {id_type}, ids binary, __h long, __range long, {', '.join(f'{f} long' for f in fields)}")
 
     def place(batches):
         import pyarrow as pa
 
         for batch in batches:
             ids, hashes = batch.column(1), batch.column(2)
-            shard = [bisect_right(cuts, (*known.key(np.frombuffer(raw, "<u4")), h)) if cuts else 0 for raw, h in zip(ids.to_pylist(), hashes.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, hashes, pa.array(shard, pa.int64())], schema=placed_arrow)
+            keys = [known.key(np.frombuffer(raw, "<u4")) for raw in ids.to_pylist()]
+            part = [bisect_right(cuts, (*k, h)) if cuts else 0 for k, h in zip(keys, hashes.to_pylist(), strict=True)]
+            columns = [pa.array([k[i] for k in keys], pa.int64()) for i in range(KEY_TERMS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, hashes, pa.array(part, pa.int64()), *columns], schema=placed_arrow)
 
     def run(batches):
         import pyarrow as pa
 
-        shard, now = [], None
+        shard, held, now, filled = [], 0, None, 0  # filled: the range's sequences so far
 
         def flush():
-            order = packing_order([ids for _, ids in shard], window, known)
+            nonlocal shard, held, filled
+            shard.sort(key=lambda x: x[:2])
+            docs_ = [np.frombuffer(raw, "<u4") for _, raw, _ in shard]
+            order = packing_order(docs_, window, known)
             rows = []
-            for d, start, take, sequence, offset in lay_out([len(shard[i][1]) for i in order], window):
-                name, ids = shard[order[d]]
+            for d, start, take, sequence, offset in lay_out([len(docs_[i]) for i in order], window):
+                ids = docs_[order[d]]
                 part = ids[start : start + take]
-                row = (name, start, take, zlib.crc32(part.tobytes()), len(ids), (now << 32) + sequence, offset)
+                row = (shard[order[d]][2], start, take, zlib.crc32(part.tobytes()), len(ids), (now << 32) + filled + sequence, offset)
                 rows.append((*row, part.tolist()) if keep_ids else row)
+            filled += rows[-1][5] - (now << 32) - filled + 1
+            shard, held = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for name, raw, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for name, raw, h, number in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if shard and (number != now or held >= most):
+                    yield flush()
                 if number != now:
-                    if shard:
-                        yield flush()
-                    shard, now = [], number
-                shard.append((name, np.frombuffer(raw, "<u4")))
+                    now, filled = number, 0
+                shard.append((h, raw, name))
+                held += len(raw) >> 2
         if shard:
             yield flush()
 
     placed = tokens.select(key, "ids", "h").mapInArrow(place, placed_kind)
-    return placed.repartition("shard").sortWithinPartitions("shard", "h", "ids").mapInArrow(run, kind)
+    return placed.repartition("__range").sortWithinPartitions("__range", *fields, "__h", "ids").select(*(c for c in placed.columns if c not in fields)).mapInArrow(run, kind)
 
 
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,3 +127,81 @@ def test_secrets_and_revisits_beyond_a_broadcast(spark, monkeypatch, few):
     for i, t in sorted(rows):
         first.setdefault(t, i)
     assert {(r.page_id, r.refers_to) for r in warc.mark_revisits(pages).collect()} == {(i, None if first[t] == i else first[t]) for i, t in rows}
+
+
+def plain_order(docs, window):
+    """The packing order by the definition of BM25, pair by pair."""
+    import math
+
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    counts = [{t: list(d).count(t) for t in set(d.tolist())} for d in docs]
+    df = {t: sum(t in c for c in counts) for c in counts for t in c}
+
+    def score(q, d):
+        shared = counts[q].keys() & counts[d].keys()
+        return sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * counts[d][t] * 2.2 / (counts[d][t] + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) for t in shared)
+
+    free, order, filled, seed = set(range(n)), [], 0, None
+    while free or len(order) < n:
+        if seed is None:
+            seed = min(free, key=lambda d: (-len(docs[d]), d))
+            free.discard(seed)
+            order.append(seed)
+            filled += len(docs[seed])
+        room, current, seed = -filled % window, seed, None
+        ranked = sorted(((-score(current, d), d) for d in free), key=lambda x: (round(x[0], 9), x[1])) if room else []
+        for s, d in ranked:
+            if s > -1e-12:
+                break
+            free.discard(d)
+            order.append(d)
+            filled += len(docs[d])
+            room -= len(docs[d])
+            if room <= 0:
+                seed = d if room < 0 else None
+                break
+    return order
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_whole_shard_in_the_order_of_plain_bm25(seed):
+    rng = np.random.default_rng(seed)
+    docs = [np.concatenate([rng.integers(0, 60, rng.integers(1, 40)), rng.zipf(1.6, rng.integers(0, 30)) % 400]) for _ in range(90)]
+    docs += [docs[5], docs[9]]
+    assert packing.packing_order(docs, 128) == plain_order(docs, 128)
+
+
+def test_many_tiny_shards_in_few_ranges(spark, monkeypatch):
+    """Ranges and sample are bounded; a range is cut in shards as its rows pass by, and every id is in one piece."""
+    import zlib
+
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 300)
+    monkeypatch.setattr(packing, "RANGES", 3)
+    monkeypatch.setattr(packing, "LEAST_SAMPLE", 40)
+    monkeypatch.setattr(packing, "MOST_SAMPLE", 60)
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(words(rng, rng.choice([0, 3, 30])))) for i in range(400)], "doc_id long, text string")
+    path = P.path("word_bpe_49k.json")
+    tokens = packing.tokenised(docs, path)
+    known, n, total = packing.statistics(tokens)
+    cuts = packing.range_cuts(tokens, known, n, total)
+    assert total > 30 * packing.SHARD_TOKENS and 1 <= len(cuts) <= 2
+    seen = []
+    monkeypatch.setattr(packing, "packing_order", lambda d, w, k, f=packing.packing_order: seen.append(sum(map(len, d))) or f(d, w, k))
+    rows = packing.pack(docs, path, keep_ids=True).collect()
+    again = packing.pack(docs.repartition(9), path, keep_ids=True).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.ids))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and len(r.ids) == r.length
+    want = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokens.collect()}
+    assert {d: [t for _, ids in sorted(p) for t in ids] for d, p in pieces.items()} == want
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 4096 and at & (at - 1) == 0
+    assert len({s >> 32 for s in sequences}) == len(cuts) + 1 and len(sequences) > 30
