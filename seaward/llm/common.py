@@ -45,6 +45,30 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Rows of one key from which it is hot, hot keys at most (by the share of all rows that makes one), tasks for each.
+HOT_ROWS, HOT_KEYS, HOT_PARTS = 50_000, 1000, 16
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys with more than ``HOT_ROWS`` rows, and more than one in ``HOT_KEYS`` of all: at most ``HOT_KEYS``, written."""
+    (n,) = free_names(rows, "__n")
+    most = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    return materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > most).select(key), "hot-keys")
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, spread: str, hot: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``left`` with ``right`` (a row for each key), where one key may hold much of ``left``.
+
+    The ``hot_keys`` of ``left`` are broadcast: their rows are dealt to ``HOT_PARTS`` parts by a hash of ``spread``, and their row
+    of ``right`` goes to each part.
+    """
+    mark, part = free_names(left, "__hot", "__part")
+    found = F.broadcast((hot_keys(left, key) if hot is None else hot).select(key, F.lit(True).alias(mark)))  # HOT_KEYS rows at most
+    dealt = left.join(found, key, "left").withColumn(part, F.when(F.col(mark), F.pmod(F.xxhash64(spread), F.lit(HOT_PARTS)).cast("int")).otherwise(0)).drop(mark)
+    parts = F.when(F.col(mark), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.join(found, key, "left").withColumn(part, F.explode(parts)).drop(mark), [key, part]).drop(part)
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of an id written as decimal text, modulo ``modulus`` (null ids count as fold of the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

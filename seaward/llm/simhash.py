@@ -26,7 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaward.llm.common import free_names, map_columns, materialize, read_table, text_or_empty
+from seaward.llm.common import free_names, hot_keys, join_hot, map_columns, materialize, read_table, text_or_empty
+from seaward.operators import small
 
 SEED = 42
 #: Nodes a shard has about; nodes in the sample that the top of the tree is built from.
@@ -35,6 +36,8 @@ SHARD_NODES, SAMPLE = 4096, 16_384
 #: rounds of splitting before the blocks.
 MOST_NODES, SPLIT_SAMPLE, SPLIT_ROUNDS = 4 * SHARD_NODES, 1024, 12
 _LEAF = 96
+#: Nodes of an over-full shard that are placed by one task.
+PART_NODES = 1 << 16
 #: Tasks that the rows of one label are dealt to.
 PARTS = 8
 #: Min-hash values of a text, values in a band, rows of a bucket that are compared at once (about).
@@ -197,7 +200,7 @@ def bounded_shards(placed: DataFrame, radius: int, shard_nodes: int = SHARD_NODE
     """(shard, fp) with over-full shards split again, so that nodes within ``radius`` bits still meet in a shard.
 
     A round samples each over-full shard, builds further levels of the tree from that sample, and places the shard's nodes
-    in them; trees stay rows of a table.  Shards that do not get smaller become pairs of blocks.
+    in them, in parts, each of which gets the tree once.  Shards that do not get smaller become pairs of blocks.
     """
 
     def grow(key, pdf):
@@ -206,39 +209,45 @@ def bounded_shards(placed: DataFrame, radius: int, shard_nodes: int = SHARD_NODE
         tree = build_tree(np.sort(pdf["fp"].to_numpy()).view(np.uint64), int(pdf["n"].iloc[0]), radius, shard_nodes)
         return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(tree) if isinstance(tree, tuple) else None]})
 
-    def place(rows):
+    def place(batches):
+        import pyarrow as pa
         import xxhash
 
-        out = {"shard": [], "fp": []}
-        points = np.array(rows["fp"], dtype=np.int64)
-        at: dict[int, list[int]] = {}
-        for i, shard in enumerate(rows["shard"]):
-            at.setdefault(shard, []).append(i)
-        for shard, index in at.items():
-            leaves: list = []
-            _place(pickle.loads(rows["tree"][index[0]]), points.view(np.uint64), np.array(index), radius, leaves)
-            for leaf, members in leaves:
-                if len(members):
-                    out["shard"] += [xxhash.xxh64_intdigest(b"%d %d" % (shard, leaf[0])) - (1 << 63)] * len(members)
-                    out["fp"] += points[members].tolist()
-        return out
+        now, tree = None, None
+        for batch in batches:
+            shard, salt = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            starts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1])]) if len(shard) else []
+            for a, b in zip(starts, np.r_[starts[1:], len(shard)].astype(int), strict=True):
+                own = int(shard[a])
+                if (own, int(salt[a])) != now:  # the tree comes first
+                    now, tree, a = (own, int(salt[a])), pickle.loads(batch.column(3)[int(a)].as_py()), a + 1
+                points, leaves = batch.column(2).slice(int(a), int(b - a)).to_numpy(zero_copy_only=False).astype(np.int64), []
+                _place(tree, points.view(np.uint64), np.arange(len(points)), radius, leaves)
+                for leaf, members in leaves:
+                    if len(members):
+                        ident = xxhash.xxh64_intdigest(b"%d %d" % (own, leaf[0])) - (1 << 63)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), ident)), pa.array(points[members])], names=["shard", "fp"])
 
     done, stuck = [], []
     for step in range(SPLIT_ROUNDS):
-        counts = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-        over = materialize(placed.join(counts, "shard"), f"over-full-{step}")
-        if not over.limit(1).count():
+        counts = materialize(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most), f"counts-{step}")
+        if not counts.limit(1).count():
             break
-        done.append(placed.join(counts, "shard", "left_anti").select("shard", "fp"))
+        over = materialize(placed.join(small(counts), "shard"), f"over-full-{step}")
+        done.append(placed.join(small(counts.select("shard")), "shard", "left_anti").select("shard", "fp"))
         few = over.filter(F.pmod(F.xxhash64("fp", F.lit(step)), F.ceil(F.col("n") / SPLIT_SAMPLE)) == 0)
-        trees = materialize(few.groupBy("shard").applyInPandas(grow, "shard long, tree binary"), f"trees-{step}")
-        split = over.join(trees, "shard", "left")
-        stuck.append(split.filter("tree IS NULL").select("shard", "fp", "n"))
-        placed = materialize(map_columns(split.filter("tree IS NOT NULL").select("shard", "fp", "tree"), place, "shard long, fp long", rows_at_once=10_000), f"placed-{step}")
+        trees = materialize(few.groupBy("shard").applyInPandas(grow, "shard long, tree binary").filter("tree IS NOT NULL"), f"trees-{step}")
+        stuck.append(over.join(small(trees.select("shard")), "shard", "left_anti").select("shard", "fp", "n"))
+        # An over-full shard is one key: its nodes are dealt to parts, and each part gets the tree once, ahead of its nodes.
+        parts = F.ceil(F.col("n") / F.lit(PART_NODES)).cast("int")
+        nodes = over.join(small(trees.select("shard")), "shard", "left_semi").select("shard", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("salt"), "fp", F.lit(None).cast("binary").alias("tree"))
+        given = trees.join(small(counts), "shard").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).cast("long").alias("fp"), "tree")
+        dealt = nodes.unionByName(given).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("tree").isNull())
+        placed = materialize(dealt.mapInArrow(place, "shard long, fp long"), f"placed-{step}")
     else:
-        counts = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-        stuck.append(placed.join(counts.filter(F.col("n") > most), "shard").select("shard", "fp", "n"))
-        placed = placed.join(counts.filter(F.col("n") <= most), "shard").select("shard", "fp")
+        counts = materialize(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most), "counts-last")
+        stuck.append(placed.join(small(counts), "shard").select("shard", "fp", "n"))
+        placed = placed.join(small(counts.select("shard")), "shard", "left_anti").select("shard", "fp")
     for part in stuck:
         blocks = F.ceil(F.col("n") / F.lit(shard_nodes))
         dealt = part.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
@@ -251,10 +260,10 @@ def groups(links: DataFrame, label: str = "groups") -> DataFrame:
     both = links.select("src", "dst").union(links.select("dst", "src")).filter("src <> dst").distinct()
     edges = materialize(both, f"{label}-edges")
     now = materialize(edges.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("label"), F.lit(True).alias("changed")), f"{label}-0")
-    step = 0
+    hubs, step = hot_keys(edges, "dst"), 0
     while now.filter("changed").limit(1).count():
         step += 1
-        near = edges.join(now.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("m"))
+        near = join_hot(edges, now.select(F.col("node").alias("dst"), "label"), "dst", "src", hubs).groupBy("src").agg(F.min("label").alias("m"))
         low = now.join(near.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         # A label can be most rows' own: the few labels that moved on are dealt to several tasks each.
         moved = low.filter(F.col("node") != F.col("label")).select(F.col("node").alias("label"), F.col("label").alias("up"))
@@ -271,7 +280,7 @@ def components(prints: DataFrame, links: DataFrame, key: str = "doc_id") -> Data
     labelled = nodes.join(groups(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     table = materialize(labelled.select("fp", "label").join(smallest, "label").select("fp", "component_id"), "components")
-    return prints.join(table, "fp")
+    return join_hot(prints, table, "fp", key)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -205,3 +205,48 @@ def test_many_tiny_shards_in_few_ranges(spark, monkeypatch):
             at += length
         assert at <= 4096 and at & (at - 1) == 0
     assert len({s >> 32 for s in sequences}) == len(cuts) + 1 and len(sequences) > 30
+
+
+# --- hot keys
+
+
+def test_join_with_hot_keys(spark, monkeypatch):
+    from seaward.llm import common
+
+    left = spark.createDataFrame([(0, i) for i in range(300)] + [(i % 7, i) for i in range(70)] + [(None, 1)], "k long, v long")
+    right = spark.createDataFrame([(i, i * 10) for i in range(6)], "k long, w long")
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    for rows in (50_000, 20):
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        assert sorted(map(tuple, common.join_hot(left, right, "k", "v").collect())) == want
+    assert common.join_hot(left.limit(0), right, "k", "v").count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 50_000])
+def test_components_with_hot_keys_and_parts(spark, monkeypatch, hot):
+    from seaward.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(simhash, "SHARD_NODES", 64)
+    monkeypatch.setattr(simhash, "PART_NODES", 50)
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-(2**63), 2**63, 12)
+    points = np.unique(np.concatenate([centres[rng.integers(0, 12, 900)] ^ (1 << rng.integers(0, 62, 900)) ^ (rng.integers(0, 2, 900) << rng.integers(0, 62, 900)), rng.integers(-(2**63), 2**63, 300), [0]]))
+    prints = spark.createDataFrame([(i, int(p)) for i, p in enumerate(points)] + [(5000 + i, 0) for i in range(200)] + [(5300, int(points[3]))], "doc_id long, fp long")
+    found = simhash.components(prints, simhash.link_nodes(prints.select("fp").distinct(), 2, shard_nodes=64, most=128, sampled=256)).collect()
+    label = {int(p): int(p) for p in points}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    unsigned = points.view(np.uint64)
+    for i, p in enumerate(points):
+        for q in points[np.flatnonzero(np.bitwise_count(unsigned ^ unsigned[i]) <= 2)]:
+            a, b = root(int(p)), root(int(q))
+            label[max(a, b)] = min(a, b)
+    first: dict = {}
+    for r in sorted(prints.collect()):
+        first.setdefault(root(r.fp), r.doc_id)
+    assert {(r.doc_id, r.component_id) for r in found} == {(r.doc_id, first[root(r.fp)]) for r in prints.collect()} and len(found) == prints.count()
