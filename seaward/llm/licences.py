@@ -4,8 +4,8 @@ The units of a text are its lines, its pairs of lines (notices that wrap, titles
 comments, paragraphs of a licence file), runs of two to four blocks, and the whole text (the last two, and long lines and blocks, for templates of ``LONG`` words or more).  Templates are of four tiers: a bare
 line of rights, short notices, header notices, and titles and texts of licences.  Words weigh term frequency times inverse
 template frequency; a word that no template has weighs most.  A unit's cosine to each template is one grouped sum over the
-words they share (the templates' words are a small broadcast table, as long as the parameter).  Texts and units whose shared
-words could not reach the threshold with any template are left out before that, by a bound worked out from the templates.  A
+two or more words they share (the templates' words are a small broadcast table, as long as the parameter).  Texts and units whose shared
+words could not reach the threshold with any template are left out before that, by bounds worked out from the templates.  A
 file's licence is that of the highest tier that reaches the threshold, there the most similar; files without one take that of
 the nearest directory above them that has one, by joins on paths.  A line of rights never stands against a licence, and says
 nothing of other files.  All of it is DataFrame functions, no Python runs on the executors.
@@ -209,7 +209,7 @@ def least_shared(templates, threshold: float, long: bool = False) -> list[list[t
             while mass < limit:
                 mass += t[falling[n]] ** 2
                 n += 1
-            tests[size] = n
+            tests[size] = max(n, min(2, size)) if size == len(falling) else n
         out.append([(tuple(falling[:size]), n) for size, n in sorted(tests.items()) if n])
     return out
 
@@ -221,7 +221,8 @@ def unit_licences(files: DataFrame, key: str, text: str, templates=TEMPLATES, th
     postings = F.broadcast(spark.createDataFrame([(w, i, n, tier, len(t) >= LONG, weight[w] * v) for i, (n, tier, t) in enumerate(scaled) for w, v in t.items()], "word string, template int, licence string, tier int, long boolean, product double"))
     weights = F.broadcast(spark.createDataFrame(list(weight.items()), "word string, weight double"))
     literals = lambda ws: F.array(*(F.lit(w) for w in ws))
-    asked = literals(deciding_words(templates, threshold))
+    asked, known = literals(deciding_words(templates, threshold)), literals(sorted(weight))
+    weights_of = F.create_map(*(F.lit(x) for pair in weight.items() for x in pair))
     words = lambda c: F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
 
     def possible(held: Column, long: bool) -> Column:
@@ -236,12 +237,18 @@ def unit_licences(files: DataFrame, key: str, text: str, templates=TEMPLATES, th
                 some = some | good
             return some
 
+        def outweighed(h: Column, own: Column) -> Column:
+            """Whether words that no template has, each counted once, keep any cosine under the threshold."""
+            square = lambda a, w: a + F.pow(F.size(F.filter(h, lambda x: x == w)) * F.element_at(weights_of, w), F.lit(2.0))
+            inside = F.aggregate(own, F.lit(0.0), square)
+            return inside < (threshold - 1e-6) ** 2 * (inside + F.size(F.array_except(h, known)) * F.lit(rare * rare))
+
         # A variable of a lambda is worked out once, not for each use.  The words that templates have are picked first.
-        known = literals(sorted(weight))
-        return F.exists(F.array(held), lambda h: F.arrays_overlap(h, asked) & F.exists(F.array(F.array_intersect(h, known)), enough))
+        near = lambda h: F.exists(F.array(F.array_intersect(h, known)), lambda own: enough(own) & ~outweighed(h, own))
+        return F.exists(F.array(held), lambda h: F.arrays_overlap(h, asked) & near(h))
 
     # Most texts lack the words asked for: they are left out before they are cut into units, and most units again.
-    whole = files.select(F.col(key), F.lower(text_or_empty(text)).alias("body")).filter(possible(words(F.col("body")), False))
+    whole = files.select(F.col(key), F.lower(text_or_empty(text)).alias("body")).filter(F.arrays_overlap(words(F.col("body")), asked))
     cut = whole.select(key, "body", F.split("body", "\n").alias("lines"), F.split("body", "\n[ \t\r]*\n").alias("blocks"))
 
     def runs(parts: str, n: int) -> Column:
@@ -259,7 +266,7 @@ def unit_licences(files: DataFrame, key: str, text: str, templates=TEMPLATES, th
     counts = materialize(near.select(*group, F.explode("words").alias("word")).groupBy(*group, "word").agg(F.count(F.lit(1)).alias("tf")), "licence-words")
     weighed = counts.join(weights, "word", "left").withColumn("w", F.col("tf") * F.coalesce("weight", F.lit(rare)))
     norms = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    shared = counts.join(postings, "word").filter("long OR NOT large").groupBy(*group, "template", "licence", "tier").agg(F.sum(F.col("tf") * F.col("product")).alias("dot"))
+    shared = counts.join(postings, "word").filter("long OR NOT large").groupBy(*group, "template", "licence", "tier").agg(F.sum(F.col("tf") * F.col("product")).alias("dot"), F.count(F.lit(1)).alias("words")).filter("words > 1")
     scored = shared.join(weighed.groupBy(*group).agg(norms.alias("norm")), group)
     good = scored.withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= threshold)
     return good.groupBy(key).agg(_best(templates, "licence", "similarity", "tier").alias("b")).select(key, "b.licence", "b.similarity", "b.tier")
@@ -325,7 +332,7 @@ units AS (SELECT doc_id, unit, false AS large FROM lines UNION SELECT a.doc_id,
 told AS (SELECT DISTINCT doc_id, unit, large OR len(regexp_extract_all(unit, '{_WORD}', 0)) > {MANY} AS large FROM units),
 counts AS (SELECT doc_id, unit, large, word, count(*) AS tf FROM (SELECT doc_id, unit, large, unnest(regexp_extract_all(unit, '{_WORD}', 0)) AS word FROM told) GROUP BY ALL),
 norms AS (SELECT doc_id, unit, large, sqrt(sum(tf * coalesce(weight, {rare!r}) * tf * coalesce(weight, {rare!r}))) AS norm FROM counts LEFT JOIN weights USING (word) GROUP BY ALL),
-dots AS (SELECT doc_id, unit, large, template, licence, tier, sum(tf * product) AS dot FROM counts JOIN postings USING (word) WHERE long OR NOT large GROUP BY ALL),
+dots AS (SELECT doc_id, unit, large, template, licence, tier, sum(tf * product) AS dot FROM counts JOIN postings USING (word) WHERE long OR NOT large GROUP BY ALL HAVING count(*) > 1),
 good AS (SELECT doc_id, licence, tier, round(dot / norm, 6) AS similarity FROM dots JOIN norms USING (doc_id, unit, large) WHERE round(dot / norm, 6) >= {THRESHOLD}),
 own AS (SELECT doc_id, licence, similarity, tier FROM good QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tier DESC, similarity DESC, licence) = 1),
 placed AS (SELECT f.doc_id, directory, name, licence, similarity, tier FROM files f LEFT JOIN own USING (doc_id)),
