@@ -3,8 +3,9 @@
 Nulls: a null file gives null results; a null text is the empty text, stored as one block of zero bytes.  A file that is
 not a readable progressive JPEG gives null results and the reason in ``error``.  Equal inputs give equal outputs, and rows that
 repeat an id or a text are treated one by one.  Texts of any length become one file.  Other columns are not looked at,
-whatever their names.  An empty table gives no rows.  Tensors are several times the size of the files, so that they are kept
-only where asked for; the query works its features out from them.
+whatever their names.  An empty table gives no rows.  Tensors are stored with ``store_tensors``.  They take two bytes for each
+byte of a text (a 4:2:0 unit of 384 coefficients is 256 pixels of three colours) and do not compress, some 3.4 times the
+Parquet size of the texts, so the query over all texts works its features out from each tensor in memory and stores the files.
 """
 
 from __future__ import annotations
@@ -43,6 +44,35 @@ def decode_jpeg_column(df: DataFrame, column: str = "media", keys: tuple[str, ..
     return map_columns(df.select(*keys, column), run, schema, rows_at_once=16)
 
 
+def store_tensors(df: DataFrame, column: str = "media", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``decode_jpeg_column`` written to the shared folder and read back: the full-resolution RGB tensors as a column.
+
+    A tensor is height x width x 3 bytes, row by row.  Pictures are decoded 16 at a time, so a task holds a bounded number.
+    """
+    return materialize(decode_jpeg_column(df, column, keys), "tensors", codec="zstd")
+
+
+def tensor_features(tensors: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The ``keys`` and ``feature`` of stored tensors: size, mean of each colour and crc32; null where there is no tensor."""
+
+    def run(rows):
+        import numpy as np
+
+        out = []
+        for width, height, raw in zip(rows["width"], rows["height"], rows["rgb"], strict=True):
+            out.append(None if raw is None else feature(np.frombuffer(raw, np.uint8).reshape(height, width, 3)))
+        return {k: rows[k] for k in keys} | {"feature": out}
+
+    kinds = dict(tensors.dtypes)
+    return map_columns(tensors.select(*keys, "width", "height", "rgb"), run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "feature string"]), rows_at_once=16)
+
+
+def feature(rgb) -> str:
+    """Size, mean of each colour and crc32 of an RGB tensor."""
+    means = ",".join(f"{m:.4f}" for m in rgb.reshape(-1, 3).mean(0, dtype="float64"))
+    return f"{rgb.shape[1]}x{rgb.shape[0]};{means};{zlib.crc32(rgb.tobytes()):08x}"
+
+
 def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes and ``media`` (a progressive JPEG with the text) of each row, written to the shared folder and read back.
 
@@ -71,9 +101,8 @@ def read_texts(stored: DataFrame, key: str = "doc_id", keep_media: bool = False,
         for media in rows["media"]:
             pic = jpeg.decode(media)
             back, rgb = jpeg.read_payload(pic), jpeg.to_rgb(pic)
-            means = ",".join(f"{m:.4f}" for m in rgb.reshape(-1, 3).mean(0, dtype="float64"))
             values = [len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest()]
-            values += [f"{pic.width}x{pic.height};{means};{zlib.crc32(rgb.tobytes()):08x}"]
+            values.append(feature(rgb))
             for n, v in zip(names, values, strict=True):
                 out[n].append(v)
             if keep_media:

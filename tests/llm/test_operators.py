@@ -195,6 +195,19 @@ def test_payload_round_trip(spark):
     assert back[0].rgb == rows[0].rgb and (back[0].width, back[0].height) == (16, 16) and back[1].error and back[2].error is None
 
 
+def test_stored_tensors(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    stored = media.store_texts(docs)
+    files = stored.unionByName(spark.createDataFrame([(-1, 0, b"no picture"), (-2, 0, None)], stored.schema))
+    tensors = media.store_tensors(files, keys=("doc_id",))
+    rows = {r.doc_id: r for r in tensors.collect()}
+    assert rows[-1].rgb is None and rows[-1].error and rows[-2].error is None and rows[-2].width is None
+    assert all(len(r.rgb) == r.width * r.height * 3 for i, r in rows.items() if i >= 0)
+    want = {r.doc_id: r.feature for r in media.read_texts(stored).collect()} | {-1: None, -2: None}
+    assert {r.doc_id: r.feature for r in media.tensor_features(tensors, ("doc_id",)).collect()} == want
+    assert media.store_tensors(files.limit(0)).count() == 0
+
+
 # --- tokens
 
 
