@@ -85,6 +85,11 @@ class Tokens:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    @classmethod
+    def drop(cls) -> None:
+        """Gives the stores back: a worker that has encoded may go on with tasks that need the room."""
+        cls._made.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers: distinct chunks are looked up, then put in their places."""
         import pyarrow as pa
@@ -377,6 +382,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     def run(batches):
         import pyarrow as pa
 
+        Tokens.drop()
         shard, held, now, filled = [], 0, None, 0  # filled: the range's sequences so far
 
         def flush():
