@@ -71,6 +71,7 @@ VALID = {
 WAVE_VALID = {"MWHT": (0.0, 100.0), "MWPD": (0.0, 100.0), "WAVB": (0.0, 360.0), "WNDB": (0.0, 360.0), "lon": (-180.0, 180.0), "lat": (-90.0, 90.0)}
 AXES = {"LOND": "X", "LATD": "Y", "RNGE": "X", "BEAR": "Y"}
 WAVE_UNITS = {"lon": "degrees_east", "lat": "degrees_north"}
+CONVENTIONS = {"Conventions": "CF-1.6, ACDD-1.3", "standard_name_vocabulary": "CF Standard Name Table v41", "geospatial_lat_units": "degrees_north", "geospatial_lon_units": "degrees_east"}
 FLAG_VALUES, FLAG_MEANINGS = [1, 2, 3, 4, 9], "pass not_evaluated suspect fail missing_data"
 VECTOR_FLAG_MASKS = [1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]
 VECTOR_FLAG_MEANINGS = (
@@ -120,8 +121,7 @@ def dataset_attributes(df: DataFrame, given: dict[str, str] | None = None, lon:
         stamp(F.min("time")).alias("time_coverage_start"), stamp(F.max("time")).alias("time_coverage_end"),
         *(f(c).alias(f"geospatial_{n}_{e}") for n, c in (("lat", lat), ("lon", lon)) for e, f in (("min", F.min), ("max", F.max))),
     )
-    fixed = {"Conventions": "CF-1.6, ACDD-1.3", "standard_name_vocabulary": "CF Standard Name Table v41", "geospatial_lat_units": "degrees_north", "geospatial_lon_units": "degrees_east"}
-    return found.withColumns({k: F.lit(v) for k, v in (fixed | (given or {})).items()})
+    return found.withColumns({k: F.lit(v) for k, v in (CONVENTIONS | (given or {})).items()})
 
 
 def time_slice(df: DataFrame, start=None, end=None, column: str = "time") -> DataFrame:
