@@ -41,7 +41,7 @@ KEY_TERMS, SAMPLED, LEAST_SAMPLE, MOST_SAMPLE = 3, 40, 8192, 1 << 18
 RANGES = 1 << 14
 K1, B = 1.2, 0.75
 #: Chunks whose ids a worker keeps; beyond it the store starts anew (a bound on memory, not on results).
-CACHE = 400_000
+CACHE = 1_000_000
 #: Text that is tokenised at once (the more, the fewer words are looked up twice).
 SLICE_BYTES = 4 << 20
 #: Signs that may stand behind a word.
