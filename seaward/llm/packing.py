@@ -1,6 +1,7 @@
 """Lexical retrieval packing: documents that share rare tokens are put in the same training sequences.
 
-1. Documents are tokenised once.  In how many documents each token is and their mean length are counted over all of them.
+1. Documents are tokenised once; the same tasks count in how many documents each token is.  Counts and mean length are those
+   of all documents.
 2. Documents are ordered by their strongest tokens (BM25 weights of the whole table), wherever their rows lie, and cut in
    two steps: in at most ``RANGES`` ranges at documents of a bounded sample, the only ones that the driver sees, and each range,
    sorted in its task, in shards of bounded size as its rows pass by.  Documents with the same strong tokens come to the same
@@ -44,6 +45,8 @@ K1, B = 1.2, 0.75
 CACHE = 1_000_000
 #: Text that is tokenised at once (the more, the fewer words are looked up twice).
 SLICE_BYTES = 4 << 20
+#: Ids whose documents' distinct tokens are counted at once.
+TOKENS_AT_ONCE = 1_000_000
 #: Signs that may stand behind a word.
 SIGNS = ".,;:!?"
 #: Words of letters below U+0130: these do not compose with each other, and every splitting rule that keeps letters
@@ -78,6 +81,19 @@ class Tokens:
         self.last = np.zeros(self.model.get_vocab_size(), dtype=bool) if self.splits and suffix else None
         if self.last is not None:
             self.last[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
+        self.words = self._of_words(steps, cuts) if self.lowers and self.last is not None else self.model
+
+    def _of_words(self, steps: dict, cuts: list[dict]):
+        """The same model without the steps that leave lines of lower-case Latin words as they are, where the file has such only."""
+        from tokenizers import Tokenizer
+
+        rules = [s for s in cuts if s.get("type") == "Split" and "[\\p{L}]+" in s["pattern"].get("Regex", "").split("|")]
+        kept = [s for s in cuts if s.get("type") == "ByteLevel"]
+        norms = _steps(steps["normalizer"])
+        idle = all(s["type"] in ("NFC", "Lowercase") or s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in norms)
+        if not idle or len(rules) != 1 or len(rules) + len(kept) != len(cuts):
+            return self.model
+        return Tokenizer.from_str(json.dumps(steps | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *kept]}}))
 
     @classmethod
     def get(cls, path: str) -> Tokens:
@@ -143,7 +159,7 @@ class Tokens:
         if self.last is None:
             words, single = [], words + single
         lines = [words[at : at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
-        for line, e in zip(lines, self.model.encode_batch_fast([" ".join(w) for w in lines], add_special_tokens=False), strict=True):
+        for line, e in zip(lines, self.words.encode_batch_fast([" ".join(w) for w in lines], add_special_tokens=False), strict=True):
             found = np.array(e.ids, dtype="<u4")
             ends = np.flatnonzero(self.last[found]) + 1
             if len(ends) == len(line) and ends[-1] == len(found):
@@ -196,16 +212,44 @@ class Statistics:
         held = [np.unique(d) for d in docs]
         return cls(len(docs), sum(map(len, docs)) / len(docs), np.bincount(np.concatenate(held).astype(np.int64)))
 
-    def key(self, ids: np.ndarray) -> tuple[int, ...]:
-        """The strongest tokens among those that other documents have too, -1 for missing ones."""
-        terms, tf = np.unique(ids, return_counts=True)
-        weight = self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
+    def keys(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Of documents end to end in ``ids`` the strongest tokens among those that others have too, -1 for missing ones."""
+        doc, terms, tf = distinct(ids, lengths)
+        weight = self.idf[terms] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / self.mean))[doc])
         weight[self.df[terms] < 2] = 0
-        if len(terms) > KEY_TERMS:
-            least = np.partition(weight, len(weight) - KEY_TERMS)[len(weight) - KEY_TERMS]
-            terms, weight = terms[weight >= least], weight[weight >= least]
-        best = np.lexsort((terms, -weight))[:KEY_TERMS]
-        return tuple([int(terms[i]) if weight[i] > 0 else -1 for i in best] + [-1] * (KEY_TERMS - len(best)))
+        starts, out = np.searchsorted(doc, np.arange(len(lengths))), np.full((len(lengths), KEY_TERMS), -1)
+        for i in range(KEY_TERMS):
+            best = np.maximum.reduceat(weight, starts)
+            at = np.flatnonzero(weight == best[doc])
+            at = at[np.append(True, np.diff(doc[at]) > 0)]  # ties: the smallest token
+            out[:, i] = np.where(best > 0, terms[at], -1)
+            weight[at] = -1
+        return out
+
+
+def distinct(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents end to end in ``ids`` (none empty) each document's distinct tokens: document, token, how often; in order."""
+    bits, kind = (16, np.uint32) if ids.dtype.itemsize == 2 and len(lengths) <= 1 << 16 else (32, np.uint64)
+    pair = np.repeat(np.arange(len(lengths), dtype=kind) << kind(bits), lengths) | ids
+    pair.sort()
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    found = pair[first]
+    return (found >> kind(bits)).astype(np.int64), (found & kind((1 << bits) - 1)).astype(np.int64), np.diff(first, append=len(pair))
+
+
+def ids_of(raw: bytes, n: int) -> np.ndarray:
+    """A document's ``n`` ids, which are stored in 16 or in 32 bits each."""
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+
+
+def documents_at_once(raw: list[bytes], n: list[int]):
+    """Runs of documents of about ``TOKENS_AT_ONCE`` ids: the ids end to end, and the number of each document's."""
+    at = held = 0
+    for i, size in enumerate(n, 1):
+        held += size
+        if held >= TOKENS_AT_ONCE or i == len(n):
+            yield np.concatenate([ids_of(r, m) for r, m in zip(raw[at:i], n[at:i], strict=True)]), np.array(n[at:i])
+            at, held = i, 0
 
 
 class Bm25:
@@ -235,7 +279,7 @@ class Bm25:
         score = np.bincount(self.docs[postings], self.weight[postings], len(free))
         score[~free] = 0
         found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def packing_order(docs: list[np.ndarray], window: int = WINDOW, known: Statistics | None = None) -> list[int]:
@@ -289,18 +333,32 @@ def text_slices(batch, column: int):
             yield batch.slice(a, b - a)
 
 
-def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (little-endian, 32 bits each), their number n and a hash of key and text."""
-    kind, arrow = arrow_schema(f"`{key}` {dict(docs.dtypes)[key]}, ids binary, n long, h long")
+def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+    """key, ids (little-endian, 32 bits each), their number n and a hash of key and text.
+
+    With ``short`` ids take 16 bits where the vocabulary allows it, and each task adds a row without ids (n is 0) that holds in
+    ``counts`` in how many of its documents each token is (64 bits each), so that nothing is read again to be counted.
+    """
+    kind, arrow = arrow_schema(f"`{key}` {dict(docs.dtypes)[key]}, ids binary, n long, h long" + ", counts binary" * short)
 
     def run(batches):
         import pyarrow as pa
 
         tokens, end = Tokens.get(path), END_ID.to_bytes(4, "little")
+        width = 2 if short and tokens.model.get_vocab_size() <= 1 << 16 else 4
+        counts = np.zeros(max(tokens.model.get_vocab_size(), END_ID + 1), dtype="<i8")
         for batch in batches:
             for part in text_slices(batch, 1):
                 ids = [raw + end for raw in tokens.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow[0].type), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), part.column(2)], schema=arrow)
+                n = [len(i) >> 2 for i in ids]
+                if short:
+                    for some, lengths in documents_at_once(ids, n):
+                        counts += np.bincount(distinct(some.astype(f"<u{width}"), lengths)[1], minlength=len(counts))
+                    ids = [np.frombuffer(i, "<u4").astype(f"<u{width}").tobytes() for i in ids]
+                columns = [part.column(0).cast(arrow[0].type), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), part.column(2)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(ids), pa.binary())] * short, schema=arrow)
+        if short and counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, b"", 0, 0, counts.tobytes()), arrow, strict=True)], schema=arrow)
 
     body = text_or_empty(text)
     rows = docs.select(F.col(key), body.alias("__text"), F.xxhash64(F.col(key).cast("string"), body).alias("__h")).mapInArrow(run, kind)
@@ -309,22 +367,24 @@ def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 
 def statistics(tokens: DataFrame) -> tuple[Statistics, int, int]:
     """Statistics of all documents, their number and their tokens; the driver gets one row for each token id."""
+    counted = "counts" in tokens.columns
 
     def count(batches):
         import pyarrow as pa
 
         df = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                held = np.unique(np.frombuffer(raw, "<u4"))
-                if held[-1] >= len(df):
-                    df = np.append(df, np.zeros(int(held[-1]) * 2 + 1 - len(df), dtype=np.int64))
-                df[held] += 1
+            raw = batch.column(0).to_pylist()
+            found = [np.frombuffer(r, "<i8") for r in raw] if counted else [np.bincount(distinct(*d)[1]) for d in documents_at_once(raw, batch.column(1).to_pylist())]
+            for x in found:
+                df = np.append(df, np.zeros(max(0, len(x) - len(df)), dtype=np.int64))
+                df[: len(x)] += x
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df[terms])], names=["term", "df"])
 
-    total = tokens.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    rows = tokens.select("ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    total = tokens.filter("n > 0").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    source = tokens.filter("n = 0").select("counts") if counted else tokens.select("ids", "n")
+    rows = source.mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(1 + max([END_ID, *(r.term for r in rows)]), dtype=np.int64)
     for r in rows:
         df[r.term] = r.df
@@ -343,11 +403,11 @@ def range_cuts(tokens: DataFrame, known: Statistics, documents: int, total: int)
     fields = [f"k{i}" for i in range(KEY_TERMS)]
 
     def keys(rows):
-        found = [known.key(np.frombuffer(raw, "<u4")) for raw in rows["ids"]]
-        return {f: [k[i] for k in found] for i, f in enumerate(fields)} | {"h": rows["h"], "n": rows["n"]}
+        found = np.concatenate([known.keys(*d) for d in documents_at_once(rows["ids"], rows["n"])])
+        return {f: found[:, i].tolist() for i, f in enumerate(fields)} | {"h": rows["h"], "n": rows["n"]}
 
     # Other bits of the hash than those that order documents.
-    few = tokens.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    few = tokens.filter("n > 0").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
     sample = map_columns(few.select("ids", "h", "n"), keys, ", ".join(f"{f} long" for f in [*fields, "h", "n"])).collect()
     sample = sorted(tuple(r) for r in sample)
     if not sample:
@@ -363,22 +423,22 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     schema = f"`{key}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     schema += ", ids array<long>" * keep_ids
     kind, arrow = arrow_schema(schema)
-    tokens = tokenised(docs, path, key, text)
+    tokens = tokenised(docs, path, key, text, short=True)
     known, documents, total = statistics(tokens)
     cuts = range_cuts(tokens, known, documents, total)
     most = SHARD_TOKENS * 4 // 3  # a range may be somewhat larger than a shard and still be one
     fields = [f"__k{i}" for i in range(KEY_TERMS)]
-    placed_kind, placed_arrow = arrow_schema(f"`{key}` {id_type}, ids binary, __h long, __range long, {', '.join(f'{f} long' for f in fields)}")
+    placed_kind, placed_arrow = arrow_schema(f"`{key}` {id_type}, ids binary, __h long, __range long, __n long, {', '.join(f'{f} long' for f in fields)}")
 
     def place(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            ids, hashes = batch.column(1), batch.column(2)
-            keys = [known.key(np.frombuffer(raw, "<u4")) for raw in ids.to_pylist()]
-            part = [bisect_right(cuts, (*k, h)) if cuts else 0 for k, h in zip(keys, hashes.to_pylist(), strict=True)]
-            columns = [pa.array([k[i] for k in keys], pa.int64()) for i in range(KEY_TERMS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, hashes, pa.array(part, pa.int64()), *columns], schema=placed_arrow)
+        for batch in (b for b in batches if b.num_rows):
+            ids, hashes, n = batch.column(1), batch.column(2), batch.column(3)
+            keys = np.concatenate([known.keys(*d) for d in documents_at_once(ids.to_pylist(), n.to_pylist())])
+            part = [bisect_right(cuts, (*k, h)) if cuts else 0 for k, h in zip(keys.tolist(), hashes.to_pylist(), strict=True)]
+            columns = [pa.array(keys[:, i]) for i in range(KEY_TERMS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, hashes, pa.array(part, pa.int64()), n, *columns], schema=placed_arrow)
 
     def run(batches):
         import pyarrow as pa
@@ -389,12 +449,12 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
         def flush():
             nonlocal shard, held, filled
             shard.sort(key=lambda x: x[:2])
-            docs_ = [np.frombuffer(raw, "<u4") for _, raw, _ in shard]
+            docs_ = [ids_of(raw, n) for _, raw, _, n in shard]
             order = packing_order(docs_, window, known)
             rows = []
             for d, start, take, sequence, offset in lay_out([len(docs_[i]) for i in order], window):
                 ids = docs_[order[d]]
-                part = ids[start : start + take]
+                part = ids[start : start + take].astype("<u4")
                 row = (shard[order[d]][2], start, take, zlib.crc32(part.tobytes()), len(ids), (now << 32) + filled + sequence, offset)
                 rows.append((*row, part.tolist()) if keep_ids else row)
             filled += rows[-1][5] - (now << 32) - filled + 1
@@ -402,17 +462,17 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for name, raw, h, number in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for name, raw, h, number, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if shard and (number != now or held >= most):
                     yield flush()
                 if number != now:
                     now, filled = number, 0
-                shard.append((h, raw, name))
-                held += len(raw) >> 2
+                shard.append((h, raw, name, n))
+                held += n
         if shard:
             yield flush()
 
-    placed = tokens.select(key, "ids", "h").mapInArrow(place, placed_kind)
+    placed = tokens.filter("n > 0").select(key, "ids", "h", "n").mapInArrow(place, placed_kind)
     return placed.repartition("__range").sortWithinPartitions("__range", *fields, "__h", "ids").select(*(c for c in placed.columns if c not in fields)).mapInArrow(run, kind)
 
 
