@@ -1,16 +1,19 @@
 """Station files in the CODAR tabular format: parsing to tables, and rendering tables as such text.
 
 Files are read with Spark's binary source and parsed where they are; a file is one row until it is exploded to table
-rows, so parsing needs no shuffle.  Values are bound by column name, never by position.
+rows, so parsing needs no shuffle.  The parser takes a file's bytes in slices and gives table rows back as text in blocks of
+lines, which Spark splits as it explodes them: nothing in Python or in a row is larger than the file's own text.  Values are
+bound by column name, never by position.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from seaward.functions.headers import header, receiver, site_code, time_of
 
@@ -32,14 +35,32 @@ QC_LINES = (
 )
 _SCHEMA = """path string, is_corrupt boolean, is_wera boolean, kind string, meta map<string,string>, head array<string>,
  foot array<string>, processing_tools array<string>,
- tables array<struct<table_no:int,table_type:string,columns:array<string>,meta:map<string,string>,head:array<string>,rows:array<array<string>>>>"""
+ tables array<struct<table_no:int,table_type:string,columns:array<string>,meta:map<string,string>,head:array<string>,n_rows:int,n_cols:int,blocks:array<string>>>"""
+#: Bytes of a file that are taken at once, lines of a block.
+SLICE_BYTES, BLOCK_LINES = 1 << 20, 1000
 
 
-def parse_text(text: str) -> dict:
-    """One file: header and footer values, and its tables (type, column names, rows of text).
+def lines_of(data, encoding: str):
+    """The lines of a text given as bytes (any buffer), decoded slice by slice; slices end behind a line feed."""
+    view, at, size = memoryview(data), 0, SLICE_BYTES
+    while at < len(view):
+        part = bytes(view[at : at + size])
+        if at + size < len(view):
+            end = part.rfind(b"\n") + 1
+            if not end:  # a longer line
+                size *= 2
+                continue
+            part = part[:end]
+        at, size = at + len(part), SLICE_BYTES
+        yield from part.decode(encoding).splitlines()
+
+
+def parse_lines(lines) -> dict:
+    """One file from its lines.
 
     ``head`` and ``foot`` are the header and footer lines in their order, also of each table; ``kind`` says of wave files
-    whether their first table has distances (ranged) or not (averaged).
+    whether their first table has distances (ranged) or not (averaged).  ``blocks`` are a table's rows: a line for each, its
+    values joined by one space, ``BLOCK_LINES`` lines in a block; ``n_cols`` counts the values of the first.
     """
     head: list[str] = []
     foot: list[str] = []
@@ -47,8 +68,9 @@ def parse_text(text: str) -> dict:
     tools: list[str] = []
     tables: list[dict] = []
     open_table: dict | None = None
+    block: list[str] = []
     ended = False
-    for line in text.splitlines():
+    for line in lines:
         mark = line.strip()
         if not mark or mark.startswith("%%"):
             continue
@@ -59,10 +81,12 @@ def parse_text(text: str) -> dict:
             name, value = (mark.split(":") + [""])[:2]
             name, value = name.replace("%", "").strip(), value.replace("%", "").strip()
             if name == "TableType":
-                open_table = {"table_type": value, "columns": [], "meta": {}, "head": [], "rows": [], "reading": False}
+                open_table, block = {"table_type": value, "columns": [], "meta": {}, "head": [], "n_rows": 0, "n_cols": 0, "blocks": [], "reading": False}, []
             if name == "TableStart" and open_table is not None:
                 open_table["reading"] = True
             elif name == "TableEnd" and open_table is not None:
+                if block:
+                    open_table["blocks"].append("\n".join(block))
                 tables.append(open_table)
                 open_table = None
             elif open_table is not None:
@@ -78,14 +102,22 @@ def parse_text(text: str) -> dict:
                 meta[name] = value
                 (foot if tables else head).append(mark)
         elif open_table is not None and open_table["reading"] and open_table["columns"]:
-            open_table["rows"].append(mark.lstrip("%").split())
+            values = mark.lstrip("%").split()
+            if not open_table["n_rows"]:
+                open_table["n_cols"] = len(values)
+            open_table["n_rows"] += 1
+            block.append(" ".join(values))
+            if len(block) == BLOCK_LINES:
+                open_table["blocks"].append("\n".join(block))
+                block = []
     for n, t in enumerate(tables, 1):
         t["table_no"] = n
         t.pop("reading")
     kind = None
     if tables and tables[0]["table_type"].startswith("WAVL"):
         at = tables[0]["columns"].index("DIST") if "DIST" in tables[0]["columns"] else None
-        kind = "ranged" if at is not None and any(_is_number(r[at]) for r in tables[0]["rows"] if len(r) > at) else "averaged"
+        rows = (r.split(" ") for b in tables[0]["blocks"] for r in b.split("\n"))
+        kind = "ranged" if at is not None and any(_is_number(r[at]) for r in rows if len(r) > at) else "averaged"
     return {"is_corrupt": not ended, "is_wera": "WERA" in meta.get("Manufacturer", ""), "kind": kind, "meta": meta, "head": head, "foot": foot, "processing_tools": tools, "tables": tables}
 
 
@@ -97,14 +129,26 @@ def _is_number(text: str) -> bool:
 
 
 def parse_files(contents: DataFrame) -> DataFrame:
-    """One row per file from ``path`` and ``content`` (bytes, or text)."""
+    """One row per file from ``path`` and ``content`` (bytes, or text), file by file."""
+    schema = T._parse_datatype_string(_SCHEMA)
+    arrow = to_arrow_schema(schema)
+
+    encoding = "utf-8" if dict(contents.dtypes)["content"] == "string" else "ISO-8859-1"
+
+    def one(path: str, data):
+        import pyarrow as pa
+
+        found = parse_lines(lines_of(data, encoding))
+        for holder in (found, *found["tables"]):
+            holder["meta"] = list(holder["meta"].items())
+        return pa.RecordBatch.from_pylist([{"path": path, **found}], schema=arrow)
 
     def run(batches):
-        for pdf in batches:
-            found = [parse_text(c if isinstance(c, str) else bytes(c).decode("ISO-8859-1")) for c in pdf["content"]]
-            yield pd.DataFrame([{"path": p, **f} for p, f in zip(pdf["path"], found, strict=True)], columns=["path", "is_corrupt", "is_wera", "kind", "meta", "head", "foot", "processing_tools", "tables"])
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                yield one(path.as_py(), content.as_buffer())
 
-    return contents.select("path", "content").mapInPandas(run, _SCHEMA)
+    return contents.select("path", "content").mapInArrow(run, schema)
 
 
 def contents(spark: SparkSession, path: str | list[str], pattern: str | list[str] = "*", recursive: bool = True) -> DataFrame:
@@ -156,13 +200,12 @@ def site_in_name(path: Column) -> Column:
 def file_table(parsed: DataFrame) -> DataFrame:
     """The catalogue row of each file: names, times, header, columns and sizes."""
     first = F.get(F.filter("tables", lambda t: t["table_no"] == 1), F.lit(0))
-    rows = F.coalesce(first["rows"], F.array().cast("array<array<string>>"))
     return parsed.withColumns(name_parts(F.col("path"))).select(
         "path", "file_name", "prefix", site_code(header(F.col("meta"), "Site")).alias("site"), "file_time",
         time_of(header(F.col("meta"), "TimeStamp")).alias("time"), header(F.col("meta"), "FileType").alias("file_type"),
         F.map_concat("meta", F.coalesce(first["meta"], F.create_map().cast("map<string,string>"))).alias("meta"),
         "processing_tools", F.coalesce(first["columns"], F.array().cast("array<string>")).alias("columns"),
-        F.size(rows).alias("n_rows"), F.coalesce(F.size(F.get(rows, F.lit(0))), F.lit(0)).alias("n_cols_row"), "is_wera", "is_corrupt",
+        F.coalesce(first["n_rows"], F.lit(0)).alias("n_rows"), F.coalesce(first["n_cols"], F.lit(0)).alias("n_cols_row"), "is_wera", "is_corrupt",
     )
 
 
@@ -173,7 +216,11 @@ def table_rows(parsed: DataFrame, type_like: str, columns: dict[str, str], extra
     if "lon" in kept:
         named = named.withColumns(dict(zip(("lon", "lat"), receiver(F.col("meta")), strict=True)))
     tables = named.select("path", "prefix", *kept, site_code(header(F.col("meta"), "Site")).alias("site"), time_of(header(F.col("meta"), "TimeStamp")).alias("time"), F.explode("tables").alias("t"))
-    rows = tables.filter(F.contains("t.table_type", F.lit(type_like))).select("path", "prefix", "site", "time", *kept, F.col("t.table_no").alias("table_no"), F.col("t.columns").alias("cols"), F.posexplode("t.rows").alias("row_no", "v"))
+    told = ("path", "prefix", "site", "time", *kept)
+    blocks = tables.filter(F.contains("t.table_type", F.lit(type_like))).select(*told, F.col("t.table_no").alias("table_no"), F.col("t.columns").alias("cols"), F.posexplode("t.blocks").alias("block_no", "block"))
+    lines = blocks.select(*told, "table_no", "cols", "block_no", F.posexplode(F.split("block", "\n")).alias("line_no", "line"))
+    number_in_table = (F.col("block_no") * F.lit(BLOCK_LINES) + F.col("line_no")).alias("row_no")
+    rows = lines.select(*told, "table_no", "cols", number_in_table, F.when(F.col("line") != "", F.split("line", " ")).alias("v"))
     value = lambda c: F.get("v", F.array_position("cols", c) - 1)
     number = lambda c, kind: F.when(~F.isnan(value(c).try_cast("double")), value(c).try_cast("double")).cast(kind)
     has = lambda c: F.array_contains("cols", c)
@@ -277,7 +324,7 @@ def export_files(rows: DataFrame, parsed: DataFrame, columns: dict[str, str], ad
                 kind(t),
                 t["head"],
                 F.array(F.concat(F.lit("%TableStart: "), t["table_no"].cast("string"))),
-                F.transform(t["rows"], lambda r: F.concat(F.lit("%  "), F.array_join(r, "  "))),
+                F.flatten(F.transform(t["blocks"], lambda b: F.transform(F.split(b, "\n"), lambda r: F.concat(F.lit("%  "), F.replace(r, F.lit(" "), F.lit("  ")))))),
                 F.array(F.concat(F.lit("%TableEnd: "), t["table_no"].cast("string")), F.lit("%%")),
             ),
         )
