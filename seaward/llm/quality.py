@@ -1,16 +1,16 @@
 """Quality classifier: Bradley-Terry scores learnt from preference pairs, cut at a score quantile.
 
-Each text has a few shape measures (lengths, signs, capitals, digits, repetition, lines).  In a bounded sample of
-labelled texts each document of label 1 is preferred to documents of label 0 drawn for it; the score is linear in the
-measures' quantile bins, and its weights maximise the logistic likelihood of the preferences, which depends on feature
-differences only.  The cut is a quantile of the scores of sample rows kept apart from learning: as large a share of the
-scores lies under it as label 0 has among the labels (each class weighted by its share).  Scores are moved so that the cut
-is at 0.7 and squeezed to (0, 1).
-
-Sample rows of one label that share their smallest word-triple hash count once.  Texts of any length are measured whole.
+Each text has a few shape measures (lengths, signs, capitals, digits, repetition, lines).  All labelled texts are learnt from:
+in groups dealt by a hash each document of label 1 is preferred to documents of label 0 drawn for it, until every row of both
+is in a pair; the score is linear in the measures' quantile bins, and its weights maximise the logistic likelihood of all
+preferences, which depends on feature differences only (Newton steps; tasks add up gradients).  The cut is a quantile of the
+scores of rows kept apart from learning: as large a share of the scores lies under it as label 0 has among the labels (each
+class weighted by its share).  Scores are moved so that the cut is at 0.7 and squeezed to (0, 1).
+
+Rows of one label that share their smallest word-triple hash count once.  Texts of any length are measured whole.
 Ties in a measure share a bin.  Other columns are not looked at, whatever their names.  An empty table gives no rows.
 
-Null and empty texts have measures like any other.  Rows with equal texts score equally.  If the labelled sample lacks
+Null and empty texts have measures like any other.  Rows with equal texts score equally.  If the labels lack
 one of the classes, every text has the same score, above the cut unless all labels are 0.
 """
 
@@ -24,10 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaward.llm.common import fold, labelled_sample, map_columns, once_by, read_table, text_or_empty
+from seaward.llm.common import _shapes, fold, map_columns, materialize, read_table, text_or_empty
 
-#: Labelled rows taken of each class at most (those with the smallest hash of the id); pairs for each row of label 1.
-SAMPLE, PAIRS = 10_000, 3
+#: Rows of the rarer label in a group, about; pairs for each row of label 1, at least; pairs whose features are at hand at once.
+GROUP_ROWS, PAIRS, PAIRS_AT_ONCE = 2000, 3, 4096
+#: Scores are counted in steps of this size to find the cut.
+STEP = 1e-3
 BINS, CUT, RIDGE = 12, 0.7, 3.0
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -92,6 +94,17 @@ class Model:
             out[np.arange(len(x)), j, np.searchsorted(e, x[:, j], side="left")] = 1
         return out.reshape(len(x), -1)
 
+    def codes(self, x) -> bytes:
+        """The bin of each measure, a byte each."""
+        return bytes(int(np.searchsorted(e, v, side="left")) for e, v in zip(self.edges, x, strict=True))
+
+    def of_codes(self, codes: list[bytes]) -> np.ndarray:
+        """``design`` from ``codes``."""
+        at = np.frombuffer(b"".join(codes), np.uint8).reshape(-1, len(self.edges))
+        out = np.zeros((len(at), self.edges.size // (BINS - 1), BINS))
+        out[np.arange(len(at))[:, None], np.arange(at.shape[1]), at] = 1
+        return out.reshape(len(at), -1)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         raw = self.design(x) @ self.weights - self.cut
         return 1 / (1 + np.exp(-(raw + np.log(CUT / (1 - CUT)))))
@@ -100,56 +113,104 @@ class Model:
         return self.score(np.array([measures(t) for t in texts]).reshape(-1, len(MEASURES))).tolist()
 
 
-def _learn_pairs(differences: np.ndarray) -> np.ndarray:
-    """Weights that maximise the likelihood of all preferences (Newton steps, ridge)."""
-    w = np.zeros(differences.shape[1])
+def _newton(sums, width: int) -> np.ndarray:
+    """Weights that maximise the likelihood of all preferences (Newton steps, ridge); ``sums`` gives gradient and Hessian."""
+    w = np.zeros(width)
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(differences @ w, -30, 30)))
-        hess = differences.T @ (differences * (p * (1 - p))[:, None]) + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(hess, differences.T @ p - RIDGE * w)
+        gradient, hessian = sums(w)
+        step = np.linalg.solve(hessian + RIDGE * np.eye(width), gradient - RIDGE * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """Model from labelled rows (``label`` 0 or 1)."""
-    sample = labelled_sample(docs, labels, key, text, SAMPLE, "quality-sample")
-    seen = labels.filter(F.col("label").isin(0, 1)).groupBy("label").count().collect()  # two rows
-    share = {r["label"]: r["count"] for r in seen}
+def _sums(differences: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(np.clip(differences @ w, -30, 30)))
+    return differences.T @ p, differences.T @ (differences * (p * (1 - p))[:, None])
+
+
+def _learn_pairs(differences: np.ndarray) -> np.ndarray:
+    return _newton(lambda w: _sums(differences, w), differences.shape[1])
+
+
+def _measured(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """label, shape, x, apart of all labelled rows, near copies once; texts stay where they are, only measures move."""
+    kind = f"key {dict(docs.dtypes)[key]}, x array<double>, shape long"
 
     def run(rows):
-        return {"label": rows["label"], "apart": rows["apart"], "x": [measures(t) for t in rows["text"]]}
-
-    # Near copies count once.  A quarter of the shapes is kept apart for the cut.
-    apart = (F.pmod(F.xxhash64("shape"), F.lit(4)) == 0).cast("int").alias("apart")
-    rows = once_by(sample.drop("shape2"), "shape").select("text", "label", apart)
-    got = map_columns(rows, run, "label int, apart int, x array<double>").collect()  # at most 2 * SAMPLE rows
-    x = np.array([r.x for r in got]).reshape(-1, len(MEASURES))
-    y, held = np.array([r.label for r in got], dtype=int), np.array([r.apart for r in got], dtype=bool)
-    order = np.lexsort((*x.T, held, y))
-    x, y, held = x[order], y[order], held[order]
-    for v in (0, 1):  # too few rows to keep some apart: all serve for both
-        if not (held & (y == v)).any() or not (~held & (y == v)).any():
-            held[:] = True
-            break
-    learnt = ~held if not held.all() else held
-    good, bad = np.flatnonzero((y == 1) & learnt), np.flatnonzero((y == 0) & learnt)
-    if not len(good) or not len(bad):
-        flat = np.zeros((len(MEASURES), BINS - 1))
-        return Model(flat, np.zeros(len(MEASURES) * BINS), 1.0 if (y == 0).any() else -1.0)
+        return {"key": rows["key"], "x": [measures(t) for t in rows["text"]], "shape": [_shapes(t)[0] for t in rows["text"]]}
+
+    seen = map_columns(docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")), run, kind)
+    marked = labels.filter(F.col(key).isNotNull() & F.col("label").isin(0, 1)).select(F.col(key).alias("key"), F.col("label").cast("int").alias("label")).distinct()
+    once = seen.join(marked, "key").groupBy("label", "shape").agg(F.min("x").alias("x"))
+    # A quarter of the shapes is kept apart for the cut.
+    return materialize(once.withColumn("apart", F.pmod(F.xxhash64("shape"), F.lit(4)) == 0), "quality-measures")
+
+
+def _pairs(rows: DataFrame, model: Model, groups: int) -> DataFrame:
+    """good, bad: the measures of each pair.  Every row of a group is in a pair, those of label 1 in ``PAIRS`` at least."""
+    import pandas as pd
+
+    def draw(pdf):
+        rng = np.random.default_rng(5)
+        pdf = pdf.sort_values("shape", kind="stable")
+        good, bad = (list(pdf["x"][pdf["label"] == v]) for v in (1, 0))
+        n = max(PAIRS * len(good), len(bad)) if good and bad else 0
+        at = [np.concatenate([rng.permutation(len(c)) for _ in range(-(-n // len(c)))])[:n] for c in (good, bad)] if n else [[], []]
+        return pd.DataFrame({"good": [model.codes(good[i]) for i in at[0]], "bad": [model.codes(bad[i]) for i in at[1]]}, columns=["good", "bad"])
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("shape", F.lit(11)), F.lit(groups)))
+    return materialize(dealt.groupBy("part").applyInPandas(draw, "good binary, bad binary"), "quality-pairs")
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """Model from all labelled rows (``label`` 0 or 1)."""
+    rows = _measured(docs, labels, key, text)
+    shares = labels.filter(F.col("label").isin(0, 1)).groupBy("label").count().collect()  # two rows
+    share = {r["label"]: r["count"] for r in shares}
+    number = {(r["label"], r["apart"]): r["count"] for r in rows.groupBy("label", "apart").count().collect()}  # four rows
+    width = len(MEASURES) * BINS
+    if len({v for v, _ in number}) < 2:
+        return Model(np.zeros((len(MEASURES), BINS - 1)), np.zeros(width), 1.0 if any(v == 0 for v, _ in number) else -1.0)
+    # Too few rows to keep some apart: all serve for both.
+    learnt, held = (rows.filter("NOT apart"), rows.filter("apart")) if len(number) == 4 else (rows, rows)
     # Quantiles of each class on its own, so that a rare class has bins of its own too.
-    q = np.linspace(0, 1, BINS // 2 + 1)[1:-1]
-    edges = np.sort(np.concatenate([np.quantile(x[good], q, axis=0), np.quantile(x[bad], q, axis=0), np.quantile(x[good], [1.0], axis=0)]).T, axis=1)
-    model = Model(edges, np.zeros(len(MEASURES) * BINS), 0.0)
-    design = model.design(x).astype(np.float64)
-    rng = np.random.default_rng(5)
-    pairs = min(PAIRS * len(good), 30_000)
-    model.weights = _learn_pairs(design[rng.choice(good, pairs)] - design[rng.choice(bad, pairs)])
-    raw, label = (design @ model.weights)[held], y[held]
-    weight = np.where(label == 1, share.get(1, 1) / max((label == 1).sum(), 1), share.get(0, 1) / max((label == 0).sum(), 1))
-    model.cut = quantile_cut(raw, weight, share.get(0, 1) / max(share.get(0, 1) + share.get(1, 1), 1))
+    q = np.linspace(0, 1, BINS // 2 + 1)[1:-1].tolist()
+    wanted = [F.percentile_approx(F.col("x")[j], [*q, 1.0], 10_000).alias(m) for j, m in enumerate(MEASURES)]
+    found = {r["label"]: np.array(r[1:]) for r in learnt.groupBy("label").agg(*wanted).collect()}  # two rows
+    model = Model(np.sort(np.concatenate([found[1], found[0][:, :-1]], axis=1), axis=1), np.zeros(width), 0.0)
+    rarer = min(sum(n for (v, apart), n in number.items() if v == y and not (apart and len(number) == 4)) for y in (0, 1))
+    # Groups hold some rows of the rarer label each, and are bounded unless that label is very rare.
+    groups = max(rarer // GROUP_ROWS, sum(number.values()) // (10 * GROUP_ROWS))
+    pairs = _pairs(learnt, model, max(1, min(groups, rarer // 20)))
+
+    def sums(w):
+        def run(batches):
+            import pyarrow as pa
+
+            total = np.zeros((width + 1, width))
+            for batch in batches:
+                for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                    good, bad = (model.of_codes(batch.column(i).slice(at, PAIRS_AT_ONCE).to_pylist()) for i in range(2))
+                    g, h = _sums(good - bad, w)
+                    total[0] += g
+                    total[1:] += h
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        total = sum(np.frombuffer(r.total).reshape(width + 1, width) for r in pairs.mapInArrow(run, "total binary").toLocalIterator())  # a row of 0.3 MB for each task
+        return total[0], total[1:]
+
+    model.weights = _newton(sums, width)
+
+    def steps(rows):
+        raw = model.design(np.array(rows["x"])) @ model.weights
+        return {"label": rows["label"], "step": np.rint(raw / STEP).astype(int).tolist()}
+
+    counts = map_columns(held.select("label", "x"), steps, "label int, step long").groupBy("label", "step").count().orderBy("step", "label").collect()  # bounded by the range of scores
+    label, n = np.array([r["label"] for r in counts]), np.array([r["count"] for r in counts], dtype=float)
+    weight = n * np.where(label == 1, share.get(1, 1) / n[label == 1].sum(), share.get(0, 1) / n[label == 0].sum())
+    model.cut = quantile_cut(np.array([r["step"] * STEP for r in counts]), weight, share.get(0, 1) / max(share.get(0, 1) + share.get(1, 1), 1))
     return model
 
 
