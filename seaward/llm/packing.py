@@ -41,14 +41,19 @@ KEY_TERMS, SAMPLED, LEAST_SAMPLE, MOST_SAMPLE = 3, 40, 8192, 1 << 18
 #: Most ranges: their cuts are sent to all tasks (some 100 bytes each), and a range is sorted, not held, in one task.
 RANGES = 1 << 14
 K1, B = 1.2, 0.75
+#: Share of the documents in a shard's index that are unused when the used ones leave it.
+KEPT = 0.8
 #: Chunks whose ids a worker keeps; beyond it the store starts anew (a bound on memory, not on results).
 CACHE = 1_000_000
 #: Text that is tokenised at once (the more, the fewer words are looked up twice).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Ids whose documents' distinct tokens are counted at once.
-TOKENS_AT_ONCE = 1_000_000
-#: Signs that may stand behind a word.
-SIGNS = ".,;:!?"
+TOKENS_AT_ONCE = 500_000
+#: Signs that may stand behind a word, one at most; those of which several may, where the file splits runs of signs from letters.
+SIGNS, RUNS = ".,;:!?", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MOST_SIGNS = 8
+#: Bytes of a word that the store of words takes; the few longer ones go with other chunks.
+WORD_BYTES = 16
 #: Words of letters below U+0130: these do not compose with each other, and every splitting rule that keeps letters
 #: together takes them as one word.
 LATIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+$"
@@ -68,7 +73,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
+        self.store, self.ids = Words(), {}  # of lower-case words; of other parts
         # Stretches between white space have ids by themselves only where the file says that white space is dropped, and
         # words share the ids of their lower-case form only where it says that texts are lower-cased.
         steps = json.loads(self.model.to_str())
@@ -82,6 +87,11 @@ class Tokens:
         if self.last is not None:
             self.last[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
         self.words = self._of_words(steps, cuts) if self.lowers and self.last is not None else self.model
+        # Letters and runs of signs are pieces of their own by such a rule alone; its only other signs are apostrophes.
+        rule = cuts[0]["pattern"].get("Regex", "").split("|") if self.lowers and isinstance(cuts[0].get("pattern"), dict) else []
+        letters = {"[\\p{L}]+", "[^\\s\\p{L}\\p{N}]+"}
+        runs = letters <= set(rule) and all(r.startswith("'") for r in set(rule) - letters - {"[\\p{N}]"})
+        self.signs, self.most_signs = (RUNS, MOST_SIGNS) if runs else (SIGNS, 1)
 
     def _of_words(self, steps: dict, cuts: list[dict]):
         """The same model without the steps that leave lines of lower-case Latin words as they are, where the file has such only."""
@@ -105,7 +115,7 @@ class Tokens:
     def drop(cls) -> None:
         """Empties the stores: a worker that has encoded may go on with tasks that need the room."""
         for tokens in cls._made.values():
-            tokens.ids = {}
+            tokens.ids, tokens.store = {}, Words()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers: distinct chunks are looked up, then put in their places."""
@@ -122,53 +132,115 @@ class Tokens:
     def _look_up(self, chunks) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks (an Arrow array), end to end, and where each ends.
 
-        Latin words with at most one sign behind them are cut in Arrow; all else is encoded chunk by chunk.
+        Latin words with signs behind them are cut in Arrow, and the words looked up in numpy; all else is encoded chunk by chunk.
         """
         import pyarrow.compute as pc
 
-        bare = pc.ascii_rtrim(chunks, SIGNS)
+        bare = pc.ascii_rtrim(chunks, self.signs)
         signs = pc.subtract(pc.binary_length(chunks), pc.binary_length(bare)).to_numpy(zero_copy_only=False)
-        plain = pc.match_substring_regex(bare, LATIN).to_numpy(zero_copy_only=False) & (signs < 2) & self.lowers
-        words = pc.utf8_lower(bare.filter(plain)).dictionary_encode()
-        ended = plain & (signs == 1)
-        sign = pc.index_in(pc.utf8_slice_codeunits(chunks.filter(ended), -1), value_set=_arrow(SIGNS, chunks.type))
-        known, others = (c.to_numpy(zero_copy_only=False).tolist() for c in (words.dictionary, chunks.filter(~plain)))
-        ids = self._known(set(known), {*SIGNS, *others})
-        table = [b"", *map(ids.__getitem__, [*SIGNS, *known, *others])]
-        codes = np.zeros((len(chunks), 2), dtype=np.int64)
-        codes[plain, 0] = words.indices.to_numpy(zero_copy_only=False) + (1 + len(SIGNS))
-        codes[~plain, 0] = np.arange(len(others)) + (1 + len(SIGNS) + len(known))
-        codes[ended, 1] = sign.to_numpy(zero_copy_only=False) + 1
-        flat, ends = gather(*end_to_end(table), codes.ravel())
-        for c in [c for c in known + others if len(c) > 64]:  # long chunks hardly come again
-            ids.pop(c, None)
+        lower = pc.utf8_lower(bare)
+        short = pc.less_equal(pc.binary_length(lower), WORD_BYTES).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(bare, LATIN).to_numpy(zero_copy_only=False) & short & (signs <= self.most_signs) & self.lowers
+        rows = self._rows(lower.filter(_arrow(plain)))
+        # The other parts: nothing, chunks that are no such words, and the signs behind words.
+        others = ["", *chunks.filter(_arrow(~plain)).to_numpy(zero_copy_only=False).tolist()]
+        codes, words = np.zeros((len(chunks), 2), dtype=np.int64), len(self.store.ends)
+        codes[plain, 0], codes[~plain, 0], codes[:, 1] = rows, np.arange(1, len(others)) + words, words
+        for n in np.unique(signs[plain & (signs > 0)]).tolist():
+            ended = plain & (signs == n)
+            behind = pc.utf8_slice_codeunits(chunks.filter(_arrow(ended)), -n).dictionary_encode()
+            codes[ended, 1] = behind.indices.to_numpy(zero_copy_only=False) + words + len(others)
+            others += behind.dictionary.to_pylist()
+        flat, ends = end_to_end(self._known(others))
+        flat, ends = gather(np.append(self.store.flat, flat), np.append(self.store.ends, ends + len(self.store.flat)), codes.ravel())
+        for c in [c for c in others if len(c) > 64]:  # long chunks hardly come again
+            self.ids.pop(c, None)
         return flat, ends[1::2]
 
-    def _known(self, words: set[str], others: set[str]) -> dict[str, bytes]:
-        """The store, with the ids of all these parts; those not seen before are encoded together."""
-        ids = self.ids
-        new, rest = words.difference(ids), others.difference(ids)
-        if len(ids) + len(new) + len(rest) > CACHE:
-            ids.clear()
-            new, rest = words, others
-        self._learn(list(new), list(rest))
-        return ids
-
-    def _learn(self, words: list[str], single: list[str]) -> None:
-        """Encode new parts.  Words go in lines of many where the file marks each word's last id."""
+    def _rows(self, words) -> np.ndarray:
+        """The rows of the words (an Arrow array) in the store; those not seen before are encoded together and added."""
+        keys = word_keys(words)
+        rows = self.store.find(keys)
+        new = words.filter(_arrow(rows < 0)).dictionary_encode()
+        if len(self.store.ends) + len(new.dictionary) > CACHE:
+            self.store = Words()
+            rows[:], new = -1, words.dictionary_encode()
+        if len(new):
+            found = self._encode_words(new.dictionary.to_numpy(zero_copy_only=False).tolist())
+            rows[rows < 0] = new.indices.to_numpy(zero_copy_only=False) + len(self.store.ends)
+            self.store.add(word_keys(new.dictionary), *end_to_end(found))
+        return rows
+
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """The ids of these parts; those that the store lacks are encoded together."""
+        new = set(parts).difference(self.ids)
+        if len(self.ids) + len(new) > CACHE:
+            self.ids.clear()
+            new = set(parts)
+        new = list(new)
+        self.ids.update(zip(new, self._encode_parts(new), strict=True))
+        return [self.ids[p] for p in parts]
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words.  They go in lines of many where the file marks each word's last id."""
         if self.last is None:
-            words, single = [], words + single
-        lines = [words[at : at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
+            return self._encode_parts(words)
+        lines, out = [words[at : at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)], []
         for line, e in zip(lines, self.words.encode_batch_fast([" ".join(w) for w in lines], add_special_tokens=False), strict=True):
             found = np.array(e.ids, dtype="<u4")
             ends = np.flatnonzero(self.last[found]) + 1
             if len(ends) == len(line) and ends[-1] == len(found):
                 raw, at = found.tobytes(), (ends * 4).tolist()
-                self.ids.update(zip(line, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+                out += [raw[a:b] for a, b in zip([0, *at], at, strict=False)]
             else:
-                single += line
-        for t, e in zip(single, self.model.encode_batch_fast(single, add_special_tokens=False), strict=True):
-            self.ids[t] = array("I", e.ids).tobytes()
+                out += self._encode_parts(line)
+        return out
+
+
+class Words:
+    """Words seen before, as numbers (``word_keys``) and not as Python strings, with their ids end to end and where each ends."""
+
+    def __init__(self):
+        self.keys = np.zeros((0, WORD_BYTES // 8), dtype=np.uint64)
+        self.flat, self.ends = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        self.hashes, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)  # in order of the hashes
+
+    @staticmethod
+    def _hash(keys: np.ndarray) -> np.ndarray:
+        h = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+        return (h ^ h >> np.uint64(32) ^ keys[:, 1]) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each word, or -1.  Rows are compared whole: of two words with one hash the second is not found, only."""
+        if not len(self.row):
+            return np.full(len(keys), -1, dtype=np.int64)
+        h = self._hash(keys)
+        order = np.argsort(h)
+        at = np.empty(len(h), dtype=np.int64)
+        at[order] = np.searchsorted(self.hashes, h[order])
+        rows = self.row[np.minimum(at, len(self.row) - 1)].astype(np.int64)
+        return np.where((self.keys[rows] == keys).all(axis=1), rows, -1)
+
+    def add(self, keys: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> None:
+        h = self._hash(keys)
+        order = np.argsort(h)
+        at = np.searchsorted(self.hashes, h[order])
+        self.hashes = np.insert(self.hashes, at, h[order])
+        self.row = np.insert(self.row, at, (order + len(self.ends)).astype(np.int32))
+        self.keys = np.concatenate([self.keys, keys])
+        self.ends, self.flat = np.append(self.ends, ends + len(self.flat)), np.append(self.flat, flat)
+
+
+def word_keys(words) -> np.ndarray:
+    """Each word (an Arrow array, no word over ``WORD_BYTES``) as that many bytes, zeros behind it, read as two numbers."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    padded = pc.ascii_rpad(words.cast(pa.large_string()), WORD_BYTES, "\0")
+    return np.frombuffer(padded.buffers()[2] or b"", np.uint64, len(words) * WORD_BYTES // 8).reshape(-1, WORD_BYTES // 8)
 
 
 def end_to_end(known: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,10 +257,10 @@ def gather(flat: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.
     return flat[np.repeat(bounds[codes] - ends, count) + np.arange(ends[-1])], ends
 
 
-def _arrow(values, kind):
+def _arrow(values: np.ndarray):
     import pyarrow as pa
 
-    return pa.array(list(values), kind)
+    return pa.array(values)
 
 
 def _steps(step: dict | None) -> list[dict]:
@@ -266,14 +338,18 @@ class Bm25:
         norm = K1 * (1 - B + B * lengths / known.mean)
         self.weight = known.idf[terms] * tf * (K1 + 1) / (tf + norm[self.docs])
         order = np.argsort(self.docs, kind="stable")
-        self.by_doc, self.doc_at = order, np.searchsorted(self.docs[order], np.arange(len(docs) + 1))
-        self.row_term = np.repeat(np.arange(len(self.terms)), held)
+        self.doc_terms, self.doc_at = np.repeat(np.arange(len(self.terms)), held)[order], np.searchsorted(self.docs[order], np.arange(len(docs) + 1))
+
+    def keep(self, free: np.ndarray) -> None:
+        """Leaves used documents out of the postings, which no longer find them anyway."""
+        kept = free[self.docs]
+        self.slices = np.append(0, np.cumsum(kept))[self.slices]
+        self.docs, self.weight = self.docs[kept], self.weight[kept]
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
         """All unused documents that share a token, by falling score (ties: the earlier one)."""
-        terms = self.row_term[self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]]
+        terms = self.doc_terms[self.doc_at[seed] : self.doc_at[seed + 1]]
         held = self.slices[terms + 1] - self.slices[terms]
-        terms, held = terms[held > 1], held[held > 1]  # else the seed alone
         ends = np.cumsum(held)
         postings = np.repeat(self.slices[terms] - ends + held, held) + np.arange(ends[-1] if len(ends) else 0)
         score = np.bincount(self.docs[postings], self.weight[postings], len(free))
@@ -287,8 +363,11 @@ def packing_order(docs: list[np.ndarray], window: int = WINDOW, known: Statistic
     index, free = Bm25(docs, known), np.ones(len(docs), dtype=bool)
     seeds = iter(np.argsort([-len(d) for d in docs], kind="stable"))
     order: list[int] = []
-    filled, seed = 0, None
+    filled, seed, kept = 0, None, len(docs)
     while len(order) < len(docs):
+        if len(docs) - len(order) <= KEPT * kept:
+            index.keep(free)
+            kept = len(docs) - len(order)
         if seed is None:
             seed = next(s for s in seeds if free[s])
             free[seed] = False
@@ -357,6 +436,7 @@ def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
                     ids = [np.frombuffer(i, "<u4").astype(f"<u{width}").tobytes() for i in ids]
                 columns = [part.column(0).cast(arrow[0].type), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), part.column(2)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(ids), pa.binary())] * short, schema=arrow)
+            pa.default_memory_pool().release_unused()  # else the worker keeps it, also while it has nothing to do
         if short and counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, b"", 0, 0, counts.tobytes()), arrow, strict=True)], schema=arrow)
 
@@ -433,6 +513,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     def place(batches):
         import pyarrow as pa
 
+        Tokens.drop()
         for batch in (b for b in batches if b.num_rows):
             ids, hashes, n = batch.column(1), batch.column(2), batch.column(3)
             keys = np.concatenate([known.keys(*d) for d in documents_at_once(ids.to_pylist(), n.to_pylist())])
