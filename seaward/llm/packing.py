@@ -47,6 +47,8 @@ KEPT = 0.8
 CACHE = 1_000_000
 #: Text that is tokenised at once (the more, the fewer words are looked up twice).
 SLICE_BYTES = 2 << 20
+#: Bytes of texts, about, that Spark sends to a tokenising worker at once: both sides hold as much.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Ids whose documents' distinct tokens are counted at once.
 TOKENS_AT_ONCE = 500_000
 #: Signs that may stand behind a word, one at most; those of which several may, where the file splits runs of signs from letters.
@@ -442,7 +444,13 @@ def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 
     body = text_or_empty(text)
     rows = docs.select(F.col(key), body.alias("__text"), F.xxhash64(F.col(key).cast("string"), body).alias("__h")).mapInArrow(run, kind)
-    return materialize(rows, "tokens")
+    conf = docs.sparkSession.conf
+    before = conf.get(BATCH_SETTING)
+    conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        return materialize(rows, "tokens")
+    finally:
+        conf.set(BATCH_SETTING, before)
 
 
 def statistics(tokens: DataFrame) -> tuple[Statistics, int, int]:

@@ -77,3 +77,17 @@ def test_used_documents_leave_the_index():
 def test_empty_arrays():
     assert packing.word_keys(pa.array([], pa.large_string())).shape == (0, 2)
     assert ids(packing.Tokens(PATH), []) == [] and ids(packing.Tokens(PATH), ["", " "]) == [[], []]
+
+
+def test_tokenising_workers_get_short_batches(spark, monkeypatch):
+    """Spark sends about ``BATCH_BYTES`` of text at once, and the session's setting is as before."""
+    import pyarrow.compute as pc
+
+    def slices(batch, column, whole=packing.text_slices):
+        assert pc.sum(pc.binary_length(batch.column(column))).as_py() < 2 * packing.BATCH_BYTES
+        return whole(batch, column)
+
+    monkeypatch.setattr(packing, "text_slices", slices)
+    before = spark.conf.get(packing.BATCH_SETTING)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 900) AS text")
+    assert packing.tokenised(docs, PATH).count() == 4000 and spark.conf.get(packing.BATCH_SETTING) == before
