@@ -18,7 +18,7 @@ def ids(tokens, texts):
 
 
 def test_memory_of_a_word():
-    """A kept word took some 200 bytes as Python objects."""
+    """A kept word took some 130 bytes as Python objects."""
     words = list(itertools.islice(map("".join, itertools.product("abdeghilmnorstuv", repeat=5)), 100_000))
     tokens = packing.Tokens(PATH)
     tokens.encode(["a b"])  # imports
