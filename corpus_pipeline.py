@@ -14,31 +14,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seaward.llm import packing, quality, secrets, simhash, toxicity
-from seaward.llm.common import materialize, read_table
+from seaward.llm.common import materialize, read_table, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose Bradley-Terry score reaches the cut."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.fit(docs, quality.training_labels(spark, sf_dir)))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without significant toxic passages."""
+    small_batches(spark)
     return toxicity.reject_toxic(docs, toxicity.fit(docs, toxicity.training_labels(spark, sf_dir)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies (five-word shingles, similarity 0.8)."""
+    small_batches(spark)
     return simhash.keep_one_of_each(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets replaced by their kinds."""
+    small_batches(spark)
     return secrets.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in training sequences."""
+    small_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -30,6 +31,23 @@ def materialize(df: DataFrame, label: str, compressed: bool = False, codec: str
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows, about, that Spark sends to a Python worker at once (both sides hold as much), and rows of a Parquet file that
+#: a task decodes at once (their texts lie in one array).  Neither changes a result.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Settings of this session for long jobs of many steps, whose executors and workers keep what their largest step took."""
+    for name, value in SMALL_BATCHES.items():
+        spark.conf.set(name, value)
+
+
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the system; a reused worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)  # glibc has it
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores added until no column of ``df`` has it (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -93,6 +111,7 @@ def map_columns(df: DataFrame, fn, schema, rows_at_once: int = 256) -> DataFrame
             for at in range(0, batch.num_rows, rows_at_once):
                 out = fn(batch.slice(at, rows_at_once).to_pydict())
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, kind)
 

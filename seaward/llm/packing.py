@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaward.llm.common import arrow_schema, map_columns, materialize, read_table, text_or_empty
+from seaward.llm.common import arrow_schema, give_back, map_columns, materialize, read_table, text_or_empty
 
 WINDOW = 4096
 END_ID = 2
@@ -115,9 +115,10 @@ class Tokens:
 
     @classmethod
     def drop(cls) -> None:
-        """Empties the stores: a worker that has encoded may go on with tasks that need the room."""
-        for tokens in cls._made.values():
-            tokens.ids, tokens.store = {}, Words()
+        """Drops stores and models: a worker that has encoded may go on with tasks that need the room."""
+        if cls._made:
+            cls._made.clear()
+            give_back()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers: distinct chunks are looked up, then put in their places."""
@@ -438,7 +439,7 @@ def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
                     ids = [np.frombuffer(i, "<u4").astype(f"<u{width}").tobytes() for i in ids]
                 columns = [part.column(0).cast(arrow[0].type), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), part.column(2)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(ids), pa.binary())] * short, schema=arrow)
-            pa.default_memory_pool().release_unused()  # else the worker keeps it, also while it has nothing to do
+            give_back()  # else the worker keeps it, also while it has nothing to do
         if short and counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, b"", 0, 0, counts.tobytes()), arrow, strict=True)], schema=arrow)
 
